@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import ann, bpe, html_extract, pii, quality, token_counts, url_filter
+from skeinwork.llm import ann, bpe, html_extract, ngram_join, pii, quality, token_counts, url_filter
 from skeinwork.llm.runtime import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -39,7 +43,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_extraction, op4_quality_rules, op6_url_filters, op7_nearest_neighbours, op8_bpe, op9_pii, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_html_extraction, op4_quality_rules, op6_url_filters, op7_nearest_neighbours, op8_bpe, op9_pii, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
