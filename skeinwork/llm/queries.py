@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import ann, bpe, html_extract, ngram_join, pii, quality, token_counts, url_filter
+from skeinwork.llm import ann, bpe, html_extract, ngram_join, pii, quality, suffix_dedup, token_counts, url_filter
 from skeinwork.llm.runtime import table
 
 
@@ -22,6 +22,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
@@ -43,7 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_html_extraction, op4_quality_rules, op6_url_filters, op7_nearest_neighbours, op8_bpe, op9_pii, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_html_extraction, op4_quality_rules, op5_suffix_array_dedup, op6_url_filters, op7_nearest_neighbours, op8_bpe, op9_pii, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
