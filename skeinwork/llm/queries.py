@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import ann, bpe, html_extract, ngram_join, pii, quality, suffix_dedup, token_counts, url_filter
+from skeinwork.llm import ann, bpe, html_extract, ngram_join, packing, pii, quality, suffix_dedup, token_counts, url_filter
 from skeinwork.llm.runtime import table
 
 
@@ -18,6 +18,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_html_extraction, op4_quality_rules, op5_suffix_array_dedup, op6_url_filters, op7_nearest_neighbours, op8_bpe, op9_pii, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_html_extraction, op3_packing, op4_quality_rules, op5_suffix_array_dedup, op6_url_filters, op7_nearest_neighbours, op8_bpe, op9_pii, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
