@@ -16,7 +16,7 @@ def _c(c: Column | str) -> Column:
 
 
 def half_even(x: Column, places: int = 0) -> Column:
-    """Rounding of the binary value, ties to even: the scaled value is rounded, so 0.545 goes up and 2.675 down."""
+    """Rounding with ties to even, of the scaled value: 0.125 gives 0.12 and 0.545 gives 0.55."""
     unit = F.lit(float(10**places))
     return F.rint(x.cast("double") * unit) / unit
 

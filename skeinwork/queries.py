@@ -213,14 +213,17 @@ def _(r):
     return records.checked_edges(r.odd_edges, r.kg_nodes).select("src_id", "dst_id", "type", "ok")
 
 
-_NOW = F.lit(NOW).cast("timestamp")
+def _now():
+    return F.lit(NOW).cast("timestamp")
+
+
 _IDLE = f"(epoch_us(TIMESTAMP '{NOW}') - epoch_us(last_accessed_at))"
 _TTL = "coalesce(ttl_seconds, CASE WHEN scope = 'session' THEN 86400 END)"
 
 
 @query("f11_expired", f"SELECT id, coalesce({_IDLE} > {_TTL} * 1000000, false) AS expired FROM memory")
 def _(r):
-    return r.memory.select("id", C.is_expired("last_accessed_at", _NOW, C.effective_ttl("ttl_seconds", "scope")).alias("expired"))
+    return r.memory.select("id", C.is_expired("last_accessed_at", _now(), C.effective_ttl("ttl_seconds", "scope")).alias("expired"))
 
 
 def _cards(r: Rel) -> DataFrame:
@@ -686,22 +689,22 @@ _GC = f"""gc AS (SELECT *, CASE WHEN status <> 'active' THEN 'keep' WHEN coalesc
 
 @query("p8_memory_gc", f"SELECT id, action, CASE action WHEN 'archive' THEN 'archived' ELSE status END AS status, round(CASE action WHEN 'decay' THEN pow(0.5, greatest(0.0, {_IDLE} / 86400000000.0) / 14.0) ELSE salience END, 9) AS salience FROM gc", _GC)
 def _(r):
-    return memory.gc_actions(r.memory, _NOW).select("id", "action", "status", F.round("salience", 9).alias("salience"))
+    return memory.gc_actions(r.memory, _now()).select("id", "action", "status", F.round("salience", 9).alias("salience"))
 
 
 @query("p8_promotions", "SELECT concat('prop_', substr(sha256(concat('memory.promotion|', id)), 1, 26)) AS id, id AS subject, concat('accessed ', access_count, 'x in session') AS evidence, CASE WHEN access_count >= 5 THEN 'high' ELSE 'medium' END AS reuse_value FROM later WHERE scope = 'session' AND status = 'active' AND access_count >= 3", _GC)
 def _(r):
-    return memory.promotions(memory.after_gc(memory.gc_actions(r.memory, _NOW))).select("id", "subject", "evidence", "reuse_value")
+    return memory.promotions(memory.after_gc(memory.gc_actions(r.memory, _now()))).select("id", "subject", "evidence", "reuse_value")
 
 
 @query("p8_consolidations", "SELECT string_agg(id, ',' ORDER BY id) AS subject, concat(count(*), ' duplicate records in ', scope) AS evidence FROM later WHERE status = 'active' AND scope IN ('project', 'user') GROUP BY scope, kind, content HAVING count(*) > 1", _GC)
 def _(r):
-    return memory.consolidations(memory.after_gc(memory.gc_actions(r.memory, _NOW))).select("subject", "evidence")
+    return memory.consolidations(memory.after_gc(memory.gc_actions(r.memory, _now()))).select("subject", "evidence")
 
 
 @query("a16_gc_report", "SELECT count(*) FILTER (action = 'delete') AS n_expired, count(*) FILTER (action = 'archive') AS n_archived, count(*) FILTER (action = 'decay') AS decayed, sha256(coalesce(string_agg(id, ',' ORDER BY id) FILTER (action = 'delete'), '')) AS expired_digest, sha256(coalesce(string_agg(id, ',' ORDER BY id) FILTER (action = 'archive'), '')) AS archived_digest, (SELECT count(*) FROM later WHERE scope = 'session' AND status = 'active' AND access_count >= 3) AS promotions, (SELECT count(*) FROM (SELECT 1 FROM later WHERE status = 'active' AND scope IN ('project', 'user') GROUP BY scope, kind, content HAVING count(*) > 1)) AS consolidations FROM gc", _GC)
 def _(r):
-    actions = memory.gc_actions(r.memory, _NOW)
+    actions = memory.gc_actions(r.memory, _now())
     return memory.gc_report(actions, memory.after_gc(actions))
 
 
@@ -859,7 +862,7 @@ def _(r):
 
 @query("c5_salience", f"SELECT id, round(pow(0.5, greatest(0.0, {_IDLE} / 86400000000.0) / 14.0), 9) AS salience FROM memory")
 def _(r):
-    return r.memory.select("id", F.round(C.salience("last_accessed_at", _NOW), 9).alias("salience"))
+    return r.memory.select("id", F.round(C.salience("last_accessed_at", _now()), 9).alias("salience"))
 
 
 @query("c6_effective_ttl", f"SELECT id, {_TTL} AS ttl FROM memory")
@@ -944,22 +947,23 @@ def _(r):
 
 @query("p9_memory_touch", "SELECT id, access_count + CASE WHEN ends_with(id, '7') THEN 1 ELSE 0 END AS access_count, CASE WHEN ends_with(id, '7') THEN 1.0 ELSE salience END AS salience FROM memory")
 def _(r):
-    return memory.touched(r.memory, r.memory.filter("id like '%7'").select("id"), _NOW).select("id", "access_count", "salience")
+    return memory.touched(r.memory, r.memory.filter("id like '%7'").select("id"), _now()).select("id", "access_count", "salience")
 
 
-_EMPTY = F.array().cast("array<struct<action: string, actor: string, note: string, from_status: string, to_status: string, at: string>>")
+def _empty():
+    return F.array().cast("array<struct<action: string, actor: string, note: string, from_status: string, to_status: string, at: string>>")
 
 
 @query("p10_learning", """SELECT p.id, CASE WHEN t.target IS NOT NULL THEN t.target ELSE p.status END AS status, CASE WHEN t.target IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS n_provenance, CASE WHEN a.id IS NOT NULL AND t.target IS NULL THEN concat('cannot ', a.action, ' a proposal in status ', p.status) END AS error FROM proposals p LEFT JOIN actions a ON a.id = p.id
     LEFT JOIN (VALUES ('approve', 'proposed', 'approved'), ('reject', 'proposed', 'rejected'), ('reject', 'approved', 'rejected'), ('commit', 'approved', 'committed')) t(action, from_status, target) ON t.action = a.action AND t.from_status = p.status""")
 def _(r):
-    out = memory.decided(r.proposals.withColumn("provenance", _EMPTY), r.actions)
+    out = memory.decided(r.proposals.withColumn("provenance", _empty()), r.actions)
     return out.select("id", "status", F.size("provenance").alias("n_provenance"), "error")
 
 
 @query("p10_skills", """SELECT concat('skill_', substr(sha256(p.id), 1, 26)) AS id, 'Skill' AS type, concat(p.kind, CAST(CAST(substr(p.id, 5) AS BIGINT) % 5 AS VARCHAR)) AS label FROM proposals p JOIN actions a ON a.id = p.id WHERE p.status = 'approved' AND a.action = 'commit'""")
 def _(r):
-    return memory.skills(memory.decided(r.proposals.withColumn("provenance", _EMPTY), r.actions)).select("id", "type", "label")
+    return memory.skills(memory.decided(r.proposals.withColumn("provenance", _empty()), r.actions)).select("id", "type", "label")
 
 
 @query("p11_proposal_emit", "SELECT concat('prop_', substr(sha256(concat(lang, '|', doc_id)), 1, 26)) AS id, lang AS kind, 'proposed' AS status FROM documents")

@@ -28,12 +28,39 @@ def scanned(files: DataFrame, dirs: tuple[str, ...] = S.IGNORED_DIRS) -> DataFra
 
 
 def read_repository(spark: SparkSession, root: str, dirs: tuple[str, ...] = S.IGNORED_DIRS) -> DataFrame:
-    """The files below a folder.  Only files with a known extension are opened; folders are ignored by relative path."""
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(e[1:] for e in S.LANGUAGES) + "}").load(base)
-    here = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
-    relative = F.substring(here, len("/" + base.split("://")[-1].lstrip("/")) + 2, 1 << 20)
-    return scanned(raw.select(relative.alias("path"), "content"), dirs)
+    """The files below a folder; ignored folders are not entered.
+
+    Spark's file sources pass over names that begin with an underscore, and so over __init__.py.  Names are therefore
+    listed by the file system's own interface, and executors read the contents; only names are on the driver.
+    """
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    todo, found = [("", top)], []
+    while todo:
+        prefix, folder = todo.pop()
+        for f in fs.listStatus(folder):
+            name = f.getPath().getName()
+            if f.isDirectory():
+                if name not in dirs:
+                    todo.append((f"{prefix}{name}/", f.getPath()))
+            elif name.lower().endswith(tuple(S.LANGUAGES)):
+                found.append((prefix + name, f.getPath().toString()))
+
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs as arrow_fs
+
+        for b in batches:
+            bodies = []
+            for uri in b.column("uri").to_pylist():
+                where, path = arrow_fs.FileSystem.from_uri(uri if not uri.startswith("file:") else "/" + uri.removeprefix("file:").lstrip("/"))
+                with where.open_input_stream(path) as f:
+                    bodies.append(f.read())
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(bodies, pa.binary())], ["path", "content"])
+
+    names = spark.createDataFrame(found, "path string, uri string")
+    return scanned(names.repartition(max(1, len(found) // 500 + 1)).mapInArrow(read, "path string, content binary"), dirs)
 
 
 def churn(lines: DataFrame) -> DataFrame:
