@@ -54,5 +54,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_ngram_join, op2_html_extraction, op3_packing, op4_quality_rules, op5_suffix_array_dedup, op6_url_filters, op7_nearest_neighbours, op8_bpe, op9_pii, op10_token_counts)}
 
 
+#: Word shingles, the exact join on them, and components by closure.
+OP1_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM items a JOIN items b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * c >= 75 * (na + nb - c)),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.other FROM reach r JOIN ends e ON e.a = r.doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.m AS component_id FROM sets s JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id) r ON r.doc_id = s.doc_id"""
+
+
+def _rule_sql(host: str, path: str, what: int) -> str:
+    parts = []
+    for rule, verdict in sorted(url_filter.RULES, key=lambda r: -len(r[0])):
+        name, _, rest = rule.partition("/")
+        parts.append(f"WHEN ({host} = '{name}' OR ends_with({host}, '.{name}')) AND starts_with({path}, '/{rest}') THEN '{(rule, verdict)[what]}'")
+    return f"CASE {' '.join(parts)} END"
+
+
+#: The rules, and aliases by closure over canonical and refresh links.
+OP6_SQL = rf"""
+WITH RECURSIVE parsed AS (SELECT page_id, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '(?s)^(.*?)://', 1), '') AS scheme FROM pages),
+named AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END END AS node FROM parsed),
+targets AS (SELECT scheme, host, node, regexp_extract(regexp_extract(html, '(?is)<link\s[^>]*rel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)href\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM named WHERE node IS NOT NULL AND html IS NOT NULL
+  UNION ALL SELECT scheme, host, node, regexp_extract(regexp_extract(html, '(?is)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)content\s*=\s*["'']?[^"''>]*?url\s*=\s*["'']?([^"''\s>]+)', 1) FROM named WHERE node IS NOT NULL AND html IS NOT NULL),
+full_urls AS (SELECT node, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN starts_with(t, '/') THEN scheme || '://' || host || t ELSE scheme || '://' || regexp_extract(node, '(?s)^(.*/)', 1) || t END AS u FROM targets WHERE t <> ''),
+edges AS (SELECT DISTINCT node AS a, h || CASE WHEN p = '' THEN '/' ELSE p END AS b FROM (SELECT node, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h, regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS p FROM full_urls) WHERE h <> ''),
+ends AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
+reach(node, other) AS (SELECT a, a FROM ends UNION SELECT e.b, r.other FROM reach r JOIN ends e ON e.a = r.node),
+member AS (SELECT node, other, {_rule_sql("regexp_extract(other, '(?s)^([^/]*)', 1)", "regexp_extract(other, '(?s)^[^/]*(.*)', 1)", 1)} AS v FROM reach),
+alias AS (SELECT node, min(other) AS component, min(v) AS group_verdict FROM member GROUP BY node)
+SELECT n.page_id, n.host, n.path, {_rule_sql("n.host", "n.path", 0)} AS rule, coalesce({_rule_sql("n.host", "n.path", 1)}, a.group_verdict, 'allow') AS verdict, a.component FROM named n LEFT JOIN alias a ON a.node = n.node"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Twins of the queries that SQL can express; the others are compared with brute force in tests/llm."""
+    return {"op1_ngram_join": OP1_SQL, "op6_url_filters": OP6_SQL}
