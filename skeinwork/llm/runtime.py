@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
 import tempfile
 import uuid
 
@@ -14,6 +14,17 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 
 
+def lean() -> None:
+    """In a worker: give freed memory back to the system, and take large arrays straight from it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: nothing to tune
+        return
+    libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    libc.malloc_trim(0)
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Small Arrow batches, so that a Python worker's memory follows the batch and not the partition."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -66,7 +77,3 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def is_local_path(path: str) -> bool:
-    return path.startswith(("file:", "/")) and os.path.exists(path.removeprefix("file:"))

@@ -32,18 +32,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinwork.llm.runtime import settle, texts_of, tune, two_columns
+from skeinwork.llm.runtime import lean, settle, texts_of, tune, two_columns
 from skeinwork.llm.shingles import mix, powers
 
 SPAN, GRAM = 100, 32
 _GRAMS = SPAN - GRAM + 1
 #: Bytes hashed at once: their places fit in the low bits of a key.
-_BITS = 21
+_BITS = 20
 BLOCK = 1 << _BITS
 #: Bytes gathered in a worker before equal segments are merged, and segments in a part.
-RUN, PART = 16 << 20, 1_500_000
+RUN, PART = 8 << 20, 300_000
 #: Frequent grams that the order knows, at most, and the least count in a block that is reported.
-HEAVY, BLOCK_LEAST = 500_000, 24
+HEAVY, BLOCK_LEAST = 500_000, 16
 SLOTS = 1 << 23
 _U = np.uint64
 _BYTE = np.random.default_rng(99).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -137,6 +137,7 @@ def frequent_grams(docs: DataFrame) -> np.ndarray:
     """Grams met very often: counted in blocks over all texts; those of the largest sums, by a threshold that bounds their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             for raw, _, _, _ in _blocks(b.column("doc_id").to_pylist(), texts_of(b)):
                 grams = np.sort(_gram_hashes(_sums(raw)))
@@ -203,6 +204,7 @@ def _deal(docs: DataFrame, heavy: np.ndarray, parts: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(2)] + [pa.array([r[j] for r in rows], pa.binary()) for j in range(2, 8)], ["part", "doc_id", "ids", "docs", "firsts", "spans", "grams", "wholes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         held, size = [], 0
         for b in batches:
             ids = b.column("doc_id").to_pylist()
@@ -217,6 +219,7 @@ def _deal(docs: DataFrame, heavy: np.ndarray, parts: int) -> DataFrame:
                 if size >= RUN:
                     yield flush(held)
                     held, size = [], 0
+                    lean()
         if held:
             yield flush(held)
 
@@ -230,6 +233,7 @@ def _match(dealt: DataFrame) -> DataFrame:
     """
 
     def run(table: pa.Table) -> pa.Table:
+        lean()
         cols: list[list[np.ndarray]] = [[], [], [], [], []]
         for i, d, f, n, g, w in zip(*(table.column(k).to_pylist() for k in ("ids", "docs", "firsts", "spans", "grams", "wholes")), strict=True):
             back = np.frombuffer(d, np.uint32)
@@ -342,6 +346,7 @@ def _compare(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
     given = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted", "spans")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             rows: dict[int, list[list]] = {}
             for doc, text, names, spans in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text", "wanted", "spans")), strict=True):
@@ -355,6 +360,7 @@ def _compare(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in packed], pa.int64())] + [pa.array([p[j] for p in packed], pa.binary()) for j in range(1, 5)], ["part", "docs", "firsts", "sizes", "bytes"])
 
     def run(table: pa.Table) -> pa.Table:
+        lean()
         doc, first, texts = [], [], []
         for d, f, n, raw in zip(*(table.column(k).to_pylist() for k in ("docs", "firsts", "sizes", "bytes")), strict=True):
             doc.append(np.frombuffer(d, np.int64))
@@ -401,19 +407,30 @@ def _bits(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _marked(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """docs with hit: whether the bitmap has their id."""
+def _with_hits(docs: DataFrame, bits: np.ndarray) -> tuple[DataFrame, callable]:
+    """docs with the place of their id in the bitmap, and a function that tells for a batch which rows it has."""
     known = docs.sparkSession.sparkContext.broadcast(bits)
     s = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
 
-    @F.pandas_udf("boolean")
-    def hit(bucket, bit):
-        at = (bucket.to_numpy() - 1) * 4096 + bit.to_numpy() // 8
-        import pandas as pd
+    def hit(b: pa.RecordBatch) -> np.ndarray:
+        at, bit = (b.column(k).to_numpy(zero_copy_only=False) for k in ("__at", "__bit"))
+        here = (known.value[(at - 1) * 4096 + bit // 8] >> (bit % 8).astype(np.uint8)) & 1
+        return here.astype(bool) & ~np.asarray(b.column("doc_id").is_null())
 
-        return pd.Series(((known.value[at] >> (bit.to_numpy() % 8).astype(np.uint8)) & 1).astype(bool))
+    return docs.withColumn("__at", F.bitmap_bucket_number(s)).withColumn("__bit", F.bitmap_bit_position(s)), hit
 
-    return docs.withColumn("hit", hit(F.bitmap_bucket_number(s), F.bitmap_bit_position(s)) & F.col("doc_id").isNotNull())
+
+def _hits(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The rows that the bitmap has."""
+    marked, hit = _with_hits(docs, bits)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for b in batches:
+            yield b.filter(pa.array(hit(b))).select(names)
+
+    return marked.mapInArrow(run, docs.schema)
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -425,7 +442,7 @@ def find(docs: DataFrame) -> DataFrame:
     dealt = settle(_deal(docs, frequent_grams(docs), parts), "segments")
     matched = settle(_match(dealt), "matched")
     wanted = matched.filter("wanted is not null").groupBy("doc_id").agg(F.collect_list(F.struct("wanted", "spans")).alias("x")).select("doc_id", F.col("x.wanted").alias("wanted"), F.col("x.spans").alias("spans"))
-    near = _marked(docs, _bits(matched.filter("wanted is not null"))).filter("hit").select("doc_id", "text")
+    near = _hits(docs, _bits(matched.filter("wanted is not null")))
     more = _compare(near, wanted, parts)
     here = dealt.filter("part = -1").select("doc_id", F.col("firsts").alias("spans"))
     every = here.unionByName(matched.filter("wanted is null").select("doc_id", "spans")).unionByName(more)
@@ -434,10 +451,19 @@ def find(docs: DataFrame) -> DataFrame:
 
 def _apply(docs: DataFrame, found: DataFrame, run, schema: str) -> DataFrame:
     """run over docs with their spans; only documents that may lose bytes are shuffled."""
-    marked = _marked(docs, _bits(found))
-    without = marked.filter("not hit").drop("hit").withColumn("spans", F.lit(None).cast("array<binary>")).mapInArrow(run, schema)
-    with_ = marked.filter("hit").drop("hit").join(found, "doc_id", "left").mapInArrow(run, schema)
-    return without.unionByName(with_)
+    bits = _bits(found)
+    marked, hit = _with_hits(docs, bits)
+    names = docs.columns
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def left() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                kept = b.filter(pa.array(~hit(b))).select(names)
+                yield kept.append_column("spans", pa.nulls(kept.num_rows, pa.list_(pa.binary())))
+
+        yield from run(left())
+
+    return marked.mapInArrow(whole, schema).unionByName(_hits(docs, bits).join(found, "doc_id", "left").mapInArrow(run, schema))
 
 
 def _pairs(spans: list[bytes] | None) -> np.ndarray:
@@ -450,6 +476,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     docs = two_columns(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             sizes, removed, runs, shas = [], [], [], []
             for x, s in zip(texts_of(b), b.column("spans").to_pylist(), strict=True):
@@ -472,6 +499,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     packed = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.struct(*[F.lit(None).cast("string").alias(c) if c == text else F.col(c) for c in docs.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             new = [x if x is None or not s else cut(x, _pairs(s))[0].decode("utf-8", "ignore") for x, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(new, pa.string())], ["row", "new"])
