@@ -12,8 +12,8 @@ from the start.  Before the join, sets with an equal minimum hash are compared w
 make first components; the join then passes over pairs inside a component.  This keeps large groups of near copies
 from being joined pair by pair, and it loses no link between components.
 
-Shingles are told apart by 64-bit hashes.  The list of frequent shingles is bounded (HEAVY); it only sets the order, and any order gives the same
-result.
+Shingles are told apart by 64-bit hashes.  Document frequencies are counted over all
+documents; the list of frequent shingles is bounded (HEAVY), and any order gives the same result.
 
 Defined results: null or empty text, or one without words, has the empty set, size 0, and is linked with nothing; rows with
 one doc_id are one document; rows without doc_id have their size and a null component; extra columns are ignored.
@@ -31,20 +31,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinwork.llm.components import components
-from skeinwork.llm.runtime import settle, texts_of, tune, two_columns
-from skeinwork.llm.shingles import shingle_sets
+from skeinwork.llm.runtime import lean, settle, texts_of, tune, two_columns
+from skeinwork.llm.shingles import mix, shingle_sets
 
 #: Jaccard threshold as a fraction.
 NUM, DEN = 3, 4
 WIDTH = 5
-#: Frequent shingles that the order knows, at most: 16 bytes each on the driver and in each worker.
-HEAVY = 1_000_000
-#: Shingles counted at once in a worker, and the least count in such a run that is reported.
-RUN, RUN_LEAST = 4_000_000, 3
+#: Frequent shingles that the order knows, at most: 5 bytes each on the driver and in each worker.
+HEAVY = 4_000_000
+#: Sets with a shingle from which on it counts as frequent, if there are not too many.
+FREQUENT = 5
+#: Shingles counted at once in a worker, and in a part of the count.
+RUN, PART = 2_000_000, 1_000_000
 #: Prefix shingles in a bucket, about.
-BUCKET = 1_500_000
+BUCKET = 1_000_000
 #: Slots of the bitmap that keeps unneeded sets from being shuffled: 1 MB.  A full bitmap only costs time.
 SLOTS = 1 << 23
+#: Minimum hashes of a set, how many of them name groups for first links, and how many must agree for a pair to be tried.
 _HASHES, _BANDS, _AGREE = 16, 4, 8
 _MULT = np.random.default_rng(7).integers(1, 1 << 63, _HASHES, dtype=np.uint64) | np.uint64(1)
 
@@ -61,53 +64,91 @@ def _signature(s: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _describe(docs: DataFrame, width: int) -> DataFrame:
-    """For each row: n, a digest of its set, minimum hashes.  Rows with n = -1 report shingles frequent in a run of rows."""
+    """For each row: n, a digest of its set, minimum hashes."""
     kind = pa.list_(pa.int64())
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        types = (pa.int64(), pa.int32(), pa.binary(), kind, kind, kind, kind)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "n", "digest", "bands", "lanes", "heavy", "times"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for b in batches:
+            rows = []
+            for doc, s in zip(b.column("doc_id").to_pylist(), shingle_sets(texts_of(b), width), strict=True):
+                rows.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), *_signature(s)) if len(s) else (doc, 0, None, None, None))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), kind, kind), strict=True)], ["doc_id", "n", "digest", "bands", "lanes"])
+
+    return docs.mapInArrow(run, "doc_id long, n int, digest binary, bands array<long>, lanes array<long>")
+
 
-    def frequent(held: list[np.ndarray]) -> list[tuple]:
-        flat = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-        starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, int)
-        times = np.diff(np.append(starts, len(flat)))
-        often = times >= RUN_LEAST
-        if not often.any():
-            return []
-        return [(None, -1, None, None, None, flat[starts[often]].view(np.int64), times[often])]
+def _classes(times: np.ndarray) -> np.ndarray:
+    """Frequency classes, eight to a doubling."""
+    return np.clip(8 * np.log2(np.maximum(times, 1)), 1, 255).astype(np.uint8)
+
+
+def _counted(docs: DataFrame, width: int, parts: int) -> DataFrame:
+    """The frequent shingles of all documents: packed hashes (their upper 32 bits) and classes, and how many there are of each class.
+
+    Sets are counted in runs first, so a shingle of very many documents is one number for each run.
+    """
+
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, times = np.unique(np.concatenate(held), return_counts=True)
+        part = (found.astype(np.uint64) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        rows = [(k, f.tobytes(), t.astype(np.uint32).tobytes() if t.max() > 1 else b"") for k, f, t in zip(part[np.concatenate([[0], cuts])].tolist(), np.split(found, cuts), np.split(times, cuts), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "hashes", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         held, size = [], 0
         for b in batches:
-            rows = []
-            for doc, s in zip(b.column("doc_id").to_pylist(), shingle_sets(texts_of(b), width), strict=True):
-                if not len(s):
-                    rows.append((doc, 0, None, None, None, None, None))
-                    continue
-                bands, lanes = _signature(s)
-                rows.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), bands, lanes, None, None))
-                held.append(s)
+            for s in shingle_sets(texts_of(b), width):
+                held.append((s >> np.uint64(32)).astype(np.uint32))
                 size += len(s)
             if size >= RUN:
-                rows += frequent(held)
+                yield flush(held)
                 held, size = [], 0
-            yield batch(rows)
-        yield batch(frequent(held))
-
-    return docs.mapInArrow(run, "doc_id long, n int, digest binary, bands array<long>, lanes array<long>, heavy array<long>, times array<long>")
-
+                lean()
+        if size:
+            yield flush(held)
+
+    def add_up(table: pa.Table) -> pa.Table:
+        lean()
+        hashes, times = [], []
+        for h, t in zip(table.column("hashes").to_pylist(), table.column("times").to_pylist(), strict=True):
+            hashes.append(np.frombuffer(h, np.uint32))
+            times.append(np.frombuffer(t, np.uint32) if t else np.ones(len(hashes[-1]), np.uint32))
+        h, t = np.concatenate(hashes), np.concatenate(times)
+        o = np.argsort(h, kind="stable")
+        h, t = h[o], t[o]
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        total = np.add.reduceat(t.astype(np.int64), starts)
+        often = total >= FREQUENT
+        classes = _classes(total[often])
+        return pa.table([pa.array([h[starts[often]].tobytes()], pa.binary()), pa.array([classes.tobytes()], pa.binary()), pa.array([np.bincount(classes, minlength=256).tolist()], pa.list_(pa.int64()))], ["hashes", "classes", "sizes"])
+
+    fields = [T.StructField("hashes", T.BinaryType()), T.StructField("classes", T.BinaryType()), T.StructField("sizes", T.ArrayType(T.LongType()))]
+    return docs.mapInArrow(run, "part long, hashes binary, times binary").groupBy("part").applyInArrow(add_up, T.StructType(fields))
+
+
+def _order(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent shingles, sorted, and their classes: the highest classes of which there are HEAVY at most."""
+    sizes = np.zeros(256, np.int64)
+    for r in counted.select(F.posexplode("sizes").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
+        sizes[r["k"]] = r["n"]
+    above = np.cumsum(sizes[::-1])[::-1]
+    least = int(np.argmax(above <= HEAVY))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = np.frombuffer(b"".join(b.column("hashes").to_pylist()), np.uint32)
+            c = np.frombuffer(b"".join(b.column("classes").to_pylist()), np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([h[c >= least].tobytes()], pa.binary()), pa.array([c[c >= least].tobytes()], pa.binary())], ["hashes", "classes"])
 
-def _order(described: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent shingles and their classes: those reported most often, at most HEAVY, by the threshold alone."""
-    least = max(RUN_LEAST, -(-total // HEAVY))
-    rows = described.filter("n = -1").select(F.explode(F.arrays_zip("heavy", "times")).alias("x")).groupBy(F.col("x.heavy").alias("h")).agg(F.sum("x.times").alias("t")).filter(F.col("t") >= least).toPandas()
-    h = rows["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    # Eight classes to a doubling.
-    classes = np.clip(8 * np.log2(np.maximum(rows["t"].to_numpy(float), 1)), 1, 255).astype(np.uint8)
-    return h[order], classes[order]
+    rows = counted.select("hashes", "classes").mapInArrow(pick, "hashes binary, classes binary").collect()
+    h = np.frombuffer(b"".join(bytes(r["hashes"]) for r in rows), np.uint32)
+    c = np.frombuffer(b"".join(bytes(r["classes"]) for r in rows), np.uint8)
+    o = np.argsort(h, kind="stable")
+    return h[o], c[o]
 
 
 def _agreement() -> Column:
@@ -146,6 +187,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     kept = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         bits = kept.value
         for b in batches:
             # A value's bucket and place as the bitmap functions give them: buckets of 32768 from 1, in which value 0 has one of its own.
@@ -162,6 +204,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     both = pairs.join(items.select(F.col("id").alias("a"), F.col("items").alias("left")), "a").join(items.select(F.col("id").alias("b"), F.col("items").alias("right")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             good = []
             for x, y in zip(b.column("left"), b.column("right"), strict=True):
@@ -180,6 +223,7 @@ def _prefixes(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], width: int)
     known = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         heavy, classes = known.value
         for b in batches:
             rows = []
@@ -188,8 +232,9 @@ def _prefixes(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], width: int)
                     continue
                 p = prefix_length(len(s))
                 if len(heavy):
-                    at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
-                    rank = np.where(heavy[at] == s, classes[at], 0)
+                    upper = (s >> np.uint64(32)).astype(np.uint32)
+                    at = np.minimum(np.searchsorted(heavy, upper), len(heavy) - 1)
+                    rank = np.where(heavy[at] == upper, classes[at], 0)
                     if rank.any():
                         s = s[np.argsort(rank, kind="stable")]
                 rows.append((doc, s[:p].tobytes()))
@@ -202,6 +247,7 @@ def _dealt(prefixes: DataFrame, buckets: int) -> DataFrame:
     """A row for each batch and bucket: the documents with a shingle there, and (document, shingle) pairs, as packed arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             if not b.num_rows:
                 continue
@@ -312,8 +358,17 @@ def needed(nx: int, ny: int) -> int:
     return max(1, total - max(nx - prefix_length(nx), ny - prefix_length(ny)))
 
 
-def _bucket_join(dealt: DataFrame) -> DataFrame:
-    def run(table: pa.Table) -> pa.Table:
+_PACKED = ("a", "b", "common", "na", "nb")
+
+
+def _bucket_join(dealt: DataFrame, parts: int) -> DataFrame:
+    """Pairs (a, b) whose prefixes share enough shingles.
+
+    A bucket gives packed arrays of partial overlaps, one row for each part that adds them up; a part then applies the bound to whole sums.
+    """
+
+    def overlaps(table: pa.Table) -> pa.Table:
+        lean()
         ids, labels, sizes, docs, items, base = [], [], [], [], [], 0
         for i, lab, n, d, f in zip(*(table.column(k).to_pylist() for k in ("ids", "labels", "ns", "docs", "items")), strict=True):
             ids.append(np.frombuffer(i, np.int64))
@@ -322,31 +377,45 @@ def _bucket_join(dealt: DataFrame) -> DataFrame:
             docs.append(np.frombuffer(d, np.uint16).astype(np.uint32) + np.uint32(base))
             items.append(np.frombuffer(f, np.uint32))
             base += len(ids[-1])
-        rows = list(bucket_pairs(*map(np.concatenate, (ids, labels, sizes, docs, items))))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        return pa.table([pa.array(c, pa.int64()) for c in cols], ["a", "b", "common", "na", "nb"])
-
-    fields = [T.StructField(k, T.LongType()) for k in ("a", "b", "common", "na", "nb")]
-    pairs = dealt.groupBy("bucket").applyInArrow(run, T.StructType(fields)).groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    total = F.ceil((F.col("na") + F.col("nb")) * NUM / F.lit(NUM + DEN))
-    rest = lambda n: F.ceil(F.col(n) * NUM / F.lit(DEN)) - 1
-    return pairs.filter(F.col("common") >= F.greatest(F.lit(1), total - F.greatest(rest("na"), rest("nb")))).select("a", "b")
+        flat = np.fromiter((x for row in bucket_pairs(*map(np.concatenate, (ids, labels, sizes, docs, items))) for x in row), np.int64).reshape(-1, 5)
+        part = (mix(flat[:, 0].view(np.uint64) * np.uint64(3) + flat[:, 1].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        o = np.argsort(part, kind="stable")
+        flat, part = flat[o], part[o]
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        groups = np.split(flat, cuts) if len(flat) else []
+        return pa.table([pa.array(part[np.concatenate([[0], cuts])] if len(flat) else [], pa.int64()), *(pa.array([g[:, k].tobytes() for g in groups], pa.binary()) for k in range(5))], ["part", *_PACKED])
+
+    def summed(table: pa.Table) -> pa.Table:
+        lean()
+        a, b, common, na, nb = (np.frombuffer(b"".join(table.column(k).to_pylist()), np.int64) for k in _PACKED)
+        o = np.lexsort((b, a))
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(a[o]) != 0) | (np.diff(b[o]) != 0)]))
+        total, first = np.add.reduceat(common[o], starts), o[starts]
+        x, y = na[first], nb[first]
+        least = np.maximum(1, -(-NUM * (x + y) // (NUM + DEN)) - np.maximum(x - prefix_length(x), y - prefix_length(y)))
+        keep = first[total >= least]
+        return pa.table({"a": a[keep], "b": b[keep]})
+
+    packed = T.StructType([T.StructField("part", T.LongType()), *(T.StructField(k, T.BinaryType()) for k in _PACKED)])
+    pairs = T.StructType([T.StructField(k, T.LongType()) for k in ("a", "b")])
+    return dealt.groupBy("bucket").applyInArrow(overlaps, packed).groupBy("part").applyInArrow(summed, pairs)
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = tune(docs.sparkSession)
     docs = two_columns(docs, key, text)
-    described = settle(_describe(docs, width), "sets")
-    rows = described.filter("n >= 0")
+    rows = settle(_describe(docs, width), "sets")
     sets = settle(rows.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands", "lanes")).alias("x")).select("digest", F.col("x.doc_id").alias("rep"), "x.n", "x.bands", "x.lanes"), "reps")
     total = sets.agg(F.sum("n")).first()[0] or 0
     first = settle(_linked(docs, settle(_star_pairs(sets), "star"), width), "links")
-    label = components(first)
-    labelled = sets.select("rep", "n").distinct().join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("label", "rep").alias("label"))
-    wide = _prefixes(docs, _order(described, total), width).join(labelled, F.col("doc_id") == F.col("rep")).select("rep", "n", "label", "prefix")
+    label = components(first).withColumnRenamed("node", "rep")
+    labelled = sets.select("rep", "n").dropDuplicates(["rep"]).join(label, "rep", "left").select("rep", "n", F.coalesce("label", "rep").alias("label"))
+    parts = max(-(-total // PART), min(12, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    order = _order(settle(_counted(docs.filter("doc_id is not null"), width, parts), "frequent"))
+    wide = _prefixes(docs, order, width).join(labelled, F.col("doc_id") == F.col("rep")).select("rep", "n", "label", "prefix")
     buckets = max(-(-total // (DEN * BUCKET)), min(12, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    pairs = settle(_bucket_join(_dealt(wide, buckets)), "pairs")
+    pairs = settle(_bucket_join(_dealt(wide, buckets), buckets), "pairs")
     second = _linked(docs, pairs, width)
     final = components(first.unionByName(second))
     classes = sets.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
