@@ -15,6 +15,7 @@ are each encoded; extra columns are ignored; texts of any length are encoded who
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -170,7 +171,7 @@ class WordBpe:
         if len(table) > self.kept // 2:
             self.older, self.chunks = table, {}
             table = self.chunks
-        new = chunks - table.keys()
+        new = chunks.difference(table)
         if self.older:
             known = [c for c in new if c in self.older]
             table.update(zip(known, map(self.older.__getitem__, known), strict=True))
@@ -262,6 +263,9 @@ def encoder(path: str, speculate: bool = True) -> WordBpe:
     """One encoder for each worker process and file.  speculate=False merges every new word exactly: the same ids."""
     if (path, speculate) not in _OPEN:
         _OPEN[path, speculate] = WordBpe(path, speculate=speculate)
+        # The tables hold no cycles: let the collector pass over them, and come by less often.
+        gc.freeze()
+        gc.set_threshold(200_000, 50, 1000)
     return _OPEN[path, speculate]
 
 
