@@ -116,10 +116,20 @@ def _reach_both(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int
     return found.withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy("depth", "parent", "id")).cast("long")).withColumnRenamed("seed", "bundle")
 
 
+def _most(df: DataFrame) -> int:
+    """The largest number of rows of a bundle: one number."""
+    return df.groupBy("bundle").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def _reached_then_recent(nodes: DataFrame, reached: DataFrame, seeds: DataFrame, type_: str, content: Column) -> DataFrame:
-    """Reachable nodes of a type, then for each seed the newest others."""
+    """Reachable nodes of a type, then for each seed the newest others.
+
+    The newest that a seed has not reached are among the newest of all, as many more as a seed has reached at most; only
+    those are paired with the seeds.
+    """
     near = reached.filter(F.col("type") == type_).select("bundle", "id", "place")
-    rest = seeds.select(F.col("id").alias("bundle")).join(nodes.filter(F.col("type") == type_).select("id", "created_at")).join(near.select("bundle", "id"), ["bundle", "id"], "left_anti")
+    newest = nodes.filter(F.col("type") == type_).select("id", "created_at").orderBy(F.desc("created_at"), "id").limit(S.RECENT + _most(near))
+    rest = seeds.select(F.col("id").alias("bundle")).join(newest).join(near.select("bundle", "id"), ["bundle", "id"], "left_anti")
     w = Window.partitionBy("bundle").orderBy(F.desc("created_at"), "id")
     late = rest.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= S.RECENT).select("bundle", "id", (F.col("n") + 1_000_000_000).cast("long").alias("place"))
     return near.unionByName(late).join(nodes.withColumn("text", content).select("id", "text"), "id")
@@ -143,7 +153,9 @@ def mentor_items(nodes: DataFrame, edges: DataFrame, cards: DataFrame, memory: D
         parts.append(_items(bundle.join(notes.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("ref")).cast("long"))), "adr", "ref", "content", "place", "raw_tokens"))
     if profile is not None:
         parts.append(_items(bundle.join(profile.select("content")).select("bundle", F.lit("repo_profile").alias("ref"), "content", F.lit(0).cast("long").alias("place")), "repo_profile", "ref", "content", "place"))
-    live = bundle.join(memory.filter("status = 'active' and scope in ('project', 'user')")).join(subject.filter("memory is not null").select("bundle", F.col("memory").alias("id")).distinct(), ["bundle", "id"], "left_anti")
+    used = subject.filter("memory is not null").select("bundle", F.col("memory").alias("id")).distinct()
+    top = top_memories(memory, used.limit(0), S.RECENT + _most(used))
+    live = bundle.join(top).join(used, ["bundle", "id"], "left_anti")
     w = Window.partitionBy("bundle").orderBy(F.desc("salience"), F.desc("created_at"), F.when(F.col("scope") == "project", 0).otherwise(1), "id")
     parts.append(_items(live.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= S.RECENT), "memory", "id", "content", "place"))
     return gathered(parts)

@@ -181,3 +181,22 @@ def test_index_stream(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     index_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "c")).awaitTermination(120)
     assert rows(store.scan("repo_index"), "path", "hash") == [("a", "2")]
+
+
+def test_advisory_items(spark):
+    nodes = spark.createDataFrame(
+        [("m", "Module", "auth", 0, "", 1), ("f1", "File", "a.py", 400, "h1", 2), ("f2", "File", "b.py", 40, "h2", 3), ("d1", "Decision", "reach", 0, "", 1), ("d2", "Decision", "new", 0, "", 9), ("d3", "Decision", "old", 0, "", 0), ("a1", "AuditFinding", "audit", 0, "", 5)],
+        "id string, type string, label string, size bigint, hash string, created_at bigint",
+    )
+    edges = spark.createDataFrame([("m", "f1", "contains"), ("m", "f2", "contains"), ("f1", "d1", "decided_by")], "src_id string, dst_id string, type string")
+    cards = spark.createDataFrame([("f1", "h1", "card of f1"), ("f2", "stale", "card of f2")], "ref string, source_hash string, purpose string")
+    m = mem(spark, {"id": "m1", "content": "note on f2", "links": ["f2"]}, {"id": "m2", "content": "free", "salience": 0.5}, {"id": "m3", "scope": "session"})
+    seed = spark.createDataFrame([("m",)], "id string")
+    items = context.mentor_items(nodes, edges, cards, m, seed, 2)
+    got = [tuple(r) for r in items.orderBy("order").select("ref", "kind", "content").collect()]
+    assert got == [("m", "stub", "auth"), ("f1", "card", "card of f1"), ("f2", "memory", "note on f2"), ("d1", "decision", "reach"), ("d2", "decision", "new"), ("d3", "decision", "old"), ("a1", "finding", "audit"), ("m2", "memory", "free")]
+    assert rows(items.filter("ref = 'f1'"), "tokens", "raw_tokens") == [(3, 100)]
+    audit = context.auditor_items(nodes, edges, cards, m, seed, "fast", "", 2)
+    assert [tuple(r) for r in audit.orderBy("order").select("ref", "kind").collect()] == [("acceptance-criteria", "criteria"), ("f1", "card"), ("d1", "decision"), ("d2", "decision"), ("d3", "decision"), ("a1", "finding")]
+    kinds = [r[0] for r in context.packed(audit, 8000).orderBy("seq").select("kind").collect()]
+    assert kinds == ["card", "criteria", "decision", "decision", "decision", "finding"]
