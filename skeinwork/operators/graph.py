@@ -39,6 +39,8 @@ def reach(adjacency: DataFrame, seeds: DataFrame, depth: int | None = None) -> D
     folder; only the question whether it is empty comes to the driver.
     """
     adjacency = adjacency.distinct()
+    if depth is None or depth > 1:  # read once for each level
+        adjacency = settle(adjacency, "adjacency")
     start = seeds.select(F.col("id").alias("seed")).distinct()
     frontier = start.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
     seen, level = frontier, 0
@@ -84,7 +86,7 @@ def paths_to(edges: DataFrame, target: DataFrame, max_depth: int = 6, max_paths:
     A chain ends where no caller outside it is left, or at the depth bound.  Chains start as those of one node, so a
     target without callers is its own chain.  Arrays compare element by element, which is the order of the search.
     """
-    back = directed(confident_calls(edges, floor), "in").distinct()
+    back = settle(directed(confident_calls(edges, floor), "in").distinct(), "adjacency")
     chains = target.select(F.col("id").alias("target"), F.array("id").alias("chain")).distinct()
     done = None
     for _ in range(max_depth):
@@ -120,6 +122,7 @@ def find_paths(adjacency: DataFrame, pairs: DataFrame, max_depth: int = 8, max_p
     Steps that cannot reach the target any more are not taken: the distance to it is known from a search backwards.
     """
     pairs = pairs.select("source", "target").distinct()
+    adjacency = settle(adjacency.distinct(), "adjacency")
     back = adjacency.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     to = reach(back, pairs.select(F.col("target").alias("id")), max_depth).select(F.col("seed").alias("target"), F.col("id").alias("node"), F.col("depth").alias("left"))
     to = settle(to.unionByName(pairs.select("target", F.col("target").alias("node"), F.lit(0).alias("left")).distinct()), "distance")
