@@ -107,22 +107,39 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
-def _segments(raw: np.ndarray, ends: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, ...]:
+class Frequent:
+    """A set of grams: a table of their upper bits passes most others over before they are searched for."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams = grams
+        self.table = np.zeros(1 << 20, bool)
+        self.table[(grams >> _U(44)).astype(np.int64)] = True
+
+    def places(self, grams: np.ndarray) -> np.ndarray:
+        """Where grams has one of the set."""
+        if not len(self.grams):
+            return np.zeros(0, np.int64)
+        near = np.flatnonzero(self.table[(grams >> _U(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.grams, grams[near]), len(self.grams) - 1)
+        return near[self.grams[at] == grams[near]]
+
+
+def _segments(raw: np.ndarray, ends: np.ndarray, heavy: Frequent) -> tuple[np.ndarray, ...]:
     """(text number, first window, last window, gram hash, segment hash) of each segment of a block; places are in the block."""
     if len(raw) < SPAN:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     run = _sums(raw)
     grams = _gram_hashes(run)
     keys = grams >> _U(1)
-    if len(heavy):
-        at = np.minimum(np.searchsorted(heavy, grams), len(heavy) - 1)
-        keys = np.where(heavy[at] == grams, keys | _U(1 << 63), keys)
+    keys[heavy.places(grams)] |= _U(1 << 63)
     keys = (keys & ~_U(BLOCK - 1)) | np.arange(len(keys), dtype=np.uint64)
     anchor = (_least(keys, _GRAMS) & _U(BLOCK - 1)).astype(np.int64)
-    starts = np.arange(len(anchor))
-    owner = np.searchsorted(ends, starts, side="right")
-    valid = starts + SPAN <= ends[owner]
-    starts, anchor, owner = starts[valid], anchor[valid], owner[valid]
+    # A text of a block has SPAN bytes at least; the windows that run over its end are no windows.
+    begins = np.concatenate([[0], ends[:-1]])
+    counts = ends - begins - SPAN + 1
+    owner = np.repeat(np.arange(len(ends)), counts)
+    starts = np.arange(len(owner)) + (begins - np.concatenate([[0], np.cumsum(counts)[:-1]]))[owner]
+    anchor = anchor[starts]
     if not len(starts):
         return _segments(raw[:0], ends, heavy)
     new = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(owner) != 0)]))
@@ -188,7 +205,7 @@ def _spans_by_doc(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple
 
 def _deal(docs: DataFrame, heavy: np.ndarray, parts: int) -> DataFrame:
     """Segments dealt to parts by gram, equal ones of a run merged; repeats found here are rows of part -1."""
-    known = docs.sparkSession.sparkContext.broadcast(heavy)
+    known = docs.sparkSession.sparkContext.broadcast(Frequent(heavy))
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         doc, first, last, gram, whole = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -348,15 +365,24 @@ def _compare(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for b in batches:
-            rows: dict[int, list[list]] = {}
-            for doc, text, names, spans in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text", "wanted", "spans")), strict=True):
+            owners, names, pairs, texts = [], [], [], []
+            for doc, text, named, spans in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text", "wanted", "spans")), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                for name, (first, last) in zip(np.frombuffer(b"".join(names), np.uint64).tolist(), np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2).tolist(), strict=True):
-                    if len(part := data[first : last + SPAN]) >= SPAN:
-                        row = rows.setdefault(name * 0x9E3779B97F4A7C15 % (1 << 64) * parts >> 64, [[], [], [], []])
-                        for c, x in zip(row, (doc, first, len(part), part), strict=True):
-                            c.append(x)
-            packed = [(k, np.array(r[0], np.int64).tobytes(), np.array(r[1], np.int64).tobytes(), np.array(r[2], np.int32).tobytes(), b"".join(r[3])) for k, r in rows.items()]
+                own = np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2)
+                fits = own[:, 1] + SPAN <= len(data)  # rows with this id and another text may be shorter
+                own = own[fits]
+                names.append(np.frombuffer(b"".join(named), np.uint64)[fits])
+                pairs.append(own)
+                owners.append(np.full(len(own), doc, np.int64))
+                texts += [data[i : j + SPAN] for i, j in own.tolist()]
+            if not texts:
+                continue
+            doc, pair = np.concatenate(owners), np.concatenate(pairs)
+            part = ((mix(np.concatenate(names)) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+            o = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[o])) + 1
+            sizes = (pair[:, 1] - pair[:, 0] + SPAN).astype(np.int32)
+            packed = [(int(part[g[0]]), doc[g].tobytes(), pair[g, 0].tobytes(), sizes[g].tobytes(), b"".join([texts[k] for k in g.tolist()])) for g in np.split(o, cuts)]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in packed], pa.int64())] + [pa.array([p[j] for p in packed], pa.binary()) for j in range(1, 5)], ["part", "docs", "firsts", "sizes", "bytes"])
 
     def run(table: pa.Table) -> pa.Table:
