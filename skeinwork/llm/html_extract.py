@@ -124,7 +124,7 @@ def blocks_of(page: str) -> list[Block]:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if name not in VOID_TAGS and not attrs.endswith("/"):
+        if name not in VOID_TAGS:  # a slash at the end of a start tag means nothing in HTML
             stack.append((name, out, inside))
             anchors += name == "a"
     add(page[at:])
