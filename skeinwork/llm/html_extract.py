@@ -33,6 +33,9 @@ TEXT_TAGS = frozenset(("article", "main"))
 OUT_NAMES = frozenset("ad ads adv advert advertisement adverts advertising alert author-bio banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disqus dropdown footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination pager paywall popup promo promoted related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar widget".split())
 #: The page header is out; these names do not count inside an article, where they hold the headline.
 _HEADLINE = frozenset(("header", "masthead", "byline"))
+#: A name with such a part describes a frame around the page and not a part of it, as in has-sidebar.
+_FRAME = frozenset("container has is layout no not page with without wrap wrapper".split())
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 STOP_WORDS = frozenset("a an and are as at be by for from has have he in is it not of on or that the this to was were which with you der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an la le les et un une du que est pour qui dans par sur pas au avec el y los las del se por con no su al lo".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[a-zA-Z/][^>]*\Z", re.S)
@@ -53,10 +56,9 @@ class Block:
 
 def _out_names(attrs: str, inside: bool) -> bool:
     for m in _NAMES.finditer(attrs):
-        for name in (m[1] or m[2] or m[3] or "").lower().split():
-            if name in OUT_NAMES and not (inside and name in _HEADLINE):
-                return True
-            if any(p in OUT_NAMES and not (inside and p in _HEADLINE) for p in (*re.split(r"[-_]+", name),)):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = [p.lower() for p in _PARTS.findall(name)]
+            if _FRAME.isdisjoint(parts) and any(p in OUT_NAMES and not (inside and p in _HEADLINE) for p in (name.lower(), *parts)):
                 return True
     return False
 

@@ -117,6 +117,11 @@ def test_extraction():
     assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<script>x") == ""
 
 
+def test_names_of_elements():
+    page = '<div class="page-with-sidebar"><article><p>kept</p><div class="adBanner">a</div><p id=x1 class="userComments">b</p><p class="lead">too</p></article></div>'
+    assert html_extract.main_text(page) == "kept\n\ntoo"
+
+
 def test_two_passes_without_article():
     long_ = "The house that is on the hill was for the man and his dog, and it is said that they were there to the end of the day."
     page = f"<body><div><a href=/>menu</a> <a href=/>more</a></div><p>{long_}</p><p>So.</p><p>{long_}</p><div><a>x</a></div><p>(c)</p></body>"
