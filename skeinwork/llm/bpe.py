@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skeinwork.llm.runtime import texts_of, tokenizer_path, tune, two_columns
+from skeinwork.llm.runtime import KEPT, texts_of, tokenizer_path, tune, two_columns
 
 #: Words and pieces kept in a worker's table; past half of it, those not met again since the last time go.
 WORDS_KEPT = 1_400_000
@@ -257,6 +257,7 @@ def _byte_symbols() -> list[str]:
 
 
 _OPEN: dict[tuple[str, bool], WordBpe] = {}
+KEPT.append(_OPEN)
 
 
 def encoder(path: str, speculate: bool = True) -> WordBpe:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.runtime import settle, texts_of, tune, two_columns
+from skeinwork.llm.runtime import lean, settle, texts_of, tune, two_columns
 
 # Frequent function words of each language.
 COMMON_WORDS = {
@@ -115,6 +115,7 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """Base figures and histograms of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             rows = [measure(x) for x in texts_of(b)]
             base = [pa.array([r[0][k] for r in rows], pa.int64()) for k in range(5)]

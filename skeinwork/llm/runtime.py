@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 
 
+#: Tables that a worker keeps from task to task.
+KEPT: list[dict] = []
+
+
 def lean() -> None:
-    """In a worker: give freed memory back to the system, and take large arrays straight from it."""
+    """In a worker: drop tables kept by other operators, give freed memory back, and take large arrays straight from the system."""
+    for table in KEPT:
+        table.clear()
     pa.default_memory_pool().release_unused()
     try:
         libc = ctypes.CDLL("libc.so.6")

@@ -469,7 +469,7 @@ def find(docs: DataFrame) -> DataFrame:
     matched = settle(_match(dealt), "matched")
     wanted = matched.filter("wanted is not null").groupBy("doc_id").agg(F.collect_list(F.struct("wanted", "spans")).alias("x")).select("doc_id", F.col("x.wanted").alias("wanted"), F.col("x.spans").alias("spans"))
     near = _hits(docs, _bits(matched.filter("wanted is not null")))
-    more = _compare(near, wanted, parts)
+    more = _compare(near, wanted, 4 * parts)  # an array takes some hundred bytes for each of its places
     here = dealt.filter("part = -1").select("doc_id", F.col("firsts").alias("spans"))
     every = here.unionByName(matched.filter("wanted is null").select("doc_id", "spans")).unionByName(more)
     return settle(every.groupBy("doc_id").agg(F.collect_list("spans").alias("spans")), "repeats")

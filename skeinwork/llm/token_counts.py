@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skeinwork.llm.runtime import texts_of, tokenizer_path, tune, two_columns
+from skeinwork.llm.runtime import KEPT, texts_of, tokenizer_path, tune, two_columns
 
 MARK = "▁"
 #: Counts kept in a worker's table; past half of it, those not met again since the last time go.
@@ -93,6 +93,7 @@ class UnigramCounts:
 
 
 _OPEN: dict[str, UnigramCounts] = {}
+KEPT.append(_OPEN)
 
 
 def count(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
