@@ -213,7 +213,10 @@ def _deal(docs: DataFrame, heavy: np.ndarray, parts: int) -> DataFrame:
         again, stay = o[after], o[~after]
         rows = [(-1, d, b"", b"", s, b"", b"", b"") for d, s in zip(*_spans_by_doc(doc[again], first[again], last[again]), strict=True)]
         doc, first, last, gram, whole = (x[stay] for x in (doc, first, last, gram, whole))
-        part = ((gram >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)  # gram is sorted, and so is part
+        # Anchors are least grams, so their values crowd at the low end: they are mixed before they are dealt.
+        part = ((mix(gram) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+        o = np.argsort(part, kind="stable")
+        doc, first, last, gram, whole, part = (x[o] for x in (doc, first, last, gram, whole, part))
         cuts = np.flatnonzero(np.diff(part)) + 1
         for d, f, n, g, w, k in zip(*(np.split(x, cuts) for x in (doc, first, last - first, gram, whole)), part[np.concatenate([[0], cuts])].tolist() if len(part) else [], strict=False):
             own, back = np.unique(d, return_inverse=True)
