@@ -255,7 +255,8 @@ def _dealt(prefixes: DataFrame, buckets: int) -> DataFrame:
             raws = b.column("prefix").to_pylist()
             flat = np.frombuffer(b"".join(raws), np.uint64)
             doc = np.repeat(np.arange(len(raws)), [len(r) // 8 for r in raws])
-            bucket = ((flat >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            # Prefixes hold the least hashes, so they are mixed before they are dealt.
+            bucket = ((mix(flat) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             o = np.lexsort((doc, bucket))
             flat, doc, bucket = flat[o], doc[o], bucket[o]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
