@@ -166,6 +166,19 @@ def test_neighbours_share_windows():
     assert all(len({d % 2 for d in w}) == 1 for w in list(windows.values())[:3])
 
 
+def test_related_documents_meet_wherever_they_lie(spark):
+    rng = random.Random(3)
+    stems = [[f"{a}{b}{c}" for a in "bdfgk" for b in x for c in ("nt", "rl", "mp", "st")] for x in ("ae", "ei", "io", "ou", "ua", "ay", "ey", "oy")]
+    rows = [(12 * f + k, " ".join(rng.choice(stems[f]) for _ in range(60))) for k in range(12) for f in range(8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4, "doc_id")
+    at = {}
+    for r in packing.pack(df, size=256, shard=6000).collect():
+        at[r.doc_id] = r.sequence_id >> 36
+    families = [[at[12 * f + k] for k in range(12)] for f in range(8)]
+    assert len(set(at.values())) > 1
+    assert sum(max(map(f.count, f)) for f in families) >= 0.8 * 96
+
+
 # ---- 4
 
 
