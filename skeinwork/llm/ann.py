@@ -10,7 +10,8 @@ Nearly isotropic vectors need a large share for a high recall; SHARE is set so t
 
 Defined results: null, empty or zero vectors, those of another length than the most frequent one, and those with a null, infinite
 or NaN component take no part; rows with a null id take no part; repeated rows are candidates each; a query's own rows are
-never its candidates; ties go to the smaller id; fewer candidates than k give all of them.
+never its candidates; rows that share a query's id are one query, and a candidate has its best score for any of them; ties go to
+the smaller id; fewer candidates than k give all of them.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from skeinwork.llm.runtime import settle, tune
@@ -33,6 +34,7 @@ CENTROIDS = 32
 SHARE = 0.62
 #: Entries in a block, about; queries scored at once.
 BLOCK, AT_ONCE = 4096, 128
+_PARTITION_BITS = 36
 
 
 def _fit(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -69,7 +71,7 @@ def traverse(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, wanted: float) -
 
 
 def _best(ids: np.ndarray, x: np.ndarray, scores: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of these entries for one query.  scores are the products as a matrix product gives them, -inf where not visited;
+    """Places and scores of the k best of these entries for one query.  scores are the products as a matrix product gives them, -inf where not visited;
     those near the k-th are computed anew in one order of summation, so that equal vectors have equal scores."""
     scores = np.where(ids == own, -np.inf, scores)
     if len(scores) > k:
@@ -79,7 +81,7 @@ def _best(ids: np.ndarray, x: np.ndarray, scores: np.ndarray, q: np.ndarray, own
         near = np.flatnonzero(scores > -np.inf)
     exact = (x[near] * q).sum(axis=1)
     order = np.lexsort((ids[near], -exact))[:k]
-    return ids[near][order], exact[order]
+    return near[order], exact[order]
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -106,12 +108,14 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id"
     c2 = _fit(x[:, half:], centroids) if half < dim else np.zeros((1, 0))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << _PARTITION_BITS
         for b in batches:
             v = np.array(b.column("vec").to_pylist(), float).reshape(b.num_rows, dim)
             a1, a2 = _nearest(v[:, :half], c1), _nearest(v[:, half:], c2) if half < dim else np.zeros(len(v), int)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(a1, pa.int32()), pa.array(a2, pa.int32()), pa.array([r.tobytes() for r in v], pa.binary())], ["vec_id", "c1", "c2", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(np.arange(row, row + len(v))), pa.array(a1, pa.int32()), pa.array(a2, pa.int32()), pa.array([r.tobytes() for r in v], pa.binary())], ["vec_id", "row", "c1", "c2", "vec"])
+            row += len(v)
 
-    entries = settle(given.mapInArrow(assign, "vec_id long, c1 int, c2 int, vec binary"), "entries")
+    entries = settle(given.mapInArrow(assign, "vec_id long, row long, c1 int, c2 int, vec binary"), "entries")
     sizes = np.zeros((len(c1), len(c2)), np.int64)
     for r in entries.groupBy("c1", "c2").count().collect():  # as many rows as cells, at most
         sizes[r["c1"], r["c2"]] = r["count"]
@@ -120,28 +124,30 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id"
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {n: [] for n in ("block", "query_id", "vec", "cells")}
-            for q, raw in zip(b.column("vec_id").to_pylist(), b.column("vec").to_pylist(), strict=True):
+            out: dict[str, list] = {n: [] for n in ("block", "query_id", "form", "vec", "cells")}
+            for q, own, form, raw in zip(*(b.column(c).to_pylist() for c in ("vec_id", "own", "form", "vec")), strict=True):
                 v = np.frombuffer(raw)
                 by: dict[int, list[int]] = {}
-                for i, j in traverse(-(c1 @ v[:half]), -(c2 @ v[half:]), sizes, share * total):
+                for i, j in traverse(-(c1 @ v[:half]), -(c2 @ v[half:]), sizes, max(share * total, k + own)):
                     by.setdefault(i, []).append(j)
                 for i, cells in by.items():
                     for s in range(int(splits[i])):
-                        for n, value in zip(out, (f"{i}.{s}", q, raw, cells), strict=True):
+                        for n, value in zip(out, (f"{i}.{s}", q, form, raw, cells), strict=True):
                             out[n].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out["block"], pa.string()), pa.array(out["query_id"], pa.int64()), pa.array(out["vec"], pa.binary()), pa.array(out["cells"], pa.list_(pa.int32()))], list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out["block"], pa.string()), pa.array(out["query_id"], pa.int64()), pa.array(out["form"], pa.int32()), pa.array(out["vec"], pa.binary()), pa.array(out["cells"], pa.list_(pa.int32()))], list(out))
 
-    queries = entries.filter(F.col("vec_id") % every == 0).select("vec_id", "vec").mapInArrow(visit, "block string, query_id long, vec binary, cells array<int>")
+    # The rows of one id are one query, in as many forms as they have vectors.
+    asked = entries.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.count("*").alias("own"), F.sort_array(F.collect_set("vec")).alias("vecs"))
+    queries = asked.select("vec_id", "own", F.posexplode("vecs").alias("form", "vec")).mapInArrow(visit, "block string, query_id long, form int, vec binary, cells array<int>")
     blocks = entries.withColumn("block", F.concat_ws(".", "c1", F.pmod(F.xxhash64("vec_id"), split_of[F.col("c1")])))
 
     def rerank(entry: pa.Table, query: pa.Table) -> pa.Table:
-        ids = entry.column("vec_id").to_numpy()
+        ids, rows = entry.column("vec_id").to_numpy(), entry.column("row").to_numpy()
         cell = entry.column("c2").to_numpy()
         e = np.frombuffer(b"".join(entry.column("vec").to_pylist())).reshape(-1, dim)
-        qid = query.column("query_id").to_numpy()
+        qid, forms = query.column("query_id").to_numpy(), query.column("form").to_numpy()
         raws, cells = query.column("vec").to_pylist(), query.column("cells").to_pylist()
-        found: list[list[np.ndarray]] = [[], [], []]
+        found: list[list[np.ndarray]] = [[], [], [], [], []]
         for at in range(0, len(qid) if len(ids) else 0, AT_ONCE):
             q = np.frombuffer(b"".join(raws[at : at + AT_ONCE])).reshape(-1, dim)
             scores = q @ e.T
@@ -149,11 +155,15 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id"
                 open_ = np.zeros(len(c2), bool)
                 open_[cells[at + n]] = True
                 got, score = _best(ids, e, np.where(open_[cell], scores[n], -np.inf), q[n], qid[at + n], k)
-                for c, v in zip(found, (np.full(len(got), qid[at + n]), got, score), strict=True):
+                for c, v in zip(found, (np.full(len(got), qid[at + n]), np.full(len(got), forms[at + n]), rows[got], ids[got], score), strict=True):
                     c.append(v)
         flat = [np.concatenate(c) if c else np.zeros(0) for c in found]
-        return pa.table({"query_id": pa.array(flat[0].astype(np.int64)), "vec_id": pa.array(flat[1].astype(np.int64)), "score": pa.array(flat[2].astype(float))})
-
-    part = blocks.groupBy("block").cogroup(queries.groupBy("block")).applyInArrow(rerank, T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())]))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return part.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return pa.table([*(pa.array(c.astype(np.int64)) for c in flat[:4]), pa.array(flat[4].astype(float))], ["query_id", "form", "row", "vec_id", "score"])
+
+    part = blocks.groupBy("block").cogroup(queries.groupBy("block")).applyInArrow(rerank, "query_id long, form long, row long, vec_id long, score double")
+    # A candidate row may come back for several forms of a query: the best of each form first, then of all, a row once.
+    of_form = Window.partitionBy("query_id", "form").orderBy(F.desc("score"), "vec_id", "row")
+    few = part.withColumn("rank", F.row_number().over(of_form)).filter(F.col("rank") <= k)
+    once = few.repartition("query_id").groupBy("query_id", "row", "vec_id").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "row")
+    return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -291,6 +291,26 @@ def test_neighbours(spark):
     assert ann.search(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_repeated_queries_and_few_rows(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 8))
+    schema = "vec_id bigint, embedding array<double>"
+    # Ids 0 and 20 come twice, 20 with two vectors.
+    ids, v = [*range(200), 0, 20], np.vstack([x, x[:1], rng.normal(size=(1, 8))])
+    got = {}
+    for r in ann.search(spark.createDataFrame(list(zip(ids, v.tolist(), strict=True)), schema), share=1.0, centroids=4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert sorted(got) == list(range(0, 200, 20))
+    for q, found in got.items():
+        score = np.max([v @ v[k] for k in range(len(ids)) if ids[k] == q], axis=0)
+        best = [ids[k] for k in np.lexsort((ids, -score)) if ids[k] != q][:20]
+        assert sorted(found) == list(enumerate(best, 1))
+    for n in (12, 25):
+        few = ann.search(spark.createDataFrame([*enumerate(x[:n].tolist()), (0, x[0].tolist())], schema)).filter("query_id = 0").collect()
+        s = x[:n] @ x[0]
+        assert [r.vec_id for r in sorted(few, key=lambda r: r["rank"])] == [k for k in np.argsort(-s).tolist() if k][:20]
+
+
 # ---- 8
 
 
