@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skeinwork.llm.runtime import lean, settle, texts_of, tune, two_columns
 
@@ -111,8 +112,13 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (half(p) + half(np.broadcast_to(q, p.shape))) / 2
 
 
-def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Base figures and histograms of every row."""
+def _with_row(df: DataFrame, schema: str) -> T.StructType:
+    """The schema, after the column row if df has it."""
+    return T.StructType([*[f for f in df.schema.fields if f.name == "row"], *T.StructType.fromDDL(schema).fields])
+
+
+def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """Base figures and histograms of every row; whole: also the row itself, as one column named row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -120,10 +126,12 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             rows = [measure(x) for x in texts_of(b)]
             base = [pa.array([r[0][k] for r in rows], pa.int64()) for k in range(5)]
             hists = [pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *base, *hists], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common"])
+            kept = [b.column(k) for k in ("row", "doc_id") if k in b.schema.names]
+            yield pa.RecordBatch.from_arrays([*kept, *base, *hists], [*(["row"] if whole else []), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common"])
 
     tune(docs.sparkSession)
-    out = two_columns(docs, key, text).mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<int>, common array<int>")
+    given = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")) if whole else two_columns(docs, key, text)
+    out = given.mapInArrow(run, _with_row(given, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<int>, common array<int>"))
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -148,12 +156,12 @@ def references(figures: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return {r["lang_found"]: (_shares(np.array(r["classes"], float)), _shares(np.array(r["common"], float))) for r in rows}
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", base_limit: float = BASE_LIMIT, noise: float = NOISE, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every row with its base figures, divergence and verdict.
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", base_limit: float = BASE_LIMIT, noise: float = NOISE, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+    """Every row with its base figures, divergence and verdict; whole: also the row itself, as one column named row.
 
     divergence is null where it does not count: below min_words, or without any reference.
     """
-    figures = settle(measured(docs, key, text), "quality")
+    figures = settle(measured(docs, key, text, whole), "quality")
     refs = [refs[k] for refs in [references(figures)] for k in sorted(refs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,4 +177,4 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", base_limit:
             cols = [b.column(k) for k in b.schema.names if k not in ("classes", "common")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([float(x) if j else None for x, j in zip(least, judged, strict=True)], pa.float64()), pa.array(~failed & ~bad)], [k for k in b.schema.names if k not in ("classes", "common")] + ["divergence", "kept"])
 
-    return figures.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, divergence double, kept boolean")
+    return figures.mapInArrow(run, _with_row(figures, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, divergence double, kept boolean"))
