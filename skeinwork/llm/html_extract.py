@@ -2,9 +2,10 @@
 
 A page is cut into blocks at block tags.  What stands in menus, forms, scripts and the like, or in an element whose class or
 id names a menu, sidebar, notice, advert, comment and so on, is left out at once.  The first pass labels each block by
-stop-word density, length and link density; inside an article or main element a block is text unless it is mostly links.
-The second pass gives each ambiguous short block the label of its nearest decided neighbour; where the two sides are
-equally near and differ, it is text only if the one before is.
+stop-word density, length and link density; inside an article or main element more links are allowed, and a long block without
+stop words is ambiguous and not decided.  The second pass gives each ambiguous block the label of its nearest decided neighbour;
+where the two sides are equally near and differ, it is text only if the one before is.  Blocks inside and outside of articles
+are no neighbours of each other.  Without any decided neighbour a block is text if it is inside an article.
 
 Defined results: null or empty html, or a page without text, gives the empty string; unclosed and stray tags are accepted as browsers
 do; an unclosed comment or script runs to the end; repeated rows are each extracted; pages of any length are read whole.
@@ -43,7 +44,7 @@ _NAMES = re.compile(r"""(?:\A|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']
 _HIDDEN = re.compile(r"""(?:\A|\s)hidden(?:\s|=|\Z)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 LONG, SHORT = 120, 40
-STOP_HIGH, STOP_LOW, LINKS_HIGH = 0.20, 0.08, 0.40
+STOP_HIGH, STOP_LOW, LINKS_HIGH, LINKS_INSIDE = 0.20, 0.08, 0.40, 0.80
 
 
 @dataclass
@@ -154,21 +155,21 @@ def label(blocks: list[Block]) -> list[Block]:
         words = b.text.lower().split()
         stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
         density = b.link_chars / max(1, len(b.text))
-        if b.inside:
-            b.label = "other" if density > 0.8 and len(words) < 12 else "text"
-        elif density > LINKS_HIGH:
+        if density > (LINKS_INSIDE if b.inside else LINKS_HIGH):
             b.label = "other"
         elif len(b.text) >= LONG:
-            b.label = "text" if stops >= STOP_LOW else "other"
+            b.label = "text" if stops >= STOP_LOW else "short" if b.inside else "other"
         elif len(b.text) >= SHORT and stops >= STOP_HIGH:
             b.label = "text"
         else:
             b.label = "short"
-    if any(b.inside and b.label == "text" for b in blocks):  # the page marks its article: what stands outside is not it
-        for b in blocks:
-            if not b.inside:
-                b.label = "other"
-        return blocks
+    for inside in (True, False):
+        _inherit([b for b in blocks if b.inside == inside], "text" if inside else "other")
+    return blocks
+
+
+def _inherit(blocks: list[Block], alone: str) -> None:
+    """The second pass; alone is the label of a block without decided neighbours."""
     fixed = [b.label for b in blocks]
     before, seen = [None] * len(blocks), None
     for k, name in enumerate(fixed):
@@ -179,14 +180,13 @@ def label(blocks: list[Block]) -> list[Block]:
         if fixed[k] == "short":
             p, n = before[k], seen
             if p is None and n is None:
-                blocks[k].label = "other"
+                blocks[k].label = alone
             elif n is None or (p is not None and k - p <= n - k):
                 blocks[k].label = fixed[p]
             else:
                 blocks[k].label = fixed[n]
         else:
             seen = k
-    return blocks
 
 
 def main_text(page: str | None) -> str:

@@ -128,6 +128,15 @@ def test_two_passes_without_article():
     assert html_extract.main_text(page) == f"{long_}\n\nSo.\n\n{long_}"
 
 
+def test_two_passes_with_article():
+    long_ = "The house that is on the hill was for the man and his dog, and it is said that they were there to the end of the day."
+    teaser = "<article><h3>More</h3><p>It was to be the end of the day, and he said that it is not.</p></article>"
+    got = html_extract.main_text(f"<body><div><a href=/>menu</a></div><div><p>{long_}</p><p>So.</p><p>{long_}</p></div>{teaser}</body>")
+    assert got.startswith(f"{long_}\n\nSo.\n\n{long_}")
+    page = f"<body><p>(c)</p><main><h1>Head</h1><p>{long_}</p><ul><li><a href=/>one two three four five six seven eight nine ten eleven twelve thirteen</a></ul></main><p>end</p></body>"
+    assert html_extract.main_text(page) == f"Head\n\n{long_}"
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None)], "page_id bigint, url string, html string")
     got = sorted((r.page_id, r.url or "", r.n_chars) for r in html_extract.extract(df).collect())
