@@ -2,15 +2,17 @@
 
 All sets are ordered alike: shingles that are frequent in the corpus last, by frequency class, else by hash.  Two sets that
 reach the threshold share a shingle in their prefixes, the first n - ceil(t * n) + 1 of n.  Prefixes are dealt to buckets by
-range of hash.  In a bucket the sets' parts go into a trie; a probe set walks down the nodes that hold its shingles, so sets
-below a shared node get their overlap together, and subtrees whose lengths rule out the threshold are not entered.
+range of hash.  In a bucket the sets' parts, their shared shingles in one order, go into a trie.  A probe set walks the nodes that
+hold its shingles from the root down: what a node shares with the probe is counted once for all sets below it, and a subtree
+is left if the shingles that are still to come on either side, here and in other buckets, cannot make up the least overlap.
 The overlaps of a pair over all buckets give the exact size of the prefixes' intersection, hence a bound; pairs that
 stay are verified on the whole sets.
 
 What is wanted are components, so links between sets already known to be connected need not be found.  Equal sets are one set
-from the start.  Before the join, sets with an equal minimum hash are compared with the first of their group and verified links
-make first components; the join then passes over pairs inside a component.  This keeps large groups of near copies
-from being joined pair by pair, and it loses no link between components.
+from the start.  The trie is walked twice.  In the first walk a node stands by its set of the smallest id, so each set meets only the
+leaders on its own path; verified links make first components, and a large group of near copies is joined with few leaders instead
+of pair by pair.  The second walk meets all sets, but enters no subtree that lies in the probe's own component, so no link between
+components is lost.  A bucket with much to compare is walked by several tasks, each with its share of the probes.
 
 Shingles are told apart by 64-bit hashes.  Document frequencies are counted over all
 documents; the list of frequent shingles is bounded (HEAVY), and any order gives the same result.
@@ -23,12 +25,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from skeinwork.llm.components import components
 from skeinwork.llm.runtime import lean, settle, texts_of, tune, two_columns
@@ -47,9 +51,10 @@ RUN, PART = 2_000_000, 1_000_000
 BUCKET = 1_000_000
 #: Slots of the bitmap that keeps unneeded sets from being shuffled: 1 MB.  A full bitmap only costs time.
 SLOTS = 1 << 23
-#: Minimum hashes of a set, how many of them name groups for first links, and how many must agree for a pair to be tried.
-_HASHES, _BANDS, _AGREE = 16, 4, 8
-_MULT = np.random.default_rng(7).integers(1, 1 << 63, _HASHES, dtype=np.uint64) | np.uint64(1)
+#: Pairs that share a shingle in a bucket, about, from which on it is walked by one more task; and rows given on at once.
+WORK, CHUNK = 20_000_000, 100_000
+#: Leaders that a set is compared with after the first walk, and sets that are compared with one copy of a leader.
+LEADERS, MEMBERS = 3, 64
 
 
 def prefix_length(n: Column | np.ndarray | int) -> Column | np.ndarray | int:
@@ -57,26 +62,17 @@ def prefix_length(n: Column | np.ndarray | int) -> Column | np.ndarray | int:
     return n - (n * NUM + DEN - 1) // DEN + 1
 
 
-def _signature(s: np.ndarray) -> tuple[list[int], list[int]]:
-    least = (s[:, None] * _MULT[None, :]).min(axis=0)
-    lanes = (least >> np.uint64(40)).astype(np.uint16).view(np.int64)
-    return least[:_BANDS].view(np.int64).tolist(), lanes.tolist()
-
-
 def _describe(docs: DataFrame, width: int) -> DataFrame:
-    """For each row: n, a digest of its set, minimum hashes."""
-    kind = pa.list_(pa.int64())
+    """For each row: n and a digest of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for b in batches:
-            rows = []
-            for doc, s in zip(b.column("doc_id").to_pylist(), shingle_sets(texts_of(b), width), strict=True):
-                rows.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), *_signature(s)) if len(s) else (doc, 0, None, None, None))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), kind, kind), strict=True)], ["doc_id", "n", "digest", "bands", "lanes"])
+            sets = shingle_sets(texts_of(b), width)
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(len, sets), pa.int32()), pa.array(digests, pa.binary())], ["doc_id", "n", "digest"])
 
-    return docs.mapInArrow(run, "doc_id long, n int, digest binary, bands array<long>, lanes array<long>")
+    return docs.mapInArrow(run, "doc_id long, n int, digest binary")
 
 
 def _classes(times: np.ndarray) -> np.ndarray:
@@ -151,36 +147,16 @@ def _order(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[o], c[o]
 
 
-def _agreement() -> Column:
-    """Of the 16 lanes, those equal in lanes and lead.lanes."""
-    total = F.lit(0)
-    for k in range(4):
-        x = F.col("lanes")[k].bitwiseXOR(F.col("lead.lanes")[k])
-        for j in range(4):
-            total = total + F.when(F.shiftrightunsigned(x, 16 * j).bitwiseAND(F.lit(0xFFFF)) == 0, 1).otherwise(0)
-    return total
-
-
-def _long_enough(a: str, b: str) -> Column:
-    return F.least(a, b).cast("long") * DEN >= F.greatest(a, b).cast("long") * NUM
-
-
-def _star_pairs(sets: DataFrame) -> DataFrame:
-    """Each set with the first of its groups by minimum hash, where length and agreement make a link likely."""
-    banded = sets.select("rep", "n", "lanes", F.posexplode("bands").alias("band", "low"))
-    lead = banded.groupBy("band", "low").agg(F.min(F.struct("rep", "n", "lanes")).alias("lead"))
-    joined = banded.join(lead, ["band", "low"]).filter("rep <> lead.rep")
-    near = joined.filter(_long_enough("n", "lead.n") & (_agreement() >= _AGREE))
-    return near.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
-
-
 def _linked(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
+    """The pairs (a, b) whose whole sets reach the threshold.
+
+    The set of an a is sent once for MEMBERS of its b; the rows stream past in order, an a before its b's.
+    """
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    rows = ends.select(slot("id").alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()  # SLOTS bits at most
+    found = ends.select(slot("id").alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()  # SLOTS bits at most
     wanted = np.zeros(SLOTS // 8 + 8192, np.uint8)
-    for r in rows:
+    for r in found:
         bits = np.frombuffer(bytes(r["bits"]), np.uint8)
         at = (r["k"] - 1) * 4096
         wanted[at : at + len(bits)] |= bits
@@ -201,21 +177,32 @@ def _linked(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     s = slot("doc_id")
     given = docs.filter("doc_id is not null").select("doc_id", "text", F.bitmap_bucket_number(s).alias("bucket"), F.bitmap_bit_position(s).alias("bit"))
     items = given.mapInArrow(sets, "id long, items binary")
-    both = pairs.join(items.select(F.col("id").alias("a"), F.col("items").alias("left")), "a").join(items.select(F.col("id").alias("b"), F.col("items").alias("right")), "b")
+    runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("runs"))
+    dealt = pairs.join(runs, "a").select("a", "b", F.pmod(F.xxhash64("b"), "runs").alias("run"))
+    roles = dealt.select(F.col("a").alias("id"), "a", "run", F.lit(None).cast("long").alias("b")).distinct().unionByName(dealt.select(F.col("b").alias("id"), "a", "run", "b"))
+    rows = roles.join(items, "id").repartition("a", "run").sortWithinPartitions("a", "run", "b").select("a", "run", "b", "items")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
-        for b in batches:
-            good = []
-            for x, y in zip(b.column("left"), b.column("right"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both_ = np.sort(np.concatenate([p, q]), kind="stable")
-                common = int((both_[1:] == both_[:-1]).sum())
-                good.append(DEN * common >= NUM * (len(p) + len(q) - common))
-            keep = pa.array(np.flatnonzero(good))
-            yield pa.RecordBatch.from_arrays([b.column("a").take(keep), b.column("b").take(keep)], ["a", "b"])
+        now, leaders = None, []
+        for batch in batches:
+            good: list[tuple[int, int]] = []
+            for a, run, b, raw in zip(batch.column("a").to_pylist(), batch.column("run").to_pylist(), batch.column("b").to_pylist(), batch.column("items"), strict=True):
+                if (a, run) != now:
+                    now, leaders = (a, run), []
+                if b is None:
+                    leaders.append(np.frombuffer(raw.as_py(), np.uint64))
+                    continue
+                q = np.frombuffer(raw.as_buffer(), np.uint64)
+                for p in leaders:
+                    both = np.sort(np.concatenate([p, q]), kind="stable")
+                    common = int((both[1:] == both[:-1]).sum())
+                    if DEN * common >= NUM * (len(p) + len(q) - common):
+                        good.append((a, b))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.int64()) for k in range(2)], ["a", "b"])
 
-    return both.select("a", "b", "left", "right").mapInArrow(check, "a long, b long").distinct()
+    return rows.mapInArrow(check, "a long, b long").distinct()
 
 
 def _prefixes(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], width: int) -> DataFrame:
@@ -263,94 +250,69 @@ def _dealt(prefixes: DataFrame, buckets: int) -> DataFrame:
             rows = []
             for d, f, k in zip(np.split(doc, cuts), np.split(flat, cuts), bucket[np.concatenate([[0], cuts])].tolist(), strict=True):
                 own, back = np.unique(d, return_inverse=True)
-                rows.append((k, ids[own].tobytes(), label[own].tobytes(), n[own].astype(np.int32).tobytes(), back.astype(np.uint16).tobytes(), f.astype(np.uint32).tobytes()))
+                rows.append((k, ids[own].tobytes(), label[own].tobytes(), n[own].astype(np.int32).tobytes(), back.astype(np.uint16).tobytes(), f.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64())] + [pa.array([r[j] for r in rows], pa.binary()) for j in range(1, 6)], ["bucket", "ids", "labels", "ns", "docs", "items"])
 
     return prefixes.mapInArrow(run, "bucket long, ids binary, labels binary, ns binary, docs binary, items binary")
 
 
-class Trie:
-    """The sets' parts in one bucket.
+def _shared(dealt: DataFrame, split: bool) -> DataFrame:
+    """A row for each bucket and each task that is to walk it: the sets that share a shingle with one of another label, and the shared ones.
 
-    Equal parts are one leaf; leaves are numbered in lexicographic order, so the leaves below a node are a range.  nodes has, for
-    each shingle, the ranges of the nodes that hold it, with the least and greatest set size below.
+    Shingles are numbered in the bucket's order, those of many sets first, so that sets share long paths; spare is what of a set's
+    prefix lies in other buckets.
     """
 
-    def __init__(self, parts: dict[bytes, list[int]], sizes: np.ndarray):
-        self.leaves = sorted(parts)
-        self.members = [parts[k] for k in self.leaves]
-        self.low = [int(sizes[m].min()) for m in self.members]
-        self.high = [int(sizes[m].max()) for m in self.members]
-        self.nodes: dict[bytes, list[tuple[int, int, int, int]]] = {}
-        open_: list[list] = []  # shingle, first leaf, least, greatest
-        for k, leaf in enumerate(self.leaves):
-            items = [leaf[j : j + 4] for j in range(0, len(leaf), 4)]
-            same = 0
-            while same < len(open_) and same < len(items) and open_[same][0] == items[same]:
-                same += 1
-            self._close(open_, same, k)
-            for x in items[same:]:
-                open_.append([x, k, 1 << 62, 0])
-            if open_:
-                open_[-1][2], open_[-1][3] = min(open_[-1][2], self.low[k]), max(open_[-1][3], self.high[k])
-        self._close(open_, 0, len(self.leaves))
-
-    def _close(self, open_: list[list], depth: int, to: int) -> None:
-        while len(open_) > depth:
-            item, first, low, high = open_.pop()
-            self.nodes.setdefault(item, []).append((first, to, low, high))
-            if open_:
-                open_[-1][2], open_[-1][3] = min(open_[-1][2], low), max(open_[-1][3], high)
-
-    def overlaps(self, k: int) -> dict[int, int]:
-        """Shingles that leaf k shares with each leaf from k on, without leaves that no length allows."""
-        low, high = self.low[k], self.high[k]
-        found: dict[int, int] = {}
-        leaf = self.leaves[k]
-        for j in range(0, len(leaf), 4):
-            for first, to, least, most in self.nodes[leaf[j : j + 4]]:
-                if to <= k or DEN * most < NUM * low or NUM * least > DEN * high:
-                    continue
-                for other in range(max(first, k), to):
-                    found[other] = found.get(other, 0) + 1
-        return found
-
-
-def bucket_pairs(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, docs: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-    """(a, b, overlap here, n of a, n of b), a < b, of the pairs that share a shingle here and have different labels."""
-    key = np.unique((items.astype(np.uint64) << np.uint64(32)) | docs.astype(np.uint64))
-    item, doc = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    if not len(key):
-        return
+    def run(table: pa.Table) -> pa.Table:
+        lean()
+        ids, labels, sizes, docs, items, base = [], [], [], [], [], 0
+        for i, lab, n, d, f in zip(*(table.column(k).to_pylist() for k in ("ids", "labels", "ns", "docs", "items")), strict=True):
+            ids.append(np.frombuffer(i, np.int64))
+            labels.append(np.frombuffer(lab, np.int64))
+            sizes.append(np.frombuffer(n, np.int32).astype(np.int64))
+            docs.append(np.frombuffer(d, np.uint16).astype(np.int64) + base)
+            items.append(np.frombuffer(f, np.uint64))
+            base += len(ids[-1])
+        part = shared_part(*map(np.concatenate, (ids, labels, sizes, docs, items)))
+        rows = []
+        if part is not None:
+            work, arrays = part
+            tasks = 1 + work // WORK if split else 1
+            rows = [(table.column("bucket")[0].as_py(), k, tasks, *[a.tobytes() for a in arrays]) for k in range(tasks)]
+        kinds = [pa.int64()] * 3 + [pa.binary()] * len(_ARRAYS)
+        return pa.table([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], ["bucket", "task", "tasks", *_ARRAYS])
+
+    schema = T.StructType([T.StructField(k, T.LongType()) for k in ("bucket", "task", "tasks")] + [T.StructField(k, T.BinaryType()) for k in _ARRAYS])
+    return dealt.groupBy("bucket").applyInArrow(run, schema)
+
+
+_ARRAYS = ("ids", "labels", "sizes", "spares", "lengths", "ranks")
+
+
+def shared_part(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, docs: np.ndarray, items: np.ndarray) -> tuple[int, tuple[np.ndarray, ...]] | None:
+    """Pairs that share a shingle here, counted by shingle, and the arrays of a bucket; None if no shingle is shared between labels."""
+    o = np.lexsort((docs, items))
+    item, doc = items[o], docs[o]
+    new = np.concatenate([[True], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])]) if len(item) else np.zeros(0, bool)
+    item, doc = item[new], doc[new]
+    if not len(item):
+        return None
     here = np.bincount(doc, minlength=len(ids))
     starts = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
-    lab = labels[doc]
-    mixed = np.minimum.reduceat(lab, starts) != np.maximum.reduceat(lab, starts)
-    keep = np.repeat(mixed, np.diff(np.append(starts, len(item))))
-    item, doc = item[keep], doc[keep]
-    o = np.argsort(doc, kind="stable")
-    item, doc = item[o].astype(">u4"), doc[o]
-    cuts = np.flatnonzero(np.diff(doc)) + 1
-    parts: dict[bytes, list[int]] = {}
-    for part, owner in zip(np.split(item, cuts), doc[np.concatenate([[0], cuts])].tolist() if len(doc) else [], strict=False):
-        parts.setdefault(part.tobytes(), []).append(owner)
-    if not parts:
-        return
-    trie = Trie(parts, sizes)
-    ids_, labels_, n_, spare = ids.tolist(), labels.tolist(), sizes.tolist(), (prefix_length(sizes) - here).tolist()
-    alone = [labels_[m[0]] if len({labels_[x] for x in m}) == 1 else None for m in trie.members]
-    for k, mine in enumerate(trie.members):
-        for other, common in trie.overlaps(k).items():
-            if alone[k] is not None and alone[k] == alone[other]:
-                continue
-            theirs = trie.members[other]
-            for i, x in enumerate(mine):
-                for y in mine[i + 1 :] if other == k else theirs:
-                    nx, ny = n_[x], n_[y]
-                    if labels_[x] == labels_[y] or ids_[x] == ids_[y] or DEN * min(nx, ny) < NUM * max(nx, ny):
-                        continue
-                    if common + min(spare[x], spare[y]) >= needed(nx, ny):
-                        yield (ids_[x], ids_[y], common, nx, ny) if ids_[x] < ids_[y] else (ids_[y], ids_[x], common, ny, nx)
+    often = np.diff(np.append(starts, len(item)))
+    mixed = np.minimum.reduceat(labels[doc], starts) != np.maximum.reduceat(labels[doc], starts)
+    if not mixed.any():
+        return None
+    rank = np.zeros(len(starts), np.int64)
+    order = np.flatnonzero(mixed)[np.argsort(-often[mixed], kind="stable")]
+    rank[order] = np.arange(len(order))
+    keep = np.repeat(mixed, often)
+    number, doc = np.repeat(rank, often)[keep], doc[keep]
+    o = np.lexsort((number, doc))
+    number, doc = number[o], doc[o]
+    own, lengths = np.unique(doc, return_counts=True)
+    pairs = int((often[mixed] * (often[mixed] - 1) // 2).sum())
+    return pairs, (ids[own], labels[own], sizes[own], (prefix_length(sizes) - here)[own], lengths, number.astype(">u4"))
 
 
 def needed(nx: int, ny: int) -> int:
@@ -359,65 +321,208 @@ def needed(nx: int, ny: int) -> int:
     return max(1, total - max(nx - prefix_length(nx), ny - prefix_length(ny)))
 
 
-_PACKED = ("a", "b", "common", "na", "nb")
+def least_needed(a: int, b: int, c: int, d: int) -> int | None:
+    """At most needed(x, y) for all x in a..b and y in c..d; None if no two such sizes can be linked.
+
+    needed grows with the smaller size and falls with the larger one, so it is least in a corner, up to rounding.
+    """
+    if DEN * d < NUM * a or DEN * b < NUM * c:
+        return None
+    corners = [(x, y) for x in {a, b} for y in {c, d}]
+    if any(DEN * min(p) < NUM * max(p) for p in corners):
+        return 1
+    return max(1, min(needed(*p) for p in corners) - 1) if len(corners) > 1 else needed(a, c)
 
 
-def _bucket_join(dealt: DataFrame, parts: int) -> DataFrame:
-    """Pairs (a, b) whose prefixes share enough shingles.
+class Trie:
+    """The prefix tree of the sets' parts in one bucket.
 
-    A bucket gives packed arrays of partial overlaps, one row for each part that adds them up; a part then applies the bound to whole sums.
+    Equal parts are one leaf; leaves are numbered in the tree's order, so the leaves below a node are a range.  Nodes are numbered
+    in preorder.  A node knows of the sets below it: the least and greatest size, the longest part, the most that one has in
+    other buckets, the one with the smallest id, and their label if they have only one.
     """
 
-    def overlaps(table: pa.Table) -> pa.Table:
-        lean()
-        ids, labels, sizes, docs, items, base = [], [], [], [], [], 0
-        for i, lab, n, d, f in zip(*(table.column(k).to_pylist() for k in ("ids", "labels", "ns", "docs", "items")), strict=True):
-            ids.append(np.frombuffer(i, np.int64))
-            labels.append(np.frombuffer(lab, np.int64))
-            sizes.append(np.frombuffer(n, np.int32).astype(np.int64))
-            docs.append(np.frombuffer(d, np.uint16).astype(np.uint32) + np.uint32(base))
-            items.append(np.frombuffer(f, np.uint32))
-            base += len(ids[-1])
-        flat = np.fromiter((x for row in bucket_pairs(*map(np.concatenate, (ids, labels, sizes, docs, items))) for x in row), np.int64).reshape(-1, 5)
-        part = (mix(flat[:, 0].view(np.uint64) * np.uint64(3) + flat[:, 1].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        o = np.argsort(part, kind="stable")
-        flat, part = flat[o], part[o]
-        cuts = np.flatnonzero(np.diff(part)) + 1
-        groups = np.split(flat, cuts) if len(flat) else []
-        return pa.table([pa.array(part[np.concatenate([[0], cuts])] if len(flat) else [], pa.int64()), *(pa.array([g[:, k].tobytes() for g in groups], pa.binary()) for k in range(5))], ["part", *_PACKED])
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, spares: np.ndarray, lengths: np.ndarray, ranks: np.ndarray):
+        self.ids, self.labels, self.sizes, self.spares = ids.tolist(), labels.tolist(), sizes.tolist(), spares.tolist()
+        raw, ends = ranks.tobytes(), (4 * np.cumsum(lengths)).tolist()
+        parts: dict[bytes, list[int]] = {}
+        for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            parts.setdefault(raw[a:b], []).append(k)
+        keys = sorted(parts)
+        self.members = [parts[k] for k in keys]
+        self.items = [np.frombuffer(k, ">u4").tolist() for k in keys]
+        self.first: list[int] = []
+        self.end: list[int] = []
+        self.depth: list[int] = []
+        self.item: list[int] = []
+        self.holders: dict[int, list[int]] = {}
+        self.paths: list[list[int]] = []
+        path: list[int] = []
+        before: list[int] = []
+        for leaf, items in enumerate(self.items):
+            same = 0
+            for x, y in zip(before, items, strict=False):
+                if x != y:
+                    break
+                same += 1
+            for n in path[same:]:
+                self.end[n] = leaf
+            path = path[:same]
+            for x in items[same:]:
+                self.holders.setdefault(x, []).append(len(self.item))
+                path.append(len(self.item))
+                self.item.append(x)
+                self.first.append(leaf)
+                self.end.append(len(self.items))
+                self.depth.append(len(path))
+            self.paths.append(path)
+            before = items
+        self._gather()
+
+    def _gather(self) -> None:
+        """What nodes know, from the leaves up."""
+        n = len(self.item)
+        self.low, self.high, self.longest, self.spare = [1 << 62] * n, [0] * n, [0] * n, [0] * n
+        self.lead, self.label = [-1] * n, [None] * n
+        self.of_leaf = []
+        for leaf, members in enumerate(self.members):
+            sizes = [self.sizes[m] for m in members]
+            labels = {self.labels[m] for m in members}
+            lead = min(members, key=self.ids.__getitem__)
+            self.of_leaf.append((min(sizes), max(sizes), max(self.spares[m] for m in members), labels.pop() if len(labels) == 1 else None))
+            self._add(self.paths[leaf][-1], *self.of_leaf[-1][:2], len(self.items[leaf]), self.of_leaf[-1][2], lead, self.of_leaf[-1][3])
+        up = [-1] * n
+        for path in self.paths:
+            for a, b in zip(path, path[1:], strict=False):
+                up[b] = a
+        for k in range(n - 1, -1, -1):
+            if up[k] >= 0:
+                self._add(up[k], self.low[k], self.high[k], self.longest[k], self.spare[k], self.lead[k], self.label[k])
+
+    def _add(self, n: int, low: int, high: int, longest: int, spare: int, lead: int, label: int | None) -> None:
+        new = self.lead[n] < 0
+        self.low[n], self.high[n] = min(self.low[n], low), max(self.high[n], high)
+        self.longest[n], self.spare[n] = max(self.longest[n], longest), max(self.spare[n], spare)
+        self.label[n] = label if new or label == self.label[n] else None
+        if new or self.ids[lead] < self.ids[self.lead[n]]:
+            self.lead[n] = lead
+
+    def leaders(self) -> Iterator[tuple[int, int, int, int, int]]:
+        """(a, b, overlap, size of a, size of b): each set b with the leaders a of the nodes on its path, and how far they share it."""
+        for path, members in zip(self.paths, self.members, strict=True):
+            shared = {self.lead[n]: depth for depth, n in enumerate(path, 1)}
+            for m in members:
+                for lead, depth in shared.items():
+                    if self.ids[lead] != self.ids[m]:
+                        yield self.ids[lead], self.ids[m], depth, self.sizes[lead], self.sizes[m]
+
+    def walk(self, k: int) -> Iterator[tuple[int, int, int]]:
+        """(first leaf, end, overlap) of the leaves from k on that may be linked with leaf k and share something with it here."""
+        items, (low, high, spare, label) = self.items[k], self.of_leaf[k]
+        left = {x: len(items) - j - 1 for j, x in enumerate(items)}
+        open_: list[int] = []  # ends of the nodes above that hold shingles of the probe: as many as are shared
+        at = k
+        for n in sorted(n for x in items for n in self.holders[x] if self.end[n] > k):
+            if self.end[n] <= at:
+                continue  # below a node that was left
+            first = max(self.first[n], at)
+            while open_ and open_[-1] <= first:
+                if open_[-1] > at:
+                    yield at, open_[-1], len(open_)
+                at = max(at, open_.pop())
+            if first > at:
+                if open_:
+                    yield at, first, len(open_)
+                at = first
+            least = least_needed(low, high, self.low[n], self.high[n])
+            to_come = min(left[self.item[n]], self.longest[n] - self.depth[n]) + min(spare, self.spare[n])
+            if least is None or len(open_) + 1 + to_come < least or (label is not None and label == self.label[n]):
+                at = self.end[n]
+            else:
+                open_.append(self.end[n])
+        while open_:
+            if open_[-1] > at:
+                yield at, open_[-1], len(open_)
+            at = max(at, open_.pop())
+
+    def pairs(self, task: int = 0, tasks: int = 1) -> Iterator[tuple[int, int, int, int, int]]:
+        """(a, b, overlap here, size of a, size of b), a < b, of the pairs that share a shingle here, have different labels and may be linked."""
+        ids, labels, sizes, spares = self.ids, self.labels, self.sizes, self.spares
+        for k in range(task, len(self.items), tasks):
+            mine = self.members[k]
+            for first, end, common in self.walk(k):
+                for other in range(first, end):
+                    for i, x in enumerate(mine):
+                        for y in mine[i + 1 :] if other == k else self.members[other]:
+                            nx, ny = sizes[x], sizes[y]
+                            if labels[x] == labels[y] or ids[x] == ids[y] or DEN * min(nx, ny) < NUM * max(nx, ny):
+                                continue
+                            if common + min(spares[x], spares[y]) >= needed(nx, ny):
+                                yield (ids[x], ids[y], common, nx, ny) if ids[x] < ids[y] else (ids[y], ids[x], common, ny, nx)
+
+
+def _walked(shared: DataFrame, leaders: bool) -> DataFrame:
+    """(a, b, common, na, nb) over all buckets: the first walk, or the second one; common is summed over the buckets."""
+    kinds = (np.int64, np.int64, np.int64, np.int64, np.int64, np.dtype(">u4"))
+    names, types = ["a", "b", "common", "na", "nb"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
-    def summed(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
-        a, b, common, na, nb = (np.frombuffer(b"".join(table.column(k).to_pylist()), np.int64) for k in _PACKED)
-        o = np.lexsort((b, a))
-        starts = np.flatnonzero(np.concatenate([[True], (np.diff(a[o]) != 0) | (np.diff(b[o]) != 0)]))
-        total, first = np.add.reduceat(common[o], starts), o[starts]
-        x, y = na[first], nb[first]
-        least = np.maximum(1, -(-NUM * (x + y) // (NUM + DEN)) - np.maximum(x - prefix_length(x), y - prefix_length(y)))
-        keep = first[total >= least]
-        return pa.table({"a": a[keep], "b": b[keep]})
-
-    packed = T.StructType([T.StructField("part", T.LongType()), *(T.StructField(k, T.BinaryType()) for k in _PACKED)])
-    pairs = T.StructType([T.StructField(k, T.LongType()) for k in ("a", "b")])
-    return dealt.groupBy("bucket").applyInArrow(overlaps, packed).groupBy("part").applyInArrow(summed, pairs)
+        for batch in batches:
+            for row in zip(*(batch.column(k) for k in ("task", "tasks", *_ARRAYS)), strict=True):
+                trie = Trie(*[np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row[2:], kinds, strict=True)])
+                found = trie.leaders() if leaders else trie.pairs(row[0].as_py(), row[1].as_py())
+                while rows := list(islice(found, CHUNK)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    # Tasks of one bucket go to different partitions.
+    each = shared.repartition("bucket", "task").mapInArrow(run, "a long, b long, common int, na int, nb int")
+    return each.groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+
+
+def _least(na: str = "na", nb: str = "nb") -> Column:
+    """needed as a Column."""
+    rest = lambda n: F.expr(f"({NUM} * {n} + {DEN - 1}) div {DEN} - 1")
+    total = F.expr(f"({NUM} * ({na} + {nb}) + {NUM + DEN - 1}) div {NUM + DEN}")
+    return F.greatest(F.lit(1), total - F.greatest(rest(na), rest(nb)))
+
+
+def leader_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b): each set b with the leaders a that share most with it on its paths; LEADERS of them at most, as the second walk finds what these miss."""
+    near = _walked(shared, leaders=True).filter((F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM) & (4 * F.col("common") >= _least()))
+    best = Window.partitionBy("b").orderBy(F.desc("common"), "a")
+    return near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= LEADERS).select("a", "b")
+
+
+def all_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b) of different labels whose prefixes share enough."""
+    return _walked(shared, leaders=False).filter(F.col("common") >= _least()).select("a", "b")
+
+
+def links(docs: DataFrame, rows: DataFrame, sets: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """The verified links (a, b) after the first walk, and those that the second one adds between components."""
+    spark = docs.sparkSession
+    total, every = sets.agg(F.sum("n")).first()[0] or 0, rows.agg(F.sum("n")).first()[0] or 0
+    least = min(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = _order(settle(_counted(docs.filter("doc_id is not null"), width, max(-(-every // PART), least)), "frequent"))
+    own = sets.select("rep", "n").dropDuplicates(["rep"])
+    prefixes = settle(_prefixes(docs, order, width).join(own, F.col("doc_id") == F.col("rep")).select("rep", "n", "prefix"), "prefixes")
+    buckets = max(-(-total // (DEN * BUCKET)), least)
+    shared = _shared(_dealt(prefixes.withColumn("label", F.col("rep")), buckets), split=False)
+    first = settle(_linked(docs, settle(leader_pairs(shared), "leaders"), width), "links")
+    label = components(first).withColumnRenamed("node", "rep")
+    labelled = prefixes.join(label, "rep", "left").select("rep", "n", F.coalesce("label", "rep").alias("label"), "prefix")
+    shared = _shared(_dealt(labelled, buckets), split=True)
+    return first, settle(_linked(docs, settle(all_pairs(shared), "pairs"), width), "more-links")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    spark = tune(docs.sparkSession)
+    tune(docs.sparkSession)
     docs = two_columns(docs, key, text)
     rows = settle(_describe(docs, width), "sets")
-    sets = settle(rows.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands", "lanes")).alias("x")).select("digest", F.col("x.doc_id").alias("rep"), "x.n", "x.bands", "x.lanes"), "reps")
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    first = settle(_linked(docs, settle(_star_pairs(sets), "star"), width), "links")
-    label = components(first).withColumnRenamed("node", "rep")
-    labelled = sets.select("rep", "n").dropDuplicates(["rep"]).join(label, "rep", "left").select("rep", "n", F.coalesce("label", "rep").alias("label"))
-    parts = max(-(-total // PART), min(12, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    order = _order(settle(_counted(docs.filter("doc_id is not null"), width, parts), "frequent"))
-    wide = _prefixes(docs, order, width).join(labelled, F.col("doc_id") == F.col("rep")).select("rep", "n", "label", "prefix")
-    buckets = max(-(-total // (DEN * BUCKET)), min(12, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    pairs = settle(_bucket_join(_dealt(wide, buckets), buckets), "pairs")
-    second = _linked(docs, pairs, width)
+    sets = settle(rows.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "reps")
+    first, second = links(docs, rows, sets, width)
     final = components(first.unionByName(second))
     classes = sets.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
     return rows.join(classes, "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component"))).alias("component_id"))

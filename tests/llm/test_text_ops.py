@@ -81,6 +81,47 @@ def test_join_prefix_bound_loses_nothing():
             assert len(set(px) & set(py)) >= ngram_join.needed(len(x), len(y))
 
 
+def test_trie_walk_loses_nothing():
+    rng = random.Random(6)
+    for _ in range(400):
+        sets = [sorted(rng.sample(range(rng.choice((6, 30))), rng.randrange(1, 6))) for _ in range(rng.randrange(2, 14))]
+        ids, labels = np.arange(len(sets)) + 5, np.array([rng.randrange(6) for _ in sets])
+        sizes = np.array([len(s) + rng.randrange(40) for s in sets])
+        docs, items = np.array([k for k, s in enumerate(sets) for _ in s]), np.array([x << 40 for s in sets for x in s], np.uint64)
+        part = ngram_join.shared_part(ids, labels, sizes, docs, items)
+        trie = ngram_join.Trie(*part[1]) if part else None
+        got = {(a, b): (c, na, nb) for task in range(2) for a, b, c, na, nb in (trie.pairs(task, 2) if trie else ())}
+        led = list(trie.leaders()) if trie else []
+        want = {}
+        for x in range(len(sets)):
+            for y in range(x):
+                common = len(set(sets[x]) & set(sets[y]))
+                spare = min(ngram_join.prefix_length(int(sizes[k])) - len(sets[k]) for k in (x, y))
+                nx, ny = int(sizes[y]), int(sizes[x])
+                if labels[x] != labels[y] and common and 4 * min(nx, ny) >= 3 * max(nx, ny) and common + spare >= ngram_join.needed(nx, ny):
+                    want[y + 5, x + 5] = (common, nx, ny)
+        assert got == want
+        assert all(0 < c <= len(set(sets[a - 5]) & set(sets[b - 5])) and a < b for a, b, c, _, _ in led)
+
+
+def test_links_come_from_both_walks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "WORK", 1)
+    rng = random.Random(9)
+    texts = [prose(rng, 80, 5000) for _ in range(6)]
+    for x in list(texts):
+        w = x.split()
+        w[40] = "other"
+        texts.append(" ".join(w))
+    df = docs_of(spark, *texts).select("doc_id", "text")
+    rows = ngram_join._describe(df, 5)
+    sets = rows.select("digest", F.col("doc_id").alias("rep"), "n")
+    first, second = ngram_join.links(df, rows, sets)
+    assert sorted(map(tuple, first.collect())) == [(k, k + 6) for k in range(6)] and second.collect() == []
+    monkeypatch.setattr(ngram_join, "LEADERS", 0)
+    first, second = ngram_join.links(df, rows, sets)
+    assert first.collect() == [] and sorted(map(tuple, second.collect())) == [(k, k + 6) for k in range(6)]
+
+
 def test_join_edges(spark):
     assert ngram_join.join(docs_of(spark).filter("false")).collect() == []
     rows = ngram_join.join(spark.createDataFrame([(None, "a b"), (7, "a b"), (7, "a b")], "doc_id bigint, text string")).collect()
