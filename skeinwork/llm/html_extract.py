@@ -1,7 +1,7 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block tags.  What stands in menus, forms, scripts and the like, or in an element whose class or
-id names a menu, sidebar, notice, advert, comment and so on, is left out at once.  The first pass labels each block by
+id names a menu, sidebar, notice, advert, comment and so on, is left out at once; a main element is never left out with what is around it.  The first pass labels each block by
 stop-word density, length and link density; inside an article or main element more links are allowed, and a long block without
 stop words is ambiguous and not decided.  The second pass gives each ambiguous block the label of its nearest decided neighbour;
 where the two sides are equally near and differ, it is text only if the one before is.  Blocks inside and outside of articles
@@ -34,8 +34,8 @@ TEXT_TAGS = frozenset(("article", "main"))
 OUT_NAMES = frozenset("ad ads adv advert advertisement adverts advertising alert author-bio banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disqus dropdown footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination pager paywall popup promo promoted related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar widget".split())
 #: The page header is out; these names do not count inside an article, where they hold the headline.
 _HEADLINE = frozenset(("header", "masthead", "byline"))
-#: A name with such a part describes a frame around the page and not a part of it, as in has-sidebar.
-_FRAME = frozenset("container has is layout no not page with without wrap wrapper".split())
+#: A name with such a part says what the page has and is no such part itself, as in has-sidebar or page-with-menu.
+_FRAME = frozenset("has layout no not with without".split())
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 STOP_WORDS = frozenset("a an and are as at be by for from has have he in is it not of on or that the this to was were which with you der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an la le les et un une du que est pour qui dans par sur pas au avec el y los las del se por con no su al lo".split())
 
@@ -53,6 +53,7 @@ class Block:
     link_chars: int
     inside: bool  # in an article or main element
     label: str = ""
+    decided: int = 1  # the pass that gave the label
 
 
 def _out_names(attrs: str, inside: bool) -> bool:
@@ -64,40 +65,88 @@ def _out_names(attrs: str, inside: bool) -> bool:
     return False
 
 
+# What a start tag ends besides an open paragraph, and the elements that this does not reach out of.
+_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_SCOPE = ("ul", "ol", "dl", "table", "select")
+
+
+class Open:
+    """The open elements.  The places of each tag are kept, so nothing is searched for and nesting of any depth costs the same."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool]] = []  # tag, left out, in an article
+        self.places: dict[str, list[int]] = {}
+        self.solid: list[int] = []  # places of block elements but for paragraphs
+
+    def last(self, *tags: str) -> int:
+        return max(self.places[t][-1] if self.places.get(t) else -1 for t in tags)
+
+    def push(self, tag: str, out: bool, inside: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK_TAGS and tag != "p":
+            self.solid.append(len(self.stack))
+        self.stack.append((tag, out, inside))
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if self.solid and self.solid[-1] == len(self.stack):
+                self.solid.pop()
+
+    def close(self, tag: str) -> None:
+        """An end tag closes the nearest element of its name; a stray one, or one of an inline element outside the block, does nothing."""
+        k = self.last(tag)
+        if k >= 0 and (tag in BLOCK_TAGS or k > max(self.solid[-1] if self.solid else -1, self.last("p"))):
+            self.cut(k)
+
+    def make_room(self, tag: str) -> None:
+        """Opening a block ends an open paragraph; an item, cell or row ends the one before."""
+        ends = _ENDS.get(tag, ())
+        while True:
+            k = self.last("p", *ends)
+            stop = self.last(*_SCOPE)
+            if not ends and self.solid:
+                stop = max(stop, self.solid[-1])
+            if k < 0 or k < stop:
+                return
+            was = self.stack[k][0]
+            self.cut(k)
+            if was != "p":
+                return
+
+    @property
+    def out(self) -> bool:
+        return bool(self.stack) and self.stack[-1][1]
+
+    @property
+    def inside(self) -> bool:
+        return bool(self.stack) and self.stack[-1][2]
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, without those that stand in left-out elements."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, left out, in an article
+    open_ = Open()
     parts: list[str] = []
-    links, anchors = 0, 0
+    links = 0
 
     def flush() -> None:
         nonlocal links
         if parts:
             if text := " ".join("".join(parts).split()):
-                blocks.append(Block(text, min(links, len(text)), bool(stack) and stack[-1][2]))
+                blocks.append(Block(text, min(links, len(text)), open_.inside))
             parts.clear()
         links = 0
 
     def add(raw: str) -> None:
         nonlocal links
-        if raw and not (stack and stack[-1][1]):
+        if raw and not open_.out:
             text = htmllib.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if anchors:
+            if open_.places.get("a"):
                 links += len(text.strip())
 
-    def close(name: str) -> None:
-        """Pop up to the nearest element of that name; a stray end tag changes nothing."""
-        nonlocal anchors
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                anchors -= sum(s[0] == "a" for s in stack[k:])
-                del stack[k:]
-                return
-            if name not in BLOCK_TAGS and stack[k][0] in BLOCK_TAGS:
-                return
-
     at, find = 0, _TOKEN.search
     while m := find(page, at):
         if m.start() > at:
@@ -112,14 +161,11 @@ def blocks_of(page: str) -> list[Block]:
         if name in BLOCK_TAGS:
             flush()
         if m[1]:
-            close(name)
+            open_.close(name)
             continue
-        if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") or name in BLOCK_TAGS:
-            _imply_end(stack, name)
-            anchors = sum(s[0] == "a" for s in stack)
-        out, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        if name in TEXT_TAGS:
-            inside = True
+        if name in BLOCK_TAGS:
+            open_.make_room(name)
+        out, inside = open_.out and name != "main", open_.inside or name in TEXT_TAGS
         attrs = m[3] or ""
         if not out:
             out = name in OUT_TAGS or (name == "header" and not inside) or (bool(attrs) and name not in ("html", "body") and (_out_names(attrs, inside) or bool(_HIDDEN.search(attrs))))
@@ -128,27 +174,12 @@ def blocks_of(page: str) -> list[Block]:
             at = end.end() if end else len(page)
             continue
         if name not in VOID_TAGS:  # a slash at the end of a start tag means nothing in HTML
-            stack.append((name, out, inside))
-            anchors += name == "a"
+            open_.push(name, out, inside)
     add(page[at:])
     flush()
     return blocks
 
 
-def _imply_end(stack: list[tuple[str, bool, bool]], name: str) -> None:
-    """Opening a block ends an open paragraph; an item, cell or row ends the one before."""
-    ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(name, ())
-    scope = ("ul", "ol", "dl", "table", "select")
-    for k in range(len(stack) - 1, -1, -1):
-        tag = stack[k][0]
-        if tag == "p" or tag in ends:
-            del stack[k:]
-            if tag != "p":
-                return
-        elif tag in scope or (tag in BLOCK_TAGS and not ends):
-            return
-
-
 def label(blocks: list[Block]) -> list[Block]:
     """Both passes: label is 'text' or 'other' afterwards."""
     for b in blocks:
@@ -178,6 +209,7 @@ def _inherit(blocks: list[Block], alone: str) -> None:
     seen = None
     for k in range(len(blocks) - 1, -1, -1):
         if fixed[k] == "short":
+            blocks[k].decided = 2
             p, n = before[k], seen
             if p is None and n is None:
                 blocks[k].label = alone
