@@ -1,19 +1,26 @@
-"""Quality rules: distribution divergence from language references.
+"""Quality rules: distance of distributions from language references.
 
-A document has two histograms: classes of characters, and common words of each language.  A reference for a language is the
-mean of the histograms of all documents that pass the base rules and hold more of that language's common words than of
-another's.  A document is rejected if its smallest divergence from a reference is above a limit.  The divergence is the
-sum of the two Jensen-Shannon divergences in bits; the limit is higher for short documents, whose histograms are noisy,
-and documents below a least length are not judged.
+A document has two histograms: classes of characters, and common words.  A reference has both for one language.  The
+Jensen-Shannon distance is the square root of the divergence in bits.  A document is measured against the reference whose common
+words are nearest, and rejected if either distance is above its limit; documents below a least length are not judged.
 
-Defined results: null or empty text has no words and fails the base rules; a corpus without any reference (empty, or
-nothing passes) is judged by the base rules alone; repeated rows are each judged; extra columns are ignored.
+References are stored here under a version and owe nothing to the documents that are judged, so a verdict depends on the
+document alone.  Common words follow Zipf's law, the k-th of a language having ZIPF / k of all words; the shares of characters are
+those of ordinary printed text, rounded.  A limit on the divergence has two parts: the square of a least distance, for
+texts of another kind or topic, and twice the divergence that a sample of n from the reference itself has on average, (cells - 1) /
+(8 n ln 2), which is what short documents need.  A text in a language without a reference is far from all of
+them: more references can be passed to judge.
+
+Defined results: null or empty text has no words and fails the base rules; without any reference only the base rules count;
+repeated rows are each judged; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,21 +28,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinwork.llm.runtime import lean, settle, texts_of, tune, two_columns
+from skeinwork.llm.runtime import lean, texts_of, tune, two_columns
 
-# Frequent function words of each language.
+#: Version of the references below; it changes with any value of theirs.
+REFERENCE_VERSION = 1
+#: Share of a language's most frequent word; the k-th has 1 / k of it.
+ZIPF = 0.065
+# Function words of each language by falling frequency.
 COMMON_WORDS = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als",
     "en": "the of and to in a is that for it was on with as be by this are from at",
     "es": "de la que el en y a los del se las por un para con no una su al lo",
     "fr": "de la le et les des en un du une que est pour qui dans par sur pas au avec",
 }
+# Shares of characters: lower case, upper case, digits, white space, punctuation, other ASCII, all others.
+CHARACTERS = {
+    "de": (0.755, 0.045, 0.005, 0.150, 0.025, 0.0, 0.020),
+    "en": (0.780, 0.025, 0.005, 0.170, 0.020, 0.0, 0.000),
+    "es": (0.760, 0.020, 0.005, 0.165, 0.025, 0.0, 0.025),
+    "fr": (0.750, 0.020, 0.005, 0.165, 0.025, 0.0, 0.035),
+}
 _WORDS = sorted({w.encode() for v in COMMON_WORDS.values() for w in v.split()})
 _PLACE = {w: k for k, w in enumerate(_WORDS)}
 _SPACE = b" \t\n\r\x0b\x0c"
 _PUNCT = b".,;:!?'\"()-"
 _SYMBOLS = b"#*$%&|<>"
-#: Byte classes: lower case, upper case, digit, white space, punctuation, other ASCII, start of another character, rest.
+#: Byte classes in the order of CHARACTERS, the first byte of another character in the last; then the rest of its bytes.
 N_CLASSES = 7
 _CLASS = np.full(256, 5, np.uint8)
 _CLASS[list(b"abcdefghijklmnopqrstuvwxyz")] = 0
@@ -46,12 +64,34 @@ _CLASS[list(_PUNCT)] = 4
 _CLASS[0xC0:] = 6
 _CLASS[0x80:0xC0] = 7
 _BLANK = bytes.maketrans(_PUNCT, b" " * len(_PUNCT))
-#: Histogram shares are counted in millionths, so that sums do not depend on their order.
-_UNIT = 1_000_000
 
 MIN_WORDS = 50
-BASE_LIMIT = 0.09
-NOISE = 4.0
+#: Least distances that tell texts of another kind; see above for what short texts get on top.  A text without any common word is at 0.37,
+#: one whose common words are frequent but not by Zipf's law at 0.2 to 0.3; text of symbols or capitals is at 0.2 to 0.45 by its characters.
+CHAR_LIMIT, WORD_LIMIT = 0.16, 0.29
+
+
+@dataclass(frozen=True)
+class Reference:
+    """Histograms of one language: of the classes of characters, and of the common words of all languages, the last entry being all other words."""
+
+    language: str
+    characters: tuple[float, ...]
+    words: tuple[float, ...]
+    common: int  # words of the language itself
+
+
+def reference(language: str) -> Reference:
+    """The stored reference of a language."""
+    own = COMMON_WORDS[language].split()
+    words = np.zeros(len(_WORDS) + 1)
+    words[[_PLACE[w.encode()] for w in own]] = ZIPF / np.arange(1, len(own) + 1)
+    words[-1] = 1 - words.sum()
+    characters = np.array(CHARACTERS[language])
+    return Reference(language, tuple((characters / characters.sum()).tolist()), tuple(words.tolist()), len(own))
+
+
+REFERENCES = tuple(reference(x) for x in COMMON_WORDS)
 
 
 def repeated_words(words: list[bytes], window: int = 3) -> int:
@@ -112,69 +152,54 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (half(p) + half(np.broadcast_to(q, p.shape))) / 2
 
 
-def _with_row(df: DataFrame, schema: str) -> T.StructType:
-    """The schema, after the column row if df has it."""
-    return T.StructType([*[f for f in df.schema.fields if f.name == "row"], *T.StructType.fromDDL(schema).fields])
-
-
-def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
-    """Base figures and histograms of every row; whole: also the row itself, as one column named row."""
+def limit(least: float, cells: int, n: np.ndarray) -> np.ndarray:
+    """The greatest distance of a histogram of n things in so many cells."""
+    return np.sqrt(least**2 + 2 * (cells - 1) / (8 * math.log(2) * np.maximum(n, 1)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
-        for b in batches:
-            rows = [measure(x) for x in texts_of(b)]
-            base = [pa.array([r[0][k] for r in rows], pa.int64()) for k in range(5)]
-            hists = [pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in (1, 2)]
-            kept = [b.column(k) for k in ("row", "doc_id") if k in b.schema.names]
-            yield pa.RecordBatch.from_arrays([*kept, *base, *hists], [*(["row"] if whole else []), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common"])
-
-    tune(docs.sparkSession)
-    given = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")) if whole else two_columns(docs, key, text)
-    out = given.mapInArrow(run, _with_row(given, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<int>, common array<int>"))
-    return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
+def compared(classes: np.ndarray, common: np.ndarray, references: Sequence[Reference]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of histograms: place of the nearest reference, both distances from it, and whether they keep their limits."""
+    p, c = _shares(classes), _shares(common)
+    by_words = np.array([np.sqrt(divergence(c, np.array(r.words))) for r in references])
+    by_chars = np.array([np.sqrt(divergence(p, np.array(r.characters))) for r in references])
+    near = np.argmin(by_words, axis=0)
+    rows = np.arange(len(near))
+    chars, words = by_chars[near, rows], by_words[near, rows]
+    cells = np.array([r.common + 1 for r in references])[near]
+    good = (chars <= limit(CHAR_LIMIT, N_CLASSES, classes.sum(axis=1))) & (words <= limit(WORD_LIMIT, cells, common.sum(axis=1)))
+    return near, chars, words, good
 
-def _language() -> F.Column:
-    """The language with most common words; ties go to the first name; null without any."""
-    hits = []
-    for name, words in COMMON_WORDS.items():
-        n = sum((F.col("common")[_PLACE[w.encode()]] for w in words.split()), F.lit(0))
-        hits.append(F.struct(n.alias("n"), F.lit(-ord(name[0])).alias("order"), F.lit(name).alias("name")))
-    best = F.greatest(*hits)
-    return F.when(best["n"] > 0, best["name"])
 
+_BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-def references(figures: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Mean histograms by language, over all documents that pass the base rules: four rows at most come to the driver."""
-    sized = figures.filter(~F.col("base_failed")).withColumn("lang_found", _language()).filter(F.col("lang_found").isNotNull())
-    cols = []
-    for name, n in (("classes", N_CLASSES), ("common", len(_WORDS) + 1)):
-        total = F.aggregate(F.col(name), F.lit(0).cast("long"), lambda a, x: a + x)
-        cols.append(F.array(*[F.sum(F.floor(F.col(name)[k].cast("double") * F.lit(_UNIT) / F.greatest(total, F.lit(1)))) for k in range(n)]).alias(name))
-    rows = sized.groupBy("lang_found").agg(*cols).collect()
-    return {r["lang_found"]: (_shares(np.array(r["classes"], float)), _shares(np.array(r["common"], float))) for r in rows}
 
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", references: Sequence[Reference] = REFERENCES, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+    """Every row with its base figures, language, distances and verdict; whole: also the row itself, as one column named row.
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", base_limit: float = BASE_LIMIT, noise: float = NOISE, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
-    """Every row with its base figures, divergence and verdict; whole: also the row itself, as one column named row.
-
-    divergence is null where it does not count: below min_words, or without any reference.
+    language and the distances are null where they do not count: below min_words, or without any reference.
     """
-    figures = settle(measured(docs, key, text, whole), "quality")
-    refs = [refs[k] for refs in [references(figures)] for k in sorted(refs)]
+    names = [*(["row"] if whole else []), "doc_id", *_BASE, "base_failed", "language", "char_distance", "word_distance", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
-            n = np.array(b.column("n_words").to_pylist(), np.int64)
-            classes = np.array(b.column("classes").to_pylist(), float).reshape(len(n), N_CLASSES)
-            common = np.array(b.column("common").to_pylist(), float).reshape(len(n), len(_WORDS) + 1)
-            p, c = _shares(classes), _shares(common)
-            least = np.min([divergence(p, r) + divergence(c, s) for r, s in refs], axis=0) if refs else np.zeros(len(n))
-            judged = (n >= min_words) & bool(refs)
-            bad = judged & (least > base_limit + noise / np.maximum(n, 1))
-            failed = np.array(b.column("base_failed").to_pylist(), bool)
-            cols = [b.column(k) for k in b.schema.names if k not in ("classes", "common")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([float(x) if j else None for x, j in zip(least, judged, strict=True)], pa.float64()), pa.array(~failed & ~bad)], [k for k in b.schema.names if k not in ("classes", "common")] + ["divergence", "kept"])
-
-    return figures.mapInArrow(run, _with_row(figures, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, divergence double, kept boolean"))
+            found = [measure(x) for x in texts_of(b)]
+            base = np.array([r[0] for r in found], np.int64).reshape(-1, len(_BASE))
+            n, again = base[:, 0], base[:, 4]
+            failed = (n < MIN_WORDS) | (100 * again > 50 * n)
+            judged = (n >= min_words) & bool(references)
+            kept, told = ~failed, [[None] * len(found) for _ in range(3)]
+            if judged.any():
+                at = np.flatnonzero(judged)
+                near, chars, words, good = compared(np.array([found[k][1] for k in at], float), np.array([found[k][2] for k in at], float), references)
+                kept[at] &= good
+                for k, j, c, w in zip(at.tolist(), near.tolist(), chars.tolist(), words.tolist(), strict=True):
+                    told[0][k], told[1][k], told[2][k] = references[j].language, c, w
+            own = [b.column(k) for k in ("row", "doc_id") if k in b.schema.names]
+            cols = [*own, *(pa.array(base[:, k]) for k in range(len(_BASE))), pa.array(failed), pa.array(told[0], pa.string()), pa.array(told[1], pa.float64()), pa.array(told[2], pa.float64()), pa.array(kept)]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    tune(docs.sparkSession)
+    given = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")) if whole else two_columns(docs, key, text)
+    figures = T.StructType.fromDDL(f"doc_id long, {', '.join(f'{k} long' for k in _BASE)}, base_failed boolean, language string, char_distance double, word_distance double, kept boolean")
+    return given.mapInArrow(run, T.StructType([*[f for f in given.schema.fields if f.name == "row"], *figures.fields]))
