@@ -74,17 +74,37 @@ def _rule_sql(host: str, path: str, what: int) -> str:
     return f"CASE {' '.join(parts)} END"
 
 
+def _host_sql(url: str) -> str:
+    return f"translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _node_sql(url: str) -> str:
+    path = f"regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    return f"CASE WHEN {_host_sql(url)} <> '' THEN {_host_sql(url)} || CASE WHEN {path} = '' THEN '/' ELSE {path} END || regexp_extract({url}, '(?s)^.*?://[^/?#]*[^?#]*(\\?[^#]*)', 1) END"
+
+
+def _targets_sql(tag: str, mark: str, value: str) -> str:
+    return f"SELECT scheme, host, folder, node, regexp_extract(unnest(list_filter(regexp_extract_all(html, '(?is)(<{tag}\\s[^>]*>)', 1), lambda t: regexp_matches(t, '{mark}'))), '{value}', 1) AS raw FROM named WHERE node IS NOT NULL AND html IS NOT NULL"
+
+
+_CODE_SQL = r"coalesce(TRY_CAST(nullif(regexp_extract(p, '^0*([0-9]{1,3});', 1), '') AS INTEGER), TRY_CAST('0x' || nullif(regexp_extract(p, '^[xX]0*([0-9a-fA-F]{1,2});', 1), '') AS INTEGER))"
+_REST_SQL = "regexp_replace(p, '^[xX]?[0-9a-fA-F]+;', '')"
+_NAMED_SQL = """replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39))"""
+_DECODED_SQL = f"""replace(replace(array_to_string(list_transform(string_split({_NAMED_SQL}, '&#'), lambda p, i: CASE WHEN i = 1 THEN p WHEN {_CODE_SQL} = 38 THEN concat(chr(1), {_REST_SQL})
+    WHEN {_CODE_SQL} BETWEEN 1 AND 255 THEN concat(chr({_CODE_SQL}), {_REST_SQL}) ELSE concat('&#', p) END), ''), '&amp;', chr(1)), chr(1), '&')"""
+_CANONICAL_SQL = _targets_sql("link", r"""(?is)\srel\s*=\s*["'']?canonical\b""", r"""(?is)\shref\s*=\s*["'']?([^"''\s>]+)""")
+_REFRESH_SQL = _targets_sql("meta", r"""(?is)\shttp-equiv\s*=\s*["'']?refresh\b""", r"""(?is)\scontent\s*=\s*["'']?[^"''>]*?url\s*=\s*["'']?([^"''\s>]+)""")
 #: The rules, and aliases by closure over canonical and refresh links.
 OP6_SQL = rf"""
-WITH RECURSIVE parsed AS (SELECT page_id, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '(?s)^(.*?)://', 1), '') AS scheme FROM pages),
-named AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END END AS node FROM parsed),
-targets AS (SELECT scheme, host, node, regexp_extract(regexp_extract(html, '(?is)<link\s[^>]*rel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)href\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM named WHERE node IS NOT NULL AND html IS NOT NULL
-  UNION ALL SELECT scheme, host, node, regexp_extract(regexp_extract(html, '(?is)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)content\s*=\s*["'']?[^"''>]*?url\s*=\s*["'']?([^"''\s>]+)', 1) FROM named WHERE node IS NOT NULL AND html IS NOT NULL),
-full_urls AS (SELECT node, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN starts_with(t, '/') THEN scheme || '://' || host || t ELSE scheme || '://' || regexp_extract(node, '(?s)^(.*/)', 1) || t END AS u FROM targets WHERE t <> ''),
-edges AS (SELECT DISTINCT node AS a, h || CASE WHEN p = '' THEN '/' ELSE p END AS b FROM (SELECT node, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h, regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS p FROM full_urls) WHERE h <> ''),
+WITH RECURSIVE parsed AS (SELECT page_id, html, coalesce({_host_sql("url")}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '(?s)^(.*?)://', 1), '') AS scheme, {_node_sql("url")} AS node FROM pages),
+named AS (SELECT *, host || regexp_extract(CASE WHEN path = '' THEN '/' ELSE path END, '(?s)^(.*/)', 1) AS folder FROM parsed),
+raws AS ({_CANONICAL_SQL} UNION ALL {_REFRESH_SQL}),
+targets AS (SELECT scheme, host, folder, node, {_DECODED_SQL} AS t FROM raws WHERE raw <> ''),
+full_urls AS (SELECT node, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN starts_with(t, '/') THEN scheme || '://' || host || t ELSE scheme || '://' || folder || t END AS u FROM targets WHERE t <> ''),
+edges AS (SELECT DISTINCT node AS a, {_node_sql("u")} AS b FROM full_urls),
 ends AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
 reach(node, other) AS (SELECT a, a FROM ends UNION SELECT e.b, r.other FROM reach r JOIN ends e ON e.a = r.node),
-member AS (SELECT node, other, {_rule_sql("regexp_extract(other, '(?s)^([^/]*)', 1)", "regexp_extract(other, '(?s)^[^/]*(.*)', 1)", 1)} AS v FROM reach),
+member AS (SELECT node, other, {_rule_sql("regexp_extract(other, '(?s)^([^/]*)', 1)", "regexp_extract(other, '(?s)^[^/]*([^?]*)', 1)", 1)} AS v FROM reach),
 alias AS (SELECT node, min(other) AS component, min(v) AS group_verdict FROM member GROUP BY node)
 SELECT n.page_id, n.host, n.path, {_rule_sql("n.host", "n.path", 0)} AS rule, coalesce({_rule_sql("n.host", "n.path", 1)}, a.group_verdict, 'allow') AS verdict, a.component FROM named n LEFT JOIN alias a ON a.node = n.node"""
 

@@ -1,8 +1,10 @@
 """The text operators against brute force, and on nulls, empty and long texts, repeated rows, clashing columns, empty tables."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -87,21 +89,26 @@ def test_trie_walk_loses_nothing():
         sets = [sorted(rng.sample(range(rng.choice((6, 30))), rng.randrange(1, 6))) for _ in range(rng.randrange(2, 14))]
         ids, labels = np.arange(len(sets)) + 5, np.array([rng.randrange(6) for _ in sets])
         sizes = np.array([len(s) + rng.randrange(40) for s in sets])
-        docs, items = np.array([k for k, s in enumerate(sets) for _ in s]), np.array([x << 40 for s in sets for x in s], np.uint64)
-        part = ngram_join.shared_part(ids, labels, sizes, docs, items)
+        totals = np.array([len(s) + rng.randrange(3) for s in sets])
+        pairs = sorted((x << 40, k) for k, s in enumerate(sets) for x in s)
+        docs, items = np.array([k for _, k in pairs]), np.array([x for x, _ in pairs])
+        part = ngram_join.shared_part(ids, labels, sizes, totals, docs, items)
         trie = ngram_join.Trie(*part[1]) if part else None
         got = {(a, b): (c, na, nb) for task in range(2) for a, b, c, na, nb in (trie.pairs(task, 2) if trie else ())}
-        led = list(trie.leaders()) if trie else []
+        mixed = {x for x in range(30) if len({labels[k] for k, s in enumerate(sets) if x in s}) > 1}
         want = {}
         for x in range(len(sets)):
             for y in range(x):
                 common = len(set(sets[x]) & set(sets[y]))
-                spare = min(ngram_join.prefix_length(int(sizes[k])) - len(sets[k]) for k in (x, y))
+                spare = min(int(totals[k]) - len(set(sets[k]) & mixed) for k in (x, y))
                 nx, ny = int(sizes[y]), int(sizes[x])
                 if labels[x] != labels[y] and common and 4 * min(nx, ny) >= 3 * max(nx, ny) and common + spare >= ngram_join.needed(nx, ny):
                     want[y + 5, x + 5] = (common, nx, ny)
         assert got == want
-        assert all(0 < c <= len(set(sets[a - 5]) & set(sets[b - 5])) and a < b for a, b, c, _, _ in led)
+        led = list(trie.leaders()) if trie else []
+        assert all(0 < c <= len(set(sets[a - 5]) & set(sets[b - 5])) and labels[a - 5] != labels[b - 5] for a, b, c, _, _ in led)
+        assert len({b for _, b, *_ in led}) == len(trie.ids if trie else ())
+        assert sum(c for _, _, c, _, _ in led) == sum(len(set(s) & mixed) for s in sets)
 
 
 def test_links_come_from_both_walks(spark, monkeypatch):
@@ -117,7 +124,9 @@ def test_links_come_from_both_walks(spark, monkeypatch):
     sets = rows.select("digest", F.col("doc_id").alias("rep"), "n")
     first, second = ngram_join.links(df, rows, sets)
     assert sorted(map(tuple, first.collect())) == [(k, k + 6) for k in range(6)] and second.collect() == []
+    # Without leaders, and with shingles of one family in several buckets, the second walk finds the same.
     monkeypatch.setattr(ngram_join, "LEADERS", 0)
+    monkeypatch.setattr(ngram_join, "BUCKET", 10)
     first, second = ngram_join.links(df, rows, sets)
     assert first.collect() == [] and sorted(map(tuple, second.collect())) == [(k, k + 6) for k in range(6)]
 
@@ -184,6 +193,70 @@ def test_extract_rows(spark):
     assert got == [(1, "u", 35), (2, "", 0), (2, "", 0)]
 
 
+def slow_labels(blocks):
+    """Both passes by the rules as stated: every ambiguous block looks outwards, step by step."""
+    first = []
+    for b in blocks:
+        words = b.text.lower().split()
+        stops = sum(w.strip(".,;:!?\"'()") in html_extract.STOP_WORDS for w in words) / max(1, len(words))
+        if b.link_chars / max(1, len(b.text)) > (0.8 if b.inside else 0.4):
+            first.append("other")
+        elif len(b.text) >= 120:
+            first.append("text" if stops >= 0.08 else None if b.inside else "other")
+        else:
+            first.append("text" if len(b.text) >= 40 and stops >= 0.2 else None)
+    out = list(first)
+    for k, b in enumerate(blocks):
+        if first[k] is None:
+            kin = [j for j in range(len(blocks)) if blocks[j].inside == b.inside]
+            at = kin.index(k)
+            out[k] = "text" if b.inside else "other"
+            for step in range(1, len(kin)):
+                near = [first[kin[j]] for j in (at - step, at + step) if 0 <= j < len(kin) and first[kin[j]]]
+                if near:
+                    out[k] = near[0]
+                    break
+    return out
+
+
+def test_labels_are_those_of_the_slow_labeller():
+    rng = random.Random(8)
+    stop, decided = sorted(html_extract.STOP_WORDS), set()
+    for _ in range(300):
+        blocks = []
+        for _ in range(rng.randrange(12)):
+            text = " ".join(rng.choice(stop) if rng.random() < rng.choice((0.02, 0.3)) else "word" + rng.choice("xyz") for _ in range(rng.randrange(1, 30)))
+            blocks.append(html_extract.Block(text, rng.choice((0, 0, len(text) // 2, len(text))), rng.random() < 0.4))
+        want = slow_labels(blocks)
+        assert [b.label for b in html_extract.label(blocks)] == want
+        decided |= {b.decided for b in blocks}
+    assert decided == {1, 2}
+
+
+def test_deep_pages_take_linear_time():
+    for page in ("<div>" * 50000 + "x", "<b>" * 30000 + "<div></div>" * 30000, "<li><table>" + "<div>" * 30000 + "<li></li>" * 30000, "<b>" * 30000 + "</div>" * 30000, "<a '" * 30000):
+        began = time.time()
+        html_extract.main_text(page)
+        assert time.time() - began < 5
+    assert html_extract.main_text(f"<p>{'the word of it ' * 300000}</p>").count("the word") == 300000
+
+
+def test_names_around_and_inside():
+    article = "<article><p>kept text</p>{}</article>"
+    for gone in ('<div class="comments-wrapper">x</div>', '<div class="ad-container">x</div>', '<p class="cookie-container">x</p>', '<div id="newsletter-wrap">x</div>'):
+        assert html_extract.main_text(article.format(gone)) == "kept text"
+    for frame in ("has-sidebar", "with-sidebar", "no-sidebar", "page-with-menu"):
+        assert html_extract.main_text(f'<div class="{frame}">{article.format("")}</div>') == "kept text"
+    assert html_extract.main_text('<div class="sidebar-left"><main><p>kept text</p></main></div>') == "kept text"
+
+
+def test_extract_odd_tables(spark):
+    schema = "page_id bigint, url string, html string, text string, n_chars string"
+    assert html_extract.extract(spark.createDataFrame([], schema)).collect() == []
+    rows = html_extract.extract(spark.createDataFrame([(None, "u", "<article>a", "clash", "clash")] * 2, schema)).collect()
+    assert [tuple(r) for r in rows] == [(None, "u", "a", 1)] * 2
+
+
 # ---- 3
 
 
@@ -245,10 +318,63 @@ def test_quality_keeps_prose_and_drops_shouting(spark):
     bad = [" ".join(f"{w.upper()}!!" for w in good[0].split()), " ".join(f"{w}&&&" for w in good[1].split())]
     got = {r.doc_id: r for r in quality.judge(docs_of(spark, *good, *bad, "too short", None)).collect()}
     assert all(got[k].kept for k in range(30)) and not any(got[k].kept for k in range(30, 34))
-    assert got[33].n_words == 0 and got[33].base_failed
+    assert got[33].n_words == 0 and got[33].base_failed and got[33].language is None and got[0].language == "en"
     assert quality.judge(docs_of(spark).filter("false")).count() == 0
 
 
+def brute_verdict(text):
+    """Distances and verdict by plain counting."""
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\n\r\x0b\x0c", ".,;:!?'\"()-"]
+    chars = [0] * 7
+    for ch in text:
+        chars[next((k for k, x in enumerate(kinds) if ch in x), 5 if ch < "\x80" else 6)] += 1
+    plain = "".join(chr(ord(ch) + 32) if "A" <= ch <= "Z" else " " if ch in kinds[4] else ch for ch in text)
+    words = [w for w in re.split(r"[ \t-\r]+", plain) if w]
+
+    def distance(counts, shares):
+        total = sum(counts.values())
+        js = 0.0
+        for k in {*counts, *shares}:
+            p, q = counts.get(k, 0) / total, shares.get(k, 0)
+            m = (p + q) / 2
+            js += (p * math.log2(p / m) if p else 0) / 2 + (q * math.log2(q / m) if q else 0) / 2
+        return math.sqrt(js)
+
+    every = {w for x in quality.COMMON_WORDS.values() for w in x.split()}
+    found = {}
+    for w in words:
+        found[w if w in every else ""] = found.get(w if w in every else "", 0) + 1
+    best = None
+    for name, listed in quality.COMMON_WORDS.items():
+        ref = {w: 0.065 / k for k, w in enumerate(listed.split(), 1)}
+        ref[""] = 1 - sum(ref.values())
+        total = sum(quality.CHARACTERS[name])
+        d = (distance(found, ref), name, distance(dict(enumerate(chars)), {k: v / total for k, v in enumerate(quality.CHARACTERS[name])}), len(ref))
+        best = min(best or d, d)
+    w, name, c, cells = best
+    noise = lambda k, n: 2 * (k - 1) / (8 * math.log(2) * n)
+    return name, c, w, c <= math.sqrt(0.16**2 + noise(7, len(text))) and w <= math.sqrt(0.29**2 + noise(cells, len(words)))
+
+
+def test_quality_verdict_is_that_of_plain_counting(spark):
+    rng = random.Random(7)
+    texts = []
+    for k in range(60):
+        listed = quality.COMMON_WORDS[rng.choice("en de es fr".split())].split()
+        share = rng.choice((0.0, 0.1, 0.3, 0.5))
+        w = [min(rng.choices(listed, [1 / j for j in range(1, len(listed) + 1)])) if rng.random() < share else rng.choice("bdfgäß") + rng.choice("aeiou") * rng.randrange(1, 6) for _ in range(rng.choice((50, 60, 200, 900)))]
+        texts.append((" ".join(w) if k % 5 else " ".join(w).upper() + "#" * rng.randrange(300)) + rng.choice(("", "!?", "\x0c\n")))
+    seen = set()
+    for r in quality.judge(docs_of(spark, *texts)).collect():
+        name, c, w, good = brute_verdict(texts[r.doc_id])
+        assert r.language == name and abs(r.char_distance - c) < 1e-9 and abs(r.word_distance - w) < 1e-9
+        assert r.kept == (good and not r.base_failed)
+        seen.add((r.kept, r.base_failed))
+    assert {(True, False), (False, False)} <= seen
+    rows = quality.judge(docs_of(spark, *texts), references=()).collect()
+    assert all(r.kept != r.base_failed and r.language is None for r in rows)
+
+
 # ---- 5
 
 
@@ -317,6 +443,80 @@ def test_redirects_pass_blocks_on(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow"}
 
 
+def made_up_pages(seed):
+    """Chains, stars and conflicts: pages, and (url, target) of their links, which are written in several ways."""
+    rng = random.Random(seed)
+    hosts = ["a.x", "b.com", "example.com", "sub.example.com", "q.net", "example.net", "w.org"]
+    paths = ["/", "/en/1", "/en/7", "/de/2", "/de/8", "/es/3", "/p/4", "/p/5", "/p/6?id=1", "/p/6?id=2", "/p/9?a=1&b=2"]
+    urls = [f"http://{h}{p}" for h in hosts for p in paths]
+    rng.shuffle(urls)
+    pages, edges = [], []
+    for k, u in enumerate(urls):
+        tags = ["<link rel=stylesheet href=/x.css>"]
+        for _ in range(rng.choice((0, 0, 0, 1, 1, 2, 3))):
+            to = rng.choice(urls[: rng.choice((3, 12, len(urls)))])
+            form = rng.randrange(5)
+            if form == 0:
+                tags.append(f'<link rel="canonical" href="{to.replace("&", "&amp;")}">')
+            elif form == 1:
+                tags.append(f"<LINK href='{to.replace('&', '&#38;').replace('/p', '&#x2F;p')}' REL=canonical />")
+            elif form == 2:
+                tags.append(f'<meta http-equiv="refresh" content="3; url={to}#top">')
+            elif form == 3:
+                to = u[: u.index("/", 7)] + to[to.index("/", 7) :]
+                tags.append(f"<meta content='0;URL={to[to.index('/', 7) :]}' http-equiv=refresh>")
+            else:
+                tags.append(f"<link rel=canonical href={to[5:]} >")
+            edges.append((u, to))
+        pages.append((k, u, "".join(tags)))
+    return pages, edges
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_aliases_are_those_of_union_find(spark, seed):
+    import duckdb
+
+    from skeinwork.llm.queries import OP6_SQL
+
+    pages, edges = made_up_pages(seed)
+    up = {}
+
+    def root(k):
+        up.setdefault(k, k)
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a, b in edges:
+        up[root(a)] = root(b)
+
+    def rule(u):
+        host, _, path = u[7:].partition("/")
+        path = "/" + path.partition("?")[0]
+        fits = [(len(r), r, v) for r, v in url_filter.RULES for h, _, p in [r.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    groups = {}
+    for _, u, _ in pages:
+        groups.setdefault(root(u), set()).add(rule(u)[1])
+    want = sorted((k, rule(u)[0], rule(u)[1] or ("allow" if "allow" in groups[root(u)] else "block" if "block" in groups[root(u)] else "allow")) for k, u, _ in pages)
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    rows = url_filter.judged(df.withColumn("component", F.lit(1)).withColumn("node", F.lit(2))).collect()
+    assert sorted((r.page_id, r.rule, r.verdict) for r in rows) == want
+    frame = df.toPandas()
+    con = duckdb.connect()
+    con.register("pages", frame)
+    assert sorted(map(str, con.sql(OP6_SQL).fetchall())) == sorted(str(tuple(r)) for r in rows)
+
+
+def test_url_odd_tables(spark):
+    schema = "page_id bigint, url string, html string"
+    assert url_filter.judged(spark.createDataFrame([], schema)).collect() == []
+    long_ = "http://b.com/en/" + "x" * 200000
+    rows = url_filter.judged(spark.createDataFrame([(None, "http://a.x/", "<link rel=canonical href=http://b.com/en/1>"), (1, long_, None), (1, long_, None), (2, "http://a.x/", None)], schema)).collect()
+    assert sorted((r.page_id or 0, r.verdict) for r in rows) == [(0, "block"), (1, "block"), (1, "block"), (2, "block")]
+
+
 # ---- 7
 
 
