@@ -624,18 +624,36 @@ def test_pii_more_kinds(spark):
 
 def test_token_counts(spark, mixed):
     df, texts = mixed
-    u = token_counts.UnigramCounts(tokenizer_path("piece_bpe_32k.model"))
+    path = tokenizer_path("piece_bpe_32k.model")
+    sp, names = token_counts._pieces(path)
+    rng = random.Random(12)
+    long_ = "".join(rng.choice("thean日") for _ in range(token_counts.LONG + 500))
+    texts = [*texts, long_, long_ + " the " + "x" * 200000]
+    counts = {}
+    for x in texts:
+        for w in (x or "").split():
+            for i in sp.encode(w):
+                counts[i] = counts.get(i, 0) + 1
+    df = docs_of(spark, *texts).repartition(3).withColumn("piece", F.lit(1))
+    assert {r.piece: r.n for r in token_counts.piece_counts(df.select("text"), path).collect()} == counts
+    u = token_counts.UnigramCounts(path, counts)
 
     def brute(word):
         best = [(0.0, 0)]
         for n in range(1, len(word) + 1):
             size = len(word[n - 1].encode())
             options = [(best[n - 1][0] + size * u.spare, best[n - 1][1] + size)]
-            options += [(best[k][0] + u.cost[word[k:n]], best[k][1] + 1) for k in range(max(0, n - 20), n) if word[k:n] in u.cost]
+            options += [(best[k][0] + u.cost[word[k:n]], best[k][1] + 1) for k in range(max(0, n - u.most), n) if word[k:n] in u.cost]
             best.append(min(options))
         return best[-1][1]
 
+    known = {}
     got = {r.doc_id: (r.n_tokens, r.n_pretokens) for r in token_counts.count(df).collect()}
     for k, x in enumerate(texts):
         words = (x or "").split()
-        assert got[k] == (sum(brute(token_counts.MARK + w) for w in words), len(words))
+        for w in words:
+            known[w] = known.get(w) or brute(token_counts.MARK + w)
+        assert got[k] == (sum(map(known.__getitem__, words)), len(words))
+    assert token_counts.count(docs_of(spark).filter("false")).collect() == []
+    rows = token_counts.count(spark.createDataFrame([(None, "the the"), (3, "the"), (3, "the")], "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_pretokens) for r in rows) == [(0, 2), (3, 1), (3, 1)]
