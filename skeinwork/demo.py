@@ -73,6 +73,20 @@ RELATIONS: dict[str, str] = {
         SELECT concat('prop', event_id) AS id, CASE event_id % 4 WHEN 0 THEN 'proposed' WHEN 1 THEN 'approved' WHEN 2 THEN 'rejected' ELSE 'committed' END AS status, event_type AS kind, concat('{', '"name": "', event_type, CAST(event_id % 5 AS STRING), '"', '}') AS payload, CAST(event_id AS BIGINT) AS created_at FROM {events}""",
     "actions": """
         SELECT concat('prop', event_id) AS id, CASE event_id % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' ELSE 'commit' END AS action, concat('u', user_id) AS actor, '' AS note, '2026-01-01' AS at FROM {events} WHERE event_id % 2 = 0 OR event_id % 5 = 0""",
+    "py_files": """
+        SELECT concat('p', doc_id % 50, '/m', doc_id, '.py') AS path, doc_id % 3 AS form, doc_id AS k, CASE doc_id % 3
+        WHEN 0 THEN concat('import os, numpy.linalg as la', chr(10), 'class C', doc_id, ':', chr(10), '    kind = 1', chr(10), '    def go(self):', chr(10), '        self.kind = 2', chr(10), '        return self.step()', chr(10),
+            '    def step(self):', chr(10), '        return helper', doc_id, '()', chr(10), 'def helper', doc_id, '():', chr(10), '    return la.norm(os.sep)', chr(10))
+        WHEN 1 THEN concat('from p', (doc_id - 1) % 50, '.m', doc_id - 1, ' import helper', doc_id - 1, ', C', doc_id - 1, ' as T', chr(10), 'class Tool', doc_id, '(C', doc_id - 1, '):', chr(10), '    def use(self, other: C', doc_id - 1, '):', chr(10),
+            '        other.kind = 3', chr(10), '        return len(other.kind)', chr(10), 'def make', doc_id, '():', chr(10), '    t = Tool', doc_id, '()', chr(10), '    t.size = 1', chr(10), '    if t:', chr(10), '        def inner():', chr(10),
+            '            return helper', doc_id - 1, '()', chr(10), '    return x.y', chr(10))
+        ELSE 'def (' END AS source FROM {documents}
+        UNION ALL SELECT DISTINCT concat('p', doc_id % 50, '/__init__.py'), CAST(9 AS BIGINT), CAST(-1 AS BIGINT), '' FROM {documents}""",
+    "py_a": """
+        SELECT path, k FROM {py_files} WHERE form = 0""",
+    "py_b": """
+        SELECT b.path, b.k, b.k - 1 AS j, a.path AS home, concat('p', (b.k - 1) % 50) AS pack, i.path AS pack_file FROM {py_files} b LEFT JOIN {py_a} a ON a.k = b.k - 1
+        LEFT JOIN {py_files} i ON i.path = concat('p', (b.k - 1) % 50, '/__init__.py') WHERE b.form = 1""",
 }
 _NAME = re.compile(r"\{(\w+)\}")
 

@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from skeinwork import schemas as S
 from skeinwork.functions.scalars import half_even
+from skeinwork.operators import extract
 from skeinwork.operators.extract import is_stdlib
 from skeinwork.operators.records import first_of_each
+from skeinwork.tables import settle
 
 
 def symbols(facts: DataFrame) -> DataFrame:
-    """Symbol nodes; of two with one id, the one further down."""
-    rows = facts.filter("fact = 'symbol'").select("id", "type", "label", F.col("path").alias("file"), "line", "name", "bases")
+    """Symbol nodes; of two with one id, the one further down."""
+    rows = facts.filter("fact = 'scope' and direct").select("id", "type", "label", F.col("path").alias("file"), "line", "name", F.col("names").alias("bases"))
     return first_of_each(rows, ["id"], [F.desc("line")])
 
 
 def defines(facts: DataFrame) -> DataFrame:
-    return facts.filter("fact = 'defines'").select(F.col("base").alias("src_id"), F.col("id").alias("dst_id"), F.lit("defines").alias("type"), F.lit("exact").alias("confidence")).distinct()
+    """Edges from a file, class or function to what is defined in its body."""
+    return facts.filter("fact = 'scope' and direct").select(F.col("owner").alias("src_id"), F.col("id").alias("dst_id"), F.lit("defines").alias("type"), F.lit("exact").alias("confidence")).distinct()
 
 
 def extends(nodes: DataFrame) -> DataFrame:
@@ -46,45 +49,42 @@ def resolve_modules(names: DataFrame, index: DataFrame) -> DataFrame:
     return wanted.join(exact, "module", "left").join(near, "module", "left").select("module", F.coalesce("exact", "near").alias("path")).filter("path is not null")
 
 
-def _exists(df: DataFrame, nodes: DataFrame, id_: Column, out: str) -> DataFrame:
-    """df with out: the id if it is a node, else null."""
-    ids = nodes.select(F.col("id").alias(f"{out}_id"), F.col("id").alias(out))
-    return df.join(ids, id_ == F.col(f"{out}_id"), "left").drop(f"{out}_id")
-
-
-def _func(path: str, name: Column) -> Column:
-    return F.concat(F.lit("func:"), F.col(path), F.lit("#"), name)
-
-
-def _class(path: str, name: Column) -> Column:
-    return F.concat(F.lit("class:"), F.col(path), F.lit("#"), name)
+def local_symbols(names: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Names (path, name) with id: the function of that name in the file, else the class, else null."""
+    ids = nodes.select("id")
+    out = names.select("path", "name").distinct()
+    for kind in ("func", "class"):
+        own = ids.filter(F.col("id").startswith(f"{kind}:")).select(F.col("id").alias(kind))
+        out = out.join(own, F.concat(F.lit(f"{kind}:"), "path", F.lit("#"), "name") == F.col(kind), "left")
+    return out.select("path", "name", F.coalesce("func", "class").alias("id"))
 
 
 def resolved_calls(facts: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """Call sites with callee or null.
+    """Call sites with callee or null.
 
-    In this order: a method of self in its class and nowhere else; a name defined in the file, a function before a class;
-    a name bound by an import; an attribute of an imported module, or a method of an imported class.
+    A call has at most one place to look in: its own class for a method of self; for a plain name its own file, then the file that an
+    import binds the name to; for an attribute the file of the imported receiver.  All places of all calls are looked up in one
+    join with the symbols, a function before a class, and the first that has something is the callee.
     """
-    calls = facts.filter("fact = 'call'").select("path", F.col("id").alias("caller"), "name", "attr", "base", "via_self", "cls")
-    bound = facts.filter("fact = 'binding'").select("path", F.col("name").alias("bound"), F.col("base").alias("module"), F.col("attr").alias("original"))
-    modules = resolve_modules(bound, module_index(files)).select("module", F.col("path").alias("home"))
-    bound = bound.join(modules, "module", "left").withColumnRenamed("path", "in_file")
-    by_self = F.col("via_self") & F.col("cls").isNotNull()
-    at = calls.join(bound, (F.col("path") == F.col("in_file")) & (F.coalesce("name", "base") == F.col("bound")), "left").drop("in_file")
-    at = _exists(at, nodes, F.when(by_self, _func("path", F.concat_ws(".", "cls", "attr"))), "own")
-    at = _exists(at, nodes, _func("path", F.col("name")), "local_func")
-    at = _exists(at, nodes, _class("path", F.col("name")), "local_class")
-    there = F.when(F.col("name").isNotNull(), F.coalesce("original", "name")).when(F.col("original").isNull(), F.col("attr")).otherwise(F.concat_ws(".", "original", "attr"))
-    at = _exists(at, nodes, _func("home", there), "far_func")
-    method = F.col("name").isNull() & F.col("original").isNotNull()
-    at = _exists(at, nodes, F.when(~method, _class("home", there)), "far_class")
-    callee = (
-        F.when(by_self, F.col("own"))
-        .when(F.col("name").isNotNull(), F.coalesce("local_func", "local_class", "far_func", "far_class"))
-        .when(F.col("base").isNotNull() & ~F.col("via_self"), F.coalesce("far_func", "far_class"))
+    bound = extract.imported_names(facts)
+    homes = resolve_modules(bound, module_index(files)).select("module", F.col("path").alias("home"))
+    bound = bound.join(homes, "module", "left").select("path", F.col("bound").alias("first"), "home", "original")
+    one, first, attr = F.size("names") == 1, F.col("names")[0], F.col("names")[1]
+    sites = extract.call_sites(facts).withColumn("call", F.monotonically_increasing_id()).withColumns({"first": first, "on_self": F.coalesce(first == "self", F.lit(False)) & ~one})
+    sites = settle(sites.join(bound, ["path", "first"], "left"), "calls")
+    place = lambda order, file, name, functions: F.struct(F.lit(order).alias("order"), file.alias("path"), name.alias("name"), F.lit(functions).alias("only_functions"))
+    there = F.when(one, F.coalesce("original", "first")).otherwise(F.concat_ws(".", "original", attr))
+    places = (
+        F.when(F.col("on_self"), F.array(place(0, F.col("path"), F.concat(F.col("cls"), F.lit("."), attr), True)))
+        .when(one, F.array(place(0, F.col("path"), F.col("first"), False), place(1, F.col("home"), there, False)))
+        .when(F.col("original").isNotNull(), F.array(place(0, F.col("home"), there, True)))
+        .otherwise(F.array(place(0, F.col("home"), there, False)))
     )
-    return at.select("path", "caller", callee.alias("callee"))
+    wanted = sites.select("call", F.explode(places).alias("at")).select("call", "at.*").filter("path is not null and name is not null")
+    known = local_symbols(wanted, nodes).filter("id is not null")
+    found = wanted.join(known, ["path", "name"]).filter(~F.col("only_functions") | F.col("id").startswith("func:"))
+    best = found.groupBy("call").agg(F.min_by("id", "order").alias("callee"))
+    return sites.join(best, "call", "left").select("path", "caller", "callee")
 
 
 def calls(resolved: DataFrame) -> DataFrame:
@@ -98,25 +98,36 @@ def scan_summary(files: DataFrame, nodes: DataFrame, edges: DataFrame, resolved:
     return files.agg(F.count("*").alias("files")).join(n).join(e).join(resolved.agg(F.count_if(F.col("callee").isNull()).alias("unresolved_calls")))
 
 
+def typed_accesses(facts: DataFrame) -> DataFrame:
+    """Typed accesses (path, seq, src_id, type, resolution, dst_id); dst_id is null unless exactly one file defines a class of the type's name."""
+    homes = facts.filter("fact = 'scope' and kind = 'class'").groupBy(F.col("name").alias("known")).agg(F.count_distinct("path").alias("n"), F.min("path").alias("home")).filter("n = 1")
+    rows = extract.state_accesses(facts).filter("type is not null").withColumnRenamed("type", "known").join(homes, "known", "left")
+    state = F.when(F.col("home").isNotNull(), F.concat(F.lit("state:"), "home", F.lit("#"), "known", F.lit("."), "attr"))
+    return rows.select("path", "seq", F.col("accessor").alias("src_id"), _kind().alias("type"), F.col("how").alias("resolution"), state.alias("dst_id"))
+
+
+def _kind() -> Column:
+    return F.when(F.col("store"), "writes").otherwise("reads")
+
+
 def state_edges(facts: DataFrame) -> DataFrame:
-    """Reads and writes (src_id, dst_id, type, resolution); a typed access counts if exactly one file defines its type."""
-    homes = facts.filter("fact = 'class'").groupBy("name").agg(F.count_distinct("path").alias("n"), F.min("path").alias("home")).filter("n = 1").drop("n")
-    own = facts.filter("fact = 'access'").select(F.col("id").alias("src_id"), F.col("base").alias("dst_id"), "type", F.col("label").alias("resolution"), "path", F.col("n"), F.lit(0).alias("late"))
-    typed = facts.filter("fact = 'typed'").join(homes, "name").select(F.col("id").alias("src_id"), F.concat(F.lit("state:"), "home", F.lit("#"), "name", F.lit("."), "attr").alias("dst_id"), "type", F.col("label").alias("resolution"), "path", F.col("n"), F.lit(1).alias("late"))
+    """Reads and writes (src_id, dst_id, type, resolution) of self's attributes and of typed accesses whose class is known."""
+    own = extract.state_accesses(facts).filter("how = 'self'").select("path", "seq", F.col("accessor").alias("src_id"), _kind().alias("type"), F.col("how").alias("resolution"), F.concat(F.lit("state:"), "path", F.lit("#"), "cls", F.lit("."), "attr").alias("dst_id"), F.lit(0).alias("late"))
+    typed = typed_accesses(facts).filter("dst_id is not null").withColumn("late", F.lit(1))
     # The last writer of one edge decides its resolution: files in path order, own accesses of a file before its typed ones.
-    return first_of_each(own.unionByName(typed), ["src_id", "dst_id", "type"], [F.desc(F.split("path", "/")), F.desc("late"), F.desc("n")]).select("src_id", "dst_id", "type", "resolution")
+    return first_of_each(own.unionByName(typed), ["src_id", "dst_id", "type"], [F.desc(F.split("path", "/")), F.desc("late"), F.desc("seq")]).select("src_id", "dst_id", "type", "resolution")
 
 
 def state_nodes(facts: DataFrame, edges: DataFrame) -> DataFrame:
-    own = facts.filter("fact = 'state'").select("id", "label", F.col("path").alias("file"))
+    own = extract.class_states(facts).select(F.concat(F.lit("state:"), "path", F.lit("#"), "label").alias("id"), "label", F.col("path").alias("file"))
     more = edges.select(F.col("dst_id").alias("id"), F.regexp_extract("dst_id", "#(.*)$", 1).alias("label"), F.regexp_extract("dst_id", "^state:(.*?)#", 1).alias("file"))
     return own.unionByName(more).distinct().withColumn("kind", F.lit("attr"))
 
 
 def resolution_stats(facts: DataFrame, edges: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
     """A2: one row: files, symbols, edges, accesses by how they were resolved, and the share resolved."""
-    c = lambda k: F.coalesce(F.sum(F.when((F.col("fact") == "count") & (F.col("name") == k), F.col("n"))), F.lit(0))
-    f = facts.agg(c("total").alias("total"), c("self").alias("resolved_self"), c("annotation").alias("resolved_annotation"), c("constructor").alias("resolved_constructor"), c("unresolved").alias("unresolved"))
+    kinds = {"resolved_self": "self", "resolved_annotation": "annotation", "resolved_constructor": "constructor", "unresolved": "unresolved"}
+    f = extract.state_accesses(facts).agg(F.count("*").alias("total"), *[F.count_if(F.col("how") == k).alias(name) for name, k in kinds.items()])
     e = edges.agg(F.count_if(F.col("type") == "reads").alias("reads"), F.count_if(F.col("type") == "writes").alias("writes"), F.count_if(F.col("resolution") != "self").alias("typed"))
     out = files.agg(F.count("*").alias("files")).join(nodes.agg(F.count("*").alias("symbols"))).join(e).join(f)
     good = F.col("resolved_self") + F.col("resolved_annotation") + F.col("resolved_constructor")
@@ -175,13 +186,17 @@ def hotspots(churn: DataFrame, limit: int = S.HOTSPOTS) -> DataFrame:
     return churn.orderBy(F.desc("churn"), "path").limit(limit)
 
 
-def scan_result(index: DataFrame, status: DataFrame) -> DataFrame:
-    """A3: one row: files, modules, distinct internal edges and externals, and files parsed, reused and removed."""
+def scan_result(index: DataFrame, status: DataFrame, churn: DataFrame | None = None) -> DataFrame:
+    """A3: one row: files, modules, distinct internal edges and externals, files parsed, reused and removed, and the hotspots (path, churn)."""
     packs = packages(index)
     deps = dependency_edges(index, packs)
     d = deps.agg(F.count_distinct(F.when(F.col("kind") == "internal", F.struct("src_id", "dst_id"))).alias("internal"), F.count_distinct(F.when(F.col("kind") == "external", F.col("name"))).alias("external"))
     s = status.agg(*[F.count_if(F.col("status") == k).alias(k) for k in ("parsed", "reused", "removed")])
-    return index.agg(F.count("*").alias("files")).join(packs.agg(F.count("*").alias("modules"))).join(d).join(s)
+    out = index.agg(F.count("*").alias("files")).join(packs.agg(F.count("*").alias("modules"))).join(d).join(s)
+    if churn is None:
+        return out
+    rows = F.sort_array(F.collect_list(F.struct((-F.col("churn")).alias("less"), "path", "churn")))
+    return out.join(hotspots(churn).agg(F.transform(rows, lambda h: F.struct(h["path"].alias("path"), h["churn"].alias("churn"))).alias("hotspots")))
 
 
 def profile(index: DataFrame, root: str, modules: int | Column = 0) -> DataFrame:

@@ -1,185 +1,158 @@
-"""Facts of source text (X1-X9).  A Python file is parsed once; every fact of it is a row."""
+"""Facts of source text.
+
+A Python file is parsed once.  Its syntax tree comes out as rows of a few kinds, each with the scope that it stands in and its place; what they
+mean (symbols, call targets, types, states) is worked out by joins and aggregations over all files.
+"""
 
 from __future__ import annotations
 
 import ast
 import sys
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_FIELDS = {
-    "fact": pa.string(), "id": pa.string(), "type": pa.string(), "label": pa.string(), "line": pa.int32(), "name": pa.string(), "attr": pa.string(),
-    "base": pa.string(), "via_self": pa.bool_(), "cls": pa.string(), "bases": pa.list_(pa.string()), "n": pa.int64(),
-}
-FACTS = "path string, fact string, id string, type string, label string, line int, name string, attr string, base string, via_self boolean, cls string, bases array<string>, n bigint"
+#: fact: scope (a definition), bind (a name gets a value), call, attr, import or alias (a name from an import).  seq is the place in the
+#: file, depth that in the tree; direct: the statement stands in the body of its scope itself.
+FACTS = (
+    "path string, fact string, seq bigint, depth int, scope int, direct boolean, kind string, id string, caller string, accessor string, owner string, cls string,"
+    " label string, name string, line int, names array<string>, type string, how string, store boolean"
+)
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+_SCHEMA = pa.schema([(name, _ARROW[kind]) for name, kind in (f.split() for f in FACTS.split(","))])
 _JS = r"""(?:\bfrom\s+|\bimport\s+|\brequire\s*\(\s*)['"]([^'"]+)['"]"""
-_DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
-
-
-def _simple(expr: ast.expr | None) -> str | None:
-    """The last name of a plain or dotted name."""
-    return expr.id if isinstance(expr, ast.Name) else expr.attr if isinstance(expr, ast.Attribute) else None
-
+_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
-@dataclass(frozen=True)
-class Scope:
-    """Where the walk is.
 
-    Calls in a class body belong to the file, accesses there to the code around; symbols are only those
-    whose statements stand directly in a module, class or function that is itself a symbol.
-    """
+class Scope(NamedTuple):
+    """A file, class or function.  Calls in a class body belong to the file, accesses there to the code around the class."""
 
+    number: int
+    kind: str
+    id: str
+    label: str
     caller: str
     accessor: str
-    owner: str
-    direct: bool = True
-    in_class: bool = False
-    cls: str | None = None
-    prefix: str = ""
-    types: dict[str, tuple[str, str]] = field(default_factory=dict)
-
-
-def _types_of(fn: ast.FunctionDef | ast.AsyncFunctionDef) -> dict[str, tuple[str, str]]:
-    """Names of known type, from annotations and from direct construction; another value takes the type away."""
-    known: dict[str, tuple[str, str]] = {}
-    for arg in (*fn.args.posonlyargs, *fn.args.args, *fn.args.kwonlyargs):
-        if arg.arg != "self" and (name := _simple(arg.annotation)):
-            known[arg.arg] = (name, "annotation")
-    todo = list(reversed(fn.body))
+    cls: str | None
+    symbol: bool  # a definition that stands in the body of a symbol, or of the file, is a symbol
+    depth: int
+
+
+def dotted(node: ast.AST | None) -> list[str | None]:
+    """The names of a plain name (one) or of an attribute (two, the first null unless it is a plain name); empty for anything else."""
+    match node:
+        case ast.Name(id=name):
+            return [name]
+        case ast.Attribute(value=ast.Name(id=base), attr=name):
+            return [base, name]
+        case ast.Attribute(attr=name):
+            return [None, name]
+    return []
+
+
+def syntax_rows(path: str, source: str) -> Iterator[dict]:
+    """The rows of one Python file; none if it has a syntax error.  Of definitions only bodies are read: no decorators, defaults or bases."""
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return
+    here = f"file:{path}"
+    scopes = 0
+    todo = [(node, Scope(0, "file", here, "", here, here, None, True, 0), 1) for node in reversed(tree.body)]
     while todo:
-        node = todo.pop()
-        if isinstance(node, (*_DEFS, ast.ClassDef)):
-            continue
-        if isinstance(node, ast.AnnAssign) and isinstance(node.target, ast.Name):
-            if name := _simple(node.annotation):
-                known[node.target.id] = (name, "annotation")
-        elif isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
-            made = _simple(node.value.func) if isinstance(node.value, ast.Call) else None
-            if made:
-                known[node.targets[0].id] = (made, "constructor")
-            else:
-                known.pop(node.targets[0].id, None)
-        todo += reversed(list(ast.iter_child_nodes(node)))
-    return known
-
-
-class Reader:
-    """All facts of one Python file."""
-
-    def __init__(self, path: str):
-        self.path, self.rows = path, []
-        self.counts = dict.fromkeys(("total", "self", "annotation", "constructor", "unresolved"), 0)
-
-    def add(self, fact: str, **values: object) -> None:
-        self.rows.append({"fact": fact, **values})
-
-    def read(self, source: str) -> list[dict]:
-        try:
-            tree = ast.parse(source)
-        except (SyntaxError, ValueError, RecursionError):
-            return []
-        self.imports(tree)
-        here = f"file:{self.path}"
-        self.walk(tree, Scope(here, here, here))
-        for name, n in self.counts.items():
-            self.add("count", name=name, n=n)
-        return self.rows
-
-    def imports(self, tree: ast.Module) -> None:
-        bound: dict[str, tuple[str, str | None]] = {}
-        for node in ast.walk(tree):
-            if isinstance(node, ast.Import):
-                for a in node.names:
+        node, at, depth = todo.pop()
+        direct = depth == at.depth + 1
+        row = {"scope": at.number, "depth": depth, "direct": direct, "caller": at.caller, "accessor": at.accessor, "cls": at.cls, "kind": at.kind}
+        match node:
+            case ast.FunctionDef() | ast.AsyncFunctionDef() | ast.ClassDef():
+                scopes += 1
+                is_class = isinstance(node, ast.ClassDef)
+                label = f"{at.label}.{node.name}".removeprefix(".")
+                own = f"{'class' if is_class else 'func'}:{path}#{label}"
+                inner = Scope(scopes, "class" if is_class else "function", own, label, here if is_class else own, at.accessor if is_class else own, label if is_class else at.cls, direct and at.symbol, depth)
+                bases = [b[-1] for b in map(dotted, node.bases) if b] if is_class else None
+                yield {"fact": "scope", "scope": scopes, "depth": depth, "direct": inner.symbol, "kind": inner.kind, "id": own, "owner": at.id, "cls": inner.cls, "label": label, "name": node.name, "line": node.lineno, "names": bases, "type": "class" if is_class else "method" if at.kind == "class" else "function"}
+                if not is_class:
+                    row = row | {"scope": scopes, "kind": inner.kind, "accessor": own, "direct": False}
+                    for a in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs):
+                        if a.arg != "self" and (name := dotted(a.annotation)):
+                            yield row | {"fact": "bind", "name": a.arg, "type": name[-1], "how": "annotation"}
+                todo += [(child, inner, depth + 1) for child in reversed(node.body)]
+                continue
+            case ast.Import(names=names):
+                for a in names:
                     top = a.name.partition(".")[0]
-                    self.add("import", name=top, attr=a.name)
-                    bound[a.asname or top] = (a.name if a.asname else top, None)
-            elif isinstance(node, ast.ImportFrom) and not node.level and node.module:
-                self.add("import", name=node.module.partition(".")[0], attr=node.module)
-                for a in node.names:
-                    self.add("import", name=node.module.partition(".")[0], attr=f"{node.module}.{a.name}")
-                    bound[a.asname or a.name] = (node.module, a.name)
-        for name, (module, original) in bound.items():
-            self.add("binding", name=name, base=module, attr=original)
-
-    def walk(self, node: ast.AST, at: Scope) -> None:
-        if isinstance(node, (*_DEFS, ast.ClassDef)):
-            self.definition(node, at)
-            return
-        if isinstance(node, ast.Call):
-            self.call(node.func, at)
-        elif isinstance(node, ast.Attribute):
-            self.access(node, at)
-        inner = at if isinstance(node, ast.Module) else replace(at, direct=False)
-        for child in ast.iter_child_nodes(node):
-            self.walk(child, inner)
-
-    def definition(self, node: ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef, at: Scope) -> None:
-        """X5; only bodies are walked on, so decorators, defaults and bases hold no calls or accesses."""
-        label = at.prefix + node.name
-        is_class = isinstance(node, ast.ClassDef)
-        own = f"{'class' if is_class else 'func'}:{self.path}#{label}"
-        if at.direct:
-            bases = [b for b in map(_simple, node.bases) if b] if is_class else None
-            self.add("symbol", id=own, type="class" if is_class else "method" if at.in_class else "function", label=label, line=node.lineno, name=node.name, bases=bases)
-            self.add("defines", id=own, base=at.owner)
-        inner = replace(at, owner=own, prefix=f"{label}.", in_class=is_class)
-        if is_class:
-            self.add("class", name=node.name)
-            self.class_states(node, label)
-            inner = replace(inner, caller=f"file:{self.path}", cls=label, types={})
-        else:
-            inner = replace(inner, caller=own, accessor=own, types=_types_of(node))
-        for stmt in node.body:
-            self.walk(stmt, inner)
-
-    def class_states(self, node: ast.ClassDef, label: str) -> None:
-        for stmt in node.body:
-            target = stmt.target if isinstance(stmt, ast.AnnAssign) else stmt.targets[0] if isinstance(stmt, ast.Assign) and len(stmt.targets) == 1 else None
-            if isinstance(target, ast.Name):
-                self.add("state", id=f"state:{self.path}#{label}.{target.id}", label=f"{label}.{target.id}")
-
-    def call(self, func: ast.expr, at: Scope) -> None:
-        """The caller and the form of what is called."""
-        name = func.id if isinstance(func, ast.Name) else None
-        attr = func.attr if isinstance(func, ast.Attribute) else None
-        base = func.value.id if isinstance(func, ast.Attribute) and isinstance(func.value, ast.Name) else None
-        on_self = base == "self"
-        self.add("call", id=at.caller, name=name, attr=attr, base=None if on_self else base, via_self=on_self, cls=at.cls)
-
-    def access(self, node: ast.Attribute, at: Scope) -> None:
-        """A read unless it is stored to; counted by how the receiver's type is known."""
-        self.counts["total"] += 1
-        on = node.value.id if isinstance(node.value, ast.Name) else None
-        kind = "writes" if isinstance(node.ctx, ast.Store) else "reads"
-        if on == "self" and at.cls is not None:
-            state = f"state:{self.path}#{at.cls}.{node.attr}"
-            self.counts["self"] += 1
-            self.add("state", id=state, label=f"{at.cls}.{node.attr}")
-            self.add("access", id=at.accessor, type=kind, base=state, label="self", n=len(self.rows))
-        elif on in at.types:
-            name, how = at.types[on]
-            self.counts[how] += 1
-            self.add("typed", id=at.accessor, type=kind, name=name, attr=node.attr, label=how, n=len(self.rows))
-        else:
-            self.counts["unresolved"] += 1
+                    yield row | {"fact": "import", "name": top, "label": a.name}
+                    yield row | {"fact": "alias", "name": a.asname or top, "label": a.name if a.asname else top}
+            case ast.ImportFrom(level=0, module=str(module), names=names):
+                top = module.partition(".")[0]
+                yield row | {"fact": "import", "name": top, "label": module}
+                for a in names:
+                    yield row | {"fact": "import", "name": top, "label": f"{module}.{a.name}"}
+                    yield row | {"fact": "alias", "name": a.asname or a.name, "label": module, "type": a.name}
+            case ast.Call(func=func):
+                yield row | {"fact": "call", "names": dotted(func)}
+            case ast.Attribute(attr=name, ctx=ctx):
+                yield row | {"fact": "attr", "name": dotted(node)[0], "label": name, "store": isinstance(ctx, ast.Store)}
+            case ast.AnnAssign(target=ast.Name(id=name), annotation=given):
+                yield row | {"fact": "bind", "name": name, "type": (dotted(given) or [None])[-1], "how": "annotation"}
+            case ast.Assign(targets=[ast.Name(id=name)], value=value):
+                made = dotted(value.func) if isinstance(value, ast.Call) else []
+                yield row | {"fact": "bind", "name": name, "type": made[-1] if made else None, "how": "constructor" if made else "other"}
+        todo += [(child, at, depth + 1) for child in reversed(list(ast.iter_child_nodes(node)))]
 
 
 def python_facts(sources: DataFrame) -> DataFrame:
-    """Facts of all rows of (path, source); a file with a syntax error has none."""
+    """The rows of all files of (path, source)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [{"path": p, **r} for p, s in zip(b.column("path").to_pylist(), b.column("source").to_pylist(), strict=True) for r in Reader(p).read(s or "")]
-            schema = pa.schema([("path", pa.string()), *_FIELDS.items()])
-            yield from pa.Table.from_pylist(rows, schema).to_batches()
+            rows = [{"path": p, "seq": n} | r for p, s in zip(b.column("path").to_pylist(), b.column("source").to_pylist(), strict=True) for n, r in enumerate(syntax_rows(p, s or ""))]
+            yield from pa.Table.from_pylist(rows, _SCHEMA).to_batches()
 
     return sources.select("path", "source").mapInArrow(run, FACTS)
 
 
+def call_sites(facts: DataFrame) -> DataFrame:
+    """Path, caller, cls (the class around) and names: one name, or receiver and attribute; empty for other calls."""
+    return facts.filter("fact = 'call'").select("path", F.col("caller"), "cls", "names")
+
+
+def imported_names(facts: DataFrame) -> DataFrame:
+    """Path, bound, module and original: what a name stands for by imports; of several the deepest, then the last."""
+    rows = facts.filter("fact = 'alias'").groupBy("path", F.col("name").alias("bound"))
+    last = rows.agg(F.max_by(F.struct("label", "type"), F.struct("depth", "seq")).alias("x"))
+    return last.select("path", "bound", F.col("x.label").alias("module"), F.col("x.type").alias("original"))
+
+
+def type_env(facts: DataFrame) -> DataFrame:
+    """Path, scope, name, type and how of the names whose type is known in a function, wherever in it they are used.
+
+    The last binding counts: an annotation or a construction gives a type, any other value takes it away; an annotation that is no
+    plain name says nothing.
+    """
+    known = facts.filter("fact = 'bind' and kind = 'function' and (how <> 'annotation' or type is not null)")
+    last = known.groupBy("path", "scope", "name").agg(F.max_by(F.struct("type", "how"), "seq").alias("x"))
+    return last.filter("x.type is not null").select("path", "scope", "name", "x.type", "x.how")
+
+
+def state_accesses(facts: DataFrame) -> DataFrame:
+    """Path, seq, accessor, store, attr, cls, type and how of each attribute access; how is self, annotation, constructor or unresolved."""
+    env = type_env(facts).select("path", "scope", "name", F.col("type").alias("known"), F.col("how").alias("by"))
+    rows = facts.filter("fact = 'attr'").select("path", "seq", "scope", "kind", "accessor", "store", "cls", "name", F.col("label").alias("attr"))
+    own = (F.col("name") == "self") & F.col("cls").isNotNull()
+    how = F.when(own, "self").otherwise(F.coalesce("by", F.lit("unresolved")))
+    return rows.join(env, ["path", "scope", "name"], "left").select("path", "seq", "accessor", "store", "attr", "cls", F.when(~F.coalesce(own, F.lit(False)), F.col("known")).alias("type"), how.alias("how"))
+
+
+def class_states(facts: DataFrame) -> DataFrame:
+    """Path and label of the names that are bound in a class body, and of the attributes of self."""
+    body = facts.filter("fact = 'bind' and kind = 'class' and direct").select("path", F.concat_ws(".", "cls", "name").alias("label"))
+    own = facts.filter("fact = 'attr' and name = 'self' and cls is not null").select("path", F.concat_ws(".", "cls", "label").alias("label"))
+    return body.unionByName(own).distinct()
 
 
 def python_imports(facts: DataFrame) -> DataFrame:
@@ -209,5 +182,5 @@ def forbidden_imports(facts: DataFrame, prefixes: list[str]) -> DataFrame:
     """(path, module) of imports equal to or below a prefix."""
     test = F.lit(False)
     for p in prefixes:
-        test = test | (F.col("attr") == p) | F.col("attr").startswith(p + ".")
-    return facts.filter((F.col("fact") == "import") & test).select("path", F.col("attr").alias("module")).distinct()
+        test = test | (F.col("label") == p) | F.col("label").startswith(p + ".")
+    return facts.filter((F.col("fact") == "import") & test).select("path", F.col("label").alias("module")).distinct()

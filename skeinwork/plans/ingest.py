@@ -19,8 +19,8 @@ def repository_index(scan: DataFrame) -> DataFrame:
     return scan.join(imports, "path", "left").select("path", "language", "size", "hash", "imports")
 
 
-def ingest_repository(scan: DataFrame, prior: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Index, nodes, edges and the one-row result; files whose hash did not change keep their imports unparsed."""
+def ingest_repository(scan: DataFrame, prior: DataFrame | None = None, churn: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Index, nodes, edges and the one-row result, with hotspots if churn (path, churn) is given; files whose hash did not change keep their imports unparsed."""
     if prior is None:
         index = settle(repository_index(scan), "index")
         status = scan.select("path", F.lit("parsed").alias("status"))
@@ -30,7 +30,7 @@ def ingest_repository(scan: DataFrame, prior: DataFrame | None = None) -> dict[s
         kept = scan.select("path", "language", "size", "hash").join(prior.select("path", "imports"), "path").join(status.filter("status = 'reused'").select("path"), "path", "left_semi")
         index = settle(repository_index(fresh).unionByName(kept), "index")
     nodes, edges = code.repository_graph(index)
-    return {"index": index, "nodes": nodes, "edges": edges, "result": code.scan_result(index, status)}
+    return {"index": index, "nodes": nodes, "edges": edges, "result": code.scan_result(index, status, churn)}
 
 
 def ingest_symbols(scan: DataFrame) -> dict[str, DataFrame]:
@@ -76,7 +76,7 @@ def cards(nodes: DataFrame, edges: DataFrame, files: DataFrame, churn: DataFrame
 
 def sync(scan: DataFrame, churn: DataFrame | None = None) -> dict[str, DataFrame]:
     """The whole ingest: repository, cards, symbols, states."""
-    repo = ingest_repository(scan)
+    repo = ingest_repository(scan, churn=churn)
     symbols = ingest_symbols(scan)
     return {"repository": repo["result"], "cards": cards(repo["nodes"], repo["edges"], repo["index"], churn), "symbols": symbols["result"], "states": ingest_states(scan, symbols["facts"])["result"]}
 

@@ -509,83 +509,120 @@ def _(r):
     return extract.imports_of(src).withColumn("imports", F.array_join("imports", ","))
 
 
-_SOURCES = [
-    ("a.py", "import os, numpy.linalg as la\nfrom b import helper, Tool as T\nclass Base:\n    kind = 1\n    def go(self):\n        self.kind = 2\n        return self.step()\n    def step(self):\n        return helper()\n"),
-    ("b.py", "from a import Base\nclass Tool(Base):\n    def use(self, other: Base):\n        other.kind = 3\n        return len(other.kind)\ndef helper():\n    t = Tool()\n    t.size = 1\n    if t:\n        def inner():\n            return helper()\n    return x.y\n"),
-    ("bad.py", "def ("),
-]
-
-
 def _facts(r: Rel) -> DataFrame:
-    return extract.python_facts(literal_table(r.spark, _SOURCES, "path string, source string"))
+    return extract.python_facts(r.py_files.select("path", "source"))
 
 
-@query("x1_python_imports", "SELECT * FROM (VALUES ('a.py', 'b,numpy,os'), ('b.py', 'a')) t(path, imports)")
+@query("x1_python_imports", "SELECT path, 'numpy,os' AS imports FROM py_a UNION ALL SELECT path, pack FROM py_b")
 def _(r):
     return extract.python_imports(_facts(r)).withColumn("imports", F.array_join("imports", ","))
 
 
-@query("x4_stdlib", "SELECT * FROM (VALUES ('os', true), ('json', true), ('numpy', false)) t(name, std)")
+@query("x4_stdlib", "SELECT path, 'os' AS name, true AS std FROM py_a UNION ALL SELECT path, 'numpy', false FROM py_a UNION ALL SELECT path, pack, false FROM py_b")
 def _(r):
-    return r.ids("os", "json", "numpy", name="name").select("name", extract.is_stdlib(F.col("name")).alias("std"))
+    return extract.python_imports(_facts(r)).select("path", F.explode("imports").alias("name")).withColumn("std", extract.is_stdlib(F.col("name")))
+
 
+_SYMBOLS = """syms AS (SELECT concat('class:', path, '#C', k) AS id, 'class' AS type, concat('file:', path) AS owner, path FROM py_a UNION ALL SELECT concat('func:', path, '#C', k, '.go'), 'method', concat('class:', path, '#C', k), path FROM py_a
+    UNION ALL SELECT concat('func:', path, '#C', k, '.step'), 'method', concat('class:', path, '#C', k), path FROM py_a UNION ALL SELECT concat('func:', path, '#helper', k), 'function', concat('file:', path), path FROM py_a
+    UNION ALL SELECT concat('class:', path, '#Tool', k), 'class', concat('file:', path), path FROM py_b UNION ALL SELECT concat('func:', path, '#Tool', k, '.use'), 'method', concat('class:', path, '#Tool', k), path FROM py_b
+    UNION ALL SELECT concat('func:', path, '#make', k), 'function', concat('file:', path), path FROM py_b),
+    sites AS (SELECT concat('func:', path, '#C', k, '.go') AS caller, 'self.step' AS called, concat('func:', path, '#C', k, '.step') AS callee, path FROM py_a UNION ALL SELECT concat('func:', path, '#C', k, '.step'), concat('helper', k), concat('func:', path, '#helper', k), path FROM py_a
+    UNION ALL SELECT concat('func:', path, '#helper', k), 'la.norm', NULL, path FROM py_a UNION ALL SELECT concat('func:', path, '#Tool', k, '.use'), 'len', NULL, path FROM py_b
+    UNION ALL SELECT concat('func:', path, '#make', k), concat('Tool', k), concat('class:', path, '#Tool', k), path FROM py_b UNION ALL SELECT concat('func:', path, '#make', k, '.inner'), concat('helper', j), CASE WHEN home IS NOT NULL THEN concat('func:', home, '#helper', j) END, path FROM py_b),
+    touches AS (SELECT concat('func:', path, '#C', k, '.go') AS src_id, concat('state:', path, '#C', k, '.kind') AS dst_id, 'writes' AS type, 'self' AS resolution FROM py_a UNION ALL SELECT concat('func:', path, '#C', k, '.go'), concat('state:', path, '#C', k, '.step'), 'reads', 'self' FROM py_a
+    UNION ALL SELECT concat('func:', path, '#Tool', k, '.use'), CASE WHEN home IS NOT NULL THEN concat('state:', home, '#C', j, '.kind') END, t, 'annotation' FROM py_b, (VALUES ('reads'), ('writes')) v(t)
+    UNION ALL SELECT concat('func:', path, '#make', k), concat('state:', path, '#Tool', k, '.size'), 'writes', 'constructor' FROM py_b)"""
 
-@query("x5_symbols", "SELECT * FROM (VALUES ('class:a.py#Base', 'class'), ('func:a.py#Base.go', 'method'), ('func:a.py#Base.step', 'method'), ('class:b.py#Tool', 'class'), ('func:b.py#Tool.use', 'method'), ('func:b.py#helper', 'function')) t(id, type)")
+
+@query("x5_symbols", "SELECT id, type, path AS file, owner FROM syms", _SYMBOLS)
 def _(r):
-    return code.symbols(_facts(r)).select("id", "type")
+    f = _facts(r)
+    return code.symbols(f).join(code.defines(f).select(F.col("dst_id").alias("id"), F.col("src_id").alias("owner")), "id").select("id", "type", "file", "owner")
 
 
-@query("x6_call_sites", "SELECT * FROM (VALUES ('func:a.py#Base.go', NULL, 'step', true), ('func:a.py#Base.step', 'helper', NULL, false), ('func:b.py#Tool.use', 'len', NULL, false), ('func:b.py#helper', 'Tool', NULL, false), ('func:b.py#helper.inner', 'helper', NULL, false)) t(caller, name, attr, via_self)")
+@query("x6_call_sites", "SELECT path, caller, called FROM sites", _SYMBOLS)
 def _(r):
-    return _facts(r).filter("fact = 'call'").select(F.col("id").alias("caller"), "name", "attr", "via_self")
+    return extract.call_sites(_facts(r)).select("path", "caller", F.array_join("names", ".").alias("called"))
 
 
-@query("x7_state_access", "SELECT * FROM (VALUES ('func:a.py#Base.go', 'state:a.py#Base.kind', 'writes', 'self'), ('func:a.py#Base.go', 'state:a.py#Base.step', 'reads', 'self'), ('func:b.py#Tool.use', 'state:a.py#Base.kind', 'writes', 'annotation'), ('func:b.py#Tool.use', 'state:a.py#Base.kind', 'reads', 'annotation'), ('func:b.py#helper', 'state:b.py#Tool.size', 'writes', 'constructor')) t(src_id, dst_id, type, resolution)")
+@query("x7_state_access", "SELECT src_id, dst_id, type, resolution FROM touches WHERE dst_id IS NOT NULL", _SYMBOLS)
 def _(r):
     return code.state_edges(_facts(r))
 
 
-@query("x9_import_guard", "SELECT * FROM (VALUES ('a.py', 'b'), ('a.py', 'b.Tool'), ('a.py', 'b.helper')) t(path, module)")
+@query("x8_type_env", "SELECT path, 'other' AS name, concat('C', j) AS type, 'annotation' AS how FROM py_b UNION ALL SELECT path, 't', concat('Tool', k), 'constructor' FROM py_b")
 def _(r):
-    return extract.forbidden_imports(_facts(r), ["b", "numpy.fft"])
+    return extract.type_env(_facts(r)).select("path", "name", "type", "how")
 
 
-@query("j3_call_resolution", "SELECT * FROM (VALUES ('func:a.py#Base.go', 'func:a.py#Base.step'), ('func:a.py#Base.step', 'func:b.py#helper'), ('func:b.py#Tool.use', NULL), ('func:b.py#helper', 'class:b.py#Tool'), ('func:b.py#helper.inner', 'func:b.py#helper')) t(caller, callee)")
+@query("x9_import_guard", "SELECT path, 'numpy.linalg' AS module FROM py_a UNION ALL SELECT path, concat(pack, '.m', j, m) FROM py_b, (VALUES (''), ('h'), ('c')) v(x), LATERAL (SELECT CASE x WHEN '' THEN '' WHEN 'h' THEN concat('.helper', j) ELSE concat('.C', j) END AS m) WHERE pack = 'p1'")
+def _(r):
+    return extract.forbidden_imports(_facts(r), ["numpy", "p1"])
+
+
+@query("j3_call_resolution", "SELECT caller, callee FROM sites", _SYMBOLS)
 def _(r):
     f = _facts(r)
-    return code.resolved_calls(f, code.symbols(f), literal_table(r.spark, _SOURCES, "path string, source string")).select("caller", "callee")
+    return code.resolved_calls(f, code.symbols(f), r.py_files).select("caller", "callee")
+
+
+@query("j5_local_symbols", "SELECT f.path, n.name, CASE n.name WHEN concat('helper', f.k) THEN concat('func:', f.path, '#', n.name) WHEN concat('C', f.k) THEN concat('class:', f.path, '#', n.name) END AS id FROM py_a f, LATERAL (SELECT unnest([concat('helper', f.k), concat('C', f.k), 'nothing']) AS name) n")
+def _(r):
+    names = r.py_a.select("path", F.explode(F.array(F.concat(F.lit("helper"), "k"), F.concat(F.lit("C"), "k"), F.lit("nothing"))).alias("name"))
+    return code.local_symbols(names, code.symbols(_facts(r)))
+
+
+@query("j6_typed_access", "SELECT src_id, dst_id, type, resolution FROM touches WHERE resolution <> 'self'", _SYMBOLS)
+def _(r):
+    return code.typed_accesses(_facts(r)).select("src_id", "dst_id", "type", "resolution")
 
 
 def _scan(r: Rel) -> DataFrame:
-    return files.scanned(literal_table(r.spark, [(p, s.encode()) for p, s in _SOURCES], "path string, content binary"))
+    return files.scanned(r.py_files.select("path", F.col("source").cast("binary").alias("content")))
 
 
-@query("a1_scan_summary", "SELECT CAST(3 AS BIGINT) AS files, CAST(1 AS BIGINT) AS functions, CAST(3 AS BIGINT) AS methods, CAST(2 AS BIGINT) AS classes, CAST(6 AS BIGINT) AS defines_edges, CAST(1 AS BIGINT) AS extends_edges, CAST(4 AS BIGINT) AS calls_edges, CAST(1 AS BIGINT) AS unresolved_calls")
+@query("a1_scan_summary", "SELECT (SELECT count(*) FROM py_files) AS files, count(*) FILTER (type = 'function') AS functions, count(*) FILTER (type = 'method') AS methods, count(*) FILTER (type = 'class') AS classes, count(*) AS defines_edges, (SELECT count(home) FROM py_b) AS extends_edges, (SELECT count(callee) FROM sites) AS calls_edges, (SELECT count(*) - count(callee) FROM sites) AS unresolved_calls FROM syms", _SYMBOLS)
 def _(r):
     return ingest.ingest_symbols(_scan(r))["result"]
 
 
-@query("a2_resolution_stats", "SELECT CAST(3 AS BIGINT) AS files, CAST(3 AS BIGINT) AS symbols, CAST(2 AS BIGINT) AS reads, CAST(3 AS BIGINT) AS writes, CAST(3 AS BIGINT) AS typed, CAST(6 AS BIGINT) AS total, CAST(2 AS BIGINT) AS resolved_self, CAST(2 AS BIGINT) AS resolved_annotation, CAST(1 AS BIGINT) AS resolved_constructor, CAST(1 AS BIGINT) AS unresolved, CAST(0.83 AS DOUBLE) AS rate")
+@query("a2_resolution_stats", """SELECT (SELECT count(*) FROM py_files) AS files, (SELECT count(DISTINCT s) FROM (SELECT concat('state:', path, '#C', k, '.kind') AS s FROM py_a UNION SELECT dst_id FROM touches WHERE dst_id IS NOT NULL)) AS symbols, (SELECT count(*) FROM touches WHERE type = 'reads' AND dst_id IS NOT NULL) AS reads, (SELECT count(*) FROM touches WHERE type = 'writes' AND dst_id IS NOT NULL) AS writes,
+    (SELECT count(*) FROM touches WHERE resolution <> 'self' AND dst_id IS NOT NULL) AS typed, 4 * a + 4 * b AS total, 2 * a AS resolved_self, 2 * b AS resolved_annotation, b AS resolved_constructor, 2 * a + b AS unresolved, round_even((2 * a + 3 * b) / (4 * a + 4 * b), 2) AS rate FROM (SELECT (SELECT count(*) FROM py_a) AS a, (SELECT count(*) FROM py_b) AS b)""", _SYMBOLS)
 def _(r):
     return ingest.ingest_states(_scan(r))["result"]
 
 
-@query("p1_repository_ingest", "SELECT CAST(3 AS BIGINT) AS files, CAST(0 AS BIGINT) AS modules, CAST(0 AS BIGINT) AS internal, CAST(3 AS BIGINT) AS external, CAST(3 AS BIGINT) AS parsed, CAST(0 AS BIGINT) AS reused, CAST(0 AS BIGINT) AS removed")
+@query("a3_scan_result", """SELECT (SELECT count(*) FROM py_files) AS files, (SELECT count(*) FROM py_files WHERE form = 9) AS modules, (SELECT count(pack_file) FROM py_b) AS internal, (SELECT count(DISTINCT n) FROM (SELECT 'numpy' AS n FROM py_a UNION SELECT pack FROM py_b WHERE pack_file IS NULL)) AS external, (SELECT count(*) FROM py_files WHERE form <> 2) AS parsed, (SELECT count(*) FROM py_files WHERE form = 2) AS reused,
+    (SELECT count(*) FROM py_a) AS removed, (SELECT string_agg(concat(path, '=', n), ',' ORDER BY n DESC, path) FROM (SELECT concat('f', o_custkey % 50) AS path, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, path LIMIT 10)) AS hotspots""")
+def _(r):
+    scan = _scan(r)
+    empty = F.array().cast("array<string>").alias("imports")
+    old = scan.join(r.py_files.filter("form = 2").select("path"), "path", "left_semi").select("path", "hash", empty)
+    gone = r.py_a.select(F.concat(F.lit("gone/"), "path").alias("path"), F.lit("h").alias("hash"), empty)
+    churn = r.orders.groupBy(F.concat(F.lit("f"), F.col("o_custkey") % 50).alias("path")).agg(F.count("*").alias("churn"))
+    out = ingest.ingest_repository(scan, old.unionByName(gone), churn)["result"]
+    return out.withColumn("hotspots", F.array_join(F.transform("hotspots", lambda h: F.concat_ws("=", h["path"], h["churn"].cast("string"))), ","))
+
+
+@query("p1_repository_ingest", """SELECT concat('mod:', split_part(path, '/', 1)) AS src_id, concat('file:', path) AS dst_id, 'contains' AS type FROM py_files UNION ALL SELECT concat('file:', path), 'dep:numpy', 'depends_on' FROM py_a
+    UNION ALL SELECT concat('file:', path), concat(CASE WHEN pack_file IS NULL THEN 'dep:' ELSE 'mod:' END, pack), 'depends_on' FROM py_b""")
 def _(r):
-    return ingest.ingest_repository(_scan(r))["result"]
+    return ingest.ingest_repository(_scan(r))["edges"]
 
 
-@query("p2_symbol_ingest", "SELECT * FROM (VALUES ('class:b.py#Tool', 'class:a.py#Base', 'extends'), ('func:a.py#Base.go', 'func:a.py#Base.step', 'calls'), ('func:a.py#Base.step', 'func:b.py#helper', 'calls'), ('func:b.py#helper', 'class:b.py#Tool', 'calls'), ('func:b.py#helper.inner', 'func:b.py#helper', 'calls')) t(src_id, dst_id, type)")
+@query("p2_symbol_ingest", "SELECT owner AS src_id, id AS dst_id, 'defines' AS type FROM syms UNION ALL SELECT DISTINCT caller, callee, 'calls' FROM sites WHERE callee IS NOT NULL UNION ALL SELECT concat('class:', path, '#Tool', k), concat('class:', home, '#C', j), 'extends' FROM py_b WHERE home IS NOT NULL", _SYMBOLS)
 def _(r):
-    return ingest.ingest_symbols(_scan(r))["edges"].filter("type <> 'defines'").select("src_id", "dst_id", "type")
+    return ingest.ingest_symbols(_scan(r))["edges"].select("src_id", "dst_id", "type")
 
 
-@query("p3_state_ingest", "SELECT * FROM (VALUES ('state:a.py#Base.kind', 'Base.kind', 'a.py'), ('state:a.py#Base.step', 'Base.step', 'a.py'), ('state:b.py#Tool.size', 'Tool.size', 'b.py')) t(id, label, file)")
+@query("p3_state_ingest", "SELECT DISTINCT s AS id, regexp_extract(s, '#(.*)$', 1) AS label, regexp_extract(s, '^state:(.*)#', 1) AS file FROM (SELECT concat('state:', path, '#C', k, '.kind') AS s FROM py_a UNION ALL SELECT dst_id FROM touches WHERE dst_id IS NOT NULL)", _SYMBOLS)
 def _(r):
     return ingest.ingest_states(_scan(r))["nodes"].select("id", "label", "file")
 
 
-@query("p14_sync", "SELECT * FROM (VALUES ('card:File:file:a.py', 'b,numpy'), ('card:File:file:b.py', 'a'), ('card:File:file:bad.py', ''), ('card:Dependency:dep:a', ''), ('card:Dependency:dep:b', ''), ('card:Dependency:dep:numpy', '')) t(card_id, dependencies)")
+@query("p14_sync", """SELECT concat('card:File:file:', f.path) AS card_id, coalesce(CASE f.form WHEN 0 THEN 'numpy' WHEN 1 THEN b.pack END, '') AS dependencies FROM py_files f LEFT JOIN py_b b ON b.k = f.k AND f.form = 1 UNION ALL SELECT concat('card:Module:mod:', split_part(path, '/', 1)), '' FROM py_files WHERE form = 9
+    UNION ALL SELECT DISTINCT concat('card:Dependency:dep:', n), '' FROM (SELECT 'numpy' AS n FROM py_a UNION SELECT pack FROM py_b WHERE pack_file IS NULL)""")
 def _(r):
     return ingest.sync(_scan(r))["cards"].select("card_id", "dependencies")
 
