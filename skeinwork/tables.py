@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors reach; a local folder only where it is unset."""
+    """spark.checkpoint.dir, which all executors reach.  Where it is unset a temporary folder serves a local session; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
         if given.isDefined():
             return given.get()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         found = tempfile.mkdtemp(prefix="skeinwork-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -24,10 +26,10 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df to the shared folder and read it back, which ends its lineage; the files go with the application."""
+    """Write df to the shared folder and read it back: its lineage ends there, and a lost executor loses nothing.  The files go with the application."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{work_dir(spark)}/skeinwork-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
