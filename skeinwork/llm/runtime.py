@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinwork.tables import settle as settle
+
 #: Rows in one Arrow batch.  Texts can be long, so a batch is kept to a few MB in the usual case.
 BATCH_ROWS = 512
 
@@ -37,33 +37,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can reach: spark.checkpoint.dir, or a local one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if given.isDefined():
-            return given.get()
-        found = tempfile.mkdtemp(prefix="skeinwork-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there, and a lost executor loses nothing.
-
-    The files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skeinwork-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded(df: DataFrame, n: int, *names: str) -> DataFrame:
     """n rows of df at most, those of the least hashes of the named columns: the same for the same rows, however they lie.
 
