@@ -2,16 +2,17 @@
 
 All sets are ordered alike: shingles that are frequent in the corpus last, by frequency class, else by hash.  Two sets that
 reach the threshold share a shingle in their prefixes, the first n - ceil(t * n) + 1 of n.  Prefixes are dealt to buckets by
-range of hash.  In a bucket the sets' parts, their shared shingles in one order, go into a trie.  A probe set walks the nodes that
+range of hash; shingles that no other prefix has are dropped, which leaves few.  In a bucket the sets' parts, their
+shingles in one order, go into a trie.  A probe set walks the nodes that
 hold its shingles from the root down: what a node shares with the probe is counted once for all sets below it, and a subtree
 is left if the shingles that are still to come on either side, here and in other buckets, cannot make up the least overlap.
 The overlaps of a pair over all buckets give the exact size of the prefixes' intersection, hence a bound; pairs that
 stay are verified on the whole sets.
 
 What is wanted are components, so links between sets already known to be connected need not be found.  Equal sets are one set
-from the start.  The trie is walked twice.  In the first walk a node stands by its set of the smallest id, so each set meets only the
-leaders on its own path; verified links make first components, and a large group of near copies is joined with few leaders instead
-of pair by pair.  The second walk meets all sets, but enters no subtree that lies in the probe's own component, so no link between
+from the start.  The trie is walked twice.  In the first walk a node stands by its leader, so each set meets only the
+leaders of the nodes that hold its shingles; verified links make first components, and a large group of near copies is joined with few leaders instead
+of pair by pair.  This is repeated with the leaders of other components while it finds links (ROUNDS).  The second walk meets all sets, but enters no subtree that lies in the probe's own component, so no link between
 components is lost.  A bucket with much to compare is walked by several tasks, each with its share of the probes.
 
 Shingles are told apart by 64-bit hashes.  Document frequencies are counted over all
@@ -24,7 +25,8 @@ one doc_id are one document; rows without doc_id have their size and a null comp
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -53,8 +55,8 @@ BUCKET = 1_000_000
 SLOTS = 1 << 23
 #: Pairs that share a shingle in a bucket, about, from which on it is walked by one more task; and rows given on at once.
 WORK, CHUNK = 20_000_000, 100_000
-#: Leaders that a set is compared with after the first walk, and sets that are compared with one copy of a leader.
-LEADERS, MEMBERS = 3, 64
+#: Rounds of the first walk at most, leaders that a set is compared with after each, and sets that are compared with one copy of a leader.
+ROUNDS, LEADERS, MEMBERS = 2, 3, 64
 
 
 def prefix_length(n: Column | np.ndarray | int) -> Column | np.ndarray | int:
@@ -148,7 +150,7 @@ def _order(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold.
+    """The pairs whose whole sets reach the threshold, each once, the smaller id as a.
 
     The set of an a is sent once for MEMBERS of its b; the rows stream past in order, an a before its b's.
     """
@@ -202,7 +204,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
                         break
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.int64()) for k in range(2)], ["a", "b"])
 
-    return rows.mapInArrow(check, "a long, b long").distinct()
+    return rows.mapInArrow(check, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _prefixes(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], width: int) -> DataFrame:
@@ -231,14 +233,14 @@ def _prefixes(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], width: int)
 
 
 def _dealt(prefixes: DataFrame, buckets: int) -> DataFrame:
-    """A row for each batch and bucket: the documents with a shingle there, and (document, shingle) pairs, as packed arrays."""
+    """A row for each batch and bucket: the sets with a shingle there, and (set, shingle) pairs, as packed arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, label, n = (b.column(k).to_numpy() for k in ("rep", "label", "n"))
+            rep = b.column("rep").to_numpy()
             raws = b.column("prefix").to_pylist()
             flat = np.frombuffer(b"".join(raws), np.uint64)
             doc = np.repeat(np.arange(len(raws)), [len(r) // 8 for r in raws])
@@ -250,30 +252,50 @@ def _dealt(prefixes: DataFrame, buckets: int) -> DataFrame:
             rows = []
             for d, f, k in zip(np.split(doc, cuts), np.split(flat, cuts), bucket[np.concatenate([[0], cuts])].tolist(), strict=True):
                 own, back = np.unique(d, return_inverse=True)
-                rows.append((k, ids[own].tobytes(), label[own].tobytes(), n[own].astype(np.int32).tobytes(), back.astype(np.uint16).tobytes(), f.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64())] + [pa.array([r[j] for r in rows], pa.binary()) for j in range(1, 6)], ["bucket", "ids", "labels", "ns", "docs", "items"])
+                rows.append((k, rep[own].tobytes(), back.astype(np.uint16).tobytes(), f.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64())] + [pa.array([r[j] for r in rows], pa.binary()) for j in range(1, 4)], ["bucket", "reps", "docs", "items"])
 
-    return prefixes.mapInArrow(run, "bucket long, ids binary, labels binary, ns binary, docs binary, items binary")
+    return prefixes.select("rep", "prefix").mapInArrow(run, "bucket long, reps binary, docs binary, items binary")
 
 
-def _shared(dealt: DataFrame, split: bool) -> DataFrame:
-    """A row for each bucket and each task that is to walk it: the sets that share a shingle with one of another label, and the shared ones.
+def _shared(prefixes: DataFrame, buckets: int) -> DataFrame:
+    """(item, rep, owner) for each shingle that is in the prefixes of two sets or more; owner is the smallest id that has it."""
 
-    Shingles are numbered in the bucket's order, those of many sets first, so that sets share long paths; spare is what of a set's
-    prefix lies in other buckets.
+    def run(table: pa.Table) -> pa.Table:
+        lean()
+        reps, docs, items = [], [], []
+        for r, d, f in zip(*(table.column(k).to_pylist() for k in ("reps", "docs", "items")), strict=True):
+            reps.append(np.frombuffer(r, np.int64)[np.frombuffer(d, np.uint16)])
+            items.append(np.frombuffer(f, np.uint64))
+        rep, item = np.concatenate(reps), np.concatenate(items)
+        o = np.lexsort((rep, item))
+        rep, item = rep[o], item[o]
+        starts = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
+        often = np.diff(np.append(starts, len(item)))
+        keep = np.repeat(often > 1, often)
+        return pa.table([pa.array(x[keep]) for x in (item.view(np.int64), rep, np.repeat(rep[starts], often))], ["item", "rep", "owner"])
+
+    return _dealt(prefixes, buckets).groupBy("bucket").applyInArrow(run, "item long, rep long, owner long")
+
+
+_ARRAYS = ("ids", "labels", "sizes", "totals", "lengths", "ranks")
+
+
+def _parts(items: DataFrame, split: bool) -> DataFrame:
+    """A row for each bucket and each task that is to walk it: the sets that share a shingle with one of another label, and these shingles.
+
+    items has bucket, rep, label, n, total and item.
     """
 
     def run(table: pa.Table) -> pa.Table:
         lean()
-        ids, labels, sizes, docs, items, base = [], [], [], [], [], 0
-        for i, lab, n, d, f in zip(*(table.column(k).to_pylist() for k in ("ids", "labels", "ns", "docs", "items")), strict=True):
-            ids.append(np.frombuffer(i, np.int64))
-            labels.append(np.frombuffer(lab, np.int64))
-            sizes.append(np.frombuffer(n, np.int32).astype(np.int64))
-            docs.append(np.frombuffer(d, np.uint16).astype(np.int64) + base)
-            items.append(np.frombuffer(f, np.uint64))
-            base += len(ids[-1])
-        part = shared_part(*map(np.concatenate, (ids, labels, sizes, docs, items)))
+        rep, doc = np.unique(table.column("rep").to_numpy(), return_inverse=True)
+        label, n, total = (np.zeros(len(rep), np.int64) for _ in range(3))
+        for x, k in ((label, "label"), (n, "n"), (total, "total")):
+            x[doc] = table.column(k).to_numpy()
+        item = table.column("item").to_numpy()
+        o = np.lexsort((doc, item))
+        part = shared_part(rep, label, n, total, doc[o], item[o])
         rows = []
         if part is not None:
             work, arrays = part
@@ -283,27 +305,21 @@ def _shared(dealt: DataFrame, split: bool) -> DataFrame:
         return pa.table([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], ["bucket", "task", "tasks", *_ARRAYS])
 
     schema = T.StructType([T.StructField(k, T.LongType()) for k in ("bucket", "task", "tasks")] + [T.StructField(k, T.BinaryType()) for k in _ARRAYS])
-    return dealt.groupBy("bucket").applyInArrow(run, schema)
-
+    return items.select("bucket", "rep", "label", "n", "total", "item").groupBy("bucket").applyInArrow(run, schema)
 
-_ARRAYS = ("ids", "labels", "sizes", "spares", "lengths", "ranks")
 
+def shared_part(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, totals: np.ndarray, doc: np.ndarray, item: np.ndarray) -> tuple[int, tuple[np.ndarray, ...]] | None:
+    """Pairs that share a shingle here, counted by shingle, and the arrays of a bucket; None if no shingle is shared between labels.
 
-def shared_part(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, docs: np.ndarray, items: np.ndarray) -> tuple[int, tuple[np.ndarray, ...]] | None:
-    """Pairs that share a shingle here, counted by shingle, and the arrays of a bucket; None if no shingle is shared between labels."""
-    o = np.lexsort((docs, items))
-    item, doc = items[o], docs[o]
-    new = np.concatenate([[True], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])]) if len(item) else np.zeros(0, bool)
-    item, doc = item[new], doc[new]
-    if not len(item):
-        return None
-    here = np.bincount(doc, minlength=len(ids))
+    doc and item are (set, shingle) pairs by shingle.  Shingles are numbered in the bucket's order, those of many sets first, so that
+    sets share long paths.
+    """
     starts = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
-    often = np.diff(np.append(starts, len(item)))
-    mixed = np.minimum.reduceat(labels[doc], starts) != np.maximum.reduceat(labels[doc], starts)
+    often, lab = np.diff(np.append(starts, len(item))), labels[doc]
+    mixed = np.minimum.reduceat(lab, starts) != np.maximum.reduceat(lab, starts)
     if not mixed.any():
         return None
-    rank = np.zeros(len(starts), np.int64)
+    rank = np.zeros(len(often), np.int64)
     order = np.flatnonzero(mixed)[np.argsort(-often[mixed], kind="stable")]
     rank[order] = np.arange(len(order))
     keep = np.repeat(mixed, often)
@@ -312,7 +328,7 @@ def shared_part(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, docs: np
     number, doc = number[o], doc[o]
     own, lengths = np.unique(doc, return_counts=True)
     pairs = int((often[mixed] * (often[mixed] - 1) // 2).sum())
-    return pairs, (ids[own], labels[own], sizes[own], (prefix_length(sizes) - here)[own], lengths, number.astype(">u4"))
+    return pairs, (ids[own], labels[own], sizes[own], totals[own], lengths, number.astype(">u4"))
 
 
 def needed(nx: int, ny: int) -> int:
@@ -338,12 +354,14 @@ class Trie:
     """The prefix tree of the sets' parts in one bucket.
 
     Equal parts are one leaf; leaves are numbered in the tree's order, so the leaves below a node are a range.  Nodes are numbered
-    in preorder.  A node knows of the sets below it: the least and greatest size, the longest part, the most that one has in
-    other buckets, the one with the smallest id, and their label if they have only one.
+    in preorder.  A node knows of the sets below it: the least and greatest size, the longest part, the most that one shares with others
+    in other buckets, the leader, and the best one of another label than the leader's.  The leader is the set of whose prefix others have
+    most, then the one with the smallest id: of edited copies the one with the fewest edits.
     """
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, spares: np.ndarray, lengths: np.ndarray, ranks: np.ndarray):
-        self.ids, self.labels, self.sizes, self.spares = ids.tolist(), labels.tolist(), sizes.tolist(), spares.tolist()
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, totals: np.ndarray, lengths: np.ndarray, ranks: np.ndarray):
+        self.ids, self.labels, self.sizes, self.spares = ids.tolist(), labels.tolist(), sizes.tolist(), (totals - lengths).tolist()
+        self.worth = list(zip((-(1000 * totals // prefix_length(sizes))).tolist(), self.ids, strict=True))
         raw, ends = ranks.tobytes(), (4 * np.cumsum(lengths)).tolist()
         parts: dict[bytes, list[int]] = {}
         for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
@@ -383,38 +401,57 @@ class Trie:
         """What nodes know, from the leaves up."""
         n = len(self.item)
         self.low, self.high, self.longest, self.spare = [1 << 62] * n, [0] * n, [0] * n, [0] * n
-        self.lead, self.label = [-1] * n, [None] * n
+        self.lead, self.other = [-1] * n, [-1] * n
         self.of_leaf = []
         for leaf, members in enumerate(self.members):
             sizes = [self.sizes[m] for m in members]
             labels = {self.labels[m] for m in members}
-            lead = min(members, key=self.ids.__getitem__)
             self.of_leaf.append((min(sizes), max(sizes), max(self.spares[m] for m in members), labels.pop() if len(labels) == 1 else None))
-            self._add(self.paths[leaf][-1], *self.of_leaf[-1][:2], len(self.items[leaf]), self.of_leaf[-1][2], lead, self.of_leaf[-1][3])
+            self._add(self.paths[leaf][-1], *self.of_leaf[-1][:2], len(self.items[leaf]), self.of_leaf[-1][2], members)
         up = [-1] * n
         for path in self.paths:
             for a, b in zip(path, path[1:], strict=False):
                 up[b] = a
         for k in range(n - 1, -1, -1):
             if up[k] >= 0:
-                self._add(up[k], self.low[k], self.high[k], self.longest[k], self.spare[k], self.lead[k], self.label[k])
+                self._add(up[k], self.low[k], self.high[k], self.longest[k], self.spare[k], (self.lead[k], self.other[k]))
 
-    def _add(self, n: int, low: int, high: int, longest: int, spare: int, lead: int, label: int | None) -> None:
-        new = self.lead[n] < 0
+    def _add(self, n: int, low: int, high: int, longest: int, spare: int, leaders: Iterable[int]) -> None:
         self.low[n], self.high[n] = min(self.low[n], low), max(self.high[n], high)
         self.longest[n], self.spare[n] = max(self.longest[n], longest), max(self.spare[n], spare)
-        self.label[n] = label if new or label == self.label[n] else None
-        if new or self.ids[lead] < self.ids[self.lead[n]]:
-            self.lead[n] = lead
+        for m in leaders:
+            self.lead[n], self.other[n] = self._best(self.lead[n], self.other[n], m)
+
+    def _best(self, lead: int, other: int, m: int) -> tuple[int, int]:
+        """The leader, and the best one of another label than its, when m comes to them; -1 is none."""
+        worth, labels = self.worth, self.labels
+        if m < 0:
+            return lead, other
+        if lead < 0 or worth[m] < worth[lead]:
+            return m, lead if lead >= 0 and labels[lead] != labels[m] else other
+        if labels[m] != labels[lead] and (other < 0 or worth[m] < worth[other]):
+            return lead, m
+        return lead, other
 
     def leaders(self) -> Iterator[tuple[int, int, int, int, int]]:
-        """(a, b, overlap, size of a, size of b): each set b with the leaders a of the nodes on its path, and how far they share it."""
-        for path, members in zip(self.paths, self.members, strict=True):
-            shared = {self.lead[n]: depth for depth, n in enumerate(path, 1)}
+        """(a, b, overlap, size of a, size of b): each set b with the leaders a of the nodes that hold its shingles.
+
+        All nodes of a shingle have one leader between them; a set of the leader's label meets the best one of another label.  The
+        overlap counts the shingles that led to a.
+        """
+        best: dict[int, tuple[int, int]] = {}
+        for x, nodes in self.holders.items():
+            pair = (-1, -1)
+            for n in nodes:
+                pair = self._best(*self._best(*pair, self.lead[n]), self.other[n])
+            best[x] = pair
+        for items, members in zip(self.items, self.members, strict=True):
+            pairs = [best[x] for x in items]
             for m in members:
-                for lead, depth in shared.items():
-                    if self.ids[lead] != self.ids[m]:
-                        yield self.ids[lead], self.ids[m], depth, self.sizes[lead], self.sizes[m]
+                label = self.labels[m]
+                for lead, times in Counter(a if self.labels[a] != label else b for a, b in pairs).items():
+                    if lead >= 0:
+                        yield self.ids[lead], self.ids[m], times, self.sizes[lead], self.sizes[m]
 
     def walk(self, k: int) -> Iterator[tuple[int, int, int]]:
         """(first leaf, end, overlap) of the leaves from k on that may be linked with leaf k and share something with it here."""
@@ -436,7 +473,7 @@ class Trie:
                 at = first
             least = least_needed(low, high, self.low[n], self.high[n])
             to_come = min(left[self.item[n]], self.longest[n] - self.depth[n]) + min(spare, self.spare[n])
-            if least is None or len(open_) + 1 + to_come < least or (label is not None and label == self.label[n]):
+            if least is None or len(open_) + 1 + to_come < least or (label is not None and self.other[n] < 0 and label == self.labels[self.lead[n]]):
                 at = self.end[n]
             else:
                 open_.append(self.end[n])
@@ -499,21 +536,44 @@ def all_pairs(shared: DataFrame) -> DataFrame:
     return _walked(shared, leaders=False).filter(F.col("common") >= _least()).select("a", "b")
 
 
+def _by_family(items: DataFrame, label: DataFrame | None) -> DataFrame:
+    """items with label and bucket: a set's component so far, and shingles together whose owners are in one component.
+
+    So the shingles that members of a family share lie in one bucket, and the trie sees whole overlaps.  A family with more than
+    BUCKET of them is cut into several buckets by shingle; small families share buckets.
+    """
+    spark = items.sparkSession
+    if label is None:
+        items = items.withColumns({"label": F.col("rep"), "family": F.col("owner")})
+    else:
+        of = lambda c, to: label.select(F.col("node").alias(c), F.col("label").alias(to))
+        items = items.join(of("rep", "label"), "rep", "left").join(of("owner", "family"), "owner", "left").withColumns({"label": F.coalesce("label", "rep"), "family": F.coalesce("family", "owner")})
+    large = items.groupBy("family").count().filter(F.col("count") > BUCKET).select("family", F.ceil(F.col("count") / BUCKET).alias("cuts"))
+    buckets = max(-(-items.count() // BUCKET), min(12, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    cut = F.pmod(F.xxhash64("item"), F.coalesce("cuts", F.lit(1)))
+    # One row for each BUCKET of the items at most: small enough to be broadcast at any size of the input, and so no family lands in one task.
+    return items.join(F.broadcast(large), "family", "left").withColumn("bucket", F.pmod(F.xxhash64("family", cut), F.lit(buckets)))
+
+
 def links(docs: DataFrame, rows: DataFrame, sets: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """The verified links (a, b) after the first walk, and those that the second one adds between components."""
     spark = docs.sparkSession
     total, every = sets.agg(F.sum("n")).first()[0] or 0, rows.agg(F.sum("n")).first()[0] or 0
     least = min(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = _order(settle(_counted(docs.filter("doc_id is not null"), width, max(-(-every // PART), least)), "frequent"))
-    own = sets.select("rep", "n").dropDuplicates(["rep"])
-    prefixes = settle(_prefixes(docs, order, width).join(own, F.col("doc_id") == F.col("rep")).select("rep", "n", "prefix"), "prefixes")
-    buckets = max(-(-total // (DEN * BUCKET)), least)
-    shared = _shared(_dealt(prefixes.withColumn("label", F.col("rep")), buckets), split=False)
-    first = settle(_linked(docs, settle(leader_pairs(shared), "leaders"), width), "links")
-    label = components(first).withColumnRenamed("node", "rep")
-    labelled = prefixes.join(label, "rep", "left").select("rep", "n", F.coalesce("label", "rep").alias("label"), "prefix")
-    shared = _shared(_dealt(labelled, buckets), split=True)
-    return first, settle(_linked(docs, settle(all_pairs(shared), "pairs"), width), "more-links")
+    own = sets.select("rep", F.col("n").cast("long").alias("n")).dropDuplicates(["rep"])
+    prefixes = _prefixes(docs, order, width).join(own.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").withColumnRenamed("doc_id", "rep")
+    shared = settle(_shared(prefixes, max(-(-total // (DEN * BUCKET)), least)), "shared")
+    totals = shared.groupBy("rep").agg(F.count("*").alias("total")).join(own, "rep")
+    items = settle(shared.join(totals, "rep"), "items")
+    label, first = None, None
+    for _ in range(ROUNDS):
+        found = settle(_linked(docs, settle(leader_pairs(_parts(_by_family(items, label), split=False)), "leaders"), width), "links")
+        first = found if first is None else first.unionByName(found)
+        if found.isEmpty():
+            break
+        label = settle(components(first), "labels")
+    return first, settle(_linked(docs, settle(all_pairs(_parts(_by_family(items, label), split=True)), "pairs"), width), "more-links")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
