@@ -37,7 +37,7 @@ SAMPLE, PROBES = 16384, 256
 #: Rows for each cell, and the least and the greatest number of centroids of a half.
 CELL, CENTROIDS = 50, (16, 1024)
 #: The share of the true neighbours that the visited cells should hold; a little above what is asked for.
-RECALL = 0.94
+RECALL = 0.95
 #: Entries in a block, about; queries scored at once.
 BLOCK, AT_ONCE = 8192, 128
 _PARTITION_BITS = 36
