@@ -63,7 +63,7 @@ RELATIONS: dict[str, str] = {
         CASE WHEN l.doc_id IS NOT NULL THEN CAST(d.doc_id % 400 AS BIGINT) END AS tokens_actual FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id""",
     "items": """
         SELECT source AS bundle, concat('doc', doc_id) AS ref, CASE doc_id % 10 WHEN 0 THEN 'card' WHEN 1 THEN 'criteria' WHEN 2 THEN 'decision' WHEN 3 THEN 'finding' WHEN 4 THEN 'adr' WHEN 5 THEN 'evidence' WHEN 6 THEN 'repo_profile' WHEN 7 THEN 'memory' WHEN 8 THEN 'source' ELSE 'other' END AS kind,
-        substr(text, 1, 40) AS content, CAST(length(text) % 977 + 20 AS BIGINT) AS tokens, CAST(length(text) AS BIGINT) AS raw_tokens, doc_id AS place FROM {documents}""",
+        text AS content, CAST(length(text) % 977 + 20 AS BIGINT) AS tokens, CAST(length(text) AS BIGINT) AS raw_tokens, doc_id AS place FROM {documents}""",
     "findings": """
         SELECT d.source AS agent, d.lang AS claim, CASE WHEN l.toxic = 1 THEN 'high' WHEN l.quality = 0 THEN 'med' WHEN l.quality = 1 THEN 'low' ELSE 'other' END AS severity, CAST(d.n_chars % 100 AS DOUBLE) / 100 AS confidence, d.doc_id AS arrival
         FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id""",

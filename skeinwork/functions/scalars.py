@@ -122,6 +122,30 @@ def surrogate_id(prefix: str, *keys: Column | str) -> Column:
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(F.concat_ws("|", *map(_c, keys)), 256), 1, 26))
 
 
+# The digits of base 32 as conv writes them and as identifiers have them.
+_BASE32, _ULID = "0123456789abcdefghijklmnopqrstuv", "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def ulid(at: Column | str, *keys: Column | str) -> Column:
+    """A sortable id of 26 digits: ten for the milliseconds of a timestamp, sixteen that follow from the keys, so a repeated run gives the same one."""
+    digest = F.sha2(F.concat_ws("|", *map(_c, keys)), 256)
+    parts = [F.lpad(F.lower(F.conv(F.unix_millis(_c(at)).cast("string"), 10, 32)), 10, "0")]
+    parts += [F.lpad(F.lower(F.conv(F.substring(digest, k, 10), 16, 32)), 8, "0") for k in (1, 11)]
+    return F.translate(F.concat(*parts), _BASE32, _ULID)
+
+
+def setting(value: Column | str) -> Column:
+    """What coerced makes of a text, as struct(kind, value): true or false, null, a whole number, or text."""
+    low = F.lower(F.trim(_c(value)))
+    number = F.regexp_extract(_c(value), r"^\s*([+-]?[0-9]+)\s*$", 1)
+    return (
+        F.when(low.isin("true", "false"), F.struct(F.lit("boolean").alias("kind"), low.alias("value")))
+        .when(low.isin("null", "none"), F.struct(F.lit("null").alias("kind"), F.lit(None).cast("string").alias("value")))
+        .when(number != "", F.struct(F.lit("integer").alias("kind"), number.cast("decimal(38,0)").cast("string").alias("value")))
+        .otherwise(F.struct(F.lit("text").alias("kind"), _c(value).alias("value")))
+    )
+
+
 def purpose_text(type_: Column, label: Column, language: Column, size: Column, files: Column) -> Column:
     """C14: the sentence of a card."""
     return (

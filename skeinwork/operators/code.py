@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -199,11 +203,23 @@ def scan_result(index: DataFrame, status: DataFrame, churn: DataFrame | None = N
     return out.join(hotspots(churn).agg(F.transform(rows, lambda h: F.struct(h["path"].alias("path"), h["churn"].alias("churn"))).alias("hotspots")))
 
 
-def profile(index: DataFrame, root: str, modules: int | Column = 0) -> DataFrame:
+def ordered_digest(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(digest): the digest of all texts in the order of key.  A digest is one chain, so one task takes the sorted parts in turn; it holds a batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = hashlib.sha256()
+        for b in batches:
+            digest.update("".join(b.column(0).to_pylist()).encode())
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], ["digest"])
+
+    return df.orderBy(key).select(text).coalesce(1).mapInArrow(run, "digest string")
+
+
+def profile(index: DataFrame, root: str) -> DataFrame:
     """A4: languages, counts and a digest over path:hash in path order."""
-    rows = F.sort_array(F.collect_list(F.struct("path", "hash")))
-    digest = F.sha2(F.array_join(F.transform(rows, lambda r: F.concat(r["path"], F.lit(":"), r["hash"])), ""), 256)
-    return index.agg(F.lit(root).alias("root"), F.array_join(F.sort_array(F.collect_set("language")), ",").alias("languages"), F.count("*").alias("file_count"), digest.alias("index_hash"))
+    counts = index.agg(F.lit(root).alias("root"), F.array_join(F.sort_array(F.collect_set("language")), ",").alias("languages"), F.count("*").alias("file_count"))
+    lines = index.select("path", F.concat_ws(":", "path", F.coalesce("hash", F.lit(""))).alias("line"))
+    return counts.join(ordered_digest(lines, "path", "line").withColumnRenamed("digest", "index_hash"))
 
 
 def module_hashes(edges: DataFrame, files: DataFrame) -> DataFrame:

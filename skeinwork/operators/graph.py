@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skeinwork.operators.records import brief, confident_calls, resolve
 from skeinwork.tables import settle
@@ -38,9 +39,8 @@ def reach(adjacency: DataFrame, seeds: DataFrame, depth: int | None = None) -> D
     (depth, parent, id) is that of a search which visits neighbours by id.  A level is written to the shared
     folder; only the question whether it is empty comes to the driver.
     """
-    adjacency = adjacency.distinct()
-    if depth is None or depth > 1:  # read once for each level
-        adjacency = settle(adjacency, "adjacency")
+    if depth is None or depth > 2:  # read once for each level
+        adjacency = settle(adjacency.distinct(), "adjacency")
     start = seeds.select(F.col("id").alias("seed")).distinct()
     frontier = start.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
     seen, level = frontier, 0
@@ -84,26 +84,23 @@ def paths_to(edges: DataFrame, target: DataFrame, max_depth: int = 6, max_paths:
     """Simple caller chains root to target: (target, chain), the first by the order of a depth-first search.
 
     A chain ends where no caller outside it is left, or at the depth bound.  Chains start as those of one node, so a
-    target without callers is its own chain.  Arrays compare element by element, which is the order of the search.
+    target without callers is its own chain.  Arrays compare element by element, which is the order of the search.  Every chain
+    begun comes to an end, so the first max_paths of a length hold the beginnings of the first max_paths of all: no more are kept.
     """
     back = settle(directed(confident_calls(edges, floor), "in").distinct(), "adjacency")
-    chains = target.select(F.col("id").alias("target"), F.array("id").alias("chain")).distinct()
-    done = None
+    chains = target.select(F.col("id").alias("target"), F.array("id").alias("chain"), F.lit(False).alias("ended")).distinct()
     for _ in range(max_depth):
-        grown = chains.join(back, F.element_at("chain", -1) == F.col("src"), "left").filter(F.col("dst").isNull() | ~F.array_contains("chain", F.col("dst")))
-        ends = chains.join(grown.filter("dst is not null").select("target", "chain").distinct(), ["target", "chain"], "left_anti")
-        done = ends if done is None else done.unionByName(ends)
-        chains = settle(grown.filter("dst is not null").select("target", F.concat("chain", F.array("dst")).alias("chain")), "chains")
-        if chains.isEmpty():
+        step = chains.join(back, ~F.col("ended") & (F.element_at("chain", -1) == F.col("src")), "left").filter(F.col("dst").isNull() | ~F.array_contains("chain", F.col("dst")))
+        grown = step.filter("dst is not null").select("target", F.concat("chain", F.array("dst")).alias("chain"), F.lit(False).alias("ended"))
+        ends = chains.join(grown.select("target", F.slice("chain", 1, F.size("chain") - 1).alias("chain")).distinct(), ["target", "chain"], "left_anti").withColumn("ended", F.lit(True))
+        chains = settle(_first_paths(ends.unionByName(grown), ["target"], "chain", max_paths).drop("rank"), "chains")
+        if chains.filter("not ended").isEmpty():
             break
-    every = done.unionByName(chains) if done is not None else chains
-    return _first_paths(every, "target", "chain", max_paths).select("target", "rank", F.reverse("chain").alias("chain"))
+    return _first_paths(chains, ["target"], "chain", max_paths).select("target", "rank", F.reverse("chain").alias("chain"))
 
 
-def _first_paths(paths: DataFrame, key: str, path: str, limit: int) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    return paths.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(path))).filter(F.col("rank") <= limit)
+def _first_paths(paths: DataFrame, keys: list[str], path: str, limit: int) -> DataFrame:
+    return paths.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(path))).filter(F.col("rank") <= limit)
 
 
 def lineage_adjacency(calls: DataFrame, df_edges: DataFrame, floor: str = "resolved") -> DataFrame:
@@ -117,29 +114,51 @@ def lineage_adjacency(calls: DataFrame, df_edges: DataFrame, floor: str = "resol
 
 
 def find_paths(adjacency: DataFrame, pairs: DataFrame, max_depth: int = 8, max_paths: int = 10) -> DataFrame:
-    """Simple paths (source, target, rank, path) of at most max_depth edges; a path stops at its target.
+    """Simple paths (source, target, rank, path) of at most max_depth edges, the first by order; a path stops at its target.
 
-    Steps that cannot reach the target any more are not taken: the distance to it is known from a search backwards.
+    Steps that cannot reach the target any more are not taken: the distance to it is known from a search backwards.  Of the paths begun
+    for a pair only the first are kept at each length.  A pair is done if max_paths of its paths come before everything that was
+    let go; the others, for which too many beginnings came to nothing, are searched again with more kept.
     """
-    pairs = pairs.select("source", "target").distinct()
+    pairs = settle(pairs.select("source", "target").distinct(), "pairs")
     adjacency = settle(adjacency.distinct(), "adjacency")
     back = adjacency.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     to = reach(back, pairs.select(F.col("target").alias("id")), max_depth).select(F.col("seed").alias("target"), F.col("id").alias("node"), F.col("depth").alias("left"))
     to = settle(to.unionByName(pairs.select("target", F.col("target").alias("node"), F.lit(0).alias("left")).distinct()), "distance")
+    out, keep = None, 4 * max_paths
+    while True:
+        done, lost = _search(adjacency, pairs, to, max_depth, keep)
+        first = _first_paths(done, ["source", "target"], "path", max_paths)
+        if lost is None:
+            return first if out is None else out.unionByName(first)
+        sure = first.join(lost, ["source", "target"], "left").filter(F.col("lost").isNull() | (F.col("path") < F.col("lost")))
+        full = sure.groupBy("source", "target").count().filter(F.col("count") == max_paths).select("source", "target")
+        closed = settle(pairs.join(lost, ["source", "target"], "left_anti").unionByName(full.join(lost, ["source", "target"], "left_semi")), "closed")
+        part = settle(first.join(closed, ["source", "target"], "left_semi").select("source", "target", "rank", "path"), "found")
+        out = part if out is None else out.unionByName(part)
+        pairs, keep = settle(pairs.join(closed, ["source", "target"], "left_anti"), "pairs"), 8 * keep
+        if pairs.isEmpty():
+            return out
+
+
+def _search(adjacency: DataFrame, pairs: DataFrame, to: DataFrame, max_depth: int, keep: int) -> tuple[DataFrame, DataFrame | None]:
+    """Paths (source, target, path) found with at most keep begun for a pair, and the first path let go for each pair, if any was."""
     paths = pairs.select("source", "target", F.array("source").alias("path"))
-    done = paths.filter("source = target")
+    done, gone = paths.filter("source = target"), None
     paths = paths.filter("source <> target")
     for step in range(1, max_depth + 1):
         last = paths.select("source", "target", "path", F.element_at("path", -1).alias("src")).join(adjacency, "src").filter(~F.array_contains("path", F.col("dst")))
         near = last.join(to.filter(F.col("left") <= max_depth - step), (last["target"] == to["target"]) & (last["dst"] == to["node"])).select("source", last["target"], F.concat("path", F.array("dst")).alias("path"))
-        paths = settle(near, "paths")
+        grown = settle(near.withColumn("rank", F.row_number().over(Window.partitionBy("source", "target").orderBy("path"))).filter(F.col("rank") <= keep + 1), "paths")
+        over = grown.filter(F.col("rank") > keep).select("source", "target", "path")
+        gone = over if gone is None else gone.unionByName(over)
+        paths = grown.filter(F.col("rank") <= keep).drop("rank")
         done = done.unionByName(paths.filter(F.element_at("path", -1) == F.col("target")))
         paths = paths.filter(F.element_at("path", -1) != F.col("target"))
         if paths.isEmpty():
             break
-    from pyspark.sql.window import Window
-
-    return done.withColumn("rank", F.row_number().over(Window.partitionBy("source", "target").orderBy("path"))).filter(F.col("rank") <= max_paths).select("source", "target", "rank", "path")
+    lost = settle(gone.groupBy("source", "target").agg(F.min("path").alias("lost")), "lost") if gone is not None else None
+    return done, None if lost is None or lost.isEmpty() else lost
 
 
 def why(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:

@@ -93,6 +93,16 @@ def checked_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return typed.join(F.broadcast(rules), "type", "left").withColumn("ok", ok).drop("s", "d", "rules")
 
 
+def inserted_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges after an insert, and the refused ones with the reason: a missing end, or types that the edge may not connect."""
+    cols = ["src_id", "dst_id", "type"]
+    ids = nodes.select("id")
+    checked = checked_edges(new.select(*cols).distinct(), nodes)
+    bad = checked.filter("not ok").join(ids.withColumnRenamed("id", "__s"), F.col("src_id") == F.col("__s"), "left").join(ids.withColumnRenamed("id", "__d"), F.col("dst_id") == F.col("__d"), "left")
+    reason = F.when(F.col("__s").isNull(), "missing source").when(F.col("__d").isNull(), "missing target").otherwise("forbidden types")
+    return edges.select(*cols).unionByName(checked.filter("ok").select(*cols)).distinct(), bad.select(*cols, reason.alias("reason"))
+
+
 def valid_cards(cards: DataFrame, nodes: DataFrame) -> DataFrame:
     """cards with valid: a File's card must have the hash that the file has now."""
     now = nodes.select(F.col("id").alias("ref"), F.col("type").alias("t"), F.col("hash").alias("h"))
@@ -141,6 +151,16 @@ def first_of_each(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """O1: rank within each key, from 1; an order that ends with an id leaves no ties."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def united(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all parts, each once."""
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def merged_edges(edges: DataFrame) -> DataFrame:
     """One edge for each (src_id, dst_id, type): the earliest."""
     return first_of_each(edges, ["src_id", "dst_id", "type"], [F.col("created_at"), F.col("id")])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,21 +22,24 @@ ITEM = ("bundle", "ref", "kind", "content", "tokens", "raw_tokens", "tier", "ord
 def packed(items: DataFrame, budget: int = S.TOKEN_BUDGET) -> DataFrame:
     """The manifest of each bundle: every item with seq, included and used (tokens so far).
 
-    Items are taken by tier, order and ref; one that does not fit is dropped and later, smaller ones are still tried.  This
-    is a fold over a bundle's items, which a running sum cannot express; a bundle is a prompt's worth of items.
+    Items are taken by tier, order and ref; one that does not fit is dropped and later, smaller ones are still tried.  A running sum cannot
+    express this, so each bundle is walked once; it is a prompt's worth of items.
     """
-    row = F.struct("tier", "order", "ref", "kind", "tokens", "raw_tokens")
-    step = "struct<ref: string, kind: string, tier: int, tokens: bigint, included: boolean, used: bigint>"
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{step}>").alias("out"))
-
-    def fold(acc, x):
-        ok = acc["used"] + x["tokens"] <= F.lit(budget).cast("long")
-        used = acc["used"] + F.when(ok, x["tokens"]).otherwise(F.lit(0).cast("long"))
-        entry = F.struct(x["ref"].alias("ref"), x["kind"].alias("kind"), x["tier"].cast("int").alias("tier"), x["tokens"].alias("tokens"), ok.alias("included"), used.alias("used"))
-        return F.struct(used.alias("used"), F.concat(acc["out"], F.array(entry)).alias("out"))
-
-    grouped = items.groupBy("bundle").agg(F.sort_array(F.collect_list(row)).alias("rows"), F.sum("raw_tokens").alias("raw_equiv"))
-    return grouped.select("bundle", "raw_equiv", F.posexplode(F.aggregate("rows", start, fold)["out"]).alias("seq", "x")).select("bundle", "raw_equiv", "seq", "x.*")
+    schema = "bundle string, raw_equiv long, seq long, ref string, kind string, tier int, tokens long, included boolean, used long"
+
+    def walk(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([(k, "ascending") for k in ("tier", "order", "ref", "kind", "tokens", "raw_tokens")])
+        used, taken, after = 0, [], []
+        for n in rows.column("tokens").to_pylist():
+            taken.append(used + n <= budget)
+            used += n if taken[-1] else 0
+            after.append(used)
+        raw, size = pc.sum(rows.column("raw_tokens")).as_py(), rows.num_rows
+        cols = [rows.column("bundle"), pa.array([raw] * size, pa.int64()), pa.array(range(size), pa.int64()), rows.column("ref"), rows.column("kind"), rows.column("tier"), rows.column("tokens"), pa.array(taken, pa.bool_()), pa.array(after, pa.int64())]
+        return pa.table(cols, ["bundle", "raw_equiv", "seq", "ref", "kind", "tier", "tokens", "included", "used"])
+
+    given = items.select("bundle", "ref", "kind", F.col("tier").cast("int").alias("tier"), F.col("tokens").cast("long").alias("tokens"), F.col("raw_tokens").cast("long").alias("raw_tokens"), F.col("order").cast("long").alias("order"))
+    return given.groupBy("bundle").applyInArrow(walk, schema)
 
 
 def bundle_totals(manifest: DataFrame) -> DataFrame:

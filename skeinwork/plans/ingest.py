@@ -92,10 +92,14 @@ def parsed_findings(answers: DataFrame) -> DataFrame:
     return answers.select("agent", F.posexplode(rows).alias("arrival", "x")).filter("x.claim is not null").select("agent", "arrival", "x.claim", F.coalesce("x.severity", F.lit("low")).alias("severity"), F.coalesce("x.confidence", F.lit(0.0)).alias("confidence"))
 
 
-def attached(sessions: DataFrame, updates: DataFrame) -> DataFrame:
-    """Sessions with the references that an update gives; null leaves what was there."""
-    cols = [c for c in updates.columns if c != "id"]
-    new = updates.select("id", *[F.col(c).alias(f"__{c}") for c in cols])
+def attached(sessions: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
+    """Sessions with the references that their updates give; null leaves what was there.
+
+    Of several updates of one session the last by order counts, column by column; without an order the greatest value.
+    """
+    cols = [c for c in updates.columns if c not in ("id", order)]
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(order, c))) if order else F.max(c)
+    new = updates.groupBy("id").agg(*[last(c).alias(f"__{c}") for c in cols])
     out = sessions.join(new, "id", "left")
     return out.select(*[F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in cols else F.col(c) for c in sessions.columns])
 

@@ -9,7 +9,6 @@ from pyspark.sql.window import Window
 from skeinwork import schemas as S
 from skeinwork.functions import scalars as C
 from skeinwork.operators.ledger import duplicate_groups
-from skeinwork.tables import literal_table
 
 
 def gc_actions(memory: DataFrame, now: Column, half_life_days: float = S.HALF_LIFE_DAYS, session_ttl: int = S.SESSION_TTL) -> DataFrame:
@@ -46,10 +45,14 @@ def consolidations(memory: DataFrame) -> DataFrame:
     )
 
 
+def gc_ids(actions: DataFrame) -> DataFrame:
+    """(action, id) of the records that went or were archived."""
+    return actions.filter("action in ('delete', 'archive')").select("action", "id")
+
+
 def gc_report(actions: DataFrame, memory_after: DataFrame) -> DataFrame:
-    """One row: ids expired and archived, how many decayed, and how many proposals of each kind."""
-    ids = lambda a: F.array_join(F.sort_array(F.collect_list(F.when(F.col("action") == a, F.col("id")))), ",")
-    out = actions.agg(F.count_if(F.col("action") == "delete").alias("n_expired"), F.count_if(F.col("action") == "archive").alias("n_archived"), F.count_if(F.col("action") == "decay").alias("decayed"), F.sha2(ids("delete"), 256).alias("expired_digest"), F.sha2(ids("archive"), 256).alias("archived_digest"))
+    """One row: how many records went, were archived and decayed, and how many proposals of each kind; gc_ids has the ids."""
+    out = actions.agg(F.count_if(F.col("action") == "delete").alias("n_expired"), F.count_if(F.col("action") == "archive").alias("n_archived"), F.count_if(F.col("action") == "decay").alias("decayed"))
     return out.join(promotions(memory_after).agg(F.count("*").alias("promotions"))).join(consolidations(memory_after).agg(F.count("*").alias("consolidations")))
 
 
@@ -81,26 +84,45 @@ def proposed(requests: DataFrame) -> DataFrame:
     return requests.select(C.surrogate_id("prop", "kind", "key").alias("id"), "kind", "payload", F.lit("proposed").alias("status"), empty.alias("provenance"))
 
 
-def transitions(df: DataFrame) -> DataFrame:
-    return literal_table(df.sparkSession, S.TRANSITIONS, "action string, from_status string, to_status string")
+_ENTRY = "struct<action: string, actor: string, note: string, from_status: string, to_status: string, at: string>"
+
+
+def _target(action: Column, status: Column) -> Column:
+    """The status that an action leads to; null if it is not allowed."""
+    out = F.lit(None).cast("string")
+    for name, before, after in S.TRANSITIONS:
+        out = F.when((action == name) & (status == before), after).otherwise(out)
+    return out
 
 
 def decided(proposals: DataFrame, actions: DataFrame) -> DataFrame:
-    """P10: proposals after one action each (id, action, actor, note, at); error says what is wrong with a refused one.
+    """P10: proposals after their actions (id, action, actor, note, at), taken in the order of at, action and actor.
 
-    The state machine is four rows and is broadcast.
+    done are the actions that took effect; error says what is wrong with the last one refused.  refused has those of proposals that do not exist.
     """
-    at = proposals.join(actions, "id", "left").join(F.broadcast(transitions(proposals)).withColumnRenamed("from_status", "status"), ["action", "status"], "left")
-    ok = F.col("to_status").isNotNull()
-    entry = F.struct("action", "actor", F.coalesce("note", F.lit("")).alias("note"), F.col("status").alias("from_status"), "to_status", "at")
+    steps = actions.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "action", "actor", F.coalesce("note", F.lit("")).alias("note")))).alias("steps"))
+    given = proposals.join(steps, "id", "left").withColumn("provenance", F.col("provenance").cast(f"array<{_ENTRY}>"))
+    start = F.struct(F.col("status").alias("status"), F.col("provenance").alias("provenance"), F.lit(None).cast("string").alias("error"), F.array().cast("array<string>").alias("done"))
+
+    def step(acc: Column, x: Column) -> Column:
+        to = _target(x["action"], acc["status"])
+        entry = F.struct(x["action"].alias("action"), x["actor"].alias("actor"), x["note"].alias("note"), acc["status"].alias("from_status"), to.alias("to_status"), x["at"].cast("string").alias("at")).cast(_ENTRY)
+        refused = F.concat(F.lit("cannot "), x["action"], F.lit(" a proposal in status "), acc["status"])
+        return F.struct(
+            F.coalesce(to, acc["status"]).alias("status"), F.when(to.isNotNull(), F.array_append(acc["provenance"], entry)).otherwise(acc["provenance"]).alias("provenance"),
+            F.when(to.isNull(), refused).otherwise(acc["error"]).alias("error"), F.when(to.isNotNull(), F.array_append(acc["done"], x["action"])).otherwise(acc["done"]).alias("done"),
+        )
+
     rest = [c for c in proposals.columns if c not in ("status", "provenance")]
-    return at.select(
-        *rest, F.coalesce("to_status", "status").alias("status"), F.when(ok, F.array_append("provenance", entry)).otherwise(F.col("provenance")).alias("provenance"),
-        F.when(F.col("action").isNotNull() & ~ok, F.concat(F.lit("cannot "), "action", F.lit(" a proposal in status "), "status")).alias("error"), F.when(ok, F.col("action")).alias("done"),
-    )
+    return given.select(*rest, F.aggregate(F.coalesce("steps", F.array().cast("array<struct<at: string, action: string, actor: string, note: string>>")), start, step).alias("x")).select(*rest, "x.*")
+
+
+def refused(proposals: DataFrame, actions: DataFrame) -> DataFrame:
+    """P10: (id, action, error) of actions on proposals that do not exist."""
+    return actions.join(proposals.select("id"), "id", "left_anti").select("id", "action", F.concat(F.lit("unknown proposal "), "id").alias("error"))
 
 
 def skills(after: DataFrame) -> DataFrame:
     """P10: a Skill node for each proposal just committed, named by its payload, else by its kind."""
     name = F.coalesce(F.nullif(F.get_json_object("payload", "$.name"), F.lit("")), F.nullif(F.get_json_object("payload", "$.title"), F.lit("")), F.col("kind"))
-    return after.filter("done = 'commit'").select(C.surrogate_id("skill", "id").alias("id"), F.lit("Skill").alias("type"), name.alias("label"), F.to_json(F.struct(F.col("id").alias("proposal_id"), "kind")).alias("props"))
+    return after.filter(F.array_contains("done", "commit")).select(C.surrogate_id("skill", "id").alias("id"), F.lit("Skill").alias("type"), name.alias("label"), F.to_json(F.struct(F.col("id").alias("proposal_id"), "kind")).alias("props"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +17,7 @@ from skeinwork.functions import scalars as C
 from skeinwork.operators import code, extract, graph, ledger, ownership, records
 from skeinwork.plans import context, ingest, memory
 from skeinwork.sources import files, store, text
-from skeinwork.tables import literal_table
+from skeinwork.tables import literal_table, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,31 +88,67 @@ def _(r):
     return files.churn(r.orders.select(line.alias("value")))
 
 
-@query("s4_collection_scan", "SELECT id, type, label, size FROM kg_nodes")
+_NODE = "id string, type string, label string, props string, created_at timestamp, updated_at timestamp"
+#: kg_nodes as records of the collection nodes.
+_RECORDS = "recs AS (SELECT id, type, label, concat(size, '') AS props, created_at AS made FROM kg_nodes)"
+
+
+def _nodes(r: Rel) -> DataFrame:
+    at = F.timestamp_seconds("created_at")
+    return r.kg_nodes.select("id", "type", "label", F.col("size").cast("string").alias("props"), at.alias("created_at"), at.alias("updated_at"))
+
+
+def _store(r: Rel, **collections: DataFrame) -> store.Store:
+    """A store in the shared folder with these collections; nodes is there in any case."""
+    out = store.Store(r.spark, f"{work_dir(r.spark)}/store-{uuid.uuid4().hex}")
+    for name, rows in ({"nodes": _nodes(r)} | collections).items():
+        out.replace(name, rows)
+    return out
+
+
+def _brief(df: DataFrame) -> DataFrame:
+    return df.select("id", "type", "label", "props", F.unix_seconds("created_at").alias("made"))
+
+
+def _edges(r: Rel) -> DataFrame:
+    return r.kg_edges.select(F.concat_ws(">", "src_id", "type", "dst_id").alias("id"), "src_id", "dst_id", "type", F.lit("{}").alias("props"), F.timestamp_seconds(F.lit(0)).alias("created_at"))
+
+
+@query("s4_collection_scan", "SELECT id, type, label, props, made FROM recs", _RECORDS)
+def _(r):
+    return _brief(_store(r).scan("nodes"))
+
+
+@query("s5_point_lookup", "SELECT id, type, label, props, made FROM recs WHERE id = 'dep:p7'", _RECORDS)
 def _(r):
-    return r.kg_nodes.select("id", "type", "label", "size")
+    return _brief(_store(r).get("nodes", "dep:p7"))
 
 
-@query("s5_point_lookup", "SELECT id, type, label FROM kg_nodes WHERE id = 'dep:p7'")
+@query("s6_catalog_listing", "SELECT * FROM (VALUES ('edges'), ('nodes')) t(name)")
 def _(r):
-    return r.kg_nodes.filter("id = 'dep:p7'").select("id", "type", "label")
+    return r.ids(*_store(r, edges=_edges(r)).collections(), name="name")
 
 
-@query("s6_catalog_listing", "SELECT DISTINCT type AS name FROM kg_nodes")
+@query("s7_raw_items", """SELECT id, concat('{"id":"', id, '","type":"', type, '","label":"', label, '","props":"', props, '","created_at":"', strftime(make_timestamp(made * 1000000), '%Y-%m-%dT%H:%M:%S.000Z'), '","updated_at":"', strftime(make_timestamp(made * 1000000), '%Y-%m-%dT%H:%M:%S.000Z'), '"}') AS data FROM recs""", _RECORDS)
 def _(r):
-    return r.kg_nodes.select(F.col("type").alias("name")).distinct()
+    return _store(r).raw_items("nodes")
 
 
-@query("s7_raw_items", """SELECT id, concat('{"id":"', id, '","type":"', type, '","size":', size, '}') AS data FROM kg_nodes""")
+@query("s8_snapshot_load", "SELECT 'nodes' AS collection, id FROM kg_nodes UNION ALL SELECT 'edges', concat(src_id, '>', type, '>', dst_id) FROM kg_edges UNION ALL SELECT 'df_nodes', 'state:k1'")
 def _(r):
-    return r.kg_nodes.select("id", F.to_json(F.struct("id", "type", "size")).alias("data"))
+    s = _store(r, edges=_edges(r))
+    folder = f"{s.root}-snapshots"
+    s.write_snapshots(folder)
+    s._write_text(f"{folder}/df_nodes.yaml", '[{"id": "state:k1", "kind": "attr", "label": "k1", "file": "state.py"}]')
+    found = store.read_snapshots(r.spark, folder)
+    return reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("collection"), "id") for n, df in found.items()])
 
 
-@query("s9_notes", "SELECT concat(doc_id, '.md') AS ref, substr(trim(CASE WHEN doc_id % 2 = 0 THEN concat('## Decision', chr(10), substr(text, 101, 900)) ELSE concat(substr(text, 1, 100), substr(text, 101, 900), chr(10), '## Next', chr(10), 'x') END, concat(' ', chr(9), chr(10), chr(13))), 1, 600) AS content, (length(CASE WHEN doc_id % 2 = 0 THEN concat(substr(text, 1, 100), '## Decision', chr(10), substr(text, 101, 900), chr(10), '## Next', chr(10), 'x') ELSE concat(substr(text, 1, 100), substr(text, 101, 900), chr(10), '## Next', chr(10), 'x') END) + 3) // 4 AS raw_tokens FROM documents WHERE NOT contains(text, '#')")
+@query("s9_notes", "SELECT concat(doc_id, '.md') AS ref, substr(trim(CASE WHEN doc_id % 2 = 0 THEN concat('## Decision', chr(10), substr(text, 101)) ELSE concat(substr(text, 1, 100), substr(text, 101), chr(10), '## Next', chr(10), 'x') END, concat(' ', chr(9), chr(10), chr(13))), 1, 600) AS content, (length(CASE WHEN doc_id % 2 = 0 THEN concat(substr(text, 1, 100), '## Decision', chr(10), substr(text, 101), chr(10), '## Next', chr(10), 'x') ELSE concat(substr(text, 1, 100), substr(text, 101), chr(10), '## Next', chr(10), 'x') END) + 3) // 4 AS raw_tokens FROM documents")
 def _(r):
     mark = F.when(F.col("doc_id") % 2 == 0, "## Decision\n").otherwise("")
-    full = F.concat(F.substring("text", 1, 100), mark, F.substring("text", 101, 900), F.lit("\n## Next\nx"))
-    return text.notes(r.documents.filter(~F.col("text").contains("#")).select(F.concat(F.lit("adr/"), "doc_id", F.lit(".md")).alias("path"), full.alias("text")))
+    full = F.concat(F.substring("text", 1, 100), mark, F.expr("substr(text, 101)"), F.lit("\n## Next\nx"))
+    return text.notes(r.documents.select(F.concat(F.lit("adr/"), "doc_id", F.lit(".md")).alias("path"), full.alias("text")))
 
 
 @query("s10_rules", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'path', 'app/*', 'Execution'), (1, 'path', '*/routes/*', 'Route'), (2, 'path', '*/models/*', 'Model'), (3, 'path', '*/db/*', 'Storage'), (4, 'path', '*/services/*', 'Service')) t(ordinal, kind, pattern, value)")
@@ -121,31 +160,99 @@ def _(r):
 # ---- sinks (K), as the rows that a write leaves
 
 
-@query("k1_upsert", "SELECT id, label FROM kg_nodes WHERE type <> 'Module' UNION ALL SELECT id, upper(label) || '!' FROM kg_nodes WHERE type = 'Module'")
+@query("k1_upsert", "SELECT id, CASE type WHEN 'Module' THEN concat(upper(label), '!') ELSE label END AS label, CASE type WHEN 'Module' THEN 7 ELSE made END AS changed FROM recs", _RECORDS)
 def _(r):
-    base = r.kg_nodes.select("id", "label")
-    new = r.kg_nodes.filter("type = 'Module'").select("id", F.concat(F.upper("label"), F.lit("!")).alias("label"))
-    return store.upserted(base, new)
+    s, new = _store(r), _nodes(r).filter("type = 'Module'")
+    # Each key comes twice; the last by created_at counts.
+    twice = new.withColumn("created_at", F.timestamp_seconds(F.lit(-5))).unionByName(new.withColumn("label", F.concat(F.upper("label"), F.lit("!"))))
+    s.upsert("nodes", twice, order=["created_at"], now=F.timestamp_seconds(F.lit(7)))
+    return s.scan("nodes").select("id", "label", F.unix_seconds("updated_at").alias("changed"))
 
 
 @query("k2_delete", "SELECT id, type FROM kg_nodes WHERE NOT (type = 'File' AND size % 2 = 0)")
 def _(r):
-    return r.kg_nodes.join(r.kg_nodes.filter("type = 'File' and size % 2 = 0").select("id"), "id", "left_anti").select("id", "type")
+    s = _store(r)
+    s.delete("nodes", r.kg_nodes.filter("type = 'File' and size % 2 = 0").select("id").unionByName(r.ids("none")))
+    return s.scan("nodes").select("id", "type")
+
+
+@query("k3_truncate", "SELECT 'nodes' AS name, 0::BIGINT AS records, 0::BIGINT AS collections")
+def _(r):
+    s = _store(r)
+    s.clear()
+    return s.scan("nodes").agg(F.lit("nodes").alias("name"), F.count("*").alias("records"), F.lit(len(s.collections())).cast("long").alias("collections"))
 
 
 @query("k4_snapshot", "SELECT src_id, dst_id, type FROM kg_edges WHERE type = 'contains'")
 def _(r):
-    from skeinwork.tables import settle
+    s = _store(r, edges=_edges(r).filter("type = 'contains'"))
+    folder = f"{s.root}-snapshots"
+    s.write_snapshots(folder)
+    s.delete("nodes", s.scan("nodes"))
+    s.write_snapshots(folder)  # nodes is empty now, and its snapshot goes
+    found = store.read_snapshots(r.spark, folder)
+    return reduce(DataFrame.unionByName, [df.select("src_id", "dst_id", "type") for df in found.values()])
 
-    return settle(r.kg_edges.filter("type = 'contains'"), "snapshot")
 
+@query("k5_rebuild", "SELECT id, type, label, props, made FROM recs WHERE type <> 'Decision'", _RECORDS)
+def _(r):
+    s, kept = _store(r), _store(r, nodes=_nodes(r).filter("type <> 'Decision'"))
+    kept.write_snapshots(f"{kept.root}-snapshots")
+    s.rebuild(f"{kept.root}-snapshots")
+    return _brief(s.scan("nodes"))
 
-@query("k6_reconcile", "SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'kept' END AS status FROM (SELECT id FROM kg_nodes WHERE type = 'File' AND size % 3 > 0) a FULL JOIN (SELECT id FROM kg_nodes WHERE type = 'File' AND size % 2 = 0) b ON a.id = b.id")
+
+@query("k6_reconcile", "SELECT a.added, a.removed, a.kept, (SELECT count(*) FROM kg_nodes WHERE type = 'File' AND size % 2 = 0) AS records FROM (SELECT count(*) FILTER (a.id IS NULL) AS added, count(*) FILTER (b.id IS NULL) AS removed, count(*) FILTER (a.id = b.id) AS kept FROM (SELECT id FROM kg_nodes WHERE type = 'File' AND size % 3 > 0) a FULL JOIN (SELECT id FROM kg_nodes WHERE type = 'File' AND size % 2 = 0) b ON a.id = b.id) a")
+def _(r):
+    sized = r.kg_nodes.filter("type = 'File'").select("id", "size")
+    f = _nodes(r).join(sized, "id")
+    s = _store(r, nodes=f.filter("size % 3 > 0").drop("size"))
+    n = s.reconcile("nodes", f.filter("size % 2 = 0").drop("size"))
+    return s.scan("nodes").agg(*[F.lit(n[k]).cast("long").alias(k) for k in n], F.count("*").alias("records"))
+
+
+@query("k6_reconciled_keys", "SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'kept' END AS status FROM (SELECT id FROM kg_nodes WHERE type = 'File' AND size % 3 > 0) a FULL JOIN (SELECT id FROM kg_nodes WHERE type = 'File' AND size % 2 = 0) b ON a.id = b.id")
 def _(r):
     f = r.kg_nodes.filter("type = 'File'")
     return store.reconciled(f.filter("size % 3 > 0"), f.filter("size % 2 = 0"))
 
 
+@query("k7_migrations", "SELECT id, lower(label) AS label, 3::BIGINT AS version FROM kg_nodes WHERE type <> 'Decision'")
+def _(r):
+    s = _store(r)
+    steps = {2: lambda t: t.replace("nodes", t.scan("nodes").withColumn("label", F.lower("label"))), 3: lambda t: t.delete("nodes", t.scan("nodes").filter("type = 'Decision'"))}
+    s.migrate(steps, target=2)
+    s.migrate(steps, target=3)
+    s.migrate(steps, target=3)
+    return s.scan("nodes").select("id", "label", F.lit(s.schema_version()).cast("long").alias("version"))
+
+
+def _moved(r: Rel, take) -> DataFrame:
+    """What a second store holds after a bundle went from one to the other through a local file."""
+    s = _store(r, edges=_edges(r))
+    t = store.Store(r.spark, f"{s.root}-copy")
+    with tempfile.TemporaryDirectory() as tmp:
+        manifest = s.export_bundle(f"{tmp}/bundle.tgz")
+        return take(s, t, f"{tmp}/bundle.tgz", manifest)
+
+
+@query("k8_export", "SELECT name, n FROM (SELECT 'edges' AS name, count(*) AS n FROM kg_edges UNION ALL SELECT 'nodes', count(*) FROM kg_nodes)")
+def _(r):
+    def take(s, t, path, manifest):
+        return reduce(DataFrame.unionByName, [s.scan(n).agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in manifest["collections"]])
+
+    return _moved(r, take)
+
+
+@query("k9_import", "SELECT id, type, label, props, made FROM recs", _RECORDS)
+def _(r):
+    def take(s, t, path, manifest):
+        t.import_bundle(path)
+        return _brief(t.scan("nodes"))
+
+    return _moved(r, take)
+
+
 @query("k10_retention", "SELECT name, row_number() OVER (ORDER BY name DESC) <= 10 AS keep FROM (SELECT DISTINCT concat('backup-', o_orderdate) AS name FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders))")
 def _(r):
     return store.retained(r.orders.select(F.concat(F.lit("backup-"), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("name")).distinct())
@@ -159,12 +266,9 @@ def _(r):
     return records.where(r.kg_nodes, {"type": "File", "hash": "h3", "absent": None}).select("id", "type", "label")
 
 
-@query("f2_memory_query", "SELECT id, row_number() OVER (ORDER BY created_at DESC, id) AS seq FROM memory WHERE scope = 'project' AND status = 'active'")
+@query("f2_memory_query", "SELECT id, kind, content FROM memory WHERE scope = 'project' AND status = 'active'")
 def _(r):
-    from pyspark.sql.window import Window
-
-    out = records.memory_query(r.memory, scope="project", status="active")
-    return out.select("id", F.row_number().over(Window.orderBy(F.desc("created_at"), "id")).alias("seq"))
+    return records.memory_query(r.memory, scope="project", status="active").select("id", "kind", "content")
 
 
 @query("f3_of_type", "SELECT id, label FROM kg_nodes WHERE type = 'Module'")
@@ -177,17 +281,17 @@ def _(r):
     return records.first_by_label(r.kg_nodes)
 
 
-_RESOLVED = "targets(target) AS (VALUES ('mod:n3'), ('1-URGENT'), ('NATION_05'), ('nothing')), res AS (SELECT t.target, n.id FROM targets t JOIN kg_nodes n ON n.id = t.target UNION ALL SELECT t.target, n.id FROM targets t JOIN kg_nodes n ON n.label = t.target WHERE NOT EXISTS (SELECT 1 FROM kg_nodes m WHERE m.id = t.target))"
+_RESOLVED = "targets(target) AS (VALUES ('mod:n3'), ('1-URGENT'), ('NATION_5'), ('nothing')), res AS (SELECT t.target, n.id FROM targets t JOIN kg_nodes n ON n.id = t.target UNION ALL SELECT t.target, n.id FROM targets t JOIN kg_nodes n ON n.label = t.target WHERE NOT EXISTS (SELECT 1 FROM kg_nodes m WHERE m.id = t.target))"
 
 
 @query("f5_resolve", "SELECT target, id FROM res", _RESOLVED)
 def _(r):
-    return records.resolve(r.kg_nodes, r.ids("mod:n3", "1-URGENT", "NATION_05", "nothing", name="target"))
+    return records.resolve(r.kg_nodes, r.ids("mod:n3", "1-URGENT", "NATION_5", "nothing", name="target"))
 
 
 @query("f6_ambiguity_guard", "SELECT t.target, CASE WHEN count(r.id) = 1 THEN min(r.id) END AS id, CASE WHEN count(r.id) = 0 THEN 'not found' WHEN count(r.id) > 1 THEN 'ambiguous' END AS error, CASE WHEN count(r.id) > 1 THEN array_to_string(list_slice(list_sort(list(r.id)), 1, 25), ',') ELSE '' END AS candidates FROM targets t LEFT JOIN res r ON r.target = t.target GROUP BY t.target", _RESOLVED)
 def _(r):
-    out = records.resolve_unique(r.kg_nodes, r.ids("mod:n3", "1-URGENT", "NATION_05", "nothing", name="target"))
+    out = records.resolve_unique(r.kg_nodes, r.ids("mod:n3", "1-URGENT", "NATION_5", "nothing", name="target"))
     return out.withColumn("candidates", F.array_join("candidates", ","))
 
 
@@ -256,9 +360,9 @@ def _(r):
     return records.pending(r.proposals).select("id", "created_at")
 
 
-@query("f16_skill_lookup", "SELECT id, label FROM (SELECT concat('skill:', n_nationkey) AS id, n_name AS label FROM nation) WHERE label = 'NATION_03' OR id = 'NATION_03' ORDER BY id LIMIT 1")
+@query("f16_skill_lookup", "SELECT id, label FROM (SELECT concat('skill:', n_nationkey) AS id, n_name AS label FROM nation) WHERE label = 'NATION_3' OR id = 'NATION_3' ORDER BY id LIMIT 1")
 def _(r):
-    return records.skill(r.nation.select(F.concat(F.lit("skill:"), "n_nationkey").alias("id"), F.lit("Skill").alias("type"), F.col("n_name").alias("label")), "NATION_03").select("id", "label")
+    return records.skill(r.nation.select(F.concat(F.lit("skill:"), "n_nationkey").alias("id"), F.lit("Skill").alias("type"), F.col("n_name").alias("label")), "NATION_3").select("id", "label")
 
 
 @query("f17_sessions", "SELECT conv_id AS id, min(turn) AS created_at FROM conversations GROUP BY conv_id")
@@ -274,11 +378,15 @@ def _(r):
     return graph.neighbors(r.kg_edges, r.kg_nodes, r.ids("mod:n1", "file:c2"), direction="both")
 
 
-@query("j2_class_bases", "SELECT concat('class:p', p.p_partkey) AS src_id, b.target AS dst_id, 'extends' AS type, 'heuristic' AS confidence FROM part p JOIN (SELECT p_name AS name, min(concat('class:p', p_partkey)) AS target FROM part GROUP BY p_name HAVING count(*) = 1) b ON b.name = (SELECT q.p_name FROM part q WHERE q.p_partkey = p.p_size) WHERE b.target <> concat('class:p', p.p_partkey)")
+@query("j2_class_bases", "SELECT concat('class:p', p.p_partkey) AS src_id, concat('class:s', b.s_suppkey) AS dst_id, 'extends' AS type, 'heuristic' AS confidence FROM part p JOIN supplier b ON b.s_suppkey = p.p_size WHERE b.s_suppkey % 3 > 0")
 def _(r):
-    base = r.part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("base"))
-    nodes = r.part.join(base, F.col("p_size") == F.col("k")).select(F.concat(F.lit("class:p"), "p_partkey").alias("id"), F.lit("class").alias("type"), F.col("p_name").alias("name"), F.array("base").alias("bases"))
-    every = r.part.select(F.concat(F.lit("class:p"), "p_partkey").alias("id"), F.lit("class").alias("type"), F.col("p_name").alias("name")).join(nodes.select("id", "bases"), "id", "left")
+    # Suppliers are classes by their own name, every third name twice; parts extend the supplier of their size, and one name that no class has.
+    base = r.supplier.select(F.concat(F.lit("class:s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("k"))
+    twin = base.filter("k % 3 = 0").select(F.concat("id", F.lit("b")).alias("id"), "name")
+    none = F.array().cast("array<string>").alias("bases")
+    sized = r.part.join(base.select("k", F.col("name").alias("base")), F.col("p_size") == F.col("k"), "left")
+    parts = sized.select(F.concat(F.lit("class:p"), "p_partkey").alias("id"), F.lit("class").alias("type"), F.concat(F.lit("P"), "p_partkey").alias("name"), F.array_compact(F.array("base", F.lit("nothing"))).alias("bases"))
+    every = parts.unionByName(base.select("id", F.lit("class").alias("type"), "name", none)).unionByName(twin.select("id", F.lit("class").alias("type"), "name", none))
     return code.extends(every)
 
 
@@ -464,13 +572,24 @@ def _(r):
     return graph.flow_impact(r.df_edges, r.exec_edges, r.ids("state:k1", "state:k2"))
 
 
-@query("g12_lineage", "SELECT 'func:c1' AS source, 'func:s1' AS target, r.rank, CAST(s.step AS BIGINT) AS step, s.id, n.type, n.label, n.file FROM ranked r, LATERAL (SELECT unnest(r.path) AS id, generate_subscripts(r.path, 1) - 1 AS step) s LEFT JOIN exec_nodes n ON n.id = s.id WHERE r.source = 'func:c1' AND r.rank <= 10", _PATHS)
+@query("g12_lineage_calls", "SELECT 'func:c1' AS source, 'func:s1' AS target, r.rank, CAST(s.step AS BIGINT) AS step, s.id, n.type, n.label, n.file FROM ranked r, LATERAL (SELECT unnest(r.path) AS id, generate_subscripts(r.path, 1) - 1 AS step) s LEFT JOIN exec_nodes n ON n.id = s.id WHERE r.source = 'func:c1' AND r.rank <= 10", _PATHS)
 def _(r):
     anchors = literal_table(r.spark, [("BEGIN", "func:c1")], "name string, target string")
     pairs = literal_table(r.spark, [("BEGIN", "func:s1")], "source string, target string")
     return graph.lineage(r.exec_nodes, r.exec_edges, r.df_nodes, r.df_edges.filter("false"), anchors, pairs, 4).select("source", "target", "rank", "step", "id", "type", "label", "file")
 
 
+_FLOWS = f"""adj AS ({_LINEAGE}), walk(source, path) AS (SELECT s, [s] FROM (SELECT DISTINCT src_id AS s FROM df_edges WHERE type = 'writes' AND src_id IN ('func:p1', 'func:p2', 'func:p3')) UNION ALL SELECT w.source, list_append(w.path, a.dst) FROM walk w JOIN adj a ON a.src = w.path[-1] WHERE NOT list_contains(w.path, a.dst) AND len(w.path) <= 3 AND w.path[-1] <> 'func:s1'),
+    ranked AS (SELECT source, path, row_number() OVER (PARTITION BY source ORDER BY path) AS rank FROM walk WHERE path[-1] = 'func:s1')"""
+
+
+@query("g12_lineage", "SELECT r.source, 'func:s1' AS target, r.rank, CAST(s.step AS BIGINT) AS step, s.id, coalesce(n.type, d.kind) AS type, coalesce(n.label, d.label) AS label, coalesce(n.file, d.file) AS file FROM ranked r, LATERAL (SELECT unnest(r.path) AS id, generate_subscripts(r.path, 1) - 1 AS step) s LEFT JOIN exec_nodes n ON n.id = s.id LEFT JOIN df_nodes d ON d.id = s.id WHERE r.rank <= 10", _FLOWS)
+def _(r):
+    writers = r.df_edges.filter("type = 'writes' and src_id in ('func:p1', 'func:p2', 'func:p3')").select(F.col("src_id").alias("source"), F.lit("END").alias("target")).distinct()
+    anchors = literal_table(r.spark, [("END", "func:s1")], "name string, target string")
+    return graph.lineage(r.exec_nodes, r.exec_edges, r.df_nodes, r.df_edges, anchors, writers, 3).select("source", "target", "rank", "step", "id", "type", "label", "file")
+
+
 @query("g13_call_graph", "SELECT f.seed, f.id, f.depth, n.type, n.label, n.file FROM found f LEFT JOIN exec_nodes n ON n.id = f.id", bfs_sql(_CALLS_OUT, "SELECT 'func:o1' AS id", 2))
 def _(r):
     return records.brief(graph.callees(r.exec_edges, r.ids("func:o1"), 2), r.exec_nodes).select("seed", "id", "depth", "type", "label", "file")
@@ -482,9 +601,9 @@ def _(r):
     return records.brief(steps, r.exec_nodes).select("rank", "step", "id", "label")
 
 
-@query("g15_graph_summary", "SELECT f.seed, f.id, n.type, n.label, f.depth FROM found f JOIN kg_nodes n ON n.id = f.id", bfs_sql(_KG_OUT, "SELECT min(id) AS id FROM kg_nodes WHERE label = 'NATION_05'", 2))
+@query("g15_graph_summary", "SELECT f.seed, f.id, n.type, n.label, f.depth FROM found f JOIN kg_nodes n ON n.id = f.id", bfs_sql(_KG_OUT, "SELECT min(id) AS id FROM kg_nodes WHERE label = 'NATION_5'", 2))
 def _(r):
-    return graph.traverse(r.kg_nodes, r.kg_edges, records.by_label(r.kg_nodes, "NATION_05").select("id"), 2).drop("parent")
+    return graph.traverse(r.kg_nodes, r.kg_edges, records.by_label(r.kg_nodes, "NATION_5").select("id"), 2).drop("parent")
 
 
 @query("g16_state_tools", "SELECT f.state, f.func AS id, n.type, n.label, n.file FROM (SELECT DISTINCT state, func FROM flow) f LEFT JOIN exec_nodes n ON n.id = f.func", _FLOW)
@@ -739,12 +858,17 @@ def _(r):
     return memory.consolidations(memory.after_gc(memory.gc_actions(r.memory, _now()))).select("subject", "evidence")
 
 
-@query("a16_gc_report", "SELECT count(*) FILTER (action = 'delete') AS n_expired, count(*) FILTER (action = 'archive') AS n_archived, count(*) FILTER (action = 'decay') AS decayed, sha256(coalesce(string_agg(id, ',' ORDER BY id) FILTER (action = 'delete'), '')) AS expired_digest, sha256(coalesce(string_agg(id, ',' ORDER BY id) FILTER (action = 'archive'), '')) AS archived_digest, (SELECT count(*) FROM later WHERE scope = 'session' AND status = 'active' AND access_count >= 3) AS promotions, (SELECT count(*) FROM (SELECT 1 FROM later WHERE status = 'active' AND scope IN ('project', 'user') GROUP BY scope, kind, content HAVING count(*) > 1)) AS consolidations FROM gc", _GC)
+@query("a16_gc_report", "SELECT count(*) FILTER (action = 'delete') AS n_expired, count(*) FILTER (action = 'archive') AS n_archived, count(*) FILTER (action = 'decay') AS decayed, (SELECT count(*) FROM later WHERE scope = 'session' AND status = 'active' AND access_count >= 3) AS promotions, (SELECT count(*) FROM (SELECT 1 FROM later WHERE status = 'active' AND scope IN ('project', 'user') GROUP BY scope, kind, content HAVING count(*) > 1)) AS consolidations FROM gc", _GC)
 def _(r):
     actions = memory.gc_actions(r.memory, _now())
     return memory.gc_report(actions, memory.after_gc(actions))
 
 
+@query("a16_gc_ids", "SELECT action, id FROM gc WHERE action IN ('delete', 'archive')", _GC)
+def _(r):
+    return memory.gc_ids(memory.gc_actions(r.memory, _now()))
+
+
 # ---- ranking and packing (W, O, P5-P7)
 
 
@@ -856,9 +980,26 @@ def _(r):
     return r.exec_nodes.orderBy("id").limit(50).select("id")
 
 
-@query("o5_difference", "SELECT DISTINCT user_id FROM events WHERE event_type = 'view' EXCEPT SELECT DISTINCT user_id FROM events WHERE event_type = 'signup'")
+@query("o1_total_order", "SELECT type, id, row_number() OVER (PARTITION BY type ORDER BY created_at DESC, id) AS rank FROM kg_nodes")
+def _(r):
+    return records.ranked(r.kg_nodes, ["type"], [F.desc("created_at"), F.col("id")]).select("type", "id", "rank")
+
+
+@query("o4_union", "SELECT DISTINCT dst_id AS state, src_id AS func FROM df_edges")
+def _(r):
+    return records.united([graph.accessors(r.df_edges, "reads"), graph.accessors(r.df_edges, "writes"), graph.accessors(r.df_edges, "reads")])
+
+
+@query("o5_difference", "SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0")
+def _(r):
+    return r.orders.filter("o_orderstatus = 'O'").select("o_custkey").subtract(r.orders.filter("o_orderstatus = 'F' and o_orderkey % 3 = 0").select("o_custkey"))
+
+
+@query("o6_edge_insert", """SELECT src_id, dst_id, type, '' AS reason FROM kg_edges WHERE type = 'relates_to' UNION SELECT e.src_id, e.dst_id, e.type, CASE WHEN s.id IS NULL THEN 'missing source' WHEN d.id IS NULL THEN 'missing target' WHEN CASE e.type WHEN 'contains' THEN s.type = 'Module' AND d.type = 'File' WHEN 'decided_by' THEN s.type IN ('File', 'Module') AND d.type = 'Decision'
+    WHEN 'summarized_by' THEN d.type = 'KnowledgeCard' ELSE true END THEN '' ELSE 'forbidden types' END FROM odd_edges e LEFT JOIN kg_nodes s ON s.id = e.src_id LEFT JOIN kg_nodes d ON d.id = e.dst_id""")
 def _(r):
-    return r.events.filter("event_type = 'view'").select("user_id").subtract(r.events.filter("event_type = 'signup'").select("user_id"))
+    after, refused = records.inserted_edges(r.kg_edges.filter("type = 'relates_to'"), r.odd_edges, r.kg_nodes)
+    return after.withColumn("reason", F.lit("")).unionByName(refused)
 
 
 @query("o6_idempotent_edges", "SELECT concat('o', l_orderkey) AS src_id, concat('s', l_suppkey) AS dst_id, l_returnflag AS type, min(l_linenumber)::BIGINT AS created_at FROM lineitem GROUP BY 1, 2, 3")
@@ -942,6 +1083,19 @@ def _(r):
     return r.customer.select(C.surrogate_id("node", F.col("c_custkey").cast("string"), "c_name").alias("id"))
 
 
+@query("c13_ulid", """SELECT o_orderkey, string_agg(substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', CAST(CASE WHEN i < 10 THEN ms >> (5 * (9 - i)) WHEN i < 18 THEN a >> (5 * (17 - i)) ELSE b >> (5 * (25 - i)) END & 31 AS INTEGER) + 1, 1), '' ORDER BY i) AS id
+    FROM (SELECT o_orderkey, epoch_ms(CAST(o_orderdate AS TIMESTAMP)) AS ms, CAST(concat('0x', substr(sha256(concat(o_orderkey, '')), 1, 10)) AS BIGINT) AS a, CAST(concat('0x', substr(sha256(concat(o_orderkey, '')), 11, 10)) AS BIGINT) AS b FROM orders), (SELECT unnest(range(26)) AS i) GROUP BY o_orderkey""")
+def _(r):
+    return r.orders.select("o_orderkey", C.ulid(F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey").cast("string")).alias("id"))
+
+
+@query("c19_settings", """SELECT o_orderkey, CASE k WHEN 0 THEN 'boolean' WHEN 1 THEN 'null' WHEN 2 THEN 'integer' ELSE 'text' END AS kind, CASE k WHEN 0 THEN 'true' WHEN 2 THEN concat(CASE WHEN o_orderkey > 0 THEN '-' ELSE '' END, o_orderkey) WHEN 3 THEN o_orderpriority WHEN 4 THEN concat(o_orderkey, '.5') END AS value FROM (SELECT *, o_orderkey % 5 AS k FROM orders)""")
+def _(r):
+    k = F.col("o_orderkey") % 5
+    raw = F.when(k == 0, " TRUE ").when(k == 1, "None").when(k == 2, F.concat(F.lit(" -0"), "o_orderkey")).when(k == 3, F.col("o_orderpriority")).otherwise(F.concat("o_orderkey", F.lit(".5")))
+    return r.orders.select("o_orderkey", C.setting(raw).alias("x")).select("o_orderkey", "x.*")
+
+
 @query("c14_purpose_text", "SELECT id, CASE type WHEN 'File' THEN concat(label, ': unknown file (', size, ' bytes).') WHEN 'Module' THEN concat('Module ''', label, ''' containing 2 file(s).') ELSE concat(type, ' ''', label, '''.') END AS purpose FROM kg_nodes")
 def _(r):
     return r.kg_nodes.select("id", C.purpose_text(F.col("type"), F.col("label"), F.lit(None).cast("string"), F.col("size"), F.lit(2)).alias("purpose"))
@@ -1003,6 +1157,17 @@ def _(r):
     return memory.skills(memory.decided(r.proposals.withColumn("provenance", _empty()), r.actions)).select("id", "type", "label")
 
 
+@query("p10_several_actions", "SELECT id, CASE status WHEN 'proposed' THEN 'committed' WHEN 'approved' THEN 'committed' ELSE status END AS status, CASE status WHEN 'proposed' THEN 2 WHEN 'approved' THEN 1 ELSE 0 END::BIGINT AS steps, CASE status WHEN 'proposed' THEN NULL WHEN 'approved' THEN 'cannot approve a proposal in status approved' ELSE concat('cannot commit a proposal in status ', status) END AS error FROM proposals")
+def _(r):
+    both = [r.proposals.select("id", F.lit(a).alias("action"), F.lit("u").alias("actor"), F.lit(None).cast("string").alias("note"), F.lit(at).alias("at")) for a, at in (("commit", "2"), ("approve", "1"))]
+    return memory.decided(r.proposals.withColumn("provenance", _empty()), both[0].unionByName(both[1])).select("id", "status", F.size("provenance").alias("steps"), "error")
+
+
+@query("p10_unknown", "SELECT id, action, concat('unknown proposal ', id) AS error FROM actions WHERE CAST(substr(id, 5) AS BIGINT) % 7 > 0")
+def _(r):
+    return memory.refused(r.proposals.filter("cast(substr(id, 5) as bigint) % 7 = 0"), r.actions)
+
+
 @query("p11_proposal_emit", "SELECT concat('prop_', substr(sha256(concat(lang, '|', doc_id)), 1, 26)) AS id, lang AS kind, 'proposed' AS status FROM documents")
 def _(r):
     return memory.proposed(r.documents.select(F.col("doc_id").cast("string").alias("key"), F.col("lang").alias("kind"), F.lit("{}").alias("payload"))).select("id", "kind", "status")

@@ -1,7 +1,8 @@
-"""The record store (S4-S8, K1-K10): a folder with one Parquet folder for each collection.
+"""The record store (S4-S8, K1-K10): a folder with one Parquet folder for each version of a collection.
 
-A write goes to a new version folder and then moves the collection's pointer, so a reader sees the old or the new version, and a
-lost executor leaves neither half written.  Nothing is read and overwritten in one job.
+A write goes to a new version folder and is then published by an empty file in the collection's log, whose name holds its number and
+the version.  Such a file is there or not, so a reader sees the old or the new version and never a half; of two
+writers that start from one version the second is refused.  Nothing is read and overwritten in one job.
 """
 
 from __future__ import annotations
@@ -11,12 +12,18 @@ import tarfile
 import tempfile
 import time
 import uuid
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork import schemas as S
+from skeinwork.operators.records import first_of_each
+
+
+class Conflict(RuntimeError):
+    """Another writer has published a version meanwhile."""
 
 
 class Store:
@@ -27,18 +34,29 @@ class Store:
 
     # ---- versions
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/CURRENT"
-
-    def _read_text(self, path: str) -> str | None:
+    def _names(self, path: str, folders: bool) -> list[str]:
         p = self.fs_path(path)
-        if not self.fs.exists(p):
-            return None
-        stream = self.fs.open(p)
-        try:
-            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(p) if f.isDirectory() == folders) if self.fs.exists(p) else []
+
+    def _head(self, name: str) -> tuple[int, str | None]:
+        """Number and version of the last entry of the log; of two with one number the smaller name counts."""
+        entries: dict[str, str] = {}
+        for entry in self._names(f"{self.root}/{name}/log", folders=False):
+            number, _, version = entry.partition("-")
+            entries.setdefault(number, version)
+        last = max(entries, default=None)
+        return (int(last), entries[last]) if last else (0, None)
+
+    def _publish(self, name: str, number: int, version: str) -> None:
+        entry = f"{number:020d}-{version}"
+        self.fs.create(self.fs_path(f"{self.root}/{name}/log/{entry}"), False).close()
+        if self._head(name) != (number, version):
+            self.fs.delete(self.fs_path(f"{self.root}/{name}/log/{entry}"), False)
+            raise Conflict(f"{name} has a version {number} already")
+
+    def path(self, name: str) -> str | None:
+        version = self._head(name)[1]
+        return f"{self.root}/{name}/{version}" if version else None
 
     def _write_text(self, path: str, text: str) -> None:
         stream = self.fs.create(self.fs_path(path), True)
@@ -47,10 +65,6 @@ class Store:
         finally:
             stream.close()
 
-    def path(self, name: str) -> str | None:
-        version = self._read_text(self._pointer(name))
-        return f"{self.root}/{name}/{version}" if version else None
-
     # ---- S4-S7
 
     def scan(self, name: str) -> DataFrame:
@@ -66,30 +80,30 @@ class Store:
 
     def collections(self) -> list[str]:
         """S6"""
-        if not self.fs.exists(self.fs_path(self.root)):
-            return []
-        return sorted(f.getPath().getName() for f in self.fs.listStatus(self.fs_path(self.root)) if f.isDirectory() and self.path(f.getPath().getName()))
+        return [n for n in self._names(self.root, folders=True) if n != "schema" and self.path(n)]
 
     def raw_items(self, name: str, key: str = "id") -> DataFrame:
         """(id, data) with the record as JSON."""
         df = self.scan(name)
-        return df.select(F.col(key).alias("id"), F.to_json(F.struct(*df.columns)).alias("data")).orderBy("id")
+        return df.select(F.col(key).alias("id"), F.to_json(F.struct(*df.columns)).alias("data"))
 
     # ---- K1-K6
 
     def replace(self, name: str, df: DataFrame) -> None:
-        """K4: a new version of the whole collection; the versions before the last one go."""
-        before = self._read_text(self._pointer(name))
+        """K4: a new version of the whole collection; what was published before the last version goes."""
+        number, before = self._head(name)
         version = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.root}/{name}/{version}")
-        self._write_text(self._pointer(name), version)
-        for f in self.fs.listStatus(self.fs_path(f"{self.root}/{name}")):
-            if f.isDirectory() and f.getPath().getName() not in (version, before):
-                self.fs.delete(f.getPath(), True)
-
-    def upsert(self, name: str, rows: DataFrame, key: str = "id") -> None:
+        self._publish(name, number + 1, version)
+        for old in self._names(f"{self.root}/{name}/log", folders=False):
+            old_number, _, old_version = old.partition("-")
+            if int(old_number) < number:
+                self.fs.delete(self.fs_path(f"{self.root}/{name}/{old_version}"), True)
+                self.fs.delete(self.fs_path(f"{self.root}/{name}/log/{old}"), False)
+
+    def upsert(self, name: str, rows: DataFrame, key: str = "id", order: Sequence[str] = (), now: Column | None = None) -> None:
         """K1: rows replace those of their key."""
-        self.replace(name, upserted(self.scan(name), rows, key))
+        self.replace(name, upserted(self.scan(name), rows, key, order, now))
 
     def delete(self, name: str, ids: DataFrame, key: str = "id") -> None:
         """K2: a key that is not there changes nothing."""
@@ -99,8 +113,24 @@ class Store:
         """K3"""
         self.fs.delete(self.fs_path(self.root), True)
 
-    def rebuild_views(self, prefix: str = "") -> list[str]:
-        """K5: views over the current versions."""
+    def write_snapshots(self, folder: str, names: Sequence[str] | None = None) -> None:
+        """K4: each collection as lines of JSON, every line a YAML document; the snapshot of an empty collection is removed."""
+        for name in self.collections() if names is None else names:
+            rows, at = self.scan(name), self.fs_path(f"{folder}/{name}.jsonl")
+            if rows.isEmpty():
+                self.fs.delete(at, True)
+            else:
+                rows.write.mode("overwrite").option("ignoreNullFields", "false").json(str(at))
+
+    def rebuild(self, folder: str) -> list[str]:
+        """K5: every collection as its snapshot has it; the snapshots win."""
+        found = read_snapshots(self.spark, folder)
+        for name, rows in found.items():
+            self.replace(name, rows)
+        return sorted(found)
+
+    def views(self, prefix: str = "") -> list[str]:
+        """Views over the current versions."""
         names = self.collections()
         for n in names:
             self.scan(n).createOrReplaceTempView(prefix + n)
@@ -114,23 +144,29 @@ class Store:
 
     # ---- K7-K10
 
-    def migrate(self) -> int:
-        """K7: forward only; the version of the schema that the store has afterwards."""
-        at = int(self._read_text(f"{self.root}/SCHEMA_VERSION") or 0)
-        if at > S.SCHEMA_VERSION:
-            raise ValueError(f"schema version {at} is newer than {S.SCHEMA_VERSION}")
-        if at < S.SCHEMA_VERSION:
-            self._write_text(f"{self.root}/SCHEMA_VERSION", str(S.SCHEMA_VERSION))
-        return S.SCHEMA_VERSION
+    def schema_version(self) -> int:
+        return int(self._head("schema")[1] or 0)
+
+    def migrate(self, steps: dict[int, Callable[[Store], None]] | None = None, target: int = S.SCHEMA_VERSION) -> int:
+        """K7: forward only: the steps of the versions above the store's, in order, each recorded when it is done."""
+        at = self.schema_version()
+        if at > target:
+            raise ValueError(f"schema version {at} is newer than {target}")
+        for version in range(at + 1, target + 1):
+            if step := (steps or {}).get(version):
+                step(self)
+            self._publish("schema", version, str(version))
+        return target
 
     def export_bundle(self, dest: str) -> dict:
         """K8: one archive with every collection's files and a manifest.  An archive is one local file, for stores of that size."""
-        manifest = {"schema_version": S.SCHEMA_VERSION, "collections": self.collections()}
+        names = self.collections()
+        manifest = {"schema_version": S.SCHEMA_VERSION, "collections": names}
         with tempfile.TemporaryDirectory() as tmp, tarfile.open(dest, "w:gz") as tar:
             head = Path(tmp, "manifest.json")
             head.write_text(json.dumps(manifest))
             tar.add(head, "manifest.json")
-            for n in manifest["collections"]:
+            for n in names:
                 local = Path(tmp, n)
                 self.fs.copyToLocalFile(self.fs_path(self.path(n)), self.fs_path(f"file://{local}"))
                 for part in sorted(local.glob("*.parquet")):
@@ -138,7 +174,8 @@ class Store:
         return manifest
 
     def import_bundle(self, src: str) -> dict:
-        """K9: refuses a newer schema; takes only flat names below snapshots/."""
+        """K9: refuses a newer schema; takes only flat names below snapshots/.  The files go into the store's file system before they are read."""
+        staged = f"{self.root}/import-{uuid.uuid4().hex}"
         with tempfile.TemporaryDirectory() as tmp, tarfile.open(src) as tar:
             manifest = json.load(tar.extractfile("manifest.json"))
             if manifest["schema_version"] > S.SCHEMA_VERSION:
@@ -146,12 +183,14 @@ class Store:
             for m in tar.getmembers():
                 if m.isfile() and is_safe_member(m.name):
                     name, _, part = m.name.removeprefix("snapshots/").partition("~")
-                    target = Path(tmp, name, part)
-                    target.parent.mkdir(exist_ok=True)
-                    target.write_bytes(tar.extractfile(m).read())
-            for n in manifest["collections"]:
-                if Path(tmp, n).is_dir():
-                    self.replace(n, self.spark.read.parquet(f"file://{tmp}/{n}"))
+                    if name in manifest["collections"]:
+                        local = Path(tmp, uuid.uuid4().hex)
+                        local.write_bytes(tar.extractfile(m).read())
+                        self.fs.copyFromLocalFile(self.fs_path(f"file://{local}"), self.fs_path(f"{staged}/{name}/{part}"))
+        for n in manifest["collections"]:
+            if self.fs.exists(self.fs_path(f"{staged}/{n}")):
+                self.replace(n, self.spark.read.parquet(f"{staged}/{n}"))
+        self.fs.delete(self.fs_path(staged), True)
         return manifest
 
     def backup(self, folder: str, keep: int = 10) -> list[str]:
@@ -169,9 +208,12 @@ def is_safe_member(name: str) -> bool:
     return head == "snapshots" and bool(rest) and "/" not in rest and "\\" not in rest and not rest.startswith("..")
 
 
-def upserted(base: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
-    """K1 as a DataFrame."""
-    return base.join(rows.select(key), key, "left_anti").unionByName(rows)
+def upserted(base: DataFrame, rows: DataFrame, key: str = "id", order: Sequence[str] = (), now: Column | None = None) -> DataFrame:
+    """K1 as a DataFrame: one record for each key.  Of several rows with one key the last by order counts, then that of the largest JSON text; now stamps updated_at."""
+    last = first_of_each(rows, [key], [*map(F.desc, order), F.desc(F.to_json(F.struct(*rows.columns)))])
+    if now is not None and "updated_at" in rows.columns:
+        last = last.withColumn("updated_at", now)
+    return base.join(last.select(key), key, "left_anti").unionByName(last)
 
 
 def reconciled(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
@@ -182,18 +224,40 @@ def reconciled(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
 
 
 def retained(backups: DataFrame, keep: int = 10) -> DataFrame:
-    """(name, keep) of backups, newest first."""
-    from pyspark.sql.window import Window
-
-    n = F.row_number().over(Window.orderBy(F.desc("name")))
-    return backups.select("name", ((F.lit(keep) <= 0) | (n <= keep)).alias("keep"))
+    """(name, keep) of backups: the newest stay."""
+    if keep <= 0:
+        return backups.select("name", F.lit(True).alias("keep"))
+    newest = backups.select("name").orderBy(F.desc("name")).limit(keep).withColumn("keep", F.lit(True))
+    return backups.select("name").join(newest, "name", "left").select("name", F.coalesce("keep", F.lit(False)).alias("keep"))
 
 
 def read_snapshots(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """A JSON-lines or Parquet folder for each collection below a local folder; others are passed over."""
+    """The snapshots below a folder by collection: lines of JSON or Parquet, a file or a folder; or one YAML file with a list of records.
+
+    YAML files are read by the driver: they are for what people edit, and need a YAML library unless they are JSON, which YAML includes.
+    """
+    store = Store(spark, folder)
     out = {}
-    for p in sorted(Path(folder).iterdir()):
-        if p.stem in S.COLLECTIONS and (p.suffix in (".json", ".jsonl") or p.is_dir()):
-            reader = spark.read.schema(S.COLLECTIONS[p.stem])
-            out[p.stem] = reader.parquet(str(p)) if p.is_dir() else reader.json(str(p))
+    for at in [*store._names(folder, folders=False), *store._names(folder, folders=True)]:
+        name, _, kind = at.partition(".")
+        if name not in S.COLLECTIONS or kind not in ("jsonl", "json", "parquet", "yaml", "yml", ""):
+            continue
+        reader = spark.read.schema(S.COLLECTIONS[name])
+        if kind in ("yaml", "yml"):
+            text = "".join(r[0] for r in spark.read.text(f"{folder}/{at}", wholetext=True).collect())
+            records = [json.dumps(r) for r in yaml_records(text)]
+            out[name] = spark.createDataFrame([(r,) for r in records], "value string").select(F.from_json("value", S.COLLECTIONS[name]).alias("x")).select("x.*")
+        else:
+            out[name] = reader.parquet(f"{folder}/{at}") if kind in ("parquet", "") else reader.json(f"{folder}/{at}")
     return out
+
+
+def yaml_records(text: str) -> list[dict]:
+    """The records of a YAML text that holds a list of maps."""
+    try:
+        found = json.loads(text)
+    except ValueError:
+        import yaml  # not a part of the image: only block style needs it
+
+        found = yaml.safe_load(text)
+    return [r for r in found or [] if isinstance(r, dict)]
