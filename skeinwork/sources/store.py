@@ -1,8 +1,8 @@
 """The record store (S4-S8, K1-K10): a folder with one Parquet folder for each version of a collection.
 
-A write goes to a new version folder and is then published by an empty file in the collection's log, whose name holds its number and
-the version.  Such a file is there or not, so a reader sees the old or the new version and never a half; of two
-writers that start from one version the second is refused.  Nothing is read and overwritten in one job.
+A write goes to a new version folder and is then published by the next numbered entry of the collection's log, which names the version.
+Only one writer can create an entry, so of two that start from one version the second is refused; an entry without
+content is not there for readers, so they see the old or the new version and never a half.  Nothing is read and overwritten in one job.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,10 @@ from skeinwork import schemas as S
 from skeinwork.operators.records import first_of_each
 
 
+#: Seconds after which an entry without content counts as left behind by a writer that failed.
+ABANDONED = 3600
+
+
 class Conflict(RuntimeError):
     """Another writer has published a version meanwhile."""
 
@@ -38,21 +43,40 @@ class Store:
         p = self.fs_path(path)
         return sorted(f.getPath().getName() for f in self.fs.listStatus(p) if f.isDirectory() == folders) if self.fs.exists(p) else []
 
+    def _log(self, name: str) -> list[tuple[int, bool, float]]:
+        """Number, whether it is written, and age in seconds of each entry of the log, the last one first."""
+        p = self.fs_path(f"{self.root}/{name}/log")
+        found = self.fs.listStatus(p) if self.fs.exists(p) else []
+        return sorted(((int(f.getPath().getName()), f.getLen() > 0, time.time() - f.getModificationTime() / 1000) for f in found), reverse=True)
+
+    def _version(self, name: str, number: int) -> str:
+        stream = self.fs.open(self.fs_path(f"{self.root}/{name}/log/{number:020d}"))
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def _head(self, name: str) -> tuple[int, str | None]:
-        """Number and version of the last entry of the log; of two with one number the smaller name counts."""
-        entries: dict[str, str] = {}
-        for entry in self._names(f"{self.root}/{name}/log", folders=False):
-            number, _, version = entry.partition("-")
-            entries.setdefault(number, version)
-        last = max(entries, default=None)
-        return (int(last), entries[last]) if last else (0, None)
-
-    def _publish(self, name: str, number: int, version: str) -> None:
-        entry = f"{number:020d}-{version}"
-        self.fs.create(self.fs_path(f"{self.root}/{name}/log/{entry}"), False).close()
-        if self._head(name) != (number, version):
-            self.fs.delete(self.fs_path(f"{self.root}/{name}/log/{entry}"), False)
-            raise Conflict(f"{name} has a version {number} already")
+        """Number and version of the last written entry of the log."""
+        last = next((n for n, written, _ in self._log(name) if written), None)
+        return (0, None) if last is None else (last, self._version(name, last))
+
+    def _publish(self, name: str, base: int, version: str) -> int:
+        """The entry after base; only one writer can create it.  Entries that a writer left empty long ago are passed over."""
+        number = base + 1
+        for n, written, age in self._log(name):
+            if n > base and (written or age < ABANDONED):
+                raise Conflict(f"{name} has a version {n} already")
+            number = max(number, n + 1)
+        try:
+            stream = self.fs.create(self.fs_path(f"{self.root}/{name}/log/{number:020d}"), False)
+        except Py4JJavaError as e:
+            raise Conflict(f"{name} has a version {number} already") from e
+        try:
+            stream.write(bytearray(version.encode()))
+        finally:
+            stream.close()
+        return number
 
     def path(self, name: str) -> str | None:
         version = self._head(name)[1]
@@ -91,15 +115,14 @@ class Store:
 
     def replace(self, name: str, df: DataFrame) -> None:
         """K4: a new version of the whole collection; what was published before the last version goes."""
-        number, before = self._head(name)
+        base, before = self._head(name)
         version = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.root}/{name}/{version}")
-        self._publish(name, number + 1, version)
-        for old in self._names(f"{self.root}/{name}/log", folders=False):
-            old_number, _, old_version = old.partition("-")
-            if int(old_number) < number:
-                self.fs.delete(self.fs_path(f"{self.root}/{name}/{old_version}"), True)
-                self.fs.delete(self.fs_path(f"{self.root}/{name}/log/{old}"), False)
+        self._publish(name, base, version)
+        for n, written, _ in self._log(name):
+            if n < base and written:
+                self.fs.delete(self.fs_path(f"{self.root}/{name}/{self._version(name, n)}"), True)
+                self.fs.delete(self.fs_path(f"{self.root}/{name}/log/{n:020d}"), False)
 
     def upsert(self, name: str, rows: DataFrame, key: str = "id", order: Sequence[str] = (), now: Column | None = None) -> None:
         """K1: rows replace those of their key."""
@@ -155,7 +178,7 @@ class Store:
         for version in range(at + 1, target + 1):
             if step := (steps or {}).get(version):
                 step(self)
-            self._publish("schema", version, str(version))
+            self._publish("schema", self._head("schema")[0], str(version))
         return target
 
     def export_bundle(self, dest: str) -> dict:

@@ -1,6 +1,8 @@
 """Small cases with known results: memory, ledgers, routing, ownership, context, proposals, store."""
 
 import datetime as dt
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +10,8 @@ from pyspark.sql import functions as F
 from skeinwork.functions import scalars as C
 from skeinwork.operators import graph, ledger, ownership, records
 from skeinwork.plans import context, ingest, memory
-from skeinwork.sources import files, text
-from skeinwork.sources.store import Store, is_safe_member
+from skeinwork.sources import files, store, text
+from skeinwork.sources.store import Conflict, Store, is_safe_member
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -146,6 +148,101 @@ def test_store_round_trip(spark, tmp_path):
     assert is_safe_member("snapshots/a") and not is_safe_member("snapshots/../a")
 
 
+def test_store_refuses_a_second_writer(spark, tmp_path, monkeypatch):
+    s, row = Store(spark, str(tmp_path / "s")), "id string, kind string, label string, file string, created_at timestamp"
+    s.replace("df_nodes", spark.createDataFrame([("a", "attr", "x", "f", T0)], row))
+    base, version = s._head("df_nodes")
+    assert s._publish("df_nodes", base, version) == base + 1
+    with pytest.raises(Conflict):
+        s._publish("df_nodes", base, "other")
+    assert s._head("df_nodes") == (base + 1, version)
+    # A writer that failed leaves an empty entry: readers pass it over, and writers too after a while.
+    s.fs.create(s.fs_path(f"{s.root}/df_nodes/log/{base + 2:020d}"), False).close()
+    assert s._head("df_nodes") == (base + 1, version)
+    with pytest.raises(Conflict):
+        s._publish("df_nodes", base + 1, version)
+    monkeypatch.setattr(store, "ABANDONED", -60)
+    assert s._publish("df_nodes", base + 1, version) == base + 3
+    for k in range(4):
+        s.replace("df_nodes", spark.createDataFrame([(f"b{k}", "attr", "x", "f", T0)], row))
+    assert rows(s.scan("df_nodes"), "id") == [("b3",)] and len(s._names(f"{s.root}/df_nodes", folders=True)) <= 4
+
+
+def test_upsert_leaves_one_record_for_each_key(spark):
+    from skeinwork.sources.store import upserted
+
+    schema = "id string, label string, seq int"
+    new = spark.createDataFrame([("a", "first", 1), ("a", "last", 2), ("b", "only", 1)], schema)
+    got = upserted(spark.createDataFrame([("a", "old", 0), ("c", "old", 0)], schema), new, order=["seq"])
+    assert sorted(rows(got, "id", "label")) == [("a", "last"), ("b", "only"), ("c", "old")]
+
+
+def test_snapshots_win_and_empty_ones_go(spark, tmp_path):
+    s, row = Store(spark, str(tmp_path / "s")), "id string, kind string, label string, file string, created_at timestamp"
+    s.replace("df_nodes", spark.createDataFrame([("a", "attr", "x", "f", T0)], row))
+    s.write_snapshots(str(tmp_path / "snap"))
+    s.delete("df_nodes", s.scan("df_nodes"))
+    assert s.scan("df_nodes").count() == 0 and s.rebuild(str(tmp_path / "snap")) == ["df_nodes"] and rows(s.scan("df_nodes"), "id") == [("a",)]
+    s.delete("df_nodes", s.scan("df_nodes"))
+    s.write_snapshots(str(tmp_path / "snap"))
+    assert s.rebuild(str(tmp_path / "snap")) == []
+
+
+def test_migrations_run_once_and_forward(spark, tmp_path):
+    s, ran = Store(spark, str(tmp_path / "s")), []
+    steps = {k: lambda _, k=k: ran.append(k) for k in (1, 2, 3)}
+    assert s.migrate(steps, 2) == 2 and s.migrate(steps, 3) == 3 and s.migrate(steps, 3) == 3 and ran == [1, 2, 3]
+    with pytest.raises(ValueError):
+        s.migrate(steps, 1)
+
+
+def test_edge_insert_refuses(spark):
+    n = spark.createDataFrame([("m", "Module"), ("f", "File"), ("g", "File")], "id string, type string")
+    schema = "src_id string, dst_id string, type string"
+    e = spark.createDataFrame([("m", "f", "contains")], schema)
+    new = spark.createDataFrame([("m", "f", "contains"), ("m", "g", "contains"), ("f", "g", "contains"), ("m", "none", "contains"), ("none", "f", "contains")], schema)
+    after, refused = records.inserted_edges(e, new, n)
+    assert sorted(rows(after, "src_id", "dst_id")) == [("m", "f"), ("m", "g")]
+    assert sorted(rows(refused, "src_id", "dst_id", "reason")) == [("f", "g", "forbidden types"), ("m", "none", "missing target"), ("none", "f", "missing source")]
+
+
+def test_path_search_ends_on_a_dense_graph(spark):
+    rng = random.Random(4)
+    ids = [f"n{k:03d}" for k in range(200)]
+    adj = spark.createDataFrame([(a, b) for a in ids for b in rng.sample(ids, 40)], "src string, dst string")
+    pairs = spark.createDataFrame([("n000", "n199"), ("n001", "n198")], "source string, target string")
+    began = time.time()
+    got = graph.find_paths(adj, pairs, 6, 10).collect()
+    assert len(got) == 20 and all(p.path == q.path or p.path < q.path for p, q in zip(sorted(got, key=lambda r: (r.source, r["rank"])), sorted(got, key=lambda r: (r.source, r.path)), strict=True))
+    calls = adj.select(F.col("src").alias("src_id"), F.col("dst").alias("dst_id"), F.lit("calls").alias("type"), F.lit("exact").alias("confidence"))
+    assert graph.paths_to(calls, pairs.select(F.col("target").alias("id")), 6, 20).count() == 40
+    assert time.time() - began < 120
+
+
+def test_first_paths_are_those_of_all_paths(spark):
+    rng = random.Random(5)
+    for _ in range(3):
+        ids = [f"n{k}" for k in range(9)]
+        edges = sorted({(rng.choice(ids), rng.choice(ids)) for _ in range(26)})
+        out = {}
+
+        def walk(path, out=out, edges=edges):
+            if path[-1] == "n8" and len(path) > 1:
+                out.setdefault(path[0], []).append(path)
+                return
+            for a, b in edges:
+                if a == path[-1] and b not in path and len(path) <= 7:
+                    walk([*path, b])
+
+        for s in ids[:4]:
+            walk([s])
+        pairs = spark.createDataFrame([(s, "n8") for s in ids[:4]], "source string, target string")
+        got = {}
+        for r in graph.find_paths(spark.createDataFrame(edges, "src string, dst string"), pairs, 7, 2).collect():
+            got.setdefault(r.source, []).append((r["rank"], r.path))
+        assert {k: [p for _, p in sorted(v)] for k, v in got.items()} == {k: sorted(v)[:2] for k, v in out.items()}
+
+
 def test_repository_scan(spark, tmp_path):
     for p, body in {"pkg/a.py": "import os\n", "pkg/__init__.py": "", "pkg/b.txt": "", "__pycache__/c.py": "", "web/x.JS": "import 'vue'"}.items():
         f = tmp_path / p
