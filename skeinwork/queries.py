@@ -951,13 +951,38 @@ def _(r):
     return context.build(r.kg_nodes, r.kg_edges, _cards(r), r.ids("mod:n1"), 1, 60).select("bundle", "seq", "ref", "kind", "tokens", "included")
 
 
-@query("p6_mentor_context")
+_AROUND = "SELECT src_id AS src, dst_id AS dst FROM live UNION SELECT dst_id, src_id FROM live"
+_TIER = "CASE kind WHEN 'card' THEN 0 WHEN 'criteria' THEN 1 WHEN 'decision' THEN 2 WHEN 'finding' THEN 3 WHEN 'adr' THEN 4 WHEN 'evidence' THEN 5 WHEN 'repo_profile' THEN 6 WHEN 'memory' THEN 7 WHEN 'source' THEN 8 ELSE 9 END"
+
+
+def _request_sql(seeds: str, parts: list[str], budget: int) -> str:
+    """CTEs up to manifest for an advisory request: what lies around the seeds, the parts in their order, and the greedy packing of all."""
+    items = " UNION ALL ".join(f"SELECT {k} AS source, bundle, ref, kind, content, tokens, raw_tokens, place FROM ({p})" for k, p in enumerate(parts))
+    return f"""{_CARDS}, {_SUBJECT}, live AS (SELECT e.src_id, e.dst_id FROM kg_edges e JOIN kg_nodes s ON s.id = e.src_id JOIN kg_nodes d ON d.id = e.dst_id WHERE e.type <> 'depends_on'), {bfs_sql(_AROUND, seeds, 1)},
+    around AS (SELECT f.seed AS bundle, f.id, n.type, row_number() OVER (PARTITION BY f.seed ORDER BY f.depth, f.parent, f.id) AS place FROM found f JOIN kg_nodes n ON n.id = f.id),
+    subjects AS (SELECT s.id AS bundle, s.id, 0 AS place FROM start s JOIN kg_nodes n ON n.id = s.id WHERE n.type IN ('File', 'Module') UNION ALL SELECT bundle, id, place FROM around WHERE type IN ('File', 'Module')),
+    chosen AS (SELECT b.bundle, b.id AS ref, CASE WHEN c.ref IS NOT NULL THEN 'card' WHEN s.id IS NOT NULL THEN 'memory' ELSE 'stub' END AS kind, coalesce(c.purpose, s.content, n.label) AS content, n.size, s.memory, b.place FROM subjects b JOIN kg_nodes n ON n.id = b.id LEFT JOIN cards c ON c.ref = n.id AND (n.type <> 'File' OR c.source_hash = n.hash) LEFT JOIN subject s ON s.id = n.id),
+    newer AS (SELECT bundle, id, place FROM around WHERE type = 'Decision' UNION ALL SELECT bundle, id, k + 1000000000 FROM (SELECT s.id AS bundle, n.id, row_number() OVER (PARTITION BY s.id ORDER BY n.created_at DESC, n.id) AS k FROM start s, kg_nodes n WHERE n.type = 'Decision' AND NOT EXISTS (SELECT 1 FROM around a WHERE a.bundle = s.id AND a.id = n.id)) WHERE k <= 5),
+    listed AS ({items}), given AS (SELECT *, {_TIER} AS tier, row_number() OVER (PARTITION BY bundle ORDER BY source, place) - 1 AS nth FROM listed),
+    lined AS (SELECT *, row_number() OVER (PARTITION BY bundle ORDER BY tier, nth, ref, kind, tokens, raw_tokens) - 1 AS seq FROM given),
+    walked(bundle, seq, used, included) AS (SELECT bundle, -1, CAST(0 AS BIGINT), false FROM (SELECT DISTINCT bundle FROM lined) UNION ALL SELECT l.bundle, l.seq, w.used + CASE WHEN w.used + l.tokens <= {budget} THEN l.tokens ELSE 0 END, w.used + l.tokens <= {budget} FROM walked w JOIN lined l ON l.bundle = w.bundle AND l.seq = w.seq + 1)"""
+
+
+_SUBJECT_PART = "SELECT bundle, ref, kind, content, (length(content) + 3) // 4 AS tokens, CASE kind WHEN 'card' THEN greatest((length(content) + 3) // 4, (coalesce(size, 0) + 3) // 4) ELSE (length(content) + 3) // 4 END AS raw_tokens, place FROM chosen"
+_DECISION_PART = "SELECT w.bundle, w.id AS ref, 'decision' AS kind, n.label AS content, (length(n.label) + 3) // 4 AS tokens, (length(n.label) + 3) // 4 AS raw_tokens, w.place FROM newer w JOIN kg_nodes n ON n.id = w.id"
+_MEMORY_PART = """SELECT bundle, id AS ref, 'memory' AS kind, content, (length(content) + 3) // 4 AS tokens, (length(content) + 3) // 4 AS raw_tokens, k AS place FROM (SELECT s.id AS bundle, m.id, m.content, row_number() OVER (PARTITION BY s.id ORDER BY m.salience DESC, m.created_at DESC, CASE m.scope WHEN 'project' THEN 0 ELSE 1 END, m.id) AS k
+    FROM start s, memory m WHERE m.status = 'active' AND m.scope IN ('project', 'user') AND NOT EXISTS (SELECT 1 FROM chosen c WHERE c.bundle = s.id AND c.kind = 'memory' AND c.memory = m.id)) WHERE k <= 5"""
+_TEXT_PART = "SELECT id AS bundle, '{}' AS ref, '{}' AS kind, '{}' AS content, {} AS tokens, {} AS raw_tokens, 0 AS place FROM start"
+_MANIFEST = "SELECT l.bundle, l.seq, l.ref, l.kind, CAST(l.tier AS BIGINT) AS tier, l.tokens, w.included, w.used FROM lined l JOIN walked w ON w.bundle = l.bundle AND w.seq = l.seq"
+
+
+@query("p6_mentor_context", _MANIFEST, _request_sql("SELECT 'file:c1' AS id UNION ALL SELECT 'file:c2'", [_SUBJECT_PART, _DECISION_PART, _MEMORY_PART], 400))
 def _(r):
     items = context.mentor_items(r.kg_nodes, r.kg_edges.filter("type <> 'depends_on'"), _cards(r), _linked_memory(r), r.ids("file:c1", "file:c2"), 1)
     return context.packed(items, 400).drop("raw_equiv")
 
 
-@query("p7_auditor_context")
+@query("p7_auditor_context", _MANIFEST, _request_sql("SELECT 'file:c4' AS id", [_TEXT_PART.format("acceptance-criteria", "criteria", "must be fast", 3, 3), _TEXT_PART.format("available-evidence", "evidence", "a log", 2, 2), f"{_SUBJECT_PART} WHERE kind = 'card'", _DECISION_PART], 400))
 def _(r):
     items = context.auditor_items(r.kg_nodes, r.kg_edges.filter("type <> 'depends_on'"), _cards(r), _linked_memory(r), r.ids("file:c4"), "must be fast", "a log", 1)
     return context.packed(items, 400).drop("raw_equiv")
