@@ -181,7 +181,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id"
 
     # The rows of one id are one query, in as many forms as they have vectors.
     asked = entries.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.count("*").alias("own"), F.sort_array(F.collect_set("vec")).alias("vecs"))
-    queries = asked.select("vec_id", "own", F.posexplode("vecs").alias("form", "vec")).mapInArrow(visit, "block long, query_id long, form int, vec binary, cells array<int>")
+    # A query is a small row and much work, so the queries are spread by number and not by size.
+    spread = asked.select("vec_id", "own", F.posexplode("vecs").alias("form", "vec")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id", "form")
+    queries = spread.mapInArrow(visit, "block long, query_id long, form int, vec binary, cells array<int>")
     blocks = entries.withColumn("block", at_block.cast("long"))
 
     def rerank(entry: pa.Table, query: pa.Table) -> pa.Table:
