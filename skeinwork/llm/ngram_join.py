@@ -12,7 +12,7 @@ stay are verified on the whole sets.
 What is wanted are components, so links between sets already known to be connected need not be found.  Equal sets are one set
 from the start.  The trie is walked twice.  In the first walk a node stands by its leader, so each set meets only the
 leaders of the nodes that hold its shingles; verified links make first components, and a large group of near copies is joined with few leaders instead
-of pair by pair.  This is repeated with the leaders of other components while it finds links (ROUNDS).  The second walk meets all sets, but enters no subtree that lies in the probe's own component, so no link between
+of pair by pair.  The second walk meets all sets, but enters no subtree that lies in the probe's own component, so no link between
 components is lost.  A bucket with much to compare is walked by several tasks, each with its share of the probes.
 
 Shingles are told apart by 64-bit hashes.  Document frequencies are counted over all
@@ -55,8 +55,8 @@ BUCKET = 1_000_000
 SLOTS = 1 << 23
 #: Pairs that share a shingle in a bucket, about, from which on it is walked by one more task; and rows given on at once.
 WORK, CHUNK = 20_000_000, 100_000
-#: Rounds of the first walk at most, leaders that a set is compared with after each, and sets that are compared with one copy of a leader.
-ROUNDS, LEADERS, MEMBERS = 2, 3, 64
+#: Leaders that a set is compared with after the first walk, and sets that are compared with one copy of a leader.
+LEADERS, MEMBERS = 3, 64
 
 
 def prefix_length(n: Column | np.ndarray | int) -> Column | np.ndarray | int:
@@ -536,20 +536,18 @@ def all_pairs(shared: DataFrame) -> DataFrame:
     return _walked(shared, leaders=False).filter(F.col("common") >= _least()).select("a", "b")
 
 
-def _by_family(items: DataFrame, label: DataFrame | None) -> DataFrame:
+def _by_family(items: DataFrame, label: DataFrame | None, buckets: int) -> DataFrame:
     """items with label and bucket: a set's component so far, and shingles together whose owners are in one component.
 
     So the shingles that members of a family share lie in one bucket, and the trie sees whole overlaps.  A family with more than
     BUCKET of them is cut into several buckets by shingle; small families share buckets.
     """
-    spark = items.sparkSession
     if label is None:
         items = items.withColumns({"label": F.col("rep"), "family": F.col("owner")})
     else:
         of = lambda c, to: label.select(F.col("node").alias(c), F.col("label").alias(to))
         items = items.join(of("rep", "label"), "rep", "left").join(of("owner", "family"), "owner", "left").withColumns({"label": F.coalesce("label", "rep"), "family": F.coalesce("family", "owner")})
     large = items.groupBy("family").count().filter(F.col("count") > BUCKET).select("family", F.ceil(F.col("count") / BUCKET).alias("cuts"))
-    buckets = max(-(-items.count() // BUCKET), min(12, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     cut = F.pmod(F.xxhash64("item"), F.coalesce("cuts", F.lit(1)))
     # One row for each BUCKET of the items at most: small enough to be broadcast at any size of the input, and so no family lands in one task.
     return items.join(F.broadcast(large), "family", "left").withColumn("bucket", F.pmod(F.xxhash64("family", cut), F.lit(buckets)))
@@ -566,14 +564,10 @@ def links(docs: DataFrame, rows: DataFrame, sets: DataFrame, width: int = WIDTH)
     shared = settle(_shared(prefixes, max(-(-total // (DEN * BUCKET)), least)), "shared")
     totals = shared.groupBy("rep").agg(F.count("*").alias("total")).join(own, "rep")
     items = settle(shared.join(totals, "rep"), "items")
-    label, first = None, None
-    for _ in range(ROUNDS):
-        found = settle(_linked(docs, settle(leader_pairs(_parts(_by_family(items, label), split=False)), "leaders"), width), "links")
-        first = found if first is None else first.unionByName(found)
-        if found.isEmpty():
-            break
-        label = settle(components(first), "labels")
-    return first, settle(_linked(docs, settle(all_pairs(_parts(_by_family(items, label), split=True)), "pairs"), width), "more-links")
+    parts = max(-(-items.count() // BUCKET), least)
+    first = settle(_linked(docs, settle(leader_pairs(_parts(_by_family(items, None, parts), split=False)), "leaders"), width), "links")
+    label = settle(components(first), "labels")
+    return first, settle(_linked(docs, settle(all_pairs(_parts(_by_family(items, label, parts), split=True)), "pairs"), width), "more-links")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
