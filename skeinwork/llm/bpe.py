@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skeinwork.llm.runtime import KEPT, texts_of, tokenizer_path, tune, two_columns
+from skeinwork.llm.runtime import KEPT, lean, texts_of, tokenizer_path, tune, two_columns
 
 #: Words and pieces kept in a worker's table; past half of it, those not met again since the last time go.
 WORDS_KEPT = 1_400_000
@@ -50,7 +50,6 @@ class WordBpe:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"]
-        self.rank = {tuple(m): k for k, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
@@ -58,12 +57,14 @@ class WordBpe:
         self.split = regex.compile(split["pattern"]["Regex"])
         self.packed = {i: i.to_bytes(4, "little") for i in self.tokens}
         self.bytes = _byte_symbols()
-        self.open_ = {t: i for t, i in self.vocab.items() if not t.endswith(self.end)}
-        self.closed = {t.removesuffix(self.end): i for t, i in self.vocab.items() if t.endswith(self.end)}
-        #: The longest entry that begins with given two symbols.
-        self.reach: dict[str, int] = {}
-        for t in (*self.open_, *self.closed):
-            self.reach[t[:2]] = max(self.reach.get(t[:2], 1), len(t))
+        if speculate:  # what proposals and their test need
+            self.rank = {tuple(m): k for k, m in enumerate(model["merges"])}
+            self.open_ = {t: i for t, i in self.vocab.items() if not t.endswith(self.end)}
+            self.closed = {t.removesuffix(self.end): i for t, i in self.vocab.items() if t.endswith(self.end)}
+            #: The longest entry that begins with given two symbols.
+            self.reach: dict[str, int] = {}
+            for t in (*self.open_, *self.closed):
+                self.reach[t[:2]] = max(self.reach.get(t[:2], 1), len(t))
         self.pairs: dict[int, bool] = {}
         self.chunks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -262,6 +263,7 @@ KEPT.append(_OPEN)
 
 def encoder(path: str, speculate: bool = True) -> WordBpe:
     """One encoder for each worker process and file.  speculate=False merges every new word exactly: the same ids."""
+    lean(_OPEN)
     if (path, speculate) not in _OPEN:
         _OPEN[path, speculate] = WordBpe(path, speculate=speculate)
         # The tables hold no cycles: let the collector pass over them, and come by less often.

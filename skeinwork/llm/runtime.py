@@ -18,10 +18,11 @@ BATCH_ROWS = 512
 KEPT: list[dict] = []
 
 
-def lean() -> None:
-    """In a worker: drop tables kept by other operators, give freed memory back, and take large arrays straight from the system."""
+def lean(own: dict | None = None) -> None:
+    """In a worker: drop tables kept by other operators than the own one, give freed memory back, and take large arrays straight from the system."""
     for table in KEPT:
-        table.clear()
+        if table is not own:
+            table.clear()
     pa.default_memory_pool().release_unused()
     try:
         libc = ctypes.CDLL("libc.so.6")
