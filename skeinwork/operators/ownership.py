@@ -11,6 +11,8 @@ from skeinwork.functions.scalars import glob_to_regex, half_even, rule_matches
 from skeinwork.operators.records import confident_calls
 from skeinwork.tables import literal_table
 
+#: Rules at most: they are broadcast and met by every symbol.
+MAX_RULES = 10_000
 AXES = ("domain", "layer", "criticality", "impact")
 
 
@@ -22,6 +24,8 @@ def rule_table(spark, rules: list[dict]) -> DataFrame:
         if r.get("kind") in ("symbol", "name", "path") and isinstance(r.get("pattern"), str):
             regex = glob_to_regex(r["pattern"]) if r["kind"] == "path" else r["pattern"]
             rows.append((n, r["kind"], r["pattern"], regex, *(r.get(a) if isinstance(r.get(a), str) else None for a in AXES)))
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"{len(rows)} ownership rules, {MAX_RULES} at most")
     return literal_table(spark, rows, "ordinal int, kind string, pattern string, regex string, " + ", ".join(f"{a} string" for a in AXES))
 
 
