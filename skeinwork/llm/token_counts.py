@@ -82,15 +82,15 @@ class UnigramCounts:
         self.most = max(self.longest.values())
         self.words = Words(WORDS_KEPT)
 
-    def _extend(self, end: str, best: list[tuple[float, int]] | deque[tuple[float, int]]) -> tuple[float, int]:
-        """Best cost and piece count of a prefix, from its last characters and those of its shorter prefixes, the last of which ends best."""
-        n, m, cost = len(end), len(best), self.cost.get
-        size = len(end[-1].encode("utf-8", "surrogatepass"))
+    def _extend(self, full: str, n: int, best: list[tuple[float, int]] | deque[tuple[float, int]]) -> tuple[float, int]:
+        """Best cost and piece count of the first n characters, from those of the shorter prefixes, which best ends with."""
+        last, shift, cost = full[n - 1], len(best) - n, self.cost.get
+        size = len(last.encode("utf-8", "surrogatepass"))
         b = best[-1]
         out = (b[0] + size * self.spare, b[1] + size)
-        for k in range(max(0, n - self.longest.get(end[-1], 0)), n):
-            if (c := cost(end[k:])) is not None:
-                b = best[m - n + k]
+        for k in range(max(0, n - self.longest.get(last, 0)), n):
+            if (c := cost(full[k:n])) is not None:
+                b = best[shift + k]
                 now = (b[0] + c, b[1] + 1)
                 if now < out:
                     out = now
@@ -100,7 +100,7 @@ class UnigramCounts:
         """The pieces of one long pre-token."""
         best = deque([(0.0, 0)], maxlen=self.most)
         for n in range(1, len(full) + 1):
-            best.append(self._extend(full[max(0, n - len(best)) : n], best))
+            best.append(self._extend(full, n, best))
         return best[-1][1]
 
     def learn(self, words: list[str]) -> None:
@@ -122,7 +122,7 @@ class UnigramCounts:
                 same += 1
             del best[same + 1 :]
             for n in range(same + 1, len(full) + 1):
-                best.append(self._extend(full[max(0, n - self.most) : n], best))
+                best.append(self._extend(full, n, best))
             path = full
             known[w] = best[-1][1]
 
