@@ -579,15 +579,17 @@ def _(r):
     return graph.lineage(r.exec_nodes, r.exec_edges, r.df_nodes, r.df_edges.filter("false"), anchors, pairs, 4).select("source", "target", "rank", "step", "id", "type", "label", "file")
 
 
-_FLOWS = f"""adj AS ({_LINEAGE}), walk(source, path) AS (SELECT s, [s] FROM (SELECT DISTINCT src_id AS s FROM df_edges WHERE type = 'writes' AND src_id IN ('func:p1', 'func:p2', 'func:p3')) UNION ALL SELECT w.source, list_append(w.path, a.dst) FROM walk w JOIN adj a ON a.src = w.path[-1] WHERE NOT list_contains(w.path, a.dst) AND len(w.path) <= 3 AND w.path[-1] <> 'func:s1'),
-    ranked AS (SELECT source, path, row_number() OVER (PARTITION BY source ORDER BY path) AS rank FROM walk WHERE path[-1] = 'func:s1')"""
+_FLOWS = f"""adj AS ({_LINEAGE}), asked AS (SELECT DISTINCT w.src_id AS source, t.id AS target FROM df_edges w, (SELECT concat('func:s', s_suppkey) AS id FROM supplier WHERE s_suppkey < 10) t WHERE w.type = 'writes' AND w.src_id LIKE 'func:p1_'),
+    walk(source, target, path) AS (SELECT source, target, [source] FROM asked UNION ALL SELECT w.source, w.target, list_append(w.path, a.dst) FROM walk w JOIN adj a ON a.src = w.path[-1] WHERE NOT list_contains(w.path, a.dst) AND len(w.path) <= 3 AND w.path[-1] <> w.target),
+    ranked AS (SELECT source, target, path, row_number() OVER (PARTITION BY source, target ORDER BY path) AS rank FROM walk WHERE path[-1] = target)"""
 
 
-@query("g12_lineage", "SELECT r.source, 'func:s1' AS target, r.rank, CAST(s.step AS BIGINT) AS step, s.id, coalesce(n.type, d.kind) AS type, coalesce(n.label, d.label) AS label, coalesce(n.file, d.file) AS file FROM ranked r, LATERAL (SELECT unnest(r.path) AS id, generate_subscripts(r.path, 1) - 1 AS step) s LEFT JOIN exec_nodes n ON n.id = s.id LEFT JOIN df_nodes d ON d.id = s.id WHERE r.rank <= 10", _FLOWS)
+@query("g12_lineage", "SELECT r.source, r.target, r.rank, CAST(s.step AS BIGINT) AS step, s.id, coalesce(n.type, d.kind) AS type, coalesce(n.label, d.label) AS label, coalesce(n.file, d.file) AS file FROM ranked r, LATERAL (SELECT unnest(r.path) AS id, generate_subscripts(r.path, 1) - 1 AS step) s LEFT JOIN exec_nodes n ON n.id = s.id LEFT JOIN df_nodes d ON d.id = s.id WHERE r.rank <= 10", _FLOWS)
 def _(r):
-    writers = r.df_edges.filter("type = 'writes' and src_id in ('func:p1', 'func:p2', 'func:p3')").select(F.col("src_id").alias("source"), F.lit("END").alias("target")).distinct()
-    anchors = literal_table(r.spark, [("END", "func:s1")], "name string, target string")
-    return graph.lineage(r.exec_nodes, r.exec_edges, r.df_nodes, r.df_edges, anchors, writers, 3).select("source", "target", "rank", "step", "id", "type", "label", "file")
+    writers = r.df_edges.filter("type = 'writes' and src_id like 'func:p1_'").select(F.col("src_id").alias("source")).distinct()
+    ends = r.supplier.filter("s_suppkey < 10").select(F.concat(F.lit("END"), "s_suppkey").alias("target"))
+    anchors = r.supplier.filter("s_suppkey < 10").select(F.concat(F.lit("END"), "s_suppkey").alias("name"), F.concat(F.lit("func:s"), "s_suppkey").alias("target"))
+    return graph.lineage(r.exec_nodes, r.exec_edges, r.df_nodes, r.df_edges, anchors, writers.join(ends), 3).select("source", "target", "rank", "step", "id", "type", "label", "file")
 
 
 @query("g13_call_graph", "SELECT f.seed, f.id, f.depth, n.type, n.label, n.file FROM found f LEFT JOIN exec_nodes n ON n.id = f.id", bfs_sql(_CALLS_OUT, "SELECT 'func:o1' AS id", 2))
