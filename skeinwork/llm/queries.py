@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import ann, bpe, html_extract, ngram_join, packing, pii, quality, suffix_dedup, token_counts, url_filter
+from skeinwork.llm import ann, bpe, html_extract, ngram_join, packing, phrases, pii, quality, resample, suffix_dedup, token_counts, url_filter
 from skeinwork.llm.runtime import table
 
 
@@ -50,8 +50,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_html_extraction, op3_packing, op4_quality_rules, op5_suffix_array_dedup, op6_url_filters, op7_nearest_neighbours, op8_bpe, op9_pii, op10_token_counts)}
+    found = (
+        op1_ngram_join, op2_html_extraction, op3_packing, op4_quality_rules, op5_suffix_array_dedup, op6_url_filters, op7_nearest_neighbours, op8_bpe, op9_pii,
+        op10_token_counts, op12_collocations, op13_resampling,
+    )
+    return {f.__name__: f for f in found}
 
 
 #: Word shingles, the exact join on them, and components by closure.
@@ -109,6 +121,42 @@ alias AS (SELECT node, min(other) AS component, min(v) AS group_verdict FROM mem
 SELECT n.page_id, n.host, n.path, {_rule_sql("n.host", "n.path", 0)} AS rule, coalesce({_rule_sql("n.host", "n.path", 1)}, a.group_verdict, 'allow') AS verdict, a.component FROM named n LEFT JOIN alias a ON a.node = n.node"""
 
 
+_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CUTS_SQL = ", ".join(f"CASE WHEN len(w) > {k} THEN struct_pack(k := {k}, head := w[:{k}], tail := w[{k + 1}:]) END" for k in range(1, 5))
+#: All phrases of up to five words are counted; cuts are joined to the counts of their parts.
+OP12_SQL = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array({_LOWER_SQL}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+runs AS (SELECT lang, w[i:i + m - 1] AS w FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, range(1, 6) r(m) WHERE len(w) >= m)),
+counted AS (SELECT lang, w, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT lang, w, a, unnest(list_filter([{_CUTS_SQL}], lambda c: c IS NOT NULL)) AS c FROM counted WHERE len(w) > 1),
+valued AS (SELECT c.lang, c.w, c.a, c.c.k AS k, x.a AS l, y.a AS r, t.n, CAST((1000 * CAST(c.a AS HUGEINT) * t.n) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+    FROM cuts c JOIN counted x ON x.lang = c.lang AND x.w = c.c.head JOIN counted y ON y.lang = c.lang AND y.w = c.c.tail JOIN total t ON t.lang = c.lang),
+lowest AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+parts AS (SELECT DISTINCT lang, w[i:i + m - 1] AS w, a FROM (SELECT lang, w, a, m, unnest(range(1, len(w) - m + 2)) AS i FROM counted, range(2, 5) r(m) WHERE len(w) > m)),
+kept AS (SELECT * FROM lowest v WHERE NOT EXISTS (SELECT 1 FROM parts p WHERE p.lang = v.lang AND p.w = v.w AND 100 * p.a >= 100 * v.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank, array_to_string(w, ' ') AS phrase, a, l, r, n, score FROM kept
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) <= 2000"""
+
+
+_BYTES_SQL = "list_transform(range(0, length(hex(w)) // 2), lambda i: CAST('0x' || substr(hex(w), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))"
+#: CRC-32 by its table, the buckets of all distinct words, and the draw by a window.
+OP13_SQL = rf"""
+WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(0, 8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(0, 256) r(i))),
+lists AS (SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all({_LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+wanted AS (SELECT unnest(regexp_extract_all({_LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+own AS (SELECT row_no, unnest(words) AS w FROM lists),
+hashed AS (SELECT w, xor(list_reduce(list_prepend(4294967295, {_BYTES_SQL}), lambda c, x: xor(c >> 8, t[CAST((xor(c, x) & 255) + 1 AS INTEGER)])), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT w FROM own UNION SELECT DISTINCT w FROM wanted), crc),
+s AS (SELECT bucket, count(*) AS s FROM own JOIN hashed USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM wanted JOIN hashed USING (w) GROUP BY bucket),
+sizes AS (SELECT CAST((SELECT count(*) FROM own) AS DOUBLE) AS all_s, CAST((SELECT count(*) FROM wanted) AS DOUBLE) AS all_t),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (all_s + 10000) / ((s + 1.0::DOUBLE) * (all_t + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), sizes),
+weights AS (SELECT row_no, CAST(sum(gain) AS BIGINT) AS weight FROM own JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY row_no),
+drawn AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+    + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256(concat('2024:', doc_id)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM lists LEFT JOIN weights USING (row_no)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS able FROM drawn)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank FROM placed"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Twins of the queries that SQL can express; the others are compared with brute force in tests/llm."""
-    return {"op1_ngram_join": OP1_SQL, "op6_url_filters": OP6_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op6_url_filters": OP6_SQL, "op12_collocations": OP12_SQL, "op13_resampling": OP13_SQL}
