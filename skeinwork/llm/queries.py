@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import ann, bpe, html_extract, ngram_join, packing, phrases, pii, quality, resample, suffix_dedup, token_counts, url_filter
+from skeinwork.llm import ann, bpe, html_extract, ngram_join, packing, phrases, pieces, pii, quality, resample, suffix_dedup, token_counts, url_filter
 from skeinwork.llm.runtime import table
 
 
@@ -50,6 +50,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_ngram_join, op2_html_extraction, op3_packing, op4_quality_rules, op5_suffix_array_dedup, op6_url_filters, op7_nearest_neighbours, op8_bpe, op9_pii,
-        op10_token_counts, op12_collocations, op13_resampling,
+        op10_token_counts, op11_sentencepiece, op12_collocations, op13_resampling,
     )
     return {f.__name__: f for f in found}
 
