@@ -280,11 +280,12 @@ def _scored(level: DataFrame, words: int) -> DataFrame:
 def _first(rows: DataFrame, n: int) -> DataFrame:
     """The first n rows of each language with their rank; groups of bounded size give their firsts until one group is left."""
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
-    groups = math.ceil(rows.count() / SORTED)
+    size = max(SORTED, 2 * n)
+    groups = math.ceil(rows.count() / size)
     while groups > 1:
         part = F.pmod(F.xxhash64("phrase"), F.lit(groups)).alias("part")
         rows = settle(rows.withColumn("at", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).filter(F.col("at") <= n).drop("at"), "firsts")
-        groups = math.ceil(groups * n / SORTED)
+        groups = math.ceil(groups * n / size)
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= n)
 
 

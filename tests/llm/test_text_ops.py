@@ -349,7 +349,7 @@ def brute_verdict(text):
         ref = {w: 0.065 / k for k, w in enumerate(listed.split(), 1)}
         ref[""] = 1 - sum(ref.values())
         total = sum(quality.CHARACTERS[name])
-        d = (distance(found, ref), name, distance(dict(enumerate(chars)), {k: v / total for k, v in enumerate(quality.CHARACTERS[name])}), len(ref))
+        d = (round(distance(found, ref), 9), name, distance(dict(enumerate(chars)), {k: v / total for k, v in enumerate(quality.CHARACTERS[name])}), len(ref))
         best = min(best or d, d)
     w, name, c, cells = best
     noise = lambda k, n: 2 * (k - 1) / (8 * math.log(2) * n)
@@ -364,8 +364,12 @@ def test_quality_verdict_is_that_of_plain_counting(spark):
         share = rng.choice((0.0, 0.1, 0.3, 0.5))
         w = [min(rng.choices(listed, [1 / j for j in range(1, len(listed) + 1)])) if rng.random() < share else rng.choice("bdfgäß") + rng.choice("aeiou") * rng.randrange(1, 6) for _ in range(rng.choice((50, 60, 200, 900)))]
         texts.append((" ".join(w) if k % 5 else " ".join(w).upper() + "#" * rng.randrange(300)) + rng.choice(("", "!?", "\x0c\n")))
+    places = {x: v.split() for x, v in quality.COMMON_WORDS.items()}
+    for k in range(len(places["es"])):  # words at one place in several lists: equally near to all of them
+        texts.append(" ".join([places[a][k] for a in places] * 15))
+        texts.append(" ".join([places["es"][k], places["fr"][k]] * 30))
     seen = set()
-    for r in quality.judge(docs_of(spark, *texts)).collect():
+    for r in quality.judge(docs_of(spark, *texts), references=quality.REFERENCES[:: rng.choice((1, -1))]).collect():
         name, c, w, good = brute_verdict(texts[r.doc_id])
         assert r.language == name and abs(r.char_distance - c) < 1e-9 and abs(r.word_distance - w) < 1e-9
         assert r.kept == (good and not r.base_failed)
