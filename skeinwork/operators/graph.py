@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skeinwork.operators.records import brief, confident_calls, resolve
-from skeinwork.tables import settle
+from skeinwork.tables import numbered, settle
 
 
 def directed(edges: DataFrame, direction: str = "out", types: list[str] | None = None) -> DataFrame:
@@ -33,25 +35,128 @@ def neighbors(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, types: list[
 
 
 def reach(adjacency: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
-    """Breadth-first search from many seeds at once: (seed, id, depth, parent), seeds left out.
+    """Breadth-first search from many seeds at once: (seed, id, depth, parent), seeds left out.
 
     Each level joins the frontier with the edges, drops what was seen, and keeps the least parent, so the order
     (depth, parent, id) is that of a search which visits neighbours by id.  A level is written to the shared
-    folder; only the question whether it is empty comes to the driver.
+    folder; only its number of rows comes to the driver.  What was seen lies in parts of falling size, of which the last two are put
+    together when they are about equal, so a level reads few files however deep the search goes.  Where only the set is asked for, see reachable.
     """
     if depth is None or depth > 2:  # read once for each level
         adjacency = settle(adjacency.distinct(), "adjacency")
     start = seeds.select(F.col("id").alias("seed")).distinct()
     frontier = start.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
-    seen, level = frontier, 0
+    seen, level = [(frontier, 0)], 0
     while depth is None or level < depth:
         level += 1
         step = frontier.select("seed", F.col("id").alias("src")).join(adjacency, "src").groupBy("seed", F.col("dst").alias("id")).agg(F.lit(level).alias("depth"), F.min("src").alias("parent"))
-        frontier = settle(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").select("seed", "id", "depth", "parent"), "level")
-        if frontier.isEmpty():
+        frontier = settle(step.join(_together(seen).select("seed", "id"), ["seed", "id"], "left_anti").select("seed", "id", "depth", "parent"), "level")
+        rows = frontier.count()
+        if not rows:
             break
-        seen = seen.unionByName(frontier)
-    return seen.filter("depth > 0")
+        seen.append((frontier, rows))
+        while len(seen) > 2 and seen[-2][1] <= 2 * seen[-1][1]:
+            (last, n), (before, m) = seen.pop(), seen.pop()
+            seen.append((settle(before.unionByName(last), "seen"), n + m))
+    return _together(seen).filter("depth > 0")
+
+
+def _together(parts: list[tuple[DataFrame, int]]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [p for p, _ in parts])
+
+
+#: Levels that reachable searches one by one before it makes shortcuts, and shortcuts kept for a node.
+PLAIN, SHORTCUTS = 3, 4
+
+
+def reachable(adjacency: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, id) of all that a seed reaches, the seed left out, in rounds that grow with the logarithm of the depth.
+
+    After a few plain levels a round also takes shortcuts, from all that was found.  Shortcuts are paths of twice the length of the round
+    before's, so a chain is followed twice as far each time; of a node's many the same few are kept by hash, which bounds their number by that of
+    the nodes.  What is found goes through all its own edges as well, once, and the search ends when that brings nothing new: shortcuts only
+    change how soon.  A round's result is one table, so the plan does not grow.
+    """
+    edges = settle(adjacency.distinct(), "adjacency")
+    start = seeds.select(F.col("id").alias("seed")).distinct()
+    found = settle(start.select("seed", F.col("seed").alias("id"), F.lit(0).alias("round")), "found")
+    jumps, round_ = None, 0
+    while True:
+        round_ += 1
+        if round_ > PLAIN:
+            jumps = _doubled(jumps if jumps is not None else _doubled(_few(edges)))
+        step = found.filter(F.col("round") == round_ - 1).join(edges, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id"))
+        if jumps is not None:
+            step = step.unionByName(found.join(jumps, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")))
+        every = found.unionByName(step.withColumn("round", F.lit(round_)))
+        found = settle(every.groupBy("seed", "id").agg(F.min("round").alias("round")), "found")
+        if found.filter(F.col("round") == round_).isEmpty():
+            return found.filter("seed <> id").select("seed", "id")
+
+
+def _few(pairs: DataFrame) -> DataFrame:
+    """At most SHORTCUTS of the pairs of each src: those of the least hash in each class of dst."""
+    mark = F.xxhash64("dst")
+    least = pairs.groupBy("src", F.pmod(mark, F.lit(SHORTCUTS)).alias("class")).agg(F.min_by("dst", F.xxhash64("src", "dst")).alias("dst"))
+    return settle(least.filter("src <> dst").select("src", "dst"), "shortcuts")
+
+
+def _doubled(jumps: DataFrame) -> DataFrame:
+    """Shortcuts of twice the length."""
+    onward = jumps.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
+    return _few(jumps.join(onward, "dst").select("src", F.col("to").alias("dst")))
+
+
+#: Levels that spread puts into one job, and words of 64 sources that one of its rows holds at most.
+LEVELS, WIDE = 3, 16
+
+
+def spread(adjacency: DataFrame, marks: DataFrame, keys: list[str], depth: int) -> DataFrame:
+    """(keys, node) of all nodes within depth steps of a node that keys mark, those nodes too.  Many sources are searched at once.
+
+    Each distinct keys is a source with a number, and a row (node, block) holds 64 * WIDE sources as bits: those that have come to the node, and
+    those that came last.  A level joins rows with their edges, among them one to the node itself that carries what was there, and
+    puts the bits that meet together by bit_or.  So the work of a level follows from nodes and edges, not from the number of sources.
+    """
+    sources = numbered(marks.select(*keys).distinct(), *keys, name="source")
+    words = max(1, min(WIDE, -(-sources.count() // 64)))
+    at = F.col("source")
+    bits = [F.bit_or(F.when(F.pmod(F.floor(at / 64), F.lit(words)) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))) for w in range(words)]
+    start = marks.select("node", *keys).join(sources, keys).groupBy("node", F.floor(at / (64 * words)).alias("block")).agg(*[b.alias(f"s{w}") for w, b in enumerate(bits)])
+    state = start.select("*", *[F.col(f"s{w}").alias(f"f{w}") for w in range(words)])
+    adjacency = adjacency.select("src", "dst").distinct()
+    moves = settle(adjacency.withColumn("own", F.lit(False)).unionByName(adjacency.select("src", F.col("src").alias("dst"), F.lit(True).alias("own")).distinct()), "moves")
+    fresh = reduce(lambda a, b: a | b, [F.col(f"f{w}") != 0 for w in range(words)])
+    for level in range(1, depth + 1):
+        state = _step(state, moves, words)
+        if level % LEVELS == 0 and level < depth:
+            state = settle(state, "spread")
+            if state.filter(fresh).isEmpty():
+                break
+    found = [_numbers(f"s{w}", F.col("block") * (64 * words) + 64 * w) for w in range(words)]
+    rows = state.select("node", F.explode(F.flatten(F.array(*found))).alias("source"))
+    return rows.join(sources, "source").select(*keys, "node")
+
+
+def _numbers(word: str, base: Column) -> Column:
+    """The sources whose bits a word holds; base is the number of its first."""
+    held = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda bit: F.call_function("getbit", F.col(word), bit) == 1)
+    return F.transform(held, lambda bit: base + bit)
+
+
+def _step(state: DataFrame, moves: DataFrame, words: int) -> DataFrame:
+    """One level of spread."""
+    own = F.coalesce(F.col("own"), F.lit(True))
+    fresh = reduce(lambda a, b: a | b, [F.col(f"f{w}") != 0 for w in range(words)])
+    moved = state.join(moves, F.col("node") == F.col("src"), "left").filter(own | fresh).withColumn("own", own).withColumn("node", F.coalesce("dst", "node"))
+    zero = F.lit(0).cast("long")
+    met = [F.bit_or(F.when(F.col("own"), F.col(f"s{w}")).otherwise(zero)).alias(f"s{w}") for w in range(words)]
+    came = [F.bit_or(F.when(F.col("own"), zero).otherwise(F.col(f"f{w}"))).alias(f"f{w}") for w in range(words)]
+    out = moved.groupBy("node", "block").agg(*met, *came)
+    return out.select(
+        "node", "block", *[F.col(f"s{w}").bitwiseOR(F.col(f"f{w}")).alias(f"s{w}") for w in range(words)],
+        *[F.col(f"f{w}").bitwiseAND(F.bitwise_not(F.col(f"s{w}"))).alias(f"f{w}") for w in range(words)],
+    )
 
 
 def traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2, edge_types: list[str] | None = None, node_types: list[str] | None = None, direction: str = "out") -> DataFrame:
@@ -70,13 +175,18 @@ def callees(edges: DataFrame, seeds: DataFrame, depth: int | None, floor: str =
 
 
 def callers(edges: DataFrame, seeds: DataFrame, depth: int | None, floor: str = "resolved") -> DataFrame:
-    """G4; without a depth G5, everything that is hit if the seed changes."""
+    """G4; without a depth everything that is hit if the seed changes, with the way there."""
     return reach(directed(confident_calls(edges, floor), "in"), seeds, depth)
 
 
+def impacted(edges: DataFrame, seeds: DataFrame, floor: str = "resolved") -> DataFrame:
+    """(seed, id) of everything that is hit if the seed changes, however far away."""
+    return reachable(directed(confident_calls(edges, floor), "in"), seeds)
+
+
 def impact_report(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, floor: str = "resolved") -> DataFrame:
     """For each seed, the number of symbols hit and the distinct files, sorted."""
-    hit = callers(edges, seeds, None, floor).join(nodes.select("id", "file"), "id", "left")
+    hit = impacted(edges, seeds, floor).join(nodes.select("id", "file"), "id", "left")
     return hit.groupBy("seed").agg(F.count("*").alias("n_impacted"), F.array_join(F.sort_array(F.collect_set("file")), ",").alias("files"))
 
 
@@ -190,25 +300,19 @@ def accessors(df_edges: DataFrame, kind: str) -> DataFrame:
     return df_edges.filter(F.col("type") == kind).select(F.col("dst_id").alias("state"), F.col("src_id").alias("func")).distinct()
 
 
-def _with_callers(seeds: DataFrame, calls: DataFrame, depth: int, floor: str) -> DataFrame:
-    """(state, func) with the callers of func up to depth; one search for all."""
-    found = callers(calls, seeds.select(F.col("func").alias("id")), depth, floor).select(F.col("seed").alias("func"), "id")
-    return seeds.unionByName(seeds.join(found, "func").select("state", F.col("id").alias("func"))).distinct()
-
-
 def data_flow(df_edges: DataFrame, calls: DataFrame, states: DataFrame, depth: int = 6, floor: str = "resolved") -> DataFrame:
     """(state, side, func): upstream are writers, downstream are readers, each with its callers."""
     wanted = states.select(F.col("id").alias("state")).distinct()
-    parts = []
-    for side, kind in (("upstream", "writes"), ("downstream", "reads")):
-        seeds = accessors(df_edges, kind).join(wanted, "state", "left_semi")
-        parts.append(_with_callers(seeds, calls, depth, floor).withColumn("side", F.lit(side)))
-    return parts[0].unionByName(parts[1]).select("state", "side", "func")
+    sides = [accessors(df_edges, kind).withColumn("side", F.lit(side)) for side, kind in (("upstream", "writes"), ("downstream", "reads"))]
+    marks = sides[0].unionByName(sides[1]).join(wanted, "state", "left_semi").withColumnRenamed("func", "node")
+    return spread(directed(confident_calls(calls, floor), "in"), marks, ["state", "side"], depth).withColumnRenamed("node", "func")
 
 
 def flow_impact(df_edges: DataFrame, calls: DataFrame, states: DataFrame, depth: int = 6, floor: str = "resolved") -> DataFrame:
     """Readers, writers and their callers: (state, func)."""
-    return data_flow(df_edges, calls, states, depth, floor).select("state", "func").distinct()
+    wanted = states.select(F.col("id").alias("state")).distinct()
+    marks = accessors(df_edges, "reads").unionByName(accessors(df_edges, "writes")).join(wanted, "state", "left_semi").withColumnRenamed("func", "node")
+    return spread(directed(confident_calls(calls, floor), "in"), marks, ["state"], depth).withColumnRenamed("node", "func")
 
 
 def endpoint(exec_nodes: DataFrame, df_nodes: DataFrame, anchors: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -526,6 +526,22 @@ def _(r):
     return graph.callers(r.exec_edges, r.ids("func:p1"), None, "exact")
 
 
+@query(
+    "g5_deep_impact",
+    """SELECT concat('order:', o_orderkey % 4) AS seed, concat('order:', o_orderkey) AS id FROM orders WHERE o_orderkey >= 4
+    UNION ALL SELECT concat('order:', o.o_orderkey % 4), concat('line:', l.l_orderkey, ':', l.l_linenumber) FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey""",
+)
+def _(r):
+    # Four chains of calls through all orders, as deep as there are orders, and the lines of each order beside them.
+    key = F.col("o_orderkey")
+    order = lambda k: F.concat(F.lit("order:"), k)
+    line = F.concat(F.lit("line:"), "l_orderkey", F.lit(":"), "l_linenumber")
+    chain = r.orders.filter(key >= 4).select(order(key).alias("src_id"), order(key - 4).alias("dst_id"))
+    lines = r.lineitem.join(r.orders.select(key.alias("l_orderkey")), "l_orderkey").select(line.alias("src_id"), order(F.col("l_orderkey")).alias("dst_id"))
+    calls = chain.unionByName(lines).select("src_id", "dst_id", F.lit("calls").alias("type"), F.lit("exact").alias("confidence"))
+    return graph.impacted(calls, r.ids("order:0", "order:1", "order:2", "order:3"), "exact")
+
+
 @query("g6_impact_report", "SELECT f.seed, count(*) AS n_impacted, array_to_string(list_sort(list(DISTINCT n.file)), ',') AS files FROM found f LEFT JOIN exec_nodes n ON n.id = f.id GROUP BY f.seed", bfs_sql(_CALLS_IN, "SELECT 'func:s0' AS id UNION ALL SELECT 'func:s1'", 10))
 def _(r):
     return graph.impact_report(r.exec_edges, r.exec_nodes, r.ids("func:s0", "func:s1"))
@@ -572,6 +588,17 @@ def _(r):
     return graph.flow_impact(r.df_edges, r.exec_edges, r.ids("state:k1", "state:k2"))
 
 
+@query(
+    "g10_all_states",
+    "SELECT state, side, count(*) AS n_funcs, min(func) AS first, max(func) AS last FROM (SELECT DISTINCT state, side, func FROM wave) GROUP BY state, side",
+    f"""calls_in AS ({_CALLS_IN}), wave(state, side, func, depth) AS (SELECT DISTINCT dst_id, CASE type WHEN 'writes' THEN 'upstream' ELSE 'downstream' END, src_id, 0 FROM df_edges
+    UNION SELECT w.state, w.side, c.dst, w.depth + 1 FROM wave w JOIN calls_in c ON c.src = w.func WHERE w.depth < 6)""",
+)
+def _(r):
+    flow = graph.data_flow(r.df_edges, r.exec_edges, r.df_nodes.select("id"))
+    return flow.groupBy("state", "side").agg(F.count("*").alias("n_funcs"), F.min("func").alias("first"), F.max("func").alias("last"))
+
+
 @query("g12_lineage_calls", "SELECT 'func:c1' AS source, 'func:s1' AS target, r.rank, CAST(s.step AS BIGINT) AS step, s.id, n.type, n.label, n.file FROM ranked r, LATERAL (SELECT unnest(r.path) AS id, generate_subscripts(r.path, 1) - 1 AS step) s LEFT JOIN exec_nodes n ON n.id = s.id WHERE r.source = 'func:c1' AND r.rank <= 10", _PATHS)
 def _(r):
     anchors = literal_table(r.spark, [("BEGIN", "func:c1")], "name string, target string")

@@ -35,6 +35,19 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order: str | Column, name: str = "place") -> DataFrame:
+    """df, written, with the place of each row in this order, from 0: a sort by range, and each range's start from the sizes of those before."""
+    at = F.monotonically_increasing_id()
+    rows = settle(df.orderBy(*order).withColumn(name, at), "numbered")
+    part, start, starts = F.shiftright(name, 33), 0, []
+    for r in sorted(rows.groupBy(part.alias("part")).count().collect()):  # one row for each range
+        starts.append((r["part"], start))
+        start += r["count"]
+    before = F.broadcast(literal_table(df.sparkSession, starts, "part long, start long"))
+    within = F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("part", part).join(before, "part").withColumn(name, F.col("start") + within).drop("part", "start")
+
+
 def literal_table(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
     """A small table of given values."""
     return spark.createDataFrame([tuple(r) for r in rows], schema)
