@@ -112,11 +112,6 @@ def glob_to_regex(glob: str) -> str:
     return "(?s)^" + "".join(out) + "$"
 
 
-def rule_matches(kind: Column, pattern: Column, regex: Column, label: Column, file: Column) -> Column:
-    """Tier of a rule for a symbol: exact label 3, pattern found in the label 2, glob on the file 1; null if none."""
-    return F.when((kind == "symbol") & (label == pattern), 3).when((kind == "name") & F.rlike(label, regex), 2).when((kind == "path") & F.rlike(file, regex), 1)
-
-
 def surrogate_id(prefix: str, *keys: Column | str) -> Column:
     """An id that follows from its keys, so that a repeated run gives the same one."""
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(F.concat_ws("|", *map(_c, keys)), 256), 1, 26))

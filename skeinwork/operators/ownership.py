@@ -2,39 +2,163 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skeinwork import schemas as S
-from skeinwork.functions.scalars import glob_to_regex, half_even, rule_matches
+from skeinwork.functions.scalars import glob_to_regex, half_even
 from skeinwork.operators.records import confident_calls
 from skeinwork.tables import literal_table
 
-#: Rules at most: they are broadcast and met by every symbol.
-MAX_RULES = 10_000
 AXES = ("domain", "layer", "criticality", "impact")
+#: Least and greatest length of a key of the rule index.
+SHORT, LONG = 3, 8
+#: Patterns without a key that one pass over the texts tries.
+LOOSE = 64
+_MARKS = "dDwWsSbBAzZ"
+
+
+def required_literal(regex: str) -> str:
+    """The longest text that everything the pattern finds holds, as far as its outer sequence shows; empty if nothing is sure."""
+    if re.search(r"\(\?[^:=!<)]*[ix]|\\Q", regex):
+        return ""
+    best, run, i = "", "", 0
+    while i < len(regex):
+        c, i = regex[i], i + 1
+        if c == "\\" and i < len(regex):
+            c, i = regex[i], i + 1
+            if not c.isalnum():
+                run += c
+                continue
+            if c not in _MARKS:
+                return ""
+        elif c == "|":
+            return ""
+        elif c in "*?{":  # what stands before can be missing
+            run = run[:-1]
+            i = regex.find("}", i) + 1 if c == "{" else i
+            i += regex[i : i + 1] in ("?", "+")
+        elif c == "(":
+            i = _closed(regex, i, ")")
+        elif c == "[":
+            i = _closed(regex, i, "]")
+        elif c == "+":
+            i += regex[i : i + 1] in ("?", "+")
+        elif c not in ".^$":
+            run += c
+            continue
+        if i <= 0:
+            return ""
+        best, run = max(best, run, key=len), ""
+    return max(best, run, key=len)
+
+
+def _closed(regex: str, at: int, end: str) -> int:
+    """The place behind the bracket that closes the one before at; -1 if that is not plain to see."""
+    depth, first = 1, at + (regex[at : at + 1] == "^")
+    while at < len(regex):
+        c = regex[at]
+        if c == "\\":
+            at += 1
+        elif end == "]":
+            if c == "[":
+                return -1  # a class in a class
+            if c == "]" and at > first:
+                return at + 1
+        elif c == "[":
+            at = _closed(regex, at + 1, "]") - 1
+            if at < 0:
+                return -1
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            if not depth:
+                return at + 1
+        at += 1
+    return -1
+
+
+def _compiled(kind: str, pattern: str) -> tuple[str, str]:
+    """The regular expression of a rule, and its required literal."""
+    regex = glob_to_regex(pattern) if kind == "path" else pattern
+    return regex, "" if kind == "symbol" else required_literal(regex)
+
+
+_SCHEMA = "ordinal long, kind string, pattern string, regex string, literal string, " + ", ".join(f"{a} string" for a in AXES)
 
 
 def rule_table(spark, rules: list[dict]) -> DataFrame:
-    """Rules in order, the project's before the defaults: the table of a configuration, never of data, so it is broadcast."""
+    """Rules in order, the project's before the defaults."""
     defaults = [{"kind": k, "pattern": p, "layer": layer} for k, p, layer in S.DEFAULT_OWNERSHIP]
     rows = []
     for n, r in enumerate([*rules, *defaults]):
         if r.get("kind") in ("symbol", "name", "path") and isinstance(r.get("pattern"), str):
-            regex = glob_to_regex(r["pattern"]) if r["kind"] == "path" else r["pattern"]
-            rows.append((n, r["kind"], r["pattern"], regex, *(r.get(a) if isinstance(r.get(a), str) else None for a in AXES)))
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"{len(rows)} ownership rules, {MAX_RULES} at most")
-    return literal_table(spark, rows, "ordinal int, kind string, pattern string, regex string, " + ", ".join(f"{a} string" for a in AXES))
+            rows.append((n, r["kind"], r["pattern"], *_compiled(r["kind"], r["pattern"]), *(r.get(a) if isinstance(r.get(a), str) else None for a in AXES)))
+    return literal_table(spark, rows, _SCHEMA)
+
+
+def rules_of(rows: DataFrame) -> DataFrame:
+    """Rules from rows of ordinal, kind, pattern and any axes; rows of another kind or without a pattern are no rules."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [_compiled(k, p) for k, p in zip(b.column("kind").to_pylist(), b.column("pattern").to_pylist(), strict=True)]
+            cols = [*(b.column(c) for c in ("ordinal", "kind", "pattern")), pa.array([r for r, _ in made], pa.string()), pa.array([x for _, x in made], pa.string()), *(b.column(a) for a in AXES)]
+            yield pa.RecordBatch.from_arrays(cols, ["ordinal", "kind", "pattern", "regex", "literal", *AXES])
+
+    axes_ = [F.col(a).cast("string").alias(a) if a in rows.columns else F.lit(None).cast("string").alias(a) for a in AXES]
+    known = rows.filter(F.col("kind").isin("symbol", "name", "path") & F.col("pattern").isNotNull())
+    return known.select(F.col("ordinal").cast("long").alias("ordinal"), "kind", "pattern", *axes_).mapInArrow(run, _SCHEMA)
+
+
+def _windows(text: Column, size: int) -> Column:
+    """The distinct parts of that length of a text."""
+    n = F.length(text) - (size - 1)
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))
+    return F.array_distinct(F.when(n > 0, parts).otherwise(F.array().cast("array<string>")))
+
+
+def _hits(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(text, ordinal, axes) of the rules that find a text.
+
+    A rule's key is a part of its required literal, the one that the fewest texts hold.  Texts meet rules by key; only what met is held against
+    the pattern.  Rules without a key can find anything, so each is tried on all texts, a block of them in one pass.
+    """
+    size = F.least(F.length("literal"), F.lit(LONG))
+    keyed = rules.filter(F.length("literal") >= SHORT)
+    sizes = sorted(r[0] for r in keyed.select(size).distinct().collect())  # LONG - SHORT + 1 at most
+    out = None
+    if sizes:
+        of_size = lambda text: F.flatten(F.array(*[F.when(size == n, _windows(text, n)).otherwise(F.array().cast("array<string>")) for n in sizes]))
+        offered = keyed.select("ordinal", F.explode(of_size(F.col("literal"))).alias("key"))
+        held = texts.select("text", F.explode(F.flatten(F.array(*[_windows(F.col("text"), n) for n in sizes]))).alias("key")).join(offered.select("key").distinct(), "key", "left_semi")
+        counts = held.groupBy("key").agg(F.count("*").alias("n"))
+        best = offered.join(counts, "key", "left").groupBy("ordinal").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
+        out = held.join(keyed.join(best, "ordinal"), "key").filter(F.contains("text", F.col("literal")) & F.rlike("text", F.col("regex"))).select("text", "ordinal", *AXES)
+    loose = rules.filter(F.length("literal") < SHORT)
+    tried = loose.select("ordinal", "regex").collect()
+    for at in range(0, len(tried), LOOSE):
+        found = F.array_compact(F.array(*[F.when(F.rlike("text", F.lit(r["regex"])), F.lit(r["ordinal"])) for r in tried[at : at + LOOSE]]))
+        part = texts.select("text", F.explode(found).alias("ordinal")).join(loose.select("ordinal", *AXES), "ordinal").select("text", "ordinal", *AXES)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else texts.join(rules.select("ordinal", *AXES).limit(0).withColumn("text", F.lit("")), "text")
 
 
 def matches(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """(id, tier, ordinal, axes) of each rule that fits a symbol."""
-    regex = F.when(F.col("r.kind") == "symbol", F.lit("$^")).otherwise(F.col("r.regex"))
-    tier = rule_matches(F.col("r.kind"), F.col("r.pattern"), regex, F.col("label"), F.col("file"))
-    both = nodes.select("id", "label", "file").join(F.broadcast(rules.alias("r")))
-    return both.withColumn("tier", tier).filter("tier is not null").select("id", "tier", "r.ordinal", *[f"r.{a}" for a in AXES])
+    """(id, tier, ordinal, axes) of each rule that fits a symbol: its exact label 3, a pattern found in the label 2, a glob on the file 1."""
+    own = ("ordinal", *AXES)
+    nodes = nodes.select("id", "label", "file")
+    exact = rules.filter("kind = 'symbol'").select(F.col("pattern").alias("label"), *own)
+    out = nodes.join(exact, "label").select("id", F.lit(3).alias("tier"), *own)
+    for tier, kind, column in ((2, "name", "label"), (1, "path", "file")):
+        texts = nodes.select(F.col(column).alias("text")).filter("text is not null").distinct()
+        hits = _hits(texts, rules.filter(F.col("kind") == kind)).withColumnRenamed("text", column)
+        out = out.unionByName(nodes.join(hits, column).select("id", F.lit(tier).alias("tier"), *own))
+    return out
 
 
 def axes(nodes: DataFrame, rules: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,32 +14,95 @@ from skeinwork import schemas as S
 from skeinwork.functions import scalars as C
 from skeinwork.operators.graph import traverse
 from skeinwork.operators.records import valid_cards
+from skeinwork.tables import numbered, settle
 
 #: Order of gathering: source class, then place in it.
 ITEM = ("bundle", "ref", "kind", "content", "tokens", "raw_tokens", "tier", "order")
 
 
-def packed(items: DataFrame, budget: int = S.TOKEN_BUDGET) -> DataFrame:
-    """The manifest of each bundle: every item with seq, included and used (tokens so far).
+#: Items in one block of a bundle.
+BLOCK = 1024
 
-    Items are taken by tier, order and ref; one that does not fit is dropped and later, smaller ones are still tried.  A running sum cannot
-    express this, so each bundle is walked once; it is a prompt's worth of items.
-    """
-    schema = "bundle string, raw_equiv long, seq long, ref string, kind string, tier int, tokens long, included boolean, used long"
+
+def _greedy(tokens: np.ndarray, used: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of these items are taken, in order, and the tokens used after each."""
+    taken, after = np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
+    for k, n in enumerate(tokens.tolist()):
+        if used + n <= budget:
+            taken[k], used = True, used + n
+        after[k] = used
+    return taken, after
+
+
+def _descended(rows: DataFrame, open_: DataFrame, budget: int) -> DataFrame:
+    """(head, block, used): the tokens used after each of the open blocks."""
 
     def walk(table: pa.Table) -> pa.Table:
-        rows = table.sort_by([(k, "ascending") for k in ("tier", "order", "ref", "kind", "tokens", "raw_tokens")])
-        used, taken, after = 0, [], []
-        for n in rows.column("tokens").to_pylist():
-            taken.append(used + n <= budget)
-            used += n if taken[-1] else 0
-            after.append(used)
-        raw, size = pc.sum(rows.column("raw_tokens")).as_py(), rows.num_rows
-        cols = [rows.column("bundle"), pa.array([raw] * size, pa.int64()), pa.array(range(size), pa.int64()), rows.column("ref"), rows.column("kind"), rows.column("tier"), rows.column("tokens"), pa.array(taken, pa.bool_()), pa.array(after, pa.int64())]
-        return pa.table(cols, ["bundle", "raw_equiv", "seq", "ref", "kind", "tier", "tokens", "included", "used"])
+        table = table.sort_by("seq")
+        used = _greedy(table.column("tokens").to_numpy(), table.column("before")[0].as_py(), budget)[1][-1]
+        return pa.table([table.column("head")[:1], table.column("block")[:1], pa.array([used], pa.int64())], ["head", "block", "used"])
+
+    return rows.select("head", "block", "seq", "tokens").join(open_, ["head", "block"]).groupBy("head", "block").applyInArrow(walk, "head long, block long, used long")
+
 
+def _entered(blocks: DataFrame, known: DataFrame, budget: int) -> DataFrame:
+    """(head, block, before, stop): the tokens used before each block of a bundle, up to the first that must be looked into and is not known."""
+
+    def walk(summaries: pa.Table, known: pa.Table) -> pa.Table:
+        summaries = summaries.sort_by("block")
+        after = dict(zip(known.column("block").to_pylist(), known.column("used").to_pylist(), strict=True))
+        used, before, stop = 0, [], False
+        for block, whole, least in zip(*(summaries.column(c).to_pylist() for c in ("block", "whole", "least")), strict=True):
+            before.append(used)
+            if block in after:
+                used = after[block]
+            elif used + whole <= budget:
+                used += whole
+            elif least is not None and used + least <= budget:
+                stop = True
+                break
+        n = len(before)
+        return pa.table([summaries.column("head")[:n], summaries.column("block")[:n], pa.array(before, pa.int64()), pa.array([False] * (n - 1) + [stop], pa.bool_())], ["head", "block", "before", "stop"])
+
+    return blocks.groupBy("head").cogroup(known.groupBy("head")).applyInArrow(walk, "head long, block long, before long, stop boolean")
+
+
+def packed(items: DataFrame, budget: int = S.TOKEN_BUDGET) -> DataFrame:
+    """The manifest of each bundle: every item with seq, included and used (tokens so far).
+
+    Items are taken by tier, order and ref; one that does not fit is dropped and later, smaller ones are still tried.  A bundle is cut into blocks of
+    BLOCK items, each known by the sum and the least of its tokens.  With the tokens used so far a block is taken whole, passed over, or
+    has to be looked into; a walk over the summaries stops there, the block's items are walked in a task of their own, and the walk goes on in
+    the next round, for all bundles at once.  A block that is looked into takes at least one more item, so there are no more rounds
+    than items that fit after the first drop, and rarely more than a few.  At last each block is walked from where it is entered.
+    """
     given = items.select("bundle", "ref", "kind", F.col("tier").cast("int").alias("tier"), F.col("tokens").cast("long").alias("tokens"), F.col("raw_tokens").cast("long").alias("raw_tokens"), F.col("order").cast("long").alias("order"))
-    return given.groupBy("bundle").applyInArrow(walk, schema)
+    placed = numbered(given, "bundle", "tier", "order", "ref", "kind", "tokens", "raw_tokens")
+    heads = placed.groupBy(F.col("bundle").alias("own")).agg(F.min("place").alias("head"), F.sum("raw_tokens").alias("raw_equiv"))
+    seq = F.col("place") - F.col("head")
+    rows = placed.join(heads, F.equal_null(F.col("bundle"), F.col("own"))).select("head", F.floor(seq / BLOCK).alias("block"), "bundle", "raw_equiv", seq.alias("seq"), "ref", "kind", "tier", "tokens")
+    rows = settle(rows, "items")
+    blocks = settle(rows.groupBy("head", "block").agg(F.sum("tokens").alias("whole"), F.min(F.when(F.col("tokens") > 0, F.col("tokens"))).alias("least")), "blocks")
+    open_ = blocks.filter((F.col("block") == 0) & (F.col("whole") > budget)).select("head", "block", F.lit(0).cast("long").alias("before"))
+    known = settle(_descended(rows, open_, budget), "known")
+    while True:
+        entered = settle(_entered(blocks, known, budget), "entered")
+        open_ = entered.filter("stop").select("head", "block", "before")
+        if open_.isEmpty():
+            break
+        known = settle(known.unionByName(_descended(rows, open_, budget)), "known")
+
+    def finish(table: pa.Table) -> pa.Table:
+        table = table.sort_by("seq")
+        taken, after = _greedy(table.column("tokens").to_numpy(), table.column("before")[0].as_py(), budget)
+        return table.select(_MANIFEST[:-2]).append_column("included", pa.array(taken)).append_column("used", pa.array(after))
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"{n} {types.get(n, 'boolean' if n == 'included' else 'bigint')}" for n in _MANIFEST)
+    return rows.join(entered.select("head", "block", "before"), ["head", "block"]).groupBy("head", "block").applyInArrow(finish, schema)
+
+
+_MANIFEST = ["bundle", "raw_equiv", "seq", "ref", "kind", "tier", "tokens", "included", "used"]
 
 
 def bundle_totals(manifest: DataFrame) -> DataFrame:

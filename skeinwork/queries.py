@@ -425,6 +425,23 @@ def _(r):
     return ownership.matches(r.exec_nodes, _rules(r)).select("id", "tier", "ordinal")
 
 
+@query(
+    "j8_rule_index",
+    """SELECT concat('order:', o_orderkey) AS id, tier, ordinal FROM orders JOIN (SELECT CAST(p_partkey AS BIGINT) AS p FROM part) ON o_custkey = p, (VALUES (1)) t(tier), LATERAL (SELECT 5 * p AS ordinal)
+    UNION ALL SELECT concat('order:', o_orderkey), 1, 5 * p_partkey + 1 FROM orders JOIN part ON o_orderkey = p_partkey
+    UNION ALL SELECT concat('order:', o_orderkey), 2, 5 * p_partkey + 2 FROM orders JOIN part ON o_orderkey = p_partkey
+    UNION ALL SELECT concat('order:', o_orderkey), 3, 5 * p_partkey + 3 FROM orders JOIN part ON o_orderkey = 2 * p_partkey
+    UNION ALL SELECT concat('order:', o_orderkey), 2, 5 * p_partkey + 4 FROM orders JOIN part ON o_orderkey = 10 * p_partkey + 7""",
+)
+def _(r):
+    # Five rules for each part: folders, file names, patterns with and without anchors, exact labels; 100,000 of them at scale 0.1.
+    key, p = F.col("o_orderkey"), F.col("p_partkey")
+    nodes = r.orders.select(F.concat(F.lit("order:"), key).alias("id"), F.concat(F.lit("Order.k"), key, F.lit(".x")).alias("label"), F.concat(F.lit("app/o"), "o_custkey", F.lit("/f"), key, F.lit(".py")).alias("file"))
+    forms = [("path", F.concat(F.lit("app/o"), p, F.lit("/*"))), ("path", F.concat(F.lit("*/f"), p, F.lit(".py"))), ("name", F.concat(F.lit("[.]k"), p, F.lit("[.]"))), ("symbol", F.concat(F.lit("Order.k"), 2 * p, F.lit(".x"))), ("name", F.concat(F.lit("^Order[.]k"), p, F.lit("7[.]x$")))]
+    rows = r.part.select(F.explode(F.array(*[F.struct((5 * p + n).alias("ordinal"), F.lit(k).alias("kind"), x.alias("pattern"), F.concat(F.lit("D"), p % 7).alias("domain")) for n, (k, x) in enumerate(forms)])).alias("rule"))
+    return ownership.matches(nodes, ownership.rules_of(rows.select("rule.*"))).select("id", F.col("tier").cast("long").alias("tier"), "ordinal")
+
+
 @query("j9_why", "SELECT DISTINCT t.target, d.decision FROM (SELECT 'file:c7' AS target, 'file:c7' AS id UNION ALL SELECT label, id FROM kg_nodes WHERE id = 'file:c10') t JOIN (SELECT src_id AS id, dst_id AS decision FROM kg_edges WHERE type = 'decided_by' UNION ALL SELECT dst_id, src_id FROM kg_edges WHERE type = 'affects') d ON d.id = t.id")
 def _(r):
     label = r.kg_nodes.filter("id = 'file:c10'").select(F.col("label").alias("target"))
