@@ -102,7 +102,7 @@ def _store(r: Rel, **collections: DataFrame) -> store.Store:
     """A store in the shared folder with these collections; nodes is there in any case."""
     out = store.Store(r.spark, f"{work_dir(r.spark)}/store-{uuid.uuid4().hex}")
     for name, rows in ({"nodes": _nodes(r)} | collections).items():
-        out.replace(name, rows)
+        out.overwrite(name, rows)
     return out
 
 

@@ -1,8 +1,9 @@
 """The record store (S4-S8, K1-K10): a folder with one Parquet folder for each version of a collection.
 
 A write goes to a new version folder and is then published by the next numbered entry of the collection's log, which names the version.
-Only one writer can create an entry, so of two that start from one version the second is refused; an entry without
-content is not there for readers, so they see the old or the new version and never a half.  Nothing is read and overwritten in one job.
+Only one writer can create an entry, so of two that start from one version the second is refused: a reader is told the version's number, and
+a writer hands it back.  An entry without content is not there for readers, so they see the old or the new version and never a half.  Versions
+stay for a while after the next, so what was read from one can still be worked with.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from skeinwork.operators.records import first_of_each
 
 #: Seconds after which an entry without content counts as left behind by a writer that failed.
 ABANDONED = 3600
+#: Seconds that a version stays after the next one, and writes of one change that are tried before a conflict is passed on.
+KEPT, TRIES = 86_400, 5
+#: The version of a collection that was cleared.
+GONE = "-"
 
 
 class Conflict(RuntimeError):
@@ -32,8 +37,8 @@ class Conflict(RuntimeError):
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, kept: float = KEPT):
+        self.spark, self.root, self.kept = spark, root.rstrip("/"), kept
         self.fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self.fs = self.fs_path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -79,8 +84,10 @@ class Store:
         return number
 
     def path(self, name: str) -> str | None:
-        version = self._head(name)[1]
-        return f"{self.root}/{name}/{version}" if version else None
+        return self._path(name, self._head(name)[1])
+
+    def _path(self, name: str, version: str | None) -> str | None:
+        return f"{self.root}/{name}/{version}" if version and version != GONE else None
 
     def _write_text(self, path: str, text: str) -> None:
         stream = self.fs.create(self.fs_path(path), True)
@@ -91,12 +98,15 @@ class Store:
 
     # ---- S4-S7
 
+    def read(self, name: str) -> tuple[DataFrame, int]:
+        """All records, and the number of their version, which replace asks for; 0 if there never was one."""
+        number, version = self._head(name)
+        at = self._path(name, version)
+        return (self.spark.createDataFrame([], S.COLLECTIONS[name]) if at is None else self.spark.read.parquet(at)), number
+
     def scan(self, name: str) -> DataFrame:
         """All records; by id where order matters to the caller."""
-        at = self.path(name)
-        if at is None:
-            return self.spark.createDataFrame([], S.COLLECTIONS[name])
-        return self.spark.read.parquet(at)
+        return self.read(name)[0]
 
     def get(self, name: str, id_: str, key: str = "id") -> DataFrame:
         """The filter reaches the Parquet reader."""
@@ -113,28 +123,56 @@ class Store:
 
     # ---- K1-K6
 
-    def replace(self, name: str, df: DataFrame) -> None:
-        """K4: a new version of the whole collection; what was published before the last version goes."""
-        base, before = self._head(name)
+    def replace(self, name: str, rows: DataFrame, base: int) -> int:
+        """A new version of the whole collection, made from version base as read gave it; refused if there is a later one.  Its number."""
         version = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.root}/{name}/{version}")
-        self._publish(name, base, version)
-        for n, written, _ in self._log(name):
-            if n < base and written:
-                self.fs.delete(self.fs_path(f"{self.root}/{name}/{self._version(name, n)}"), True)
+        rows.write.parquet(f"{self.root}/{name}/{version}")
+        try:
+            number = self._publish(name, base, version)
+        except Conflict:
+            self.fs.delete(self.fs_path(f"{self.root}/{name}/{version}"), True)
+            raise
+        self._drop_old(name)
+        return number
+
+    def _drop_old(self, name: str) -> None:
+        """Versions whose successor is older than kept seconds go."""
+        after = None
+        for n, written, age in self._log(name):
+            if written and after is not None and after >= self.kept:
+                if at := self._path(name, self._version(name, n)):
+                    self.fs.delete(self.fs_path(at), True)
                 self.fs.delete(self.fs_path(f"{self.root}/{name}/log/{n:020d}"), False)
+            elif written:
+                after = age
+
+    def change(self, name: str, make: Callable[[DataFrame], DataFrame]) -> int:
+        """A new version made from the last one; made anew from the next if another writer was faster."""
+        for last in (*[False] * (TRIES - 1), True):
+            rows, base = self.read(name)
+            try:
+                return self.replace(name, make(rows), base)
+            except Conflict:
+                if last:
+                    raise
+        raise AssertionError
+
+    def overwrite(self, name: str, rows: DataFrame) -> int:
+        """A new version whatever there was."""
+        return self.change(name, lambda _: rows)
 
     def upsert(self, name: str, rows: DataFrame, key: str = "id", order: Sequence[str] = (), now: Column | None = None) -> None:
         """K1: rows replace those of their key."""
-        self.replace(name, upserted(self.scan(name), rows, key, order, now))
+        self.change(name, lambda old: upserted(old, rows, key, order, now))
 
     def delete(self, name: str, ids: DataFrame, key: str = "id") -> None:
         """K2: a key that is not there changes nothing."""
-        self.replace(name, self.scan(name).join(ids.select(key).distinct(), key, "left_anti"))
+        self.change(name, lambda old: old.join(ids.select(key).distinct(), key, "left_anti"))
 
     def clear(self) -> None:
-        """K3"""
-        self.fs.delete(self.fs_path(self.root), True)
+        """K3: every collection has no records from its next version on; the schema's version stays."""
+        for name in self.collections():
+            self._publish(name, self._head(name)[0], GONE)
 
     def write_snapshots(self, folder: str, names: Sequence[str] | None = None) -> None:
         """K4: each collection as lines of JSON, every line a YAML document; the snapshot of an empty collection is removed."""
@@ -149,7 +187,7 @@ class Store:
         """K5: every collection as its snapshot has it; the snapshots win."""
         found = read_snapshots(self.spark, folder)
         for name, rows in found.items():
-            self.replace(name, rows)
+            self.overwrite(name, rows)
         return sorted(found)
 
     def views(self, prefix: str = "") -> list[str]:
@@ -161,8 +199,9 @@ class Store:
 
     def reconcile(self, name: str, rows: DataFrame, key: str = "id") -> dict[str, int]:
         """K6: make the collection equal to rows; how many keys were added, removed and kept."""
-        counts = {r["status"]: r["n"] for r in reconciled(self.scan(name), rows, key).groupBy("status").agg(F.count("*").alias("n")).collect()}
-        self.replace(name, rows)
+        old, base = self.read(name)
+        counts = {r["status"]: r["n"] for r in reconciled(old, rows, key).groupBy("status").agg(F.count("*").alias("n")).collect()}
+        self.replace(name, rows, base)
         return {k: counts.get(k, 0) for k in ("added", "removed", "kept")}
 
     # ---- K7-K10
@@ -176,9 +215,12 @@ class Store:
         if at > target:
             raise ValueError(f"schema version {at} is newer than {target}")
         for version in range(at + 1, target + 1):
+            base, done = self._head("schema")
+            if int(done or 0) >= version:
+                raise Conflict(f"another writer has taken the store to schema version {done}")
             if step := (steps or {}).get(version):
                 step(self)
-            self._publish("schema", self._head("schema")[0], str(version))
+            self._publish("schema", base, str(version))
         return target
 
     def export_bundle(self, dest: str) -> dict:
@@ -212,7 +254,7 @@ class Store:
                         self.fs.copyFromLocalFile(self.fs_path(f"file://{local}"), self.fs_path(f"{staged}/{name}/{part}"))
         for n in manifest["collections"]:
             if self.fs.exists(self.fs_path(f"{staged}/{n}")):
-                self.replace(n, self.spark.read.parquet(f"{staged}/{n}"))
+                self.overwrite(n, self.spark.read.parquet(f"{staged}/{n}"))
         self.fs.delete(self.fs_path(staged), True)
         return manifest
 

@@ -135,7 +135,7 @@ def test_config_layers():
 
 def test_store_round_trip(spark, tmp_path):
     s = Store(spark, str(tmp_path / "s"))
-    s.replace("df_nodes", spark.createDataFrame([("a", "attr", "x", "f", T0)], "id string, kind string, label string, file string, created_at timestamp"))
+    s.replace("df_nodes", spark.createDataFrame([("a", "attr", "x", "f", T0)], "id string, kind string, label string, file string, created_at timestamp"), 0)
     s.upsert("df_nodes", spark.createDataFrame([("a", "attr", "y", "f", T0), ("b", "attr", "z", "f", T0)], s.scan("df_nodes").schema))
     assert sorted(rows(s.scan("df_nodes"), "id", "label")) == [("a", "y"), ("b", "z")]
     assert s.reconcile("df_nodes", s.get("df_nodes", "b")) == {"added": 0, "removed": 1, "kept": 1}
@@ -150,7 +150,7 @@ def test_store_round_trip(spark, tmp_path):
 
 def test_store_refuses_a_second_writer(spark, tmp_path, monkeypatch):
     s, row = Store(spark, str(tmp_path / "s")), "id string, kind string, label string, file string, created_at timestamp"
-    s.replace("df_nodes", spark.createDataFrame([("a", "attr", "x", "f", T0)], row))
+    s.replace("df_nodes", spark.createDataFrame([("a", "attr", "x", "f", T0)], row), 0)
     base, version = s._head("df_nodes")
     assert s._publish("df_nodes", base, version) == base + 1
     with pytest.raises(Conflict):
@@ -164,8 +164,52 @@ def test_store_refuses_a_second_writer(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(store, "ABANDONED", -60)
     assert s._publish("df_nodes", base + 1, version) == base + 3
     for k in range(4):
-        s.replace("df_nodes", spark.createDataFrame([(f"b{k}", "attr", "x", "f", T0)], row))
-    assert rows(s.scan("df_nodes"), "id") == [("b3",)] and len(s._names(f"{s.root}/df_nodes", folders=True)) <= 4
+        s.overwrite("df_nodes", spark.createDataFrame([(f"b{k}", "attr", "x", "f", T0)], row))
+    assert rows(s.scan("df_nodes"), "id") == [("b3",)]
+
+
+def test_an_update_is_not_lost(spark, tmp_path):
+    row = "id string, kind string, label string, file string, created_at timestamp"
+    record = lambda k: spark.createDataFrame([(k, "attr", k, "f", T0)], row)
+    s, other = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    s.replace("df_nodes", record("a"), 0)
+    mine, base = s.read("df_nodes")
+    made = store.upserted(mine, record("x"))
+    other.upsert("df_nodes", record("y"))
+    with pytest.raises(Conflict):
+        s.replace("df_nodes", made, base)
+    assert sorted(rows(s.scan("df_nodes"), "id")) == [("a",), ("y",)]
+    with pytest.raises(Conflict):
+        s.replace("df_nodes", made, 0)
+    # What was read first can still be read, and a change is made anew from what another has written meanwhile.
+    assert rows(mine, "id") == [("a",)]
+    tried = []
+
+    def slow(old):
+        if not tried:
+            other.upsert("df_nodes", record("z"))
+        tried.append(1)
+        return store.upserted(old, record("x"))
+
+    s.change("df_nodes", slow)
+    assert sorted(rows(s.scan("df_nodes"), "id")) == [("a",), ("x",), ("y",), ("z",)] and len(tried) == 2
+    assert len(s._names(f"{s.root}/df_nodes", folders=True)) == 1 + 4  # the log, and no folder of a refused version
+
+
+def test_old_versions_go_in_time_and_clearing_is_a_version(spark, tmp_path):
+    row = "id string, kind string, label string, file string, created_at timestamp"
+    s = Store(spark, str(tmp_path / "s"), kept=-60)
+    for k in range(4):
+        s.overwrite("df_nodes", spark.createDataFrame([(f"b{k}", "attr", "x", "f", T0)], row))
+    assert rows(s.scan("df_nodes"), "id") == [("b3",)] and len(s._names(f"{s.root}/df_nodes", folders=True)) == 2
+    number = s.read("df_nodes")[1]
+    assert s.migrate({}, 1) == 1
+    s.clear()
+    assert s.collections() == [] and s.read("df_nodes")[1] == number + 1 and s.scan("df_nodes").count() == 0 and s.schema_version() == 1
+    with pytest.raises(Conflict):
+        s.replace("df_nodes", spark.createDataFrame([], row), number)
+    s.upsert("df_nodes", spark.createDataFrame([("c", "attr", "x", "f", T0)], row))
+    assert rows(s.scan("df_nodes"), "id") == [("c",)]
 
 
 def test_upsert_leaves_one_record_for_each_key(spark):
@@ -179,7 +223,7 @@ def test_upsert_leaves_one_record_for_each_key(spark):
 
 def test_snapshots_win_and_empty_ones_go(spark, tmp_path):
     s, row = Store(spark, str(tmp_path / "s")), "id string, kind string, label string, file string, created_at timestamp"
-    s.replace("df_nodes", spark.createDataFrame([("a", "attr", "x", "f", T0)], row))
+    s.replace("df_nodes", spark.createDataFrame([("a", "attr", "x", "f", T0)], row), 0)
     s.write_snapshots(str(tmp_path / "snap"))
     s.delete("df_nodes", s.scan("df_nodes"))
     assert s.scan("df_nodes").count() == 0 and s.rebuild(str(tmp_path / "snap")) == ["df_nodes"] and rows(s.scan("df_nodes"), "id") == [("a",)]
