@@ -28,11 +28,12 @@ def defines(facts: DataFrame) -> DataFrame:
     return facts.filter("fact = 'scope' and direct").select(F.col("owner").alias("src_id"), F.col("id").alias("dst_id"), F.lit("defines").alias("type"), F.lit("exact").alias("confidence")).distinct()
 
 
-def extends(nodes: DataFrame) -> DataFrame:
-    """A base whose simple name is that of exactly one class, and of another one."""
+def extends(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """A base whose simple name is that of exactly one class, and of another one; for the classes of nodes, or of some of them."""
     classes = nodes.filter("type = 'class'")
     unique = classes.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("target")).filter("n = 1").select(F.col("name").alias("base"), "target")
-    pairs = classes.select("id", F.explode("bases").alias("base")).join(unique, "base").filter("id <> target")
+    own = classes if of is None else of.filter("type = 'class'")
+    pairs = own.select("id", F.explode("bases").alias("base")).join(unique, "base").filter("id <> target")
     return pairs.select(F.col("id").alias("src_id"), F.col("target").alias("dst_id"), F.lit("extends").alias("type"), F.lit("heuristic").alias("confidence")).distinct()
 
 
@@ -63,19 +64,18 @@ def local_symbols(names: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select("path", "name", F.coalesce("func", "class").alias("id"))
 
 
-def resolved_calls(facts: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """Call sites with callee or null.
+def placed_calls(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """Call sites (call, path, caller) with the places to look the callee up in, in order.
 
     A call has at most one place to look in: its own class for a method of self; for a plain name its own file, then the file that an
-    import binds the name to; for an attribute the file of the imported receiver.  All places of all calls are looked up in one
-    join with the symbols, a function before a class, and the first that has something is the callee.
+    import binds the name to; for an attribute the file of the imported receiver.
     """
     bound = extract.imported_names(facts)
     homes = resolve_modules(bound, module_index(files)).select("module", F.col("path").alias("home"))
     bound = bound.join(homes, "module", "left").select("path", F.col("bound").alias("first"), "home", "original")
     one, first, attr = F.size("names") == 1, F.col("names")[0], F.col("names")[1]
     sites = extract.call_sites(facts).withColumn("call", F.monotonically_increasing_id()).withColumns({"first": first, "on_self": F.coalesce(first == "self", F.lit(False)) & ~one})
-    sites = settle(sites.join(bound, ["path", "first"], "left"), "calls")
+    sites = sites.join(bound, ["path", "first"], "left")
     place = lambda order, file, name, functions: F.struct(F.lit(order).alias("order"), file.alias("path"), name.alias("name"), F.lit(functions).alias("only_functions"))
     there = F.when(one, F.coalesce("original", "first")).otherwise(F.concat_ws(".", "original", attr))
     places = (
@@ -84,7 +84,13 @@ def resolved_calls(facts: DataFrame, nodes: DataFrame, files: DataFrame) -> Data
         .when(F.col("original").isNotNull(), F.array(place(0, F.col("home"), there, True)))
         .otherwise(F.array(place(0, F.col("home"), there, False)))
     )
-    wanted = sites.select("call", F.explode(places).alias("at")).select("call", "at.*").filter("path is not null and name is not null")
+    return settle(sites.select("call", "path", "caller", F.filter(places, lambda at: at["path"].isNotNull() & at["name"].isNotNull()).alias("places")), "calls")
+
+
+def resolved_calls(facts: DataFrame, nodes: DataFrame, files: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+    """Call sites with callee or null.  All places of all calls are looked up in one join with the symbols, a function before a class, and the first that has something is the callee."""
+    sites = placed_calls(facts, files) if sites is None else sites
+    wanted = sites.select("call", F.explode("places").alias("at")).select("call", "at.*")
     known = local_symbols(wanted, nodes).filter("id is not null")
     found = wanted.join(known, ["path", "name"]).filter(~F.col("only_functions") | F.col("id").startswith("func:"))
     best = found.groupBy("call").agg(F.min_by("id", "order").alias("callee"))
@@ -102,9 +108,10 @@ def scan_summary(files: DataFrame, nodes: DataFrame, edges: DataFrame, resolved:
     return files.agg(F.count("*").alias("files")).join(n).join(e).join(resolved.agg(F.count_if(F.col("callee").isNull()).alias("unresolved_calls")))
 
 
-def typed_accesses(facts: DataFrame) -> DataFrame:
-    """Typed accesses (path, seq, src_id, type, resolution, dst_id); dst_id is null unless exactly one file defines a class of the type's name."""
-    homes = facts.filter("fact = 'scope' and kind = 'class'").groupBy(F.col("name").alias("known")).agg(F.count_distinct("path").alias("n"), F.min("path").alias("home")).filter("n = 1")
+def typed_accesses(facts: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """Typed accesses (path, seq, src_id, type, resolution, dst_id); dst_id is null unless exactly one file of every defines a class of the type's name."""
+    every = facts if every is None else every
+    homes = every.filter("fact = 'scope' and kind = 'class'").groupBy(F.col("name").alias("known")).agg(F.count_distinct("path").alias("n"), F.min("path").alias("home")).filter("n = 1")
     rows = extract.state_accesses(facts).filter("type is not null").withColumnRenamed("type", "known").join(homes, "known", "left")
     state = F.when(F.col("home").isNotNull(), F.concat(F.lit("state:"), "home", F.lit("#"), "known", F.lit("."), "attr"))
     return rows.select("path", "seq", F.col("accessor").alias("src_id"), _kind().alias("type"), F.col("how").alias("resolution"), state.alias("dst_id"))
@@ -114,10 +121,10 @@ def _kind() -> Column:
     return F.when(F.col("store"), "writes").otherwise("reads")
 
 
-def state_edges(facts: DataFrame) -> DataFrame:
+def state_edges(facts: DataFrame, every: DataFrame | None = None) -> DataFrame:
     """Reads and writes (src_id, dst_id, type, resolution) of self's attributes and of typed accesses whose class is known."""
     own = extract.state_accesses(facts).filter("how = 'self'").select("path", "seq", F.col("accessor").alias("src_id"), _kind().alias("type"), F.col("how").alias("resolution"), F.concat(F.lit("state:"), "path", F.lit("#"), "cls", F.lit("."), "attr").alias("dst_id"), F.lit(0).alias("late"))
-    typed = typed_accesses(facts).filter("dst_id is not null").withColumn("late", F.lit(1))
+    typed = typed_accesses(facts, every).filter("dst_id is not null").withColumn("late", F.lit(1))
     # The last writer of one edge decides its resolution: files in path order, own accesses of a file before its typed ones.
     return first_of_each(own.unionByName(typed), ["src_id", "dst_id", "type"], [F.desc(F.split("path", "/")), F.desc("late"), F.desc("seq")]).select("src_id", "dst_id", "type", "resolution")
 

@@ -148,18 +148,24 @@ class Store:
 
     def change(self, name: str, make: Callable[[DataFrame], DataFrame]) -> int:
         """A new version made from the last one; made anew from the next if another writer was faster."""
-        for last in (*[False] * (TRIES - 1), True):
+
+        def once() -> int:
             rows, base = self.read(name)
-            try:
-                return self.replace(name, make(rows), base)
-            except Conflict:
-                if last:
-                    raise
-        raise AssertionError
+            return self.replace(name, make(rows), base)
+
+        return self._tried(once)
 
     def overwrite(self, name: str, rows: DataFrame) -> int:
         """A new version whatever there was."""
-        return self.change(name, lambda _: rows)
+        return self._tried(lambda: self.replace(name, rows, self._head(name)[0]))
+
+    def _tried(self, write: Callable[[], int]) -> int:
+        for _ in range(TRIES - 1):
+            try:
+                return write()
+            except Conflict:
+                continue
+        return write()
 
     def upsert(self, name: str, rows: DataFrame, key: str = "id", order: Sequence[str] = (), now: Column | None = None) -> None:
         """K1: rows replace those of their key."""
