@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 from skeinwork import schemas as S
 from skeinwork.demo import NOW, prelude, relation
 from skeinwork.functions import scalars as C
-from skeinwork.operators import code, extract, graph, ledger, ownership, records
+from skeinwork.operators import code, extract, graph, ledger, ownership, records, search
 from skeinwork.plans import context, ingest, memory, sync
 from skeinwork.sources import files, store, text
+from skeinwork.streaming import calls
 from skeinwork.tables import literal_table, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -300,6 +301,18 @@ def _(r):
     return records.search_label(r.exec_nodes, "Brand#1").select("id", "label")
 
 
+@query(
+    "f7_batch_search",
+    """SELECT pattern, id FROM (SELECT p.pattern, n.id, row_number() OVER (PARTITION BY p.pattern ORDER BY n.id) AS at FROM (SELECT CAST(p_partkey AS VARCHAR) AS pattern FROM part UNION SELECT substr(p_name, 2, 5) FROM part UNION SELECT substr(p_name, 1, 2) FROM part) p
+    JOIN exec_nodes n ON contains(n.label, p.pattern)) WHERE at <= 50""",
+)
+def _(r):
+    # Every part asks for its number and for pieces of its name among all symbols.
+    name, key = F.col("p_name"), F.col("p_partkey")
+    asked = r.part.select(F.explode(F.array(key.cast("string"), F.substring(name, 2, 5), F.substring(name, 1, 2))).alias("pattern"))
+    return search.LabelIndex(r.exec_nodes).search(asked).select("pattern", "id")
+
+
 @query("f8_confidence_floor", "SELECT confidence, count(*) AS n FROM exec_edges WHERE confidence IN ('resolved', 'exact') GROUP BY confidence")
 def _(r):
     return records.confident_calls(r.exec_edges, "no such name").groupBy("confidence").agg(F.count("*").alias("n"))
@@ -832,13 +845,32 @@ _STATS = f"""stats AS (SELECT provider, model, count(*) AS calls, CAST(sum(token
     roll AS (SELECT provider, round_even(sum(est_cost) / sum(calls), 6) AS cost_per_call, round_even(sum(avg_latency_ms * calls) / sum(calls), 3) AS avg_latency_ms, round_even(sum(success_rate * calls) / sum(calls), 4) AS success_rate FROM score GROUP BY provider)"""
 
 
-@query("a7_provider_stats", "SELECT t.provider, t.model, t.calls, t.tokens_in, t.tokens_out, t.est_cost, t.sum_latency_ms, t.successes, t.errors, len(s.s) AS n_samples, coalesce((SELECT string_agg(concat(e, ':', n), ',' ORDER BY e) FROM (SELECT error AS e, count(*) AS n FROM call_log c WHERE c.provider = t.provider AND c.model = t.model AND NOT ok GROUP BY error)), '') AS errors_by FROM stats t JOIN samples s ON s.provider = t.provider AND s.model = t.model", _STATS)
-def _(r):
-    out = ledger.provider_stats(r.call_log)
+_A7 = "SELECT t.provider, t.model, t.calls, t.tokens_in, t.tokens_out, t.est_cost, t.sum_latency_ms, t.successes, t.errors, len(s.s) AS n_samples, coalesce((SELECT string_agg(concat(e, ':', n), ',' ORDER BY e) FROM (SELECT error AS e, count(*) AS n FROM call_log c WHERE c.provider = t.provider AND c.model = t.model AND NOT ok GROUP BY error)), '') AS errors_by FROM stats t JOIN samples s ON s.provider = t.provider AND s.model = t.model"
+
+
+def _stats_row(out: DataFrame) -> DataFrame:
     by = F.array_join(F.transform(F.map_entries("error_breakdown"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
     return out.select("provider", "model", "calls", "tokens_in", "tokens_out", "est_cost", "sum_latency_ms", "successes", "errors", F.size("latency_samples").alias("n_samples"), by.alias("errors_by"))
 
 
+@query("a7_provider_stats", _A7, _STATS)
+def _(r):
+    return _stats_row(ledger.provider_stats(r.call_log))
+
+
+@query("a7_stream", _A7, _STATS)
+def _(r):
+    # The log arrives in six files; the stream ends after three of them and starts again.
+    home = f"{work_dir(r.spark)}/calls-{uuid.uuid4().hex}"
+    log, kept = r.call_log.withColumn("file", F.col("seq") % 6), store.Store(r.spark, f"{home}/store")
+    for half in (0, 1):
+        for n in range(3 * half, 3 * half + 3):
+            log.filter(F.col("file") == n).drop("file").write.mode("append").parquet(f"{home}/log")
+        rows = r.spark.readStream.schema(r.call_log.schema).option("maxFilesPerTrigger", 8).parquet(f"{home}/log")
+        calls.call_stream(rows, kept, f"{home}/checkpoint").awaitTermination()
+    return _stats_row(calls.stats_of(kept.scan(calls.NAME)))
+
+
 @query("a8_scorecards", "SELECT * FROM score", _STATS)
 def _(r):
     return ledger.scorecards(ledger.provider_stats(r.call_log))
