@@ -73,9 +73,10 @@ def reachable(adjacency: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, id) of all that a seed reaches, the seed left out, in rounds that grow with the logarithm of the depth.
 
     After a few plain levels a round also takes shortcuts, from all that was found.  Shortcuts are paths of twice the length of the round
-    before's, so a chain is followed twice as far each time; of a node's many the same few are kept by hash, which bounds their number by that of
-    the nodes.  What is found goes through all its own edges as well, once, and the search ends when that brings nothing new: shortcuts only
-    change how soon.  A round's result is one table, so the plan does not grow.
+    before's.  Of a node's many only some are kept, by hash: a few ways on for each node, and for each node a few ways to it, so their number is bounded
+    by that of the nodes.  Chains and trees, wherever they branch, lose none and are followed twice as far each time.  What is found goes through all
+    its own edges as well, once, and the search ends when that brings nothing new: shortcuts only change how soon.  A round's result is one
+    table, so the plan does not grow.
     """
     edges = settle(adjacency.distinct(), "adjacency")
     start = seeds.select(F.col("id").alias("seed")).distinct()
@@ -83,8 +84,8 @@ def reachable(adjacency: DataFrame, seeds: DataFrame) -> DataFrame:
     jumps, round_ = None, 0
     while True:
         round_ += 1
-        if round_ > PLAIN:
-            jumps = _doubled(jumps if jumps is not None else _doubled(_few(edges)))
+        if round_ > PLAIN and (jumps is None or not jumps.isEmpty()):
+            jumps = _doubled(jumps if jumps is not None else _doubled(_few(edges.withColumn("way", F.explode(F.array(F.lit("on"), F.lit("to")))))))
         step = found.filter(F.col("round") == round_ - 1).join(edges, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id"))
         if jumps is not None:
             step = step.unionByName(found.join(jumps, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")))
@@ -95,16 +96,18 @@ def reachable(adjacency: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def _few(pairs: DataFrame) -> DataFrame:
-    """At most SHORTCUTS of the pairs of each src: those of the least hash in each class of dst."""
-    mark = F.xxhash64("dst")
-    least = pairs.groupBy("src", F.pmod(mark, F.lit(SHORTCUTS)).alias("class")).agg(F.min_by("dst", F.xxhash64("src", "dst")).alias("dst"))
-    return settle(least.filter("src <> dst").select("src", "dst"), "shortcuts")
+    """At most SHORTCUTS of the pairs on from each src, and of those to each dst: the one of the least hash in each class of the other end."""
+    on = F.col("way") == "on"
+    own, other = F.when(on, F.col("src")).otherwise(F.col("dst")), F.when(on, F.col("dst")).otherwise(F.col("src"))
+    kind = F.pmod(F.xxhash64(other), F.lit(SHORTCUTS)).alias("class")
+    least = pairs.filter("src <> dst").groupBy("way", own.alias("own"), kind).agg(F.min_by(F.struct("src", "dst"), F.xxhash64("src", "dst")).alias("pair"))
+    return settle(least.select("way", "pair.src", "pair.dst"), "shortcuts")
 
 
 def _doubled(jumps: DataFrame) -> DataFrame:
     """Shortcuts of twice the length."""
-    onward = jumps.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
-    return _few(jumps.join(onward, "dst").select("src", F.col("to").alias("dst")))
+    onward = jumps.select("way", F.col("src").alias("dst"), F.col("dst").alias("to"))
+    return _few(jumps.join(onward, ["way", "dst"]).select("way", "src", F.col("to").alias("dst")))
 
 
 #: Levels that spread puts into one job, and words of 64 sources that one of its rows holds at most.

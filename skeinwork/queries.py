@@ -559,7 +559,7 @@ def _(r):
 @query(
     "g5_deep_impact",
     """SELECT concat('order:', o_orderkey % 4) AS seed, concat('order:', o_orderkey) AS id FROM orders WHERE o_orderkey >= 4
-    UNION ALL SELECT concat('order:', o.o_orderkey % 4), concat('line:', l.l_orderkey, ':', l.l_linenumber) FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey""",
+    UNION SELECT concat('order:', o.o_orderkey % 4), concat('line:', l.l_orderkey, ':', l.l_linenumber) FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey""",
 )
 def _(r):
     # Four chains of calls through all orders, as deep as there are orders, and the lines of each order beside them.
