@@ -303,8 +303,8 @@ def _(r):
 
 @query(
     "f7_batch_search",
-    """SELECT pattern, id FROM (SELECT p.pattern, n.id, row_number() OVER (PARTITION BY p.pattern ORDER BY n.id) AS at FROM (SELECT CAST(p_partkey AS VARCHAR) AS pattern FROM part UNION SELECT substr(p_name, 2, 5) FROM part UNION SELECT substr(p_name, 1, 2) FROM part) p
-    JOIN exec_nodes n ON contains(n.label, p.pattern)) WHERE at <= 50""",
+    """SELECT pattern, id FROM (SELECT p.pattern, n.id, row_number() OVER (PARTITION BY p.pattern ORDER BY n.id) AS place FROM (SELECT CAST(p_partkey AS VARCHAR) AS pattern FROM part UNION SELECT substr(p_name, 2, 5) FROM part UNION SELECT substr(p_name, 1, 2) FROM part) p
+    JOIN exec_nodes n ON contains(n.label, p.pattern)) WHERE place <= 50""",
 )
 def _(r):
     # Every part asks for its number and for pieces of its name among all symbols.
@@ -444,7 +444,7 @@ def _(r):
     UNION ALL SELECT concat('order:', o_orderkey), 1, 5 * p_partkey + 1 FROM orders JOIN part ON o_orderkey = p_partkey
     UNION ALL SELECT concat('order:', o_orderkey), 2, 5 * p_partkey + 2 FROM orders JOIN part ON o_orderkey = p_partkey
     UNION ALL SELECT concat('order:', o_orderkey), 3, 5 * p_partkey + 3 FROM orders JOIN part ON o_orderkey = 2 * p_partkey
-    UNION ALL SELECT concat('order:', o_orderkey), 2, 5 * p_partkey + 4 FROM orders JOIN part ON o_orderkey = 10 * p_partkey + 7""",
+    UNION ALL SELECT concat('order:', o_orderkey), 2, 5 * p_partkey + 4 FROM orders JOIN part ON CAST(o_orderkey AS VARCHAR) = concat(p_partkey, '7')""",
 )
 def _(r):
     # Five rules for each part: folders, file names, patterns with and without anchors, exact labels; 100,000 of them at scale 0.1.
