@@ -1,7 +1,8 @@
 """Statistics of provider calls (A7, W5) as a stateful stream.
 
-The state of a (provider, model) is its sums, its errors by name and the ring of its last samples.  A busy model's calls are dealt over
-PARTS states by a hash of their number, so that no key grows into one task; each keeps its own ring, and the last samples of all are among them.
+The state of a (provider, model) is its sums, its errors by name and the ring of its last samples, one value that a batch reads and writes once.
+A busy model's calls are dealt over PARTS states by a hash of their number, so that no key grows into one task; each keeps its own ring,
+and the last samples of all are among them.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from skeinwork.functions import scalars as C
 from skeinwork.sources.store import Store
 from skeinwork.tables import work_dir
 
-PARTS = 16
+PARTS = 4
 #: The collection that a stream keeps in its store.
 NAME = "call_parts"
 _SUMS = "calls long, tokens_in long, tokens_out long, cost double, latency double, successes long, errors long"
-_OUT = f"provider string, model string, part int, {_SUMS}, error_names array<string>, error_counts array<long>, seqs array<long>, latencies array<double>"
+_STATE = f"{_SUMS}, error_names array<string>, error_counts array<long>, seqs array<long>, latencies array<double>"
+_OUT = f"provider string, model string, part int, {_STATE}"
 
 
 class _Calls(StatefulProcessor):
@@ -33,28 +35,21 @@ class _Calls(StatefulProcessor):
         self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sums = handle.getValueState("sums", _SUMS)
-        self.errors = handle.getMapState("errors", "error string", "n long")
-        self.ring = handle.getListState("ring", "seq long, latency double")
+        self.state = handle.getValueState("calls", _STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        sums = list(self.sums.get()) if self.sums.exists() else [0, 0, 0, 0.0, 0.0, 0, 0]
-        ring, met = [tuple(x) for x in self.ring.get()], Counter()
+        *sums, names, counts, seqs, latencies = self.state.get() if self.state.exists() else (0, 0, 0, 0.0, 0.0, 0, 0, [], [], [], [])
+        ring, errors = list(zip(seqs, latencies, strict=True)), Counter(dict(zip(names, counts, strict=True)))
         for b in rows:
             ok = b["ok"].astype(bool)
             more = (len(b), int(b["tokens_in"].sum()), int(b["tokens_out"].sum()), float(b["cost"].sum()), float(b["latency_ms"].sum()), int(ok.sum()), int((~ok).sum()))
             sums = [a + m for a, m in zip(sums, more, strict=True)]
-            met.update(b.loc[~ok, "error"].fillna("Unknown"))
+            errors.update(b.loc[~ok, "error"].fillna("Unknown").tolist())
             ring = sorted([*ring, *zip(b["seq"].tolist(), b["latency_ms"].tolist(), strict=True)])[-self.keep :]
-        self.sums.update(tuple(sums))
-        self.ring.put(ring)
-        for name, n in met.items():
-            before = self.errors.getValue((name,))[0] if self.errors.containsKey((name,)) else 0
-            self.errors.updateValue((name,), (before + int(n),))
-        errors = sorted((k[0], v[0]) for k, v in self.errors.iterator())
-        out = dict(zip(("provider", "model", "part", *(c.split()[0] for c in _SUMS.split(", "))), (*key, *sums), strict=True))
-        lists = {"error_names": [k for k, _ in errors], "error_counts": [n for _, n in errors], "seqs": [s for s, _ in ring], "latencies": [x for _, x in ring]}
-        yield pd.DataFrame({k: [v] for k, v in (out | lists).items()})
+        named = sorted(errors.items())
+        now = (*sums, [k for k, _ in named], [n for _, n in named], [s for s, _ in ring], [x for _, x in ring])
+        self.state.update(now)
+        yield pd.DataFrame({c.split()[0]: [v] for c, v in zip(_OUT.split(", "), (*key, *now), strict=True)})
 
     def close(self) -> None:
         pass
