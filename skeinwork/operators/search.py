@@ -1,7 +1,8 @@
 """Substring search for many patterns at once, by an inverted index of label grams.
 
 The index has a row (gram, id) for each distinct run of three characters of a label, which is first drawn out by two marks so that its last
-characters begin a run too.  It is a table bucketed by gram, so a search shuffles patterns and not the index.  A pattern of three characters and more meets
+characters begin a run too.  It is a table bucketed by gram and part of the ids, so a search shuffles patterns and not the index, and the
+postings of a gram that most labels have lie in several buckets; what is asked goes to all parts.  A pattern of three characters and more meets
 the postings of its two rarest grams; what is in both is held against the label.  A shorter pattern meets the grams that begin with it, and
 the empty pattern all labels.
 """
@@ -16,7 +17,7 @@ from pyspark.sql.window import Window
 
 from skeinwork.tables import settle, work_dir
 
-GRAM, RAREST, BUCKETS = 3, 2, 32
+GRAM, RAREST, BUCKETS, PARTS = 3, 2, 64, 16
 _MARKS = "\0" * (GRAM - 1)
 
 
@@ -25,6 +26,11 @@ def _grams(text: Column, size: int = GRAM) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substring(text, i, F.lit(size))))
 
 
+def _everywhere(asked: DataFrame) -> DataFrame:
+    """What is asked, once for each part of the postings."""
+    return asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+
+
 class LabelIndex:
     """The index of nodes (id, label); null labels are found by nothing.  Its tables lie in the shared folder; drop() removes it."""
 
@@ -35,8 +41,8 @@ class LabelIndex:
         drawn = F.concat("label", F.lit(_MARKS))
         rows = self.labels.filter("label <> ''").select(F.explode(_grams(drawn)).alias("gram"), "id").unionByName(self.labels.filter("label = ''").select(F.lit(_MARKS).alias("gram"), "id"))
         # Each task holds whole buckets, so a bucket is one file.
-        by_bucket = rows.repartition(buckets, "gram")
-        by_bucket.write.bucketBy(buckets, "gram").sortBy("gram", "id").option("path", f"{work_dir(self.spark)}/{self.name}").option("compression", "zstd").saveAsTable(self.name)
+        by_bucket = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).repartition(buckets, "gram", "part")
+        by_bucket.write.bucketBy(buckets, "gram", "part").sortBy("gram", "id").option("path", f"{work_dir(self.spark)}/{self.name}").option("compression", "zstd").saveAsTable(self.name)
         self.postings = self.spark.table(self.name)
         self.counts = settle(self.postings.groupBy("gram").agg(F.count("*").alias("n")), "gram-counts")
 
@@ -51,10 +57,10 @@ class LabelIndex:
         # Patterns are short, so the grams of one are few.
         rare = grams.groupBy("pattern").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))), 1, RAREST).alias("few"))
         wanted = rare.select("pattern", F.size("few").alias("need"), F.explode("few.gram").alias("gram"))
-        both = self.postings.join(wanted, "gram").groupBy("pattern", "id").agg(F.count("*").alias("met"), F.first("need").alias("need")).filter("met = need")
+        both = self.postings.join(_everywhere(wanted), ["gram", "part"]).groupBy("pattern", "id").agg(F.count("*").alias("met"), F.first("need").alias("need")).filter("met = need")
         found = both.select("pattern", "id").join(self.labels, "id").filter(F.contains("label", F.col("pattern")))
         begins = self.counts.select("gram", F.explode(F.array(*[F.substring("gram", 1, k) for k in range(GRAM)])).alias("pattern")).distinct()
-        some = self.postings.join(short.join(begins, "pattern"), "gram").select("pattern", "id").distinct()
+        some = self.postings.join(_everywhere(short.join(begins, "pattern")), ["gram", "part"]).select("pattern", "id").distinct()
         # A mark can be part of a label as well, so these are held against the label too.
         found = found.unionByName(some.join(self.labels, "id").filter(F.contains("label", F.col("pattern"))).select(*found.columns))
         first = F.row_number().over(Window.partitionBy("pattern").orderBy("id"))
