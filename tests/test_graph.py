@@ -92,7 +92,7 @@ def test_spread_is_the_level_search_of_each_source(spark, monkeypatch):
         names = [f"n{k}" for k in range(80)]
         pairs = list({(rng.choice(names), rng.choice(names)) for _ in range(120)})
         marks = sorted({(f"s{rng.randrange(150)}", rng.choice("ab"), rng.choice(names)) for _ in range(400)})
-        for depth in (0, 1, 4):
+        for depth in (0, 4):
             got = graph.spread(edges_of(spark, pairs), spark.createDataFrame(marks, "state string, side string, node string"), ["state", "side"], depth)
             want = {(s, d, n) for s, d, m in marks for n in plain(pairs, m, depth)}
             rows = [tuple(r) for r in got.select("state", "side", "node").collect()]

@@ -39,7 +39,7 @@ def test_delta_is_the_full_sync(spark):
     n = 40
     files = {f"p{k % 4}/m{k}.py": source(rng, k, n) for k in range(n)} | {f"p{k}/__init__.py": "" for k in range(3)} | {"web/x.js": "import a from 'b'"}
     state, _ = sync.synced(scan_of(spark, files))
-    for _ in range(3):
+    for _ in range(2):
         paths = sorted(p for p in files if p.startswith("p"))
         for p in rng.sample(paths, 4):
             files[p] = source(rng, rng.randrange(n), n)
