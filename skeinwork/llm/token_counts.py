@@ -15,6 +15,7 @@ repeated rows are each counted, also for the model; extra columns are ignored; a
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter, deque
 from collections.abc import Iterator
@@ -30,8 +31,6 @@ from skeinwork.llm.runtime import KEPT, texts_of, tokenizer_path, tune, two_colu
 MARK = "▁"
 #: Words kept in a worker's table; past half of it, those not met again since the last time go.
 WORDS_KEPT = 1_400_000
-#: Pre-tokens from this length on are scored one by one, with only the last scores in memory.
-LONG = 1000
 
 
 @lru_cache(maxsize=2)
@@ -65,6 +64,14 @@ class Words:
         return list(new)
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return next(i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y)
+
+
 class UnigramCounts:
     """Piece counts of the best segmentation under given counts of pieces by id."""
 
@@ -82,7 +89,7 @@ class UnigramCounts:
         self.most = max(self.longest.values())
         self.words = Words(WORDS_KEPT)
 
-    def _extend(self, full: str, n: int, best: list[tuple[float, int]] | deque[tuple[float, int]]) -> tuple[float, int]:
+    def _extend(self, full: str, n: int, best: deque[tuple[float, int]]) -> tuple[float, int]:
         """Best cost and piece count of the first n characters, from those of the shorter prefixes, which best ends with."""
         last, shift, cost = full[n - 1], len(best) - n, self.cost.get
         size = len(last.encode("utf-8", "surrogatepass"))
@@ -96,35 +103,39 @@ class UnigramCounts:
                     out = now
         return out
 
-    def _long(self, full: str) -> int:
-        """The pieces of one long pre-token."""
-        best = deque([(0.0, 0)], maxlen=self.most)
-        for n in range(1, len(full) + 1):
-            best.append(self._extend(full, n, best))
-        return best[-1][1]
-
     def learn(self, words: list[str]) -> None:
         """Walk the trie of these words depth first.
 
-        In sorted order a word's path shares with the one before exactly their common prefix, so the stack of scores along
-        the path is the part of the trie that is still needed.
+        In sorted order a word's path shares with the one before exactly their common prefix, so a walk goes on from that node.  Only the nodes
+        of the path where a later word leaves it are kept, each with the scores of the last few prefixes, which is all that a piece can reach
+        back to; so pre-tokens of any length are walked alike, and the memory does not grow with their length.
         """
-        path, best, known = "", [(0.0, 0)], self.words.now
-        for w in sorted(words):
-            full = MARK + w
-            if len(full) >= LONG:
-                known[w] = self._long(full)
-                continue
-            same = 0
-            for a, b in zip(path, full, strict=False):
-                if a != b:
-                    break
-                same += 1
-            del best[same + 1 :]
-            for n in range(same + 1, len(full) + 1):
-                best.append(self._extend(full, n, best))
-            path = full
-            known[w] = best[-1][1]
+        known, full = self.words.now, [MARK + w for w in sorted(words)]
+        shared = [_common(a, b) for a, b in itertools.pairwise(full)] + [0]
+        # The next word that leaves the path nearer to the root than this word's successor does.
+        nearer, open_ = [len(full)] * len(full), []
+        for i, depth in enumerate(shared):
+            while open_ and shared[open_[-1]] > depth:
+                nearer[open_.pop()] = i
+            open_.append(i)
+        kept, start = [(0, ((0.0, 0),))], 0
+        for i, word in enumerate(full):
+            while kept[-1][0] > start:
+                kept.pop()
+            leaves, j = [], i
+            while j < len(full) and shared[j] > start:
+                leaves.append(shared[j])
+                j = nearer[j]
+            best, at = deque(kept[-1][1], maxlen=self.most), start
+            for stop in reversed(leaves):
+                for n in range(at + 1, stop + 1):
+                    best.append(self._extend(word, n, best))
+                kept.append((stop, tuple(best)))
+                at = stop
+            for n in range(at + 1, len(word) + 1):
+                best.append(self._extend(word, n, best))
+            known[word[len(MARK) :]] = best[-1][1]
+            start = shared[i]
 
     def counts(self, texts: list[str]) -> list[tuple[int, int]]:
         """(tokens, pre-tokens) of each text."""

@@ -631,8 +631,10 @@ def test_token_counts(spark, mixed):
     path = tokenizer_path("piece_bpe_32k.model")
     sp, names = token_counts._pieces(path)
     rng = random.Random(12)
-    long_ = "".join(rng.choice("thean日") for _ in range(token_counts.LONG + 500))
-    texts = [*texts, long_, long_ + " the " + "x" * 200000]
+    long_ = "".join(rng.choice("thean日") for _ in range(1500))
+    # Words that leave one path at many depths, the long ones among them.
+    branches = [long_[:n] + "".join(rng.choice("the") for _ in range(rng.randrange(4))) for n in rng.sample(range(1, 1500), 60)]
+    texts = [*texts, long_, long_ + " the " + "x" * 200000, " ".join(branches), " ".join(rng.choice(branches) + "日" for _ in range(99))]
     counts = {}
     for x in texts:
         for w in (x or "").split():
