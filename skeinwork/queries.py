@@ -16,7 +16,7 @@ from skeinwork.demo import NOW, prelude, relation
 from skeinwork.functions import scalars as C
 from skeinwork.operators import code, extract, graph, ledger, ownership, records, search
 from skeinwork.plans import context, ingest, memory, sync
-from skeinwork.sources import files, store, text
+from skeinwork.sources import blocks, files, store, text
 from skeinwork.streaming import calls
 from skeinwork.tables import literal_table, work_dir
 
@@ -145,6 +145,16 @@ def _(r):
     return reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("collection"), "id") for n, df in found.items()])
 
 
+@query("s8_yaml_records", "SELECT coalesce(lang, 'und') AS collection, CAST(doc_id AS VARCHAR) AS id, sha256(text) AS digest, n_chars FROM documents")
+def _(r):
+    blocks.register(r.spark)
+    folder = f"{work_dir(r.spark)}/records-{uuid.uuid4().hex}"
+    data = F.to_json(F.struct("text", "n_chars"))
+    r.documents.select(F.coalesce("lang", F.lit("und")).alias("collection"), F.col("doc_id").cast("string").alias("id"), data.alias("data")).write.format("records_yaml").mode("append").save(folder)
+    read = r.spark.read.format("records_yaml").load(folder).withColumn("x", F.from_json("data", "text string, n_chars long"))
+    return read.select("collection", "id", F.sha2("x.text", 256).alias("digest"), "x.n_chars")
+
+
 @query("s9_notes", "SELECT concat(doc_id, '.md') AS ref, substr(trim(CASE WHEN doc_id % 2 = 0 THEN concat('## Decision', chr(10), substr(text, 101)) ELSE concat(substr(text, 1, 100), substr(text, 101), chr(10), '## Next', chr(10), 'x') END, concat(' ', chr(9), chr(10), chr(13))), 1, 600) AS content, (length(CASE WHEN doc_id % 2 = 0 THEN concat(substr(text, 1, 100), '## Decision', chr(10), substr(text, 101), chr(10), '## Next', chr(10), 'x') ELSE concat(substr(text, 1, 100), substr(text, 101), chr(10), '## Next', chr(10), 'x') END) + 3) // 4 AS raw_tokens FROM documents")
 def _(r):
     mark = F.when(F.col("doc_id") % 2 == 0, "## Decision\n").otherwise("")
@@ -158,6 +168,13 @@ def _(r):
     return ownership.rule_table(r.spark, rules).select("ordinal", "kind", "pattern", F.coalesce("domain", "layer").alias("value"))
 
 
+@query("s10_rule_files", "SELECT concat(p_partkey, '.yaml') AS path, k AS ordinal, CASE k WHEN 0 THEN 'path' ELSE 'symbol' END AS kind, CASE k WHEN 0 THEN concat('app/', p_brand, '/*') ELSE concat(p_name, ': #', p_size) END AS pattern, CASE k WHEN 0 THEN p_type END AS domain, CASE k WHEN 1 THEN concat(p_type, ' ', p_brand) END AS layer, CASE k WHEN 1 THEN CAST(p_size AS VARCHAR) END AS criticality FROM part, (VALUES (CAST(0 AS BIGINT)), (1)) t(k)")
+def _(r):
+    first = F.format_string('# rules of a part\nrules:\n  - match: {path: "app/%s/*", size: 1}\n    domain: %s\n  - bad\n  - match: {}\n', "p_brand", "p_type")
+    second = F.format_string("  - match:\n      symbol: '%s: #%d'\n    layer: >-\n      %s\n      %s\n    criticality: %d\n", "p_name", "p_size", "p_type", "p_brand", "p_size")
+    return text.rule_files(r.part.select(F.concat("p_partkey", F.lit(".yaml")).alias("path"), F.concat(first, second).alias("text"))).drop("impact")
+
+
 # ---- sinks (K), as the rows that a write leaves
 
 

@@ -31,7 +31,7 @@ def scanned(files: DataFrame, dirs: tuple[str, ...] = S.IGNORED_DIRS) -> DataFra
     return out.orderBy(F.split("path", "/"))
 
 
-def _opened(uri: str):
+def opened(uri: str):
     """The file system and path of a uri, for executors."""
     from pyarrow import fs as arrow_fs
 
@@ -50,7 +50,7 @@ def read_repository(spark: SparkSession, root: str, dirs: tuple[str, ...] = S.IG
 
         for b in batches:
             for prefix, uri in zip(b.column("path").to_pylist(), b.column("uri").to_pylist(), strict=True):
-                where, path = _opened(uri)
+                where, path = opened(uri)
                 inside = where.get_file_info(arrow_fs.FileSelector(path))
                 kept = [f for f in inside if (f.type == arrow_fs.FileType.Directory and f.base_name not in dirs) or (f.type == arrow_fs.FileType.File and f.base_name.lower().endswith(tuple(S.LANGUAGES)))]
                 cols = [[prefix + f.base_name for f in kept], [f"{uri.rstrip('/')}/{f.base_name}" for f in kept], [f.type == arrow_fs.FileType.Directory for f in kept]]
@@ -60,7 +60,7 @@ def read_repository(spark: SparkSession, root: str, dirs: tuple[str, ...] = S.IG
         for b in batches:
             bodies = []
             for uri in b.column("uri").to_pylist():
-                where, path = _opened(uri)
+                where, path = opened(uri)
                 with where.open_input_stream(path) as f:
                     bodies.append(f.read())
             yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(bodies, pa.binary())], ["path", "content"])

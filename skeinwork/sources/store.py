@@ -19,9 +19,11 @@ from pathlib import Path
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from skeinwork import schemas as S
 from skeinwork.operators.records import first_of_each
+from skeinwork.sources import blocks
 
 
 #: Seconds after which an entry without content counts as left behind by a writer that failed.
@@ -302,10 +304,14 @@ def retained(backups: DataFrame, keep: int = 10) -> DataFrame:
     return backups.select("name").join(newest, "name", "left").select("name", F.coalesce("keep", F.lit(False)).alias("keep"))
 
 
+def reader_columns(name: str) -> list[str]:
+    return StructType.fromDDL(S.COLLECTIONS[name]).names
+
+
 def read_snapshots(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The snapshots below a folder by collection: lines of JSON or Parquet, a file or a folder; or one YAML file with a list of records.
 
-    YAML files are read by the driver: they are for what people edit, and need a YAML library unless they are JSON, which YAML includes.
+    YAML is a mapping of ids to records or a list of records, read in ranges of bytes (blocks.py); a record without its own id has its key's.
     """
     store = Store(spark, folder)
     out = {}
@@ -315,20 +321,9 @@ def read_snapshots(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
             continue
         reader = spark.read.schema(S.COLLECTIONS[name])
         if kind in ("yaml", "yml"):
-            text = "".join(r[0] for r in spark.read.text(f"{folder}/{at}", wholetext=True).collect())
-            records = [json.dumps(r) for r in yaml_records(text)]
-            out[name] = spark.createDataFrame([(r,) for r in records], "value string").select(F.from_json("value", S.COLLECTIONS[name]).alias("x")).select("x.*")
+            blocks.register(spark)
+            found = spark.read.format("records_yaml").load(f"{folder}/{at}").select("id", F.from_json("data", S.COLLECTIONS[name]).alias("x")).filter("x is not null")
+            out[name] = found.select(*[F.coalesce("x.id", "id").alias(c) if c == "id" else f"x.{c}" for c in reader_columns(name)])
         else:
             out[name] = reader.parquet(f"{folder}/{at}") if kind in ("parquet", "") else reader.json(f"{folder}/{at}")
     return out
-
-
-def yaml_records(text: str) -> list[dict]:
-    """The records of a YAML text that holds a list of maps."""
-    try:
-        found = json.loads(text)
-    except ValueError:
-        import yaml  # not a part of the image: only block style needs it
-
-        found = yaml.safe_load(text)
-    return [r for r in found or [] if isinstance(r, dict)]

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import json
 import os
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork import schemas as S
 from skeinwork.functions.scalars import coerced, deep_merge, token_estimate
+from skeinwork.sources.blocks import loads
 
 
 def note_summary(text: Column, chars: int = S.NOTE_CHARS) -> Column:
@@ -33,16 +35,9 @@ def read_notes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_mapping(path: str) -> dict:
-    """A YAML mapping where a YAML reader is installed, else JSON; {} if the file is missing or is no mapping."""
+    """A YAML (or JSON) mapping; {} if the file is missing or is no mapping.  Text that is not read as YAML raises ValueError."""
     p = Path(path)
-    if not p.is_file():
-        return {}
-    text = p.read_text(encoding="utf-8")
-    try:
-        import yaml
-    except ImportError:
-        yaml = None
-    found = yaml.safe_load(text) if yaml else json.loads(text or "{}")
+    found = loads(p.read_text(encoding="utf-8")) if p.is_file() else None
     return found if isinstance(found, dict) else {}
 
 
@@ -57,6 +52,26 @@ def ownership_rules(config: dict) -> list[dict]:
     return out
 
 
+RULE = "path string, ordinal long, kind string, pattern string, domain string, layer string, criticality string, impact string"
+
+
+def rule_files(texts: DataFrame) -> DataFrame:
+    """S10 on rows (path, text): the rules of every YAML file with their place in it; a file that is no mapping, or null, has none."""
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in RULE.split(", ")]
+        for b in batches:
+            found = []
+            for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
+                config = loads(text or "")
+                rules = ownership_rules(config) if isinstance(config, dict) else []
+                found += [(path, k, *(None if r[c] is None else str(r[c]) for c in names[2:])) for k, r in enumerate(rules)]
+            types = [pa.string(), pa.int64(), *[pa.string()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], names)
+
+    return texts.select("path", "text").mapInArrow(parsed, RULE)
+
+
 def anchors(spark: SparkSession, config: dict) -> DataFrame:
     """(name, target)."""
     found = config.get("anchors") if isinstance(config.get("anchors"), dict) else {}
