@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -245,30 +244,24 @@ def _(r):
     return s.scan("nodes").select("id", "label", F.lit(s.schema_version()).cast("long").alias("version"))
 
 
-def _moved(r: Rel, take) -> DataFrame:
-    """What a second store holds after a bundle went from one to the other through a local file."""
+def _moved(r: Rel) -> store.Store:
+    """A second store after a bundle went from one to the other."""
     s = _store(r, edges=_edges(r))
     t = store.Store(r.spark, f"{s.root}-copy")
-    with tempfile.TemporaryDirectory() as tmp:
-        manifest = s.export_bundle(f"{tmp}/bundle.tgz")
-        return take(s, t, f"{tmp}/bundle.tgz", manifest)
+    s.export_bundle(f"{s.root}-bundle")
+    t.import_bundle(f"{s.root}-bundle")
+    return t
 
 
 @query("k8_export", "SELECT name, n FROM (SELECT 'edges' AS name, count(*) AS n FROM kg_edges UNION ALL SELECT 'nodes', count(*) FROM kg_nodes)")
 def _(r):
-    def take(s, t, path, manifest):
-        return reduce(DataFrame.unionByName, [s.scan(n).agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in manifest["collections"]])
-
-    return _moved(r, take)
+    t = _moved(r)
+    return reduce(DataFrame.unionByName, [t.scan(n).agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in t.collections()])
 
 
 @query("k9_import", "SELECT id, type, label, props, made FROM recs", _RECORDS)
 def _(r):
-    def take(s, t, path, manifest):
-        t.import_bundle(path)
-        return _brief(t.scan("nodes"))
-
-    return _moved(r, take)
+    return _brief(_moved(r).scan("nodes"))
 
 
 @query("k10_retention", "SELECT name, row_number() OVER (ORDER BY name DESC) <= 10 AS keep FROM (SELECT DISTINCT concat('backup-', o_orderdate) AS name FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders))")

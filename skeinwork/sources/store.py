@@ -8,13 +8,9 @@ stay for a while after the next, so what was read from one can still be worked w
 
 from __future__ import annotations
 
-import json
-import tarfile
-import tempfile
 import time
 import uuid
 from collections.abc import Callable, Sequence
-from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +19,7 @@ from pyspark.sql.types import StructType
 
 from skeinwork import schemas as S
 from skeinwork.operators.records import first_of_each
-from skeinwork.sources import blocks
+from skeinwork.sources import blocks, bundles
 
 
 #: Seconds after which an entry without content counts as left behind by a writer that failed.
@@ -232,53 +228,20 @@ class Store:
         return target
 
     def export_bundle(self, dest: str) -> dict:
-        """K8: one archive with every collection's files and a manifest.  An archive is one local file, for stores of that size."""
-        names = self.collections()
-        manifest = {"schema_version": S.SCHEMA_VERSION, "collections": names}
-        with tempfile.TemporaryDirectory() as tmp, tarfile.open(dest, "w:gz") as tar:
-            head = Path(tmp, "manifest.json")
-            head.write_text(json.dumps(manifest))
-            tar.add(head, "manifest.json")
-            for n in names:
-                local = Path(tmp, n)
-                self.fs.copyToLocalFile(self.fs_path(self.path(n)), self.fs_path(f"file://{local}"))
-                for part in sorted(local.glob("*.parquet")):
-                    tar.add(part, f"snapshots/{n}~{part.name}")
-        return manifest
+        """K8: a folder with every collection's files in archives, and a manifest (bundles.py)."""
+        return bundles.export(self, dest)
 
     def import_bundle(self, src: str) -> dict:
-        """K9: refuses a newer schema; takes only flat names below snapshots/.  The files go into the store's file system before they are read."""
-        staged = f"{self.root}/import-{uuid.uuid4().hex}"
-        with tempfile.TemporaryDirectory() as tmp, tarfile.open(src) as tar:
-            manifest = json.load(tar.extractfile("manifest.json"))
-            if manifest["schema_version"] > S.SCHEMA_VERSION:
-                raise ValueError(f"bundle schema {manifest['schema_version']} is newer than {S.SCHEMA_VERSION}")
-            for m in tar.getmembers():
-                if m.isfile() and is_safe_member(m.name):
-                    name, _, part = m.name.removeprefix("snapshots/").partition("~")
-                    if name in manifest["collections"]:
-                        local = Path(tmp, uuid.uuid4().hex)
-                        local.write_bytes(tar.extractfile(m).read())
-                        self.fs.copyFromLocalFile(self.fs_path(f"file://{local}"), self.fs_path(f"{staged}/{name}/{part}"))
-        for n in manifest["collections"]:
-            if self.fs.exists(self.fs_path(f"{staged}/{n}")):
-                self.overwrite(n, self.spark.read.parquet(f"{staged}/{n}"))
-        self.fs.delete(self.fs_path(staged), True)
-        return manifest
+        """K9"""
+        return bundles.load(self, src)
 
     def backup(self, folder: str, keep: int = 10) -> list[str]:
         """A bundle named by time; only the newest stay, all of them if keep is not positive."""
-        Path(folder).mkdir(parents=True, exist_ok=True)
-        self.export_bundle(f"{folder}/backup-{time.time_ns():020d}.tar.gz")
-        have = sorted(p.name for p in Path(folder).glob("backup-*.tar.gz"))
+        self.export_bundle(f"{folder}/backup-{time.time_ns():020d}")
+        have = [n for n in self._names(folder, folders=True) if n.startswith("backup-")]
         for name in have[:-keep] if keep > 0 else []:
-            Path(folder, name).unlink()
-        return sorted(p.name for p in Path(folder).glob("backup-*.tar.gz"))
-
-
-def is_safe_member(name: str) -> bool:
-    head, _, rest = name.partition("/")
-    return head == "snapshots" and bool(rest) and "/" not in rest and "\\" not in rest and not rest.startswith("..")
+            self.fs.delete(self.fs_path(f"{folder}/{name}"), True)
+        return have[-keep:] if keep > 0 else have
 
 
 def upserted(base: DataFrame, rows: DataFrame, key: str = "id", order: Sequence[str] = (), now: Column | None = None) -> DataFrame:

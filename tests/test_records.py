@@ -11,7 +11,8 @@ from skeinwork.functions import scalars as C
 from skeinwork.operators import graph, ledger, ownership, records
 from skeinwork.plans import context, ingest, memory
 from skeinwork.sources import files, store, text
-from skeinwork.sources.store import Conflict, Store, is_safe_member
+from skeinwork.sources.bundles import is_safe_member
+from skeinwork.sources.store import Conflict, Store
 
 T0 = dt.datetime(2026, 1, 1)
 
