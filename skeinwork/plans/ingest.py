@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork import schemas as S
@@ -86,10 +87,36 @@ def metered(calls: DataFrame) -> DataFrame:
     return calls.filter("ok").select("provider", "model", (F.col("tokens_in") + F.col("tokens_out")).alias("tokens_actual"), C.call_cost("provider", "model", "tokens_in", "tokens_out").alias("cost"))
 
 
-def parsed_findings(answers: DataFrame) -> DataFrame:
-    """Findings of agents' JSON answers (agent, text); text that is no list of objects gives none."""
-    rows = F.from_json("text", "array<struct<claim: string, severity: string, confidence: double>>", {"mode": "PERMISSIVE"})
-    return answers.select("agent", F.posexplode(rows).alias("arrival", "x")).filter("x.claim is not null").select("agent", "arrival", "x.claim", F.coalesce("x.severity", F.lit("low")).alias("severity"), F.coalesce("x.confidence", F.lit(0.0)).alias("confidence"))
+FINDINGS = "array<struct<claim: string, severity: string, confidence: double>>"
+
+
+def parsed_findings(answers: DataFrame, by: Sequence[str] = ("agent",)) -> DataFrame:
+    """Findings of agents' JSON answers (by, text); text that is no list of objects gives none."""
+    rows = F.from_json("text", FINDINGS, {"mode": "PERMISSIVE"})
+    found = answers.select(*by, F.posexplode(rows).alias("arrival", "x")).filter("x.claim is not null")
+    return found.select(*by, "arrival", "x.claim", F.coalesce("x.severity", F.lit("low")).alias("severity"), F.coalesce("x.confidence", F.lit(0.5)).alias("confidence"))
+
+
+def run_outcomes(calls: DataFrame, by: Sequence[str], order: Sequence[str], retries: int = 1, timeout: float = 30.0) -> DataFrame:
+    """How each agent's run ended, from a log of its calls (by, order, latency_ms, text, error, tokens_in, tokens_out).
+
+    A run has its first retries + 1 calls by order; later ones count for nothing.  A call is a timeout if it took longer than timeout seconds, or has no latency
+    since it never came back; else an error if it has one, or if its text is no list of objects that all have a claim; else ok (an empty list is).
+    The first ok call ends the run; a run without one has the status and error of its last call, and no latency, tokens or text.  attempts is the
+    number of calls up to there.  A failed run touches no other.  Null keys are a run of their own; order should be unique within a run.
+    """
+    listed = F.from_json("text", FINDINGS, {"mode": "PERMISSIVE"})
+    fits = F.coalesce(F.ltrim("text").startswith("[") & F.forall(listed, lambda x: x.isNotNull() & x["claim"].isNotNull()), F.lit(False))
+    late = F.col("latency_ms").isNull() | (F.col("latency_ms") > timeout * 1000)
+    error = F.when(late, "provider call timed out").when(F.col("error").isNotNull(), F.col("error")).when(~fits, "answer is no list of findings")
+    status = F.when(late, "timeout").when(error.isNotNull(), "error").otherwise("ok")
+    attempt = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    tried = calls.withColumn("attempt", attempt).filter(F.col("attempt") <= retries + 1)
+    tried = tried.select(*by, "attempt", status.alias("status"), error.alias("why"), "latency_ms", "tokens_in", "tokens_out", "text")
+    whole = F.struct("attempt", "status", "why", "latency_ms", "tokens_in", "tokens_out", "text")
+    ended = tried.groupBy(*by).agg(F.min_by(whole, F.when(F.col("status") == "ok", F.col("attempt"))).alias("won"), F.max_by(whole, "attempt").alias("last"))
+    end = lambda c: F.coalesce(f"won.{c}", f"last.{c}").alias(c)
+    return ended.select(*by, end("status"), F.when(F.col("won").isNull(), F.col("last.why")).alias("error"), end("attempt").alias("attempts"), *[f"won.{c}" for c in ("latency_ms", "tokens_in", "tokens_out", "text")])
 
 
 def attached(sessions: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:

@@ -1307,6 +1307,19 @@ def _(r):
     return ingest.parsed_findings(r.documents.select(F.concat(F.lit("a"), "doc_id").alias("agent"), F.when(F.col("doc_id") % 3 == 0, "no json").otherwise(body).alias("text")))
 
 
+_RUNS = """calls AS (SELECT user_id AS task, event_type AS agent, value * 1000 AS latency, CASE WHEN event_id % 7 = 0 THEN 'lost' END AS lost, event_id % 5 = 0 AS garbled, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS attempt FROM events),
+    judged AS (SELECT *, CASE WHEN latency IS NULL OR latency > 30000 THEN 'timeout' WHEN lost IS NOT NULL OR garbled THEN 'error' ELSE 'ok' END AS state, CASE WHEN latency IS NULL OR latency > 30000 THEN 'provider call timed out' ELSE coalesce(lost, 'answer is no list of findings') END AS why FROM calls WHERE attempt <= 2),
+    ended AS (SELECT *, row_number() OVER (PARTITION BY task, agent ORDER BY CASE WHEN state = 'ok' THEN attempt ELSE 10 - attempt END) AS place FROM judged)"""
+
+
+@query("p13_run_outcomes", "SELECT task, agent, state AS status, CASE WHEN state <> 'ok' THEN why END AS error, CAST(attempt AS BIGINT) AS attempts, CASE WHEN state = 'ok' THEN event_id END AS tokens_in, CASE WHEN state = 'ok' THEN concat('claim ', event_id) END AS claim FROM ended WHERE place = 1", _RUNS)
+def _(r):
+    answer = F.when(F.col("event_id") % 5 == 0, '{"claim": "no list"}').otherwise(F.format_string('[{"claim": "claim %d"}]', "event_id"))
+    log = r.events.select(F.col("user_id").alias("task"), F.col("event_type").alias("agent"), "ts", "event_id", (F.col("value") * 1000).alias("latency_ms"), F.when(F.col("event_id") % 7 == 0, "lost").alias("error"), answer.alias("text"), F.col("event_id").alias("tokens_in"), F.lit(1).alias("tokens_out"))
+    ends = ingest.run_outcomes(log, ["task", "agent"], ["ts", "event_id"])
+    return ends.select("task", "agent", "status", "error", F.col("attempts").cast("long"), "tokens_in", F.from_json("text", ingest.FINDINGS)[0]["claim"].alias("claim"))
+
+
 @query("p15_session_attach", "SELECT concat('s', o_custkey) AS id, max(CASE WHEN o_custkey % 2 = 0 THEN 'new' ELSE o_orderpriority END) AS request FROM orders GROUP BY o_custkey")
 def _(r):
     sessions = r.orders.groupBy(F.concat(F.lit("s"), "o_custkey").alias("id")).agg(F.max("o_orderpriority").alias("request"))

@@ -10,7 +10,7 @@ from skeinwork.queries import ORACLES, QUERIES
 
 DIR = os.environ.get("SKEINWORK_TEST_DIR", "/root/testdata/sf0.001")
 #: A spread of operators; SKEINWORK_ALL_TWINS=1 runs every twin.
-SPREAD = ("s1_repository_scan", "s8_yaml_records", "s10_rule_files", "k6_reconcile", "f6_ambiguity_guard", "f10_edge_validity", "j3_call_resolution", "j7_deepest_package", "impact", "g2_bfs_cyclic", "g7_paths_to", "g9_find_paths", "g11_flow_impact", "a6_token_report", "a8_scorecards", "a17_ownership", "p8_memory_gc", "w6_greedy_packing", "p5_context_build", "p10_learning", "c7_cost")
+SPREAD = ("s1_repository_scan", "s8_yaml_records", "s10_rule_files", "k9_import", "p13_run_outcomes", "k6_reconcile", "f6_ambiguity_guard", "f10_edge_validity", "j3_call_resolution", "j7_deepest_package", "impact", "g2_bfs_cyclic", "g7_paths_to", "g9_find_paths", "g11_flow_impact", "a6_token_report", "a8_scorecards", "a17_ownership", "p8_memory_gc", "w6_greedy_packing", "p5_context_build", "p10_learning", "c7_cost")
 NAMES = sorted(ORACLES) if os.environ.get("SKEINWORK_ALL_TWINS") else SPREAD
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no driver tables")

@@ -342,3 +342,30 @@ def test_advisory_items(spark):
     assert [tuple(r) for r in audit.orderBy("order").select("ref", "kind").collect()] == [("acceptance-criteria", "criteria"), ("f1", "card"), ("d1", "decision"), ("d2", "decision"), ("d3", "decision"), ("a1", "finding")]
     kinds = [r[0] for r in context.packed(audit, 8000).orderBy("seq").select("kind").collect()]
     assert kinds == ["card", "criteria", "decision", "decision", "decision", "finding"]
+
+
+def test_runs_end_with_the_first_good_call(spark):
+    good, log = '[{"claim": "c"}]', []
+    runs = {  # latency, text, error of each call
+        "first": [(1.0, good, None), (1.0, "x", None)],
+        "second": [(1.0, "x", None), (30_000.0, " []", None)],
+        "late": [(30_001.0, good, None), (None, None, None)],
+        "third": [(1.0, None, "E: lost"), (1.0, '{"claim": "c"}', None), (1.0, good, None)],
+        "part": [(1.0, '[{"claim": "c"}, {"x": 1}]', None)],
+        "mixed": [(99_999.0, good, None), (1.0, good, "E: refused")],
+        None: [(1.0, "[null]", None), (2.0, good, None)],
+    }
+    for agent, calls in runs.items():
+        log += [("t", agent, k, *call, k, 1) for k, call in enumerate(calls)]
+    df = spark.createDataFrame(log, "task string, agent string, at int, latency_ms double, text string, error string, tokens_in int, tokens_out int").repartition(3)
+    got = {r.agent: (r.status, r.error, r.attempts, r.tokens_in) for r in ingest.run_outcomes(df, ["task", "agent"], ["at"]).collect()}
+    none, slow = "answer is no list of findings", "provider call timed out"
+    assert got == {
+        "first": ("ok", None, 1, 0), "second": ("ok", None, 2, 1), "late": ("timeout", slow, 2, None), "third": ("error", none, 2, None),
+        "part": ("error", none, 1, None), "mixed": ("error", "E: refused", 2, None), None: ("ok", None, 2, 1),
+    }
+    more = {r.agent: (r.status, r.attempts) for r in ingest.run_outcomes(df, ["task", "agent"], ["at"], retries=2, timeout=100).collect()}
+    assert more["third"] == ("ok", 3) and more["late"] == ("ok", 1)
+    ends = ingest.run_outcomes(df, ["task", "agent"], ["at"]).filter("status = 'ok'")
+    assert sorted(rows(ingest.parsed_findings(ends, ["task", "agent"]), "agent", "claim", "severity", "confidence"), key=str) == [("first", "c", "low", 0.5), (None, "c", "low", 0.5)]
+    assert ingest.run_outcomes(df.filter("false"), ["task", "agent"], ["at"]).count() == 0
