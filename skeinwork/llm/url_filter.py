@@ -20,7 +20,7 @@ from skeinwork.llm.components import components
 from skeinwork.llm.runtime import settle
 
 # The rules of the query.
-RULES: tuple[tuple[str, str], ...] = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
+RULES: tuple[tuple[str, str], ...] = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
