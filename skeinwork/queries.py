@@ -237,7 +237,7 @@ def _(r):
 @query("k7_migrations", "SELECT id, lower(label) AS label, 3::BIGINT AS version FROM kg_nodes WHERE type <> 'Decision'")
 def _(r):
     s = _store(r)
-    steps = {2: lambda t: t.replace("nodes", t.scan("nodes").withColumn("label", F.lower("label"))), 3: lambda t: t.delete("nodes", t.scan("nodes").filter("type = 'Decision'"))}
+    steps = {2: lambda t: t.change("nodes", lambda old: old.withColumn("label", F.lower("label"))), 3: lambda t: t.delete("nodes", t.scan("nodes").filter("type = 'Decision'"))}
     s.migrate(steps, target=2)
     s.migrate(steps, target=3)
     s.migrate(steps, target=3)
