@@ -154,7 +154,12 @@ def _(r):
     return read.select("collection", "id", F.sha2("x.text", 256).alias("digest"), "x.n_chars")
 
 
-@query("s9_notes", "SELECT concat(doc_id, '.md') AS ref, substr(trim(CASE WHEN doc_id % 2 = 0 THEN concat('## Decision', chr(10), substr(text, 101)) ELSE concat(substr(text, 1, 100), substr(text, 101), chr(10), '## Next', chr(10), 'x') END, concat(' ', chr(9), chr(10), chr(13))), 1, 600) AS content, (length(CASE WHEN doc_id % 2 = 0 THEN concat(substr(text, 1, 100), '## Decision', chr(10), substr(text, 101), chr(10), '## Next', chr(10), 'x') ELSE concat(substr(text, 1, 100), substr(text, 101), chr(10), '## Next', chr(10), 'x') END) + 3) // 4 AS raw_tokens FROM documents")
+#: The text of each note, and its part from the Decision heading on.
+_NOTES = """full_notes AS (SELECT doc_id, substr(text, 1, 100) || CASE WHEN doc_id % 2 = 0 THEN concat('## Decision', chr(10)) ELSE '' END || substr(text, 101) || concat(chr(10), '## Next', chr(10), 'x') AS t FROM documents),
+    cut_notes AS (SELECT doc_id, t, CASE WHEN contains(t, '## Decision') THEN concat('## Decision', split_part(substr(t, instr(t, '## Decision') + 11), concat(chr(10), '##'), 1)) ELSE t END AS c FROM full_notes)"""
+
+
+@query("s9_notes", "SELECT concat(doc_id, '.md') AS ref, substr(trim(c, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 1, 600) AS content, (coalesce(length(t), 0) + 3) // 4 AS raw_tokens FROM cut_notes", _NOTES)
 def _(r):
     mark = F.when(F.col("doc_id") % 2 == 0, "## Decision\n").otherwise("")
     full = F.concat(F.substring("text", 1, 100), mark, F.expr("substr(text, 101)"), F.lit("\n## Next\nx"))

@@ -49,5 +49,14 @@ def agree(spark, tmp_path):
     return check
 
 
+def test_notes_end_at_the_next_heading(agree):
+    head = "é" * 100
+    texts = [head + "### more é\nand more", head + "kept\n## not kept", "## Decision\nearly\n##late" + head, head + "\x0b\x0c", "", head + "x" * 700, None]
+    rows = agree("s9_notes", documents=[{**DEFAULT["documents"][0], "doc_id": k + odd, "text": t} for k, t in zip(range(0, 20, 2), texts) for odd in (0, 1)])
+    assert {r["ref"]: r["content"] for r in rows}["0.md"] == "## Decision"
+    assert {r["ref"]: r["content"] for r in rows}["2.md"] == "## Decision\nkept"
+    assert {r["ref"]: r["content"] for r in rows}["5.md"] == "## Decision\nearly"
+
+
 def test_migrations_change_the_last_version(agree):
     assert {(r["label"], r["version"]) for r in agree("k7_migrations")} == {("n", 3), ("r", 3), ("c", 3), ("s", 3), ("p", 3)}
