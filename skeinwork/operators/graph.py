@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skeinwork.operators.records import brief, confident_calls, resolve
-from skeinwork.tables import numbered, settle
+from skeinwork.tables import many, numbered, settle
 
 
 def directed(edges: DataFrame, direction: str = "out", types: list[str] | None = None) -> DataFrame:
@@ -110,8 +110,8 @@ def _doubled(jumps: DataFrame) -> DataFrame:
     return _few(jumps.join(onward, ["way", "dst"]).select("way", "src", F.col("to").alias("dst")))
 
 
-#: Levels that spread puts into one job, and words of 64 sources that one of its rows holds at most.
-LEVELS, WIDE = 3, 16
+#: Levels that spread puts into one job, words of 64 sources that one of its rows holds at most, and sources whose names go to every task.
+LEVELS, WIDE, NAMED = 3, 16, 10_000
 
 
 def spread(adjacency: DataFrame, marks: DataFrame, keys: list[str], depth: int) -> DataFrame:
@@ -122,7 +122,8 @@ def spread(adjacency: DataFrame, marks: DataFrame, keys: list[str], depth: int)
     puts the bits that meet together by bit_or.  So the work of a level follows from nodes and edges, not from the number of sources.
     """
     sources = numbered(marks.select(*keys).distinct(), *keys, name="source")
-    words = max(1, min(WIDE, -(-sources.count() // 64)))
+    n_sources = sources.count()
+    words = max(1, min(WIDE, -(-n_sources // 64)))
     at = F.col("source")
     bits = [F.bit_or(F.when(F.pmod(F.floor(at / 64), F.lit(words)) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))) for w in range(words)]
     start = marks.select("node", *keys).join(sources, keys).groupBy("node", F.floor(at / (64 * words)).alias("block")).agg(*[b.alias(f"s{w}") for w, b in enumerate(bits)])
@@ -138,7 +139,9 @@ def spread(adjacency: DataFrame, marks: DataFrame, keys: list[str], depth: int)
                 break
     found = [_numbers(f"s{w}", F.col("block") * (64 * words) + 64 * w) for w in range(words)]
     rows = state.select("node", F.explode(F.flatten(F.array(*found))).alias("source"))
-    return rows.join(sources, "source").select(*keys, "node")
+    # A row of bits gives up to 64 * WIDE rows here, so the size before says nothing of them: they stay where they are, or are sorted.
+    named = rows.join(F.broadcast(sources), "source") if n_sources <= NAMED else many(rows).join(many(sources), "source")
+    return named.select(*keys, "node")
 
 
 def _numbers(word: str, base: Column) -> Column:
@@ -151,7 +154,7 @@ def _step(state: DataFrame, moves: DataFrame, words: int) -> DataFrame:
     """One level of spread."""
     own = F.coalesce(F.col("own"), F.lit(True))
     fresh = reduce(lambda a, b: a | b, [F.col(f"f{w}") != 0 for w in range(words)])
-    moved = state.join(moves, F.col("node") == F.col("src"), "left").filter(own | fresh).withColumn("own", own).withColumn("node", F.coalesce("dst", "node"))
+    moved = many(state).join(many(moves), F.col("node") == F.col("src"), "left").filter(own | fresh).withColumn("own", own).withColumn("node", F.coalesce("dst", "node"))
     zero = F.lit(0).cast("long")
     met = [F.bit_or(F.when(F.col("own"), F.col(f"s{w}")).otherwise(zero)).alias(f"s{w}") for w in range(words)]
     came = [F.bit_or(F.when(F.col("own"), zero).otherwise(F.col(f"f{w}"))).alias(f"f{w}") for w in range(words)]

@@ -35,6 +35,11 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def many(df: DataFrame) -> DataFrame:
+    """df for a join by sorted keys.  Files that settle wrote can be a hundredth of their rows in memory, and by their size alone such a table would be collected by the driver."""
+    return df.hint("merge")
+
+
 def numbered(df: DataFrame, *order: str | Column, name: str = "place") -> DataFrame:
     """df, written, with the place of each row in this order, from 0: a sort by range, and each range's start from the sizes of those before."""
     at = F.monotonically_increasing_id()
