@@ -24,6 +24,8 @@ FACTS = (
 _ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 _SCHEMA = pa.schema([(name, _ARROW[kind]) for name, kind in (f.split() for f in FACTS.split(","))])
 _JS = r"""(?:\bfrom\s+|\bimport\s+|\brequire\s*\(\s*)['"]([^'"]+)['"]"""
+#: Rows of facts after which a task hands on what it has: a batch of files has many times as many rows.
+ROWS = 4096
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
@@ -110,8 +112,16 @@ def python_facts(sources: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [{"path": p, "seq": n} | r for p, s in zip(b.column("path").to_pylist(), b.column("source").to_pylist(), strict=True) for n, r in enumerate(syntax_rows(p, s or ""))]
-            yield from pa.Table.from_pylist(rows, _SCHEMA).to_batches()
+            rows: list[dict] = []
+            for path, source in zip(b.column("path"), b.column("source"), strict=True):
+                name = path.as_py()
+                for n, r in enumerate(syntax_rows(name, source.as_py() or "")):
+                    rows.append({"path": name, "seq": n} | r)
+                    if len(rows) >= ROWS:
+                        yield from pa.Table.from_pylist(rows, _SCHEMA).to_batches()
+                        rows = []
+            if rows:
+                yield from pa.Table.from_pylist(rows, _SCHEMA).to_batches()
 
     return sources.select("path", "source").mapInArrow(run, FACTS)
 
