@@ -72,27 +72,52 @@ PLAIN, SHORTCUTS = 3, 4
 def reachable(adjacency: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, id) of all that a seed reaches, the seed left out, in rounds that grow with the logarithm of the depth.
 
+    Edges to nodes without edges of their own are laid aside first, layer by layer, as long as that takes away half of what is left; a layer is gone through once, after
+    the search of what lies before it.  So leaves take no part in the rounds.
+
     After a few plain levels a round also takes shortcuts, from all that was found.  Shortcuts are paths of twice the length of the round
     before's.  Of a node's many only some are kept, by hash: a few ways on for each node, and for each node a few ways to it, so their number is bounded
     by that of the nodes.  Chains and trees, wherever they branch, lose none and are followed twice as far each time.  What is found goes through all
     its own edges as well, once, and the search ends when that brings nothing new: shortcuts only change how soon.  A round's result is one
     table, so the plan does not grow.
     """
-    edges = settle(adjacency.distinct(), "adjacency")
+    edges, layers = _peeled(settle(adjacency.distinct(), "adjacency"))
     start = seeds.select(F.col("id").alias("seed")).distinct()
     found = settle(start.select("seed", F.col("seed").alias("id"), F.lit(0).alias("round")), "found")
-    jumps, round_ = None, 0
-    while True:
-        round_ += 1
+    jumps, round_, fresh, rows = None, 0, start.count(), 0
+    while fresh:
+        round_, rows = round_ + 1, rows + fresh
         if round_ > PLAIN and (jumps is None or not jumps.isEmpty()):
             jumps = _doubled(jumps if jumps is not None else _doubled(_few(edges.withColumn("way", F.explode(F.array(F.lit("on"), F.lit("to")))))))
-        step = found.filter(F.col("round") == round_ - 1).join(edges, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id"))
+        step = _sized(found.filter(F.col("round") == round_ - 1), fresh).join(many(edges), F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id"))
         if jumps is not None:
-            step = step.unionByName(found.join(jumps, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")))
+            step = step.unionByName(_sized(found, rows).join(many(jumps), F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")))
         every = found.unionByName(step.withColumn("round", F.lit(round_)))
         found = settle(every.groupBy("seed", "id").agg(F.min("round").alias("round")), "found")
-        if found.filter(F.col("round") == round_).isEmpty():
-            return found.filter("seed <> id").select("seed", "id")
+        fresh = found.filter(F.col("round") == round_).count()
+    for layer in reversed(layers):
+        onward = _sized(found, rows).join(many(layer), F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id"))
+        found = settle(found.select("seed", "id").unionByName(onward).distinct(), "reached")
+        rows = found.count()
+    return found.filter("seed <> id").select("seed", "id")
+
+
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """df of so many rows for a join: few go to every task, more are sorted."""
+    return F.broadcast(df) if rows <= NAMED else many(df)
+
+
+def _peeled(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The edges without those to nodes that no edge leaves, and the layers laid aside, the outermost first."""
+    layers, rows = [], edges.count()
+    while rows:
+        leaves = settle(many(edges).join(many(edges.select(F.col("src").alias("dst")).distinct()), "dst", "left_anti").select("src", "dst"), "leaves")
+        n = leaves.count()
+        if 2 * n < rows:
+            break
+        edges = settle(many(edges).join(many(leaves.select("dst").distinct()), "dst", "left_anti").select("src", "dst"), "core")
+        layers, rows = [*layers, leaves], rows - n
+    return edges, layers
 
 
 def _few(pairs: DataFrame) -> DataFrame:

@@ -64,6 +64,15 @@ def test_branches_do_not_slow_a_chain(spark, monkeypatch):
     assert len([1 for name, _ in made if name == "found"]) - 1 <= 12
 
 
+def test_leaves_take_no_part_in_the_rounds(spark, monkeypatch):
+    made = settles(monkeypatch)
+    n = 200
+    pairs = [(f"c{k}", f"c{k + 1}") for k in range(n)] + [(f"c{k}", f"leaf{k}_{j}") for k in range(n) for j in range(9)] + [("d0", "d1"), ("leaf0_0", "twig")]
+    got = graph.reachable(edges_of(spark, pairs), ids_of(spark, ["c0", "d0", "twig"]))
+    assert {(r.seed, r.id) for r in got.collect()} == {(s, i) for s in ("c0", "d0", "twig") for i in plain(pairs, s) if i != s}
+    assert max(df.count() for name, df in made if name in ("found", "shortcuts")) <= 3 * n
+
+
 def test_shortcuts_stay_few(spark, monkeypatch):
     made = settles(monkeypatch)
     pairs = [(f"x{k}", f"x{k + d}") for k in range(120) for d in (1, 2, 3, 5, 7, 11)] + [(f"x{k}", "hub") for k in range(120)] + [("hub", f"y{k}") for k in range(300)]
