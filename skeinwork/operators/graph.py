@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skeinwork.operators.records import brief, confident_calls, resolve
-from skeinwork.tables import many, numbered, settle
+from skeinwork.tables import NAMED, many, numbered, settle
 
 
 def directed(edges: DataFrame, direction: str = "out", types: list[str] | None = None) -> DataFrame:
@@ -22,7 +22,10 @@ def directed(edges: DataFrame, direction: str = "out", types: list[str] | None =
 
 
 def neighbors(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, types: list[str] | None = None, direction: str = "out") -> DataFrame:
-    """(seed, edge_type, id) of the other end of each edge; ends that are no nodes are dropped."""
+    """(seed, edge_type, id) of the other end of each edge; ends that are no nodes are dropped.
+
+    The edges at the seeds are taken first, and written: only their other ends are looked up among the nodes, by sorted ids.
+    """
     if types is not None:
         edges = edges.filter(F.col("type").isin(types))
     parts = []
@@ -31,7 +34,9 @@ def neighbors(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, types: list[
     if direction in ("in", "both"):
         parts.append(edges.select(F.col("dst_id").alias("seed"), F.col("type").alias("edge_type"), F.col("src_id").alias("id")))
     every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return every.join(seeds.select(F.col("id").alias("seed")).distinct(), "seed", "left_semi").join(nodes.select("id"), "id", "left_semi").select("seed", "edge_type", "id")
+    wanted = settle(seeds.select(F.col("id").alias("seed")).distinct(), "seeds")
+    touched = settle(every.join(_sized(wanted, wanted.count()), "seed", "left_semi"), "touched")
+    return touched.join(many(nodes.select("id")), "id", "left_semi").select("seed", "edge_type", "id")
 
 
 def reach(adjacency: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
@@ -135,8 +140,8 @@ def _doubled(jumps: DataFrame) -> DataFrame:
     return _few(jumps.join(onward, ["way", "dst"]).select("way", "src", F.col("to").alias("dst")))
 
 
-#: Levels that spread puts into one job, words of 64 sources that one of its rows holds at most, and sources whose names go to every task.
-LEVELS, WIDE, NAMED = 3, 16, 10_000
+#: Levels that spread puts into one job, and words of 64 sources that one of its rows holds at most.
+LEVELS, WIDE = 3, 16
 
 
 def spread(adjacency: DataFrame, marks: DataFrame, keys: list[str], depth: int) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a table of names or keys that goes to every task, at most.
+NAMED = 10_000
+
+
 def work_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which all executors reach.  Where it is unset a temporary folder serves a local session; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,6 +44,11 @@ def many(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows of df for Python tasks on all cores: a small file of many records is otherwise read by one task."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def numbered(df: DataFrame, *order: str | Column, name: str = "place") -> DataFrame:
     """df, written, with the place of each row in this order, from 0: a sort by range, and each range's start from the sizes of those before."""
     at = F.monotonically_increasing_id()
