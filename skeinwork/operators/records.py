@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from skeinwork import schemas as S
 from skeinwork.functions import scalars as C
-from skeinwork.tables import literal_table
+from skeinwork.tables import NAMED, literal_table, many, numbered, settle
 
 
 def where(df: DataFrame, conditions: dict[str, object]) -> DataFrame:
@@ -152,8 +152,15 @@ def first_of_each(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """O1: rank within each key, from 1; an order that ends with an id leaves no ties."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    """O1: rank within each key, from 1; an order that ends with an id leaves no ties.
+
+    All rows are numbered in one sort by ranges, and a key's ranks begin at its first number: no task holds a key whole.
+    """
+    placed = numbered(df, *keys, *order, name="rank")
+    first = settle(placed.groupBy(*[F.col(k).alias(f"{k}__key") for k in keys]).agg(F.min("rank").alias("rank__first")), "first-ranks")
+    own = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}__key")) for k in keys])
+    begun = placed.join(F.broadcast(first) if first.count() <= NAMED else many(first), own)
+    return begun.withColumn("rank", F.col("rank") - F.col("rank__first") + 1).select(*df.columns, "rank")
 
 
 def united(parts: list[DataFrame]) -> DataFrame:

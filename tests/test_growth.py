@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from skeinwork.operators import graph
+from skeinwork.operators import graph, records
 
 
 def plan_of(df):
@@ -15,3 +15,15 @@ def test_neighbors_do_not_send_the_nodes_to_every_task(spark):
     got = graph.neighbors(edges, nodes, spark.createDataFrame([("n1",), ("n1",), ("n7",)], "id string"), direction="both")
     assert "Broadcast" not in plan_of(got)
     assert sorted(map(tuple, got.collect())) == [("n1", "a", "n2"), ("n1", "a", "n2"), ("n1", "b", "n3")]
+
+
+def test_ranks_do_not_bring_a_key_into_one_task(spark):
+    rows = [(["a", "b", None][k % 3], k * 37 % 101, f"i{k:03}") for k in range(100)]
+    df = spark.createDataFrame(rows, "type string, at long, id string").repartition(5)
+    got = records.ranked(df, ["type"], [F.desc("at"), F.col("id")])
+    assert "Window" not in plan_of(got)
+    want = {}
+    for t, at, i in sorted(rows, key=lambda r: (-r[1], r[2])):
+        want.setdefault(t, []).append(i)
+    assert {(r.type, r["rank"], r.id) for r in got.collect()} == {(t, n, i) for t, ids in want.items() for n, i in enumerate(ids, 1)}
+    assert records.ranked(df.filter("false"), ["type"], [F.col("id")]).count() == 0
