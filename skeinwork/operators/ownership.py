@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from skeinwork import schemas as S
 from skeinwork.functions.scalars import glob_to_regex, half_even
 from skeinwork.operators.records import confident_calls
-from skeinwork.tables import literal_table
+from skeinwork.tables import NAMED, dealt, literal_table, many, settle
 
 AXES = ("domain", "layer", "criticality", "impact")
 #: Least and greatest length of a key of the rule index.
@@ -23,8 +23,11 @@ LOOSE = 64
 _MARKS = "dDwWsSbBAzZ"
 
 
-def required_literal(regex: str) -> str:
-    """The longest text that everything the pattern finds holds, as far as its outer sequence shows; empty if nothing is sure."""
+def required_literal(regex: str, classes: bool = False) -> str:
+    """The longest text that everything the pattern finds holds, as far as its outer sequence shows; empty if nothing is sure.
+
+    With classes, a class of one character counts as that character.
+    """
     if re.search(r"\(\?[^:=!<)]*[ix]|\\Q", regex):
         return ""
     best, run, i = "", "", 0
@@ -45,6 +48,9 @@ def required_literal(regex: str) -> str:
             i += regex[i : i + 1] in ("?", "+")
         elif c == "(":
             i = _closed(regex, i, ")")
+        elif c == "[" and classes and regex[i + 1 : i + 2] == "]" and regex[i] not in "^[]\\":
+            run, i = run + regex[i], i + 2
+            continue
         elif c == "[":
             i = _closed(regex, i, "]")
         elif c == "+":
@@ -85,7 +91,7 @@ def _closed(regex: str, at: int, end: str) -> int:
 def _compiled(kind: str, pattern: str) -> tuple[str, str]:
     """The regular expression of a rule, and its required literal."""
     regex = glob_to_regex(pattern) if kind == "path" else pattern
-    return regex, "" if kind == "symbol" else required_literal(regex)
+    return regex, "" if kind == "symbol" else required_literal(regex, classes=True)
 
 
 _SCHEMA = "ordinal long, kind string, pattern string, regex string, literal string, " + ", ".join(f"{a} string" for a in AXES)
@@ -112,7 +118,7 @@ def rules_of(rows: DataFrame) -> DataFrame:
 
     axes_ = [F.col(a).cast("string").alias(a) if a in rows.columns else F.lit(None).cast("string").alias(a) for a in AXES]
     known = rows.filter(F.col("kind").isin("symbol", "name", "path") & F.col("pattern").isNotNull())
-    return known.select(F.col("ordinal").cast("long").alias("ordinal"), "kind", "pattern", *axes_).mapInArrow(run, _SCHEMA)
+    return dealt(known.select(F.col("ordinal").cast("long").alias("ordinal"), "kind", "pattern", *axes_)).mapInArrow(run, _SCHEMA)
 
 
 def _windows(text: Column, size: int) -> Column:
@@ -122,23 +128,34 @@ def _windows(text: Column, size: int) -> Column:
     return F.array_distinct(F.when(n > 0, parts).otherwise(F.array().cast("array<string>")))
 
 
+def _parts(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(text, key) of the keys that a text holds, each once."""
+    begins = settle(keys.groupBy(F.substring("key", 1, SHORT).alias("head")).agg(F.collect_set(F.length("key")).alias("sizes")), "heads")
+    runs = texts.select("text", F.explode(_windows(F.concat("text", F.lit("\0" * (LONG - SHORT))), LONG)).alias("run")).withColumn("head", F.substring("run", 1, SHORT))
+    few = F.broadcast(begins) if begins.count() <= NAMED else many(begins)
+    cut = runs.join(few, "head").select("text", "run", F.explode("sizes").alias("size")).select("text", F.substring("run", F.lit(1), F.col("size")).alias("key"))
+    return many(cut).join(many(keys), "key", "left_semi").distinct()
+
+
 def _hits(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """(text, ordinal, axes) of the rules that find a text.
 
     A rule's key is a part of its required literal, the one that the fewest texts hold.  Texts meet rules by key; only what met is held against
-    the pattern.  Rules without a key can find anything, so each is tried on all texts, a block of them in one pass.
+    the pattern.  A text offers parts of those lengths only that keys with the same first characters have, once for counting and meeting.
+    Rules without a key can find anything, so each is tried on all texts, a block of them in one pass.
     """
+    rules = settle(rules, "rules")
     size = F.least(F.length("literal"), F.lit(LONG))
     keyed = rules.filter(F.length("literal") >= SHORT)
     sizes = sorted(r[0] for r in keyed.select(size).distinct().collect())  # LONG - SHORT + 1 at most
     out = None
     if sizes:
-        of_size = lambda text: F.flatten(F.array(*[F.when(size == n, _windows(text, n)).otherwise(F.array().cast("array<string>")) for n in sizes]))
-        offered = keyed.select("ordinal", F.explode(of_size(F.col("literal"))).alias("key"))
-        held = texts.select("text", F.explode(F.flatten(F.array(*[_windows(F.col("text"), n) for n in sizes]))).alias("key")).join(offered.select("key").distinct(), "key", "left_semi")
+        of_size = F.flatten(F.array(*[F.when(size == n, _windows(F.col("literal"), n)).otherwise(F.array().cast("array<string>")) for n in sizes]))
+        offered = settle(keyed.select("ordinal", F.explode(of_size).alias("key")), "rule-keys")
+        held = settle(_parts(texts, offered.select("key").distinct()), "held")
         counts = held.groupBy("key").agg(F.count("*").alias("n"))
-        best = offered.join(counts, "key", "left").groupBy("ordinal").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
-        out = held.join(keyed.join(best, "ordinal"), "key").filter(F.contains("text", F.col("literal")) & F.rlike("text", F.col("regex"))).select("text", "ordinal", *AXES)
+        best = many(offered).join(many(counts), "key", "left").groupBy("ordinal").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
+        out = many(held).join(many(many(keyed).join(many(best), "ordinal")), "key").filter(F.contains("text", F.col("literal")) & F.rlike("text", F.col("regex"))).select("text", "ordinal", *AXES)
     loose = rules.filter(F.length("literal") < SHORT)
     tried = loose.select("ordinal", "regex").collect()
     for at in range(0, len(tried), LOOSE):

@@ -69,3 +69,7 @@ def test_no_rules(spark):
     assert got(spark, nodes, []) == set()
     assert got(spark, [], [(1, "name", "abc")]) == set()
     assert got(spark, nodes, [(1, "name", "zzz"), (2, "symbol", "abc")]) == {("n", 3, 2)}
+
+
+def test_a_class_of_one_character_is_part_of_the_literal():
+    assert [ownership.required_literal(x, classes=True) for x in ("^Order[.]k17[.]x$", "[.]k3[.]", "ab[.]*cd", "ab[.]+c", "[.]?abc", "[^]abc", "a[.]{2}b", "[[]x")] == ["Order.k17.x", ".k3.", "ab", "ab.", "abc", "", "a", ""]
