@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinwork.tables import dealt
+
 #: fact: scope (a definition), bind (a name gets a value), call, attr, import or alias (a name from an import).  seq is the place in the
 #: file, depth that in the tree; direct: the statement stands in the body of its scope itself.
 FACTS = (
@@ -123,7 +125,7 @@ def python_facts(sources: DataFrame) -> DataFrame:
             if rows:
                 yield from pa.Table.from_pylist(rows, _SCHEMA).to_batches()
 
-    return sources.select("path", "source").mapInArrow(run, FACTS)
+    return dealt(sources.select("path", "source")).mapInArrow(run, FACTS)
 
 
 def call_sites(facts: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from skeinwork.operators import code, extract, graph, ledger, ownership, records
 from skeinwork.plans import context, ingest, memory, sync
 from skeinwork.sources import blocks, files, store, text
 from skeinwork.streaming import calls
-from skeinwork.tables import literal_table, work_dir
+from skeinwork.tables import literal_table, settle, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -756,7 +756,7 @@ def _(r):
 
 @query("j3_call_resolution", "SELECT caller, callee FROM sites", _SYMBOLS)
 def _(r):
-    f = _facts(r)
+    f = settle(_facts(r), "facts")  # several steps read them; a file is parsed once
     return code.resolved_calls(f, code.symbols(f), r.py_files).select("caller", "callee")
 
 
