@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from skeinwork import schemas as S
 from skeinwork.functions.scalars import coerced, deep_merge, token_estimate
 from skeinwork.sources.blocks import loads
+from skeinwork.tables import dealt
 
 
 def note_summary(text: Column, chars: int = S.NOTE_CHARS) -> Column:
@@ -69,7 +70,7 @@ def rule_files(texts: DataFrame) -> DataFrame:
             types = [pa.string(), pa.int64(), *[pa.string()] * 6]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], names)
 
-    return texts.select("path", "text").mapInArrow(parsed, RULE)
+    return dealt(texts.select("path", "text")).mapInArrow(parsed, RULE)
 
 
 def anchors(spark: SparkSession, config: dict) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from skeinwork.operators import graph, records
+from skeinwork.operators import extract, graph, ownership, records
+from skeinwork.sources import text
 
 
 def plan_of(df):
@@ -27,3 +28,13 @@ def test_ranks_do_not_bring_a_key_into_one_task(spark):
         want.setdefault(t, []).append(i)
     assert {(r.type, r["rank"], r.id) for r in got.collect()} == {(t, n, i) for t, ids in want.items() for n, i in enumerate(ids, 1)}
     assert records.ranked(df.filter("false"), ["type"], [F.col("id")]).count() == 0
+
+
+def test_records_of_one_file_are_parsed_by_many_tasks(spark):
+    yaml = spark.range(40).coalesce(1).selectExpr("concat(id, '.yaml') AS path", "concat('rules:\n  - match: {path: a', id, '}\n    domain: d\n') AS text")
+    assert text.rule_files(yaml).rdd.getNumPartitions() >= 4
+    assert text.rule_files(yaml).select("pattern").distinct().count() == 40
+    files = spark.range(40).coalesce(1).selectExpr("concat('m', id, '.py') AS path", "concat('def f', id, '(): pass') AS source")
+    assert extract.python_facts(files).rdd.getNumPartitions() >= 4
+    rules = spark.range(40).coalesce(1).selectExpr("id AS ordinal", "'name' AS kind", "concat('x', id) AS pattern")
+    assert ownership.rules_of(rules).rdd.getNumPartitions() >= 4
