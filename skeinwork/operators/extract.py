@@ -125,7 +125,7 @@ def python_facts(sources: DataFrame) -> DataFrame:
             if rows:
                 yield from pa.Table.from_pylist(rows, _SCHEMA).to_batches()
 
-    return dealt(sources.select("path", "source")).mapInArrow(run, FACTS)
+    return sources.select("path", "source").mapInArrow(run, FACTS)
 
 
 def call_sites(facts: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def js_imports(source: Column) -> Column:
 
 def imports_of(sources: DataFrame) -> DataFrame:
     """(path, imports) by language: parsed for Python, by pattern for JavaScript and TypeScript, none else."""
-    py = python_imports(python_facts(sources.filter("language = 'python'"))).withColumnRenamed("imports", "py")
+    py = python_imports(python_facts(dealt(sources.filter("language = 'python'")))).withColumnRenamed("imports", "py")
     empty = F.array().cast("array<string>")
     return sources.join(py, "path", "left").select("path", F.when(F.col("language") == "python", F.coalesce("py", empty)).when(F.col("language").isin("javascript", "typescript"), js_imports(F.col("source"))).otherwise(empty).alias("imports"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skeinwork import schemas as S
 from skeinwork.functions import scalars as C
 from skeinwork.operators import code, extract
-from skeinwork.tables import settle
+from skeinwork.tables import dealt, settle
 
 
 def repository_index(scan: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def ingest_repository(scan: DataFrame, prior: DataFrame | None = None, churn: Da
 def ingest_symbols(scan: DataFrame) -> dict[str, DataFrame]:
     """Symbols, edges and the one-row summary of the Python files."""
     files = scan.filter("language = 'python'")
-    facts = settle(extract.python_facts(files), "facts")
+    facts = settle(extract.python_facts(dealt(files)), "facts")
     nodes = code.symbols(facts)
     resolved = code.resolved_calls(facts, nodes, files)
     edges = reduce(DataFrame.unionByName, [code.defines(facts), code.extends(nodes), code.calls(resolved)])
@@ -47,7 +47,7 @@ def ingest_symbols(scan: DataFrame) -> dict[str, DataFrame]:
 def ingest_states(scan: DataFrame, facts: DataFrame | None = None) -> dict[str, DataFrame]:
     """States, their reads and writes, and how accesses were resolved."""
     files = scan.filter("language = 'python'")
-    facts = settle(extract.python_facts(files), "facts") if facts is None else facts
+    facts = settle(extract.python_facts(dealt(files)), "facts") if facts is None else facts
     edges = code.state_edges(facts)
     nodes = code.state_nodes(facts, edges)
     return {"nodes": nodes, "edges": edges, "result": code.resolution_stats(facts, edges, nodes, files)}

@@ -17,7 +17,7 @@ from skeinwork.operators import code, extract, graph, ledger, ownership, records
 from skeinwork.plans import context, ingest, memory, sync
 from skeinwork.sources import blocks, files, store, text
 from skeinwork.streaming import calls
-from skeinwork.tables import literal_table, settle, work_dir
+from skeinwork.tables import dealt, literal_table, settle, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -703,7 +703,7 @@ def _(r):
 
 
 def _facts(r: Rel) -> DataFrame:
-    return extract.python_facts(r.py_files.select("path", "source"))
+    return extract.python_facts(dealt(r.py_files.select("path", "source")))
 
 
 @query("x1_python_imports", "SELECT path, 'numpy,os' AS imports FROM py_a UNION ALL SELECT path, pack FROM py_b")

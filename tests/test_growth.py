@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from skeinwork.operators import extract, graph, ownership, records
+from skeinwork.plans import ingest
 from skeinwork.sources import text
+from skeinwork.tables import dealt
 
 
 def plan_of(df):
@@ -34,7 +36,8 @@ def test_records_of_one_file_are_parsed_by_many_tasks(spark):
     yaml = spark.range(40).coalesce(1).selectExpr("concat(id, '.yaml') AS path", "concat('rules:\n  - match: {path: a', id, '}\n    domain: d\n') AS text")
     assert text.rule_files(yaml).rdd.getNumPartitions() >= 4
     assert text.rule_files(yaml).select("pattern").distinct().count() == 40
-    files = spark.range(40).coalesce(1).selectExpr("concat('m', id, '.py') AS path", "concat('def f', id, '(): pass') AS source")
-    assert extract.python_facts(files).rdd.getNumPartitions() >= 4
+    files = spark.range(40).coalesce(1).selectExpr("concat('m', id, '.py') AS path", "'python' AS language", "concat('def f', id, '(): pass') AS source")
+    assert ingest.ingest_symbols(files)["facts"].count() == 40
+    assert extract.python_facts(dealt(files)).rdd.getNumPartitions() >= 4
     rules = spark.range(40).coalesce(1).selectExpr("id AS ordinal", "'name' AS kind", "concat('x', id) AS pattern")
     assert ownership.rules_of(rules).rdd.getNumPartitions() >= 4
