@@ -257,19 +257,21 @@ def _byte_symbols() -> list[str]:
     return out
 
 
-_OPEN: dict[tuple[str, bool], WordBpe] = {}
+_OPEN: dict[tuple[str, bool, int], WordBpe] = {}
 KEPT.append(_OPEN)
 
 
-def encoder(path: str, speculate: bool = True) -> WordBpe:
-    """One encoder for each worker process and file.  speculate=False merges every new word exactly: the same ids."""
+def encoder(path: str, speculate: bool = True, words_kept: int = WORDS_KEPT) -> WordBpe:
+    """One encoder for each worker process, file and size of table.  speculate=False merges every new word exactly: the same ids."""
     lean(_OPEN)
-    if (path, speculate) not in _OPEN:
-        _OPEN[path, speculate] = WordBpe(path, speculate=speculate)
+    own = (path, speculate, words_kept)
+    if own not in _OPEN:
+        _OPEN.clear()  # one table at a time
+        _OPEN[own] = WordBpe(path, words_kept, speculate)
         # The tables hold no cycles: let the collector pass over them, and come by less often.
         gc.freeze()
         gc.set_threshold(200_000, 50, 1000)
-    return _OPEN[path, speculate]
+    return _OPEN[own]
 
 
 def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:

@@ -3,7 +3,8 @@
 Documents are dealt to shards of about SHARD tokens by their words and not by where they lie, so that related ones meet.  A document
 has a place in a lexical order: the nearest of the centroids of weighted terms, the nearest centroid within it, and then its
 least term by a hash that favours rare terms, which near copies share.  Shards are runs of that order; a run of one place that is
-larger than a shard is split by row.  Centroids and weights are fitted on a bounded sample; every document is dealt.
+larger than a shard is split by row.  Weights come from the number of documents that hold each term, counted over all of them, and
+centroids are means over all documents: ROUNDS rounds of Lloyd, each a pass over the documents' vectors.
 
 A shard has its own BM25 inverted index, and is searched by its own documents only.  A document's full windows are sequences of
 their own; what is left over is packed: the next unused
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.llm.ann import _fit, _nearest
-from skeinwork.llm.bpe import encoder
-from skeinwork.llm.runtime import bounded, settle, texts_of, tokenizer_path, tune, two_columns
+from skeinwork.llm.bpe import WORDS_KEPT, encoder
+from skeinwork.llm.runtime import lean, settle, texts_of, tokenizer_path, tune, two_columns
 from skeinwork.llm.shingles import mix
 
 SIZE, END = 2048, 1
@@ -37,12 +38,14 @@ SHARD = 1_500_000
 LOOK = 32
 K1, B = 1.2, 0.75
 _SHARD_BITS = 36
-#: Documents that the lexical order is fitted on, at most, and the characters read of each.
-SAMPLE, SAMPLE_CHARS = 4096, 4000
-#: Centroids, centroids within each, and runs within each of those.
-COARSE, FINE, RUNS = 16, 16, 64
+#: Centroids, centroids within all of them together, and runs within each of those.
+COARSE, CELLS, RUNS = 16, 256, 64
+#: Passes over all vectors in which centroids move, and tasks of a pass for each core.
+ROUNDS, TASKS = 4, 4
 #: Terms are added up in so many dimensions.
 DIMS = 256
+#: A vector's length in its whole numbers, so that sums of vectors are exact in any order.
+UNIT = 16384
 
 
 class Bm25:
@@ -133,46 +136,55 @@ def pack_shard(docs: list[np.ndarray], size: int = SIZE) -> list[tuple[int, int,
 class LexicalOrder:
     """Places of documents in an order in which documents with common terms are near each other."""
 
-    def __init__(self, sample: list[np.ndarray]):
-        found = [np.unique(d) for d in sample]
-        df = np.bincount(np.concatenate(found)) if found else np.zeros(1, np.int64)
-        n = len(sample)
-        self.idf = np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5))).astype(np.float32)
-        #: The weight of a term that the sample does not have.
-        self.unseen = np.float32(np.log(2 * n + 1.0))
-        self._learn(len(self.idf))
-        x = self.vectors(np.concatenate(sample), np.array([len(d) for d in sample])) if n else np.zeros((0, DIMS))
-        self.coarse = _fit(x, COARSE)
-        near = _nearest(x, self.coarse)
-        self.fine = [_fit(x[near == k], FINE) for k in range(len(self.coarse))]
-
-    def _learn(self, size: int) -> None:
-        """Tables by term: dimension, signed weight, and rank by the hash that favours rare terms."""
-        term = np.arange(size, dtype=np.uint64)
-        weight = np.concatenate([self.idf, np.full(max(0, size - len(self.idf)), self.unseen)])[:size]
+    def __init__(self, df: np.ndarray, n: int):
+        """df: how many of the n documents hold each term."""
+        weight = np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5)))
+        term = np.arange(len(df), dtype=np.uint64)
         h, g = mix(term), mix(term + np.uint64(1))
+        #: By term: dimension, signed weight, and rank by the hash that favours rare terms.
         self.dim = (h % np.uint64(DIMS)).astype(np.int64)
-        self.signed = np.where(h >> np.uint64(63), -weight, weight).astype(float)
+        self.signed = np.where(h >> np.uint64(63), -weight, weight)
         self.rank = -np.log(((g >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)) / np.maximum(weight, 1e-9)
+        self.cells = self.coarse = np.zeros((1, DIMS))
+        self.first = np.array([0, 1])
+
+    def start(self, x: np.ndarray) -> None:
+        """Centroids to begin with: these vectors, and groups of them."""
+        if not len(x):
+            return
+        coarse = _fit(x / UNIT, COARSE)
+        near = _nearest(x / UNIT, coarse)
+        o = np.argsort(near, kind="stable")
+        groups, first = np.unique(near[o], return_index=True)
+        #: Cells of a coarse centroid are those from its first to that of the next.
+        self.coarse, self.cells, self.first = coarse[groups], x[o] / UNIT, np.append(first, len(x))
+
+    def move(self, n: np.ndarray, total: np.ndarray) -> None:
+        """Each centroid to the mean of its documents; n and total are the number and sum of the vectors in each cell."""
+        for c, ks in [(self.cells, [(k, k + 1) for k in range(len(self.cells))]), (self.coarse, list(zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True)))]:
+            for k, (a, b) in enumerate(ks):
+                if m := int(n[a:b].sum()):
+                    c[k] = total[a:b].sum(axis=0) / (m * UNIT)
 
     def vectors(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Each document's weighted terms added up in DIMS dimensions, as a unit vector."""
-        if (most := int(flat.max(initial=0))) >= len(self.dim):
-            self._learn(2 * most + 1)
+        """Each document's weighted terms added up in DIMS dimensions, as a vector of length UNIT in whole numbers."""
         at = np.repeat(np.arange(len(sizes)) * DIMS, sizes) + self.dim[flat]
         v = np.bincount(at, self.signed[flat], len(sizes) * DIMS).reshape(-1, DIMS)
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        return np.rint(v * (UNIT / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12))).astype(np.int16)
 
-    def places(self, docs: list[np.ndarray]) -> np.ndarray:
-        flat, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
-        x = self.vectors(flat, sizes)
+    def runs(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The run within its cell of each document, by its least term."""
+        least = np.minimum.reduceat(self.rank[flat], np.cumsum(sizes) - sizes)
+        return (mix(least.view(np.uint64)) % np.uint64(RUNS)).astype(np.int64)
+
+    def cells_of(self, x: np.ndarray) -> np.ndarray:
+        x = x / UNIT
         coarse = _closest(x, self.coarse)
-        fine = np.zeros(len(docs), np.int64)
+        out = np.zeros(len(x), np.int64)
         for k in np.unique(coarse).tolist():
-            fine[coarse == k] = _closest(x[coarse == k], self.fine[k])
-        least = np.minimum.reduceat(self.rank[flat], np.cumsum(sizes) - sizes)
-        run = mix(least.view(np.uint64)) % np.uint64(RUNS)
-        return (coarse * FINE + fine) * RUNS + run.astype(np.int64)
+            own = coarse == k
+            out[own] = self.first[k] + _closest(x[own], self.cells[self.first[k] : self.first[k + 1]])
+        return out
 
 
 def _closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -195,39 +207,115 @@ def _shards(tokens: dict[int, int], shard: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, size: int = SIZE, shard: int = SHARD) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece."""
+def _frequencies(tokens: DataFrame, tasks: int) -> tuple[np.ndarray, int]:
+    """How many documents hold each term, and the number of documents: one row for each term of the vocabulary comes to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(1, np.int64), 0
+        for b in batches:
+            if b.num_rows:
+                terms = np.concatenate([np.unique(np.frombuffer(r, np.uint32)) for r in b.column("ids").to_pylist()])
+                more, n = np.bincount(terms, minlength=len(df)), n + b.num_rows
+                more[: len(df)] += df
+                df = more
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(df[held], n))], ["term", "n"])
+
+    found = {r["term"]: r["n"] for r in tokens.select("ids").coalesce(tasks).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, df = found.pop(-1, 0), np.zeros(max(found, default=0) + 1, np.int64)
+    df[list(found)] = list(found.values())
+    return df, n
+
+
+def _order(tokens: DataFrame, tasks: int) -> tuple[LexicalOrder, dict[int, int]]:
+    """The lexical order of all documents, and the tokens in each of its places."""
+    order = LexicalOrder(*_frequencies(tokens, tasks))
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                docs = [np.frombuffer(r, np.uint32) for r in b.column("ids").to_pylist()]
+                flat, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
+                yield pa.RecordBatch.from_arrays([pa.array(order.runs(flat, sizes)), pa.array(sizes), pa.array([v.tobytes() for v in order.vectors(flat, sizes)], pa.binary())], ["run", "n", "x"])
+
+    seen = settle(tokens.select("ids").mapInArrow(project, "run long, n long, x binary"), "vectors").coalesce(tasks)
+    begin = seen.select("x").orderBy(F.xxhash64("x"), "x").limit(4 * CELLS).collect()
+    order.start(_rows(list(dict.fromkeys(bytes(r["x"]) for r in begin))[:CELLS]))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(len(order.cells), np.int64), np.zeros((len(order.cells), DIMS), np.int64)
+        for b in batches:
+            if b.num_rows:
+                x = _rows(b.column("x").to_pylist())
+                cell = order.cells_of(x)
+                n += np.bincount(cell, minlength=len(n))
+                o = np.argsort(cell, kind="stable")
+                held, first = np.unique(cell[o], return_index=True)
+                total[held] += np.add.reduceat(x[o].astype(np.int64), first)
+        held = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(n[held]), pa.array([t.tobytes() for t in total[held]], pa.binary())], ["cell", "n", "total"])
+
+    def together(part: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(t, np.int64) for t in part.column("total").to_pylist()], axis=0)
+        return pa.table([pa.array([part.column("cell")[0].as_py()], pa.int64()), pa.array([sum(part.column("n").to_pylist())], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["cell", "n", "total"])
+
+    for _ in range(ROUNDS):  # a row for each cell comes to the driver
+        n, total = np.zeros(len(order.cells), np.int64), np.zeros((len(order.cells), DIMS), np.int64)
+        for r in seen.select("x").mapInArrow(add, "cell long, n long, total binary").groupBy("cell").applyInArrow(together, "cell long, n long, total binary").collect():
+            n[r["cell"]], total[r["cell"]] = r["n"], np.frombuffer(r["total"], np.int64)
+        order.move(n, total)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(len(order.cells) * RUNS, np.int64)
+        for b in batches:
+            if b.num_rows:
+                at = order.cells_of(_rows(b.column("x").to_pylist())) * RUNS + b.column("run").to_numpy()
+                np.add.at(held, at, b.column("n").to_numpy())
+        used = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(held[used])], ["place", "n"])
+
+    tokens_at = seen.mapInArrow(place, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()  # CELLS * RUNS rows at most
+    return order, {r["place"]: r["n"] for r in tokens_at}
+
+
+def _rows(x: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(x), np.int16).reshape(-1, DIMS)
+
+
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, size: int = SIZE, shard: int = SHARD, words_kept: int = WORDS_KEPT) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece.
+
+    words_kept bounds the encoder's table of words in a worker: a smaller one takes less memory and more time, and gives the same ids.
+    """
     path = path or tokenizer_path()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     end = np.array([END], np.uint32).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path, speculate=False)
+        bpe = encoder(path, speculate=False, words_kept=words_kept)
+        row = TaskContext.get().partitionId() << _SHARD_BITS
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([r + end for r in bpe.encode_many(texts_of(b))], pa.binary())], ["ids"])
+            raws = [r + end for r in bpe.encode_many(texts_of(b))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.arange(row, row + len(raws))), pa.array(raws, pa.binary())], ["doc_id", "row", "ids"])
+            row += len(raws)
 
     spark = tune(docs.sparkSession)
-    given = two_columns(docs, key, text)
-    sample = bounded(given, SAMPLE, "doc_id", "text").select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    order = LexicalOrder([np.frombuffer(r["ids"], np.uint32) for r in sample.repartition(12).mapInArrow(encode, "ids binary").collect()])
+    tokens = settle(two_columns(docs, key, text).mapInArrow(encode, "doc_id long, row long, ids binary"), "tokens")
+    order, tokens_at = _order(tokens, TASKS * spark.sparkContext.defaultParallelism)
+    places, first, split = np.array(_shards(tokens_at, shard), np.int64).reshape(-1, 3).T
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path, speculate=False)
-        row = TaskContext.get().partitionId() << _SHARD_BITS
+        lean()
         for b in batches:
-            if not b.num_rows:
-                continue
-            raws = [r + end for r in bpe.encode_many(texts_of(b))]
-            places = order.places([np.frombuffer(r, np.uint32) for r in raws])
-            rows = np.arange(row, row + len(raws))
-            row += len(raws)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows), pa.array(places), pa.array([len(r) // 4 for r in raws], pa.int64()), pa.array(raws, pa.binary())], ["doc_id", "row", "place", "n", "ids"])
-
-    dealt = settle(given.mapInArrow(deal, "doc_id long, row long, place long, n long, ids binary"), "tokens")
-    tokens = {r["place"]: r["n"] for r in dealt.groupBy("place").agg(F.sum("n").alias("n")).collect()}  # COARSE * FINE * RUNS rows at most
-    shards = spark.createDataFrame(_shards(tokens, shard), "place long, first long, split long")
-    which = (F.col("first") + F.pmod(F.xxhash64("row"), F.col("split"))).alias("shard")
-    placed = dealt.join(F.broadcast(shards), "place").select("doc_id", which, "ids")
+            if b.num_rows:
+                found = [np.frombuffer(r, np.uint32) for r in b.column("ids").to_pylist()]
+                flat, sizes = np.concatenate(found), np.array([len(d) for d in found])
+                at = np.searchsorted(places, order.cells_of(order.vectors(flat, sizes)) * RUNS + order.runs(flat, sizes), "right") - 1
+                at = np.maximum(at, 0)
+                number = first[at] + (mix(b.column("row").to_numpy().astype(np.uint64)) % split[at].astype(np.uint64)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(number), b.column("ids")], ["doc_id", "shard", "ids"])
+
+    placed = tokens.mapInArrow(deal, "doc_id long, shard long, ids binary")
 
     def packed(held: pa.Table) -> pa.Table:
         first = held.column("shard")[0].as_py() << _SHARD_BITS
