@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from skeinwork.llm import ngram_join, packing, pii, quality, suffix_dedup
 from skeinwork.llm.runtime import settle, table
 
+#: Words in the encoder's table of a worker that packs.
+WORDS_KEPT = 200_000
+
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a column that tells its rows apart and orders them by doc_id, rows without doc_id last; and the column's name."""
@@ -58,8 +61,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the token sequences."""
-    return packing.pack(docs)
+    """The pieces of the token sequences.  The encoder's table is small, as executors still hold the memory of the stages before."""
+    return packing.pack(docs, words_kept=WORDS_KEPT)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
