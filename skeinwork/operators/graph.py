@@ -39,15 +39,16 @@ def neighbors(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, types: list[
     return touched.join(many(nodes.select("id")), "id", "left_semi").select("seed", "edge_type", "id")
 
 
-def reach(adjacency: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+def reach(adjacency: DataFrame, seeds: DataFrame, depth: int | None = None, written: bool = False) -> DataFrame:
     """Breadth-first search from many seeds at once: (seed, id, depth, parent), seeds left out.
 
     Each level joins the frontier with the edges, drops what was seen, and keeps the least parent, so the order
     (depth, parent, id) is that of a search which visits neighbours by id.  A level is written to the shared
     folder; only its number of rows comes to the driver.  What was seen lies in parts of falling size, of which the last two are put
     together when they are about equal, so a level reads few files however deep the search goes.  Where only the set is asked for, see reachable.
+    written: the adjacency holds each pair once and is read from files already.
     """
-    if depth is None or depth > 2:  # read once for each level
+    if not written and (depth is None or depth > 2):  # read once for each level
         adjacency = settle(adjacency.distinct(), "adjacency")
     start = seeds.select(F.col("id").alias("seed")).distinct()
     frontier = start.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
@@ -269,7 +270,7 @@ def find_paths(adjacency: DataFrame, pairs: DataFrame, max_depth: int = 8, max_p
     pairs = settle(pairs.select("source", "target").distinct(), "pairs")
     adjacency = settle(adjacency.distinct(), "adjacency")
     back = adjacency.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    to = reach(back, pairs.select(F.col("target").alias("id")), max_depth).select(F.col("seed").alias("target"), F.col("id").alias("node"), F.col("depth").alias("left"))
+    to = reach(back, pairs.select(F.col("target").alias("id")), max_depth, written=True).select(F.col("seed").alias("target"), F.col("id").alias("node"), F.col("depth").alias("left"))
     to = settle(to.unionByName(pairs.select("target", F.col("target").alias("node"), F.lit(0).alias("left")).distinct()), "distance")
     out, keep = None, 4 * max_paths
     while True:
@@ -364,6 +365,7 @@ def endpoint(exec_nodes: DataFrame, df_nodes: DataFrame, anchors: DataFrame, tok
 def lineage(exec_nodes: DataFrame, calls: DataFrame, df_nodes: DataFrame, df_edges: DataFrame, anchors: DataFrame, pairs: DataFrame, max_depth: int = 8, max_paths: int = 10, floor: str = "resolved") -> DataFrame:
     """Steps (source, target, rank, step, id, type, label, file) of the paths between named ends."""
     ends = endpoint(exec_nodes, df_nodes, anchors, pairs.select(F.col("source").alias("token")).unionByName(pairs.select(F.col("target").alias("token"))))
+    ends = settle(ends, "ends")
     known = pairs.join(ends.select(F.col("token").alias("source"), F.col("id").alias("s")), "source").join(ends.select(F.col("token").alias("target"), F.col("id").alias("t")), "target").filter("s is not null and t is not null")
     paths = find_paths(lineage_adjacency(calls, df_edges, floor), known.select(F.col("s").alias("source"), F.col("t").alias("target")), max_depth, max_paths)
     steps = paths.select("source", "target", "rank", F.posexplode("path").alias("step", "id"))
