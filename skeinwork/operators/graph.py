@@ -142,16 +142,18 @@ def _doubled(jumps: DataFrame) -> DataFrame:
 
 
 #: Levels that spread puts into one job, and words of 64 sources that one of its rows holds at most.
-LEVELS, WIDE = 3, 16
+LEVELS, WIDE = 1, 16
 
 
 def spread(adjacency: DataFrame, marks: DataFrame, keys: list[str], depth: int) -> DataFrame:
     """(keys, node) of all nodes within depth steps of a node that keys mark, those nodes too.  Many sources are searched at once.
 
     Each distinct keys is a source with a number, and a row (node, block) holds 64 * WIDE sources as bits: those that have come to the node, and
-    those that came last.  A level joins rows with their edges, among them one to the node itself that carries what was there, and
-    puts the bits that meet together by bit_or.  So the work of a level follows from nodes and edges, not from the number of sources.
+    those that came last.  A level takes only the rows to which something came last along their edges, and puts the bits that meet together, and what
+    was there, by bit_or.  So the work of a level follows from nodes and edges, not from the number of sources.  Edges are written once; the search
+    ends when nothing new comes.  Repeated edges change no bits.
     """
+    marks = settle(marks, "marks")
     sources = numbered(marks.select(*keys).distinct(), *keys, name="source")
     n_sources = sources.count()
     words = max(1, min(WIDE, -(-n_sources // 64)))
@@ -159,14 +161,13 @@ def spread(adjacency: DataFrame, marks: DataFrame, keys: list[str], depth: int)
     bits = [F.bit_or(F.when(F.pmod(F.floor(at / 64), F.lit(words)) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))) for w in range(words)]
     start = marks.select("node", *keys).join(sources, keys).groupBy("node", F.floor(at / (64 * words)).alias("block")).agg(*[b.alias(f"s{w}") for w, b in enumerate(bits)])
     state = start.select("*", *[F.col(f"s{w}").alias(f"f{w}") for w in range(words)])
-    adjacency = adjacency.select("src", "dst").distinct()
-    moves = settle(adjacency.withColumn("own", F.lit(False)).unionByName(adjacency.select("src", F.col("src").alias("dst"), F.lit(True).alias("own")).distinct()), "moves")
-    fresh = reduce(lambda a, b: a | b, [F.col(f"f{w}") != 0 for w in range(words)])
+    state = settle(state, "spread")
+    moves = settle(adjacency.select("src", "dst"), "moves")
     for level in range(1, depth + 1):
         state = _step(state, moves, words)
         if level % LEVELS == 0 and level < depth:
             state = settle(state, "spread")
-            if state.filter(fresh).isEmpty():
+            if _came(state, words).isEmpty():
                 break
     found = [_numbers(f"s{w}", F.col("block") * (64 * words) + 64 * w) for w in range(words)]
     rows = state.select("node", F.explode(F.flatten(F.array(*found))).alias("source"))
@@ -181,15 +182,19 @@ def _numbers(word: str, base: Column) -> Column:
     return F.transform(held, lambda bit: base + bit)
 
 
+def _came(state: DataFrame, words: int) -> DataFrame:
+    """The rows to which a source came last."""
+    return state.filter(reduce(lambda a, b: a | b, [F.col(f"f{w}") != 0 for w in range(words)]))
+
+
 def _step(state: DataFrame, moves: DataFrame, words: int) -> DataFrame:
     """One level of spread."""
-    own = F.coalesce(F.col("own"), F.lit(True))
-    fresh = reduce(lambda a, b: a | b, [F.col(f"f{w}") != 0 for w in range(words)])
-    moved = many(state).join(many(moves), F.col("node") == F.col("src"), "left").filter(own | fresh).withColumn("own", own).withColumn("node", F.coalesce("dst", "node"))
+    fresh = _came(state, words)
+    fresh = _sized(fresh, fresh.count()) if LEVELS == 1 else many(fresh)
     zero = F.lit(0).cast("long")
-    met = [F.bit_or(F.when(F.col("own"), F.col(f"s{w}")).otherwise(zero)).alias(f"s{w}") for w in range(words)]
-    came = [F.bit_or(F.when(F.col("own"), zero).otherwise(F.col(f"f{w}"))).alias(f"f{w}") for w in range(words)]
-    out = moved.groupBy("node", "block").agg(*met, *came)
+    moved = fresh.withColumnRenamed("node", "src").join(moves, "src").select(F.col("dst").alias("node"), "block", *[zero.alias(f"s{w}") for w in range(words)], *[f"f{w}" for w in range(words)])
+    held = state.select("node", "block", *[f"s{w}" for w in range(words)], *[zero.alias(f"f{w}") for w in range(words)])
+    out = held.unionByName(moved).groupBy("node", "block").agg(*[F.bit_or(f"{c}{w}").alias(f"{c}{w}") for c in "sf" for w in range(words)])
     return out.select(
         "node", "block", *[F.col(f"s{w}").bitwiseOR(F.col(f"f{w}")).alias(f"s{w}") for w in range(words)],
         *[F.col(f"f{w}").bitwiseAND(F.bitwise_not(F.col(f"s{w}"))).alias(f"f{w}") for w in range(words)],
