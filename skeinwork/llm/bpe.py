@@ -17,11 +17,14 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import os
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from skeinwork.llm.runtime import KEPT, lean, texts_of, tokenizer_path, tune, two_columns
@@ -31,6 +34,14 @@ WORDS_KEPT = 1_400_000
 PAIRS_KEPT = 1_000_000
 #: Anything but letters, marks and spaces on which all Unicode versions agree.
 _UNUSUAL = re.compile("[^\x09-\x0d\x20-\x7e\xa0-ɏ]")
+#: The same for columns, with special tokens and the one letter whose lower case has two characters.
+_NOT_PLAIN = r"[^\x09-\x0d\x20-\x7e\x{a0}-\x{12f}\x{131}-\x{24f}]|<\|"
+_MARKS = string.punctuation.replace("'", "")
+_LETTERS = "".join({c for c in map(str.lower, map(chr, range(0x250))) if c.isalpha()})
+#: Bytes of text that are cut and looked up together.
+TOGETHER = 4 << 20
+#: Words that are merged in one call.
+WORDS_MERGED = 20_000
 
 
 class WordBpe:
@@ -41,6 +52,7 @@ class WordBpe:
 
         import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
@@ -65,6 +77,12 @@ class WordBpe:
             self.reach: dict[str, int] = {}
             for t in (*self.open_, *self.closed):
                 self.reach[t[:2]] = max(self.reach.get(t[:2], 1), len(t))
+        else:  # the library's merges alone, of words between spaces
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks fill the cores already
+            self.merger = Tokenizer(self.lib.model)
+            self.merger.pre_tokenizer = WhitespaceSplit()
+            self.ends = np.zeros(max(self.tokens) + 1, bool)
+            self.ends[[i for t, i in self.vocab.items() if t.endswith(self.end)]] = True
         self.pairs: dict[int, bool] = {}
         self.chunks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -103,6 +121,15 @@ class WordBpe:
     def _exact_bytes(self, symbols: str) -> bytes:
         return b"".join([self.packed[t.id] for t in self.lib.model.tokenize(symbols)])
 
+    def _exact_many(self, words: list[str]) -> list[bytes]:
+        """The library's own merges of words, in one call: only the last token of each carries the word's end."""
+        ids = np.array(self.merger.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        if len(ends) != len(words):
+            return [self._exact_bytes(w) for w in words]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def propose(self, symbols: str) -> list[int]:
         """Greedy longest match; the last token must end the word."""
         out, i, n = [], 0, len(symbols)
@@ -134,8 +161,9 @@ class WordBpe:
         if self.speculate:
             self.encode_words(words)
             return
-        for w in words:
-            self.chunks[w] = self._exact_bytes(self._symbols(w))
+        for at in range(0, len(words), WORDS_MERGED):
+            some = words[at : at + WORDS_MERGED]
+            self.chunks.update(zip(some, self._exact_many([self._symbols(w) for w in some]), strict=True))
 
     def encode_words(self, words: list[str]) -> None:
         """Propose for all words, test all adjacent pairs at once, and merge exactly where a pair fails."""
@@ -214,6 +242,29 @@ class WordBpe:
             at = to
         return out
 
+    def _words(self, words: pa.Array) -> pa.Array:
+        """The ids of each word or piece as bytes."""
+        found = words.dictionary_encode()
+        named = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(set(named))
+        return pa.array([self.chunks[w] for w in named], pa.large_binary()).take(found.indices)
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """encode_bytes of each text, null the empty one: plain texts are lowered, cut and put together as columns, and each distinct piece is looked up once."""
+        texts = pc.fill_null(texts, "")
+        plain = pc.invert(pc.match_substring_regex(texts, _NOT_PLAIN))
+        rows = pc.utf8_split_whitespace(pc.utf8_lower(texts.filter(plain)))
+        found = rows.flatten().dictionary_encode()
+        pieces = found.dictionary
+        # Letters before marks are a word and the marks another; other pieces stay whole.
+        heads = pc.ascii_rtrim(pieces, _MARKS)
+        two = pc.or_(pc.utf8_is_alpha(heads), pc.equal(heads, ""))
+        parts = self._words(pc.if_else(two, heads, pieces)), self._words(pc.if_else(two, pc.utf8_ltrim(pieces, _LETTERS), ""))
+        ids = pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.large_binary())).take(found.indices)
+        raw, at = ids.buffers()[2] or b"", np.frombuffer(ids.buffers()[1], np.int64)[rows.offsets.to_numpy()].tolist()
+        raw, ends = memoryview(raw), iter(zip(at, at[1:], strict=False))
+        return [bytes(raw[slice(*next(ends))]) if p else self.encode_bytes(t.as_py()) for p, t in zip(plain.to_pylist(), texts, strict=True)]
+
     def _segment(self, text: str) -> bytes:
         if not _UNUSUAL.search(text):
             return self._plain(text)

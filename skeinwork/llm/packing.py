@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.llm.ann import _fit, _nearest
-from skeinwork.llm.bpe import WORDS_KEPT, encoder
-from skeinwork.llm.runtime import lean, settle, texts_of, tokenizer_path, tune, two_columns
+from skeinwork.llm.bpe import TOGETHER, WORDS_KEPT, encoder
+from skeinwork.llm.runtime import lean, settle, tokenizer_path, tune, two_columns
 from skeinwork.llm.shingles import mix
 
 SIZE, END = 2048, 1
@@ -282,6 +282,19 @@ def _rows(x: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(x), np.int16).reshape(-1, DIMS)
 
 
+def _together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of so many bytes, about; a larger batch stays as it is."""
+    held, n = [], 0
+    for b in batches:
+        if held and n + b.nbytes > size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+        held.append(b)
+        n += b.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, size: int = SIZE, shard: int = SHARD, words_kept: int = WORDS_KEPT) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece.
 
@@ -294,8 +307,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, speculate=False, words_kept=words_kept)
         row = TaskContext.get().partitionId() << _SHARD_BITS
-        for b in batches:
-            raws = [r + end for r in bpe.encode_many(texts_of(b))]
+        for b in _together(batches, TOGETHER):
+            raws = [r + end for r in bpe.encode_column(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.arange(row, row + len(raws))), pa.array(raws, pa.binary())], ["doc_id", "row", "ids"])
             row += len(raws)
 
