@@ -26,6 +26,8 @@ from skeinwork.sources import blocks, bundles
 ABANDONED = 3600
 #: Seconds that a version stays after the next one, and writes of one change that are tried before a conflict is passed on.
 KEPT, TRIES = 86_400, 5
+#: Records in a file of a snapshot, at most: a compressed file is read by one task.
+SNAPSHOT_ROWS = 1_000_000
 #: The version of a collection that was cleared.
 GONE = "-"
 
@@ -179,13 +181,13 @@ class Store:
             self._publish(name, self._head(name)[0], GONE)
 
     def write_snapshots(self, folder: str, names: Sequence[str] | None = None) -> None:
-        """K4: each collection as lines of JSON, every line a YAML document; the snapshot of an empty collection is removed."""
+        """K4: each collection as lines of JSON in gzip files, every line a YAML document; the snapshot of an empty collection is removed."""
         for name in self.collections() if names is None else names:
             rows, at = self.scan(name), self.fs_path(f"{folder}/{name}.jsonl")
             if rows.isEmpty():
                 self.fs.delete(at, True)
             else:
-                rows.write.mode("overwrite").option("ignoreNullFields", "false").json(str(at))
+                rows.write.mode("overwrite").options(ignoreNullFields="false", compression="gzip", maxRecordsPerFile=SNAPSHOT_ROWS).json(str(at))
 
     def rebuild(self, folder: str) -> list[str]:
         """K5: every collection as its snapshot has it; the snapshots win."""
