@@ -78,8 +78,9 @@ PLAIN, SHORTCUTS = 3, 4
 def reachable(adjacency: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, id) of all that a seed reaches, the seed left out, in rounds that grow with the logarithm of the depth.
 
-    Edges to nodes without edges of their own are laid aside first, layer by layer, as long as that takes away half of what is left; a layer is gone through once, after
-    the search of what lies before it.  So leaves take no part in the rounds.
+    Of many edges the nodes that only one node leads to are laid aside first: they are reached with that node, so chains and trees take no part in the rounds (see _lone).
+    So are edges to nodes without edges of their own, layer by layer, as long as that takes away half of what is left; a layer is gone through once, after
+    the search of what lies before it.
 
     After a few plain levels a round also takes shortcuts, from all that was found.  Shortcuts are paths of twice the length of the round
     before's.  Of a node's many only some are kept, by hash: a few ways on for each node, and for each node a few ways to it, so their number is bounded
@@ -87,8 +88,16 @@ def reachable(adjacency: DataFrame, seeds: DataFrame) -> DataFrame:
     its own edges as well, once, and the search ends when that brings nothing new: shortcuts only change how soon.  A round's result is one
     table, so the plan does not grow.
     """
-    edges, layers = _peeled(settle(adjacency.distinct(), "adjacency"))
     start = seeds.select(F.col("id").alias("seed")).distinct()
+    edges, layers = settle(adjacency, "adjacency"), []
+    while True:
+        before = edges.count()
+        edges, lone = _lone(edges, start) if before > NAMED else (settle(edges.distinct(), "adjacency"), [])
+        edges, leaves = _peeled(edges)
+        layers += [*[(layer, False) for layer in lone], *[(layer, True) for layer in leaves]]
+        rows = edges.count()
+        if rows <= NAMED or 2 * rows > before:
+            break
     found = settle(start.select("seed", F.col("seed").alias("id"), F.lit(0).alias("round")), "found")
     jumps, round_, fresh, rows = None, 0, start.count(), 0
     while fresh:
@@ -101,10 +110,13 @@ def reachable(adjacency: DataFrame, seeds: DataFrame) -> DataFrame:
         every = found.unionByName(step.withColumn("round", F.lit(round_)))
         found = settle(every.groupBy("seed", "id").agg(F.min("round").alias("round")), "found")
         fresh = found.filter(F.col("round") == round_).count()
-    for layer in reversed(layers):
+    for left, (layer, often) in reversed(list(enumerate(layers))):
         onward = _sized(found, rows).join(many(layer), F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id"))
-        found = settle(found.select("seed", "id").unionByName(onward).distinct(), "reached")
-        rows = found.count()
+        # A layer's nodes are not among those found before it; only leaves are led to by several nodes.
+        found = found.select("seed", "id").unionByName(onward.distinct() if often else onward)
+        if left:
+            found = settle(found, "reached")
+            rows = found.count()
     return found.filter("seed <> id").select("seed", "id")
 
 
@@ -126,6 +138,74 @@ def _peeled(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return edges, layers
 
 
+#: Of how many nodes one, by hash, is looked at to see whether it pays to lay nodes aside.
+ONE_OF = 64
+
+
+def _lone(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The edges without the nodes, seeds apart, that only one node leads to, and the layer of these: (src, dst), the node that dst is reached with and dst.
+
+    Where such nodes seem to be less than half of all, all edges stay for the rounds, with the same result.  Those of them that lead nowhere are looked up once, at the end.
+    """
+    moves, no, by = edges.filter("src <> dst"), F.lit(False), F.xxhash64("src")
+    some = moves.filter(F.pmod(F.xxhash64("dst"), F.lit(ONE_OF)) == 0).groupBy("dst").agg((F.min(by) == F.max(by)).alias("lone"))
+    every, lone = some.agg(F.count("*"), F.count_if("lone")).first()
+    if 2 * lone < every:
+        return settle(edges.distinct(), "adjacency"), []
+    # Dealt by dst first, so that a task sorts its part once for the groups and the join, and what is written stays in that order.
+    ends = moves.repartition("dst").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("up"), F.max("src").alias("last"))
+    inner = moves.select(F.col("src").alias("id")).distinct().withColumn("inner", F.lit(True))
+    named = _sized(seeds.select(F.col("seed").alias("id"), F.lit(True).alias("named")), seeds.count())
+    marked = many(ends).join(many(inner), "id", "left").join(named, "id", "left")
+    ends = settle(marked.select("id", "up", ((F.col("up") == F.col("last")) & ~F.coalesce("named", no)).alias("lone"), F.coalesce("inner", no).alias("inner")), "ends")
+    every, lone, ways = ends.agg(F.count("*"), F.count_if("lone"), F.count_if(F.col("lone") & F.col("inner"))).first()
+    begins = _begins(ends.filter("lone AND inner").select("id", "up"), ways)
+    begun = many(begins.withColumnRenamed("id", "up"))
+    leaves = many(ends.filter("lone AND NOT inner").select("id", "up")).join(begun, "up", "left")
+    layer = begins.select(F.col("begin").alias("src"), F.col("id").alias("dst")).unionByName(leaves.select(F.coalesce("begin", "up").alias("src"), F.col("id").alias("dst")))
+    if lone == every:
+        return edges.filter("false"), [layer]
+    others = many(moves).join(many(ends.filter("NOT lone").select(F.col("id").alias("dst"))), "dst", "left_semi")
+    core = many(others.withColumnRenamed("src", "up")).join(begun, "up", "left").select(F.coalesce("begin", "up").alias("src"), "dst")
+    return settle(core.filter("src <> dst").distinct(), "core"), [layer]
+
+
+#: Steps that one job of _begins takes where few pairs are left, and tables of its results that are read as they are.
+STEPS, PARTS = 8, 8
+
+
+def _begins(pairs: DataFrame, rows: int) -> DataFrame:
+    """(id, begin) for pairs (id, up) in which no id comes twice: the first node on the way up that is no id, or any node of the circle in which the way ends.
+
+    In each round every node draws 0 or 1, by hash.  Pairs from a 1 up to a 0 are laid aside, and the pairs that led up to them lead past them.
+    That is a quarter of the pairs, however long the ways are, so all rounds together move a few times the pairs.  When few are left, they are followed up many
+    steps a job.  What was laid aside gets its begin from the node above it, in the order back.
+    """
+    aside = []
+    while rows > NAMED:
+        drawn = lambda end: F.xxhash64(end, F.lit(len(aside))).bitwiseAND(1)  # noqa: B023, E731
+        taken = pairs.filter((drawn("id") == 1) & (drawn("up") == 0))
+        kept = pairs.filter((drawn("id") == 0) | (drawn("up") == 1))
+        past = many(kept.filter(drawn("up") == 1)).join(many(taken.select(F.col("id").alias("up"), F.col("up").alias("above"))), "up", "left")
+        step = kept.filter(drawn("up") == 0).unionByName(past.select("id", F.coalesce("above", "up").alias("up")))
+        aside.append(taken)
+        pairs = settle(step.filter("id <> up"), "pairs")
+        rows = pairs.count()
+    steps = 1
+    while steps < rows:
+        above, step = F.broadcast(pairs.select(F.col("id").alias("up"), F.col("up").alias("above"))), pairs
+        for _ in range(STEPS - 1):
+            step = step.join(above, "up", "left").select("id", F.coalesce("above", "up").alias("up"))
+        pairs, steps = settle(step, "pairs"), steps * STEPS
+    parts = [pairs.withColumnRenamed("up", "begin")]
+    for taken in reversed(aside):
+        known = reduce(DataFrame.unionByName, parts)
+        parts.append(settle(many(taken).join(many(known.withColumnRenamed("id", "up")), "up", "left").select("id", F.coalesce("begin", "up").alias("begin")), "begins"))
+        if len(parts) > PARTS:
+            parts = [settle(reduce(DataFrame.unionByName, parts), "begins")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _few(pairs: DataFrame) -> DataFrame:
     """At most SHORTCUTS of the pairs on from each src, and of those to each dst: the one of the least hash in each class of the other end."""
     on = F.col("way") == "on"
